@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from prefscope.functions.chat import IM_END, close_sequence, truncate_tokens, whitespace_tokens
 
+# A model whose count table has at most this many rows (a size known from
+# the fit) is joined by broadcast; beyond it the hot/cold split is used.
+BROADCAST_VOCAB_ROWS = 2_000_000
 # At most this many tokens are treated as hot (broadcast side of the split).
 HOT_SPLIT = 10_000
 
@@ -36,6 +39,7 @@ class UnigramModel:
     counts: DataFrame  # (token, c)
     n_tokens: int
     vocab_size: int
+    n_types: int = 0  # rows of ``counts``
 
     @property
     def denominator(self) -> float:
@@ -65,15 +69,20 @@ def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
     counts = token_counts(texts, text_col).persist()
     tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens = int(tot["n"] or 0)
-    v = int(tot["v"]) if vocab_size is None else int(vocab_size)
-    return UnigramModel(counts, n_tokens, v)
+    n_types = int(tot["v"])
+    v = n_types if vocab_size is None else int(vocab_size)
+    return UnigramModel(counts, n_tokens, v, n_types)
 
 
 def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") -> DataFrame:
-    """Attach the corpus count ``c`` (null when unseen) to rows keyed by token,
-    splitting hot tokens onto a broadcast join."""
+    """Attach the corpus count ``c`` (null when unseen) to rows keyed by token.
+    A count table of checked size is broadcast; a larger one is split: hot
+    tokens by broadcast, the rest by a shuffle join."""
     if model.n_tokens == 0:
         return keyed.withColumn("c", F.lit(None).cast("long"))
+    if model.n_types <= BROADCAST_VOCAB_ROWS:
+        small = model.counts.select(F.col("token").alias(token), "c")
+        return keyed.join(F.broadcast(small), token, "left")
     hot_min = max(1, model.n_tokens // HOT_SPLIT)
     hot = model.counts.where(F.col("c") >= hot_min).select(
         F.col("token").alias(token), F.col("c").alias("_hot_c"))

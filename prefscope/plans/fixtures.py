@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from prefscope.functions.chat import whitespace_tokens
 from prefscope.functions.rules import INSTRUCTION_PROMPTS
 from prefscope.operators import prep
+from prefscope.parallel import spread
 from prefscope.sources.readers import prompt_suite
 
 # The three checkpoints, in report order, and FD3's offsets.
@@ -24,7 +25,7 @@ CHAT_MODELS = ("SFT", "DPO")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # FD1 ------------------------------------------------------------------------
