@@ -107,9 +107,11 @@ def final_number(x) -> Column:
 
 # E5 -------------------------------------------------------------------------
 def gold_answer(x) -> Column:
-    """Text after the last ``####``, stripped, commas removed."""
-    return F.replace(py_strip(F.substring_index(_c(x), "####", -1)),
-                     F.lit(","), F.lit(""))
+    """Text after the last ``####`` of a left-to-right, non-overlapping split
+    (as ``str.split``; in ``#####`` the cut is after the first four),
+    stripped, commas removed."""
+    tail = F.element_at(F.split(_c(x), "####"), -1)
+    return F.replace(py_strip(tail), F.lit(","), F.lit(""))
 
 
 # E6 -------------------------------------------------------------------------

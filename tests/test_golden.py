@@ -1,0 +1,99 @@
+"""FG1-FG8: numbers the reference stored, reproduced from its own artefacts."""
+
+import csv
+
+from pyspark.sql import functions as F
+
+from prefscope.functions import text as T
+from prefscope.operators import judge as L
+from prefscope.operators import report as R
+from prefscope.operators import scoring as H
+from prefscope.sources.writers import read_table
+
+from conftest import REFERENCE
+
+
+def _by_model(df, col):
+    return {r["model"]: r[col] for r in df.collect()}
+
+
+def test_fg3_instruction_rules(golden_samples):
+    _, instr, _ = golden_samples
+    scored = H.score_instructions(instr)
+    hits = scored.groupBy("model").agg(F.sum(F.col("ok").cast("int")).alias("ok"),
+                                       F.sum(F.col("correct").cast("int")).alias("correct"))
+    assert _by_model(hits, "ok") == {"Base": 5, "SFT": 16, "DPO": 18}
+    assert _by_model(hits, "correct") == {"Base": 13, "SFT": 17, "DPO": 18}
+    acc = H.instruction_accuracy(scored)
+    assert _by_model(acc, "instruction_following_acc_pct") == {"Base": 20.0, "SFT": 64.0, "DPO": 72.0}
+
+
+def test_fg3_each_prompt_matches_one_trigger(golden_samples):
+    from prefscope.functions.rules import INSTRUCTION_PROMPTS, INSTRUCTION_RULES
+    for p in INSTRUCTION_PROMPTS:
+        hits = [t for t, _ in INSTRUCTION_RULES if t in p.lower()]
+        assert hits, p
+
+
+def test_fg2_final_number_reproduces_stored_predictions(golden_samples):
+    _, _, qa = golden_samples
+    out = qa.select("pred", T.final_number("response").alias("p")).collect()
+    assert len(out) == 30
+    assert all(r["pred"] == r["p"] for r in out)
+    assert {"4.", "340."} <= {r["p"] for r in out}
+
+
+def test_fg4_repetition_and_cot(golden_samples):
+    _, _, qa = golden_samples
+    s = qa.groupBy("model").agg(
+        F.sum(T.has_repetition("response").cast("int")).alias("rep"),
+        F.sum(T.has_cot("response").cast("int")).alias("cot"))
+    assert _by_model(s, "rep") == {"Base": 4, "SFT": 2, "DPO": 0}
+    assert _by_model(s, "cot") == {"Base": 5, "SFT": 1, "DPO": 4}
+
+
+def test_fg5_no_identical_outputs(golden_samples):
+    _, instr, qa = golden_samples
+    for table in (instr, qa):
+        for a, b in (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO")):
+            r = R.identical_pct(table.where(F.col("model") == a), table.where(F.col("model") == b),
+                                keys=("idx",)).first()
+            assert r["comparable"] and r["identical_pct"] == 0.0
+
+
+def test_fg1_fg8_comparison_table(spark, golden_samples):
+    bundle, _, _ = golden_samples
+    from prefscope.plans.queries import METRIC_LABELS
+    table = R.compare(R.to_long(bundle, METRIC_LABELS))
+    got = {r["metric"]: (r["Base"], r["SFT"], r["DPO"]) for r in table.collect()}
+    with open(f"{REFERENCE}/final_comparison.csv") as f:
+        rows = list(csv.DictReader(f))
+    assert len(rows) == 4
+    for row in rows:
+        exp = tuple(float(row[m]) for m in ("Base", "SFT", "DPO"))
+        assert got[row["Metric"]] == exp
+
+
+def test_a7_missing_model_is_null(golden_samples):
+    bundle, _, _ = golden_samples
+    from prefscope.plans.queries import METRIC_LABELS
+    table = R.compare(R.to_long(bundle.where(F.col("model") != "Base"), METRIC_LABELS))
+    assert all(r["Base"] is None and r["DPO"] is not None for r in table.collect())
+
+
+def test_fg6_judge_csv_win_rates(spark):
+    judged = read_table(spark, f"{REFERENCE}/llm_judge_results.csv")
+    assert judged.count() == 7
+    assert judged.columns == ["prompt", "Base", "SFT", "DPO", "winner", "reason"]
+    counts = L.verdict_counts(judged)
+    c = {r["winner"]: r["n"] for r in counts.collect()}
+    assert c == {"Base": 0, "SFT": 3, "DPO": 4, "Tie": 0, "Error": 0}
+    rates = {r["winner"]: round(r["win_rate_pct"], 1) for r in L.win_rates(counts).collect()}
+    assert rates == {"Base": 0.0, "SFT": 42.9, "DPO": 57.1, "Tie": 0.0}
+
+
+def test_fg7_showcase_csv_multiline(spark):
+    good = read_table(spark, f"{REFERENCE}/arena_showcase.csv")
+    assert good.count() == 7
+    naive = spark.read.option("header", True).csv(f"{REFERENCE}/arena_showcase.csv")
+    assert naive.count() > 7
