@@ -55,8 +55,10 @@ def read_metrics(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
           .json(list(paths.values()))
           .select("*", F.col("_metadata.file_path").alias("_path")))
     model = None
-    for p, m in by_path.items():
-        cond = F.col("_path").endswith(p.split("/")[-1])
+    # Longest path first, so that ``/m/SFT`` is not taken for ``/m/SFT2``.
+    for p, m in sorted(by_path.items(), key=lambda kv: -len(kv[0])):
+        p = p.rstrip("/")
+        cond = F.col("_path").endswith(p) | F.col("_path").contains(p + "/")
         model = F.when(cond, F.lit(m)) if model is None else model.when(cond, F.lit(m))
     return df.select(model.alias("model"), *[f.name for f in S.METRIC_BUNDLE.fields])
 
