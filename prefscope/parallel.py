@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# A scan is spread over at most this many times its own split count.
+SPREAD_FACTOR = 8
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Rebalance a scan that yields fewer partitions than the cluster has
     task slots (e.g. a file written as one row group, which Spark cannot
     split). The text scoring after the scan is CPU-bound, so it would
-    otherwise run in one task. A large input already has many splits, and
-    then this returns ``df`` unchanged: no shuffle is added at scale.
+    otherwise run in one task. The fan-out is capped at ``SPREAD_FACTOR``
+    times the scan's own split count, so a small table on a large cluster
+    does not turn into thousands of empty tasks; a large input already has
+    many splits, and then ``df`` is returned unchanged (no shuffle at scale).
 
     The round-robin repartition sorts rows before distributing them, so a
     recomputed partition after an executor loss gets the same rows."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    target = min(slots, SPREAD_FACTOR * max(n, 1))
+    if n < target:
         return df.repartition(target)
     return df
