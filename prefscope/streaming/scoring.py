@@ -1,0 +1,47 @@
+"""Incremental evaluation: score response files as they land.
+
+The reference scores a fixed table once; this applies the same Column
+functions to a file stream and keeps per-model counts in Spark's state store,
+so accuracies are current as new responses arrive. No new operator: the
+scoring is ``scoring.score_qa`` and the aggregate is H2/H3's.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from prefscope.operators.scoring import score_qa
+from prefscope.session import ensure_checkpoint_dir
+
+
+def qa_counts_stream(spark: SparkSession, path: str, schema: StructType | str,
+                     fmt: str = "parquet", by: str = "model") -> DataFrame:
+    """Streaming DataFrame of (model, n, n_correct, n_cot, gsm8k_acc_pct,
+    cot_presence_pct) over response files (q_id, model, answer, response)
+    under ``path``."""
+    src = spark.readStream.schema(schema).format(fmt).load(path)
+    scored = score_qa(src)
+    counts = scored.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("correct")).alias("n_correct"),
+        F.count_if(F.col("cot")).alias("n_cot"))
+    return counts.select(
+        by, "n", "n_correct", "n_cot",
+        (F.lit(100.0) * F.col("n_correct") / F.col("n")).alias("gsm8k_acc_pct"),
+        (F.lit(100.0) * F.col("n_cot") / F.col("n")).alias("cot_presence_pct"))
+
+
+def start_qa_counts(spark: SparkSession, path: str, schema: StructType | str, name: str,
+                    sink: str = "memory", fmt: str = "parquet",
+                    available_now: bool = False) -> StreamingQuery:
+    """Start the counting stream in complete mode; its checkpoint lives under
+    the cluster's ``spark.checkpoint.dir`` so a restarted driver resumes."""
+    ckpt = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"
+    w = (qa_counts_stream(spark, path, schema, fmt).writeStream.outputMode("complete")
+         .format(sink).queryName(name).option("checkpointLocation", ckpt))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -1,0 +1,25 @@
+"""The streaming counts equal the batch aggregate over the same rows."""
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from prefscope.operators.scoring import qa_accuracy, score_qa
+from prefscope.plans import fixtures as FX
+from prefscope.streaming.scoring import start_qa_counts
+
+from conftest import SF0001
+
+
+def test_stream_matches_batch(spark):
+    src = tempfile.mkdtemp(prefix="prefscope-stream-")
+    resp = FX.fd3_responses(spark, SF0001)
+    resp.where(F.col("q_id") % 2 == 0).write.mode("append").parquet(src)
+    resp.where(F.col("q_id") % 2 == 1).write.mode("append").parquet(src)
+    q = start_qa_counts(spark, src, resp.schema, "qa_counts_test", available_now=True)
+    q.awaitTermination(120)
+    got = {r["model"]: (r["n"], round(r["gsm8k_acc_pct"], 6), round(r["cot_presence_pct"], 6))
+           for r in spark.table("qa_counts_test").collect()}
+    exp = {r["model"]: (r["n"], round(r["gsm8k_acc_pct"], 6), round(r["cot_presence_pct"], 6))
+           for r in qa_accuracy(score_qa(resp)).collect()}
+    assert got == exp and len(got) == 3
