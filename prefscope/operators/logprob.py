@@ -74,6 +74,27 @@ def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
     return UnigramModel(counts, n_tokens, v, n_types)
 
 
+def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: str,
+                     n: int = 1, text_col: str = "text") -> dict[str, UnigramModel]:
+    """K7 for several corpora that are row subsets of one table, in one pass:
+    one scan and one ``groupBy(token)`` with a conditional count per corpus
+    (``corpora`` maps a model name to a row predicate). All models share the
+    vocabulary size of ``vocab_from``."""
+    if n != 1:
+        raise NotImplementedError("only the unigram model (n=1) is provided")
+    names = list(corpora)
+    flags = [F.coalesce(corpora[m], F.lit(False)).alias(f"_in{i}") for i, m in enumerate(names)]
+    toks = texts.select(*flags, F.explode(whitespace_tokens(text_col)).alias("token"))
+    wide = toks.groupBy("token").agg(
+        *[F.count_if(F.col(f"_in{i}")).alias(f"c{i}") for i in range(len(names))]).persist()
+    tot = wide.agg(*[x for i in range(len(names)) for x in (
+        F.sum(f"c{i}").alias(f"n{i}"), F.count_if(F.col(f"c{i}") > 0).alias(f"v{i}"))]).first()
+    v = int(tot[f"v{names.index(vocab_from)}"])
+    return {m: UnigramModel(wide.where(F.col(f"c{i}") > 0).select("token", F.col(f"c{i}").alias("c")),
+                            int(tot[f"n{i}"] or 0), v, int(tot[f"v{i}"]))
+            for i, m in enumerate(names)}
+
+
 def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") -> DataFrame:
     """Attach the corpus count ``c`` (null when unseen) to rows keyed by token.
     A count table of checked size is broadcast; a larger one is split: hot

@@ -152,6 +152,28 @@ def sft_corpus(spark, sf_dir) -> DataFrame:
     return reference_corpus(spark, sf_dir).join(lab, "doc_id", "left_semi")
 
 
+def labelled_documents(spark, sf_dir) -> DataFrame:
+    """Documents with their labels (null when unlabelled), for fitting all
+    corpora in one pass."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return reference_corpus(spark, sf_dir).join(lab, "doc_id", "left")
+
+
+# Corpus predicates over ``labelled_documents``: the reference model reads all
+# documents, the policy model the good and non-toxic ones, the middle
+# checkpoint the good ones.
+def all_rows():
+    return F.lit(True)
+
+
+def good():
+    return F.col("quality") == 1
+
+
+def good_clean():
+    return (F.col("quality") == 1) & (F.col("toxic") == 0)
+
+
 def heldout_texts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("text_id"), "text")

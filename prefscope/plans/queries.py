@@ -369,10 +369,9 @@ def _three_models(spark, d):
     """Unigram models for the three checkpoints, sharing the reference
     (all-documents) vocabulary: Base = all documents, SFT = documents of good
     quality, DPO = good and not toxic."""
-    base = K.fit_ngram(FX.reference_corpus(spark, d))
-    sft = K.fit_ngram(FX.sft_corpus(spark, d), vocab_size=base.vocab_size)
-    dpo = K.fit_ngram(FX.policy_corpus(spark, d), vocab_size=base.vocab_size)
-    return {"Base": base, "SFT": sft, "DPO": dpo}
+    return K.fit_ngram_family(
+        FX.labelled_documents(spark, d),
+        {"Base": FX.all_rows(), "SFT": FX.good(), "DPO": FX.good_clean()}, vocab_from="Base")
 
 
 def _bundle(spark, d):
@@ -546,8 +545,9 @@ def k7_fit_ngram(spark, d):
 def k7_ngram_preference(spark, d):
     """K7 -> K1 -> G3 -> K3 -> K4 -> H8 on the FD2 pairs: reference = all
     documents, policy = good, non-toxic documents, shared vocabulary."""
-    ref = K.fit_ngram(FX.reference_corpus(spark, d))
-    pol = K.fit_ngram(FX.policy_corpus(spark, d), vocab_size=ref.vocab_size)
+    lms = K.fit_ngram_family(FX.labelled_documents(spark, d),
+                             {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref")
+    ref, pol = lms["ref"], lms["pol"]
     pairs = FX.fd2_pairs(spark, d)
     j = K.join_logps(K.pair_logps(pairs, pol, prefix="pol_"), K.pair_logps(pairs, ref, prefix="ref_"))
     s = K.preference_summary(K.reward_margin(K.rewards(j, beta=0.05)))

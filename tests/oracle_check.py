@@ -27,11 +27,16 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     return v
 
 
@@ -52,6 +57,11 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> tuple[bool, str
     t2 = time.time()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    d_types = {c: str(t) for c, t in zip(d_cols, con.sql(sql).types)}
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        if SPARK_TO_DUCK.get(st, st) != d_types[f.name]:
+            return False, f"type of {f.name}: spark={st} duck={d_types[f.name]}"
     order = [d_cols.index(c) for c in s_cols]
     d_rows = [tuple(r[i] for i in order) for r in d_rows]
     if len(s_rows) != len(d_rows):
