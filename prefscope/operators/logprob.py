@@ -57,15 +57,15 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
-              text_col: str = "text") -> UnigramModel:
+              text_col: str = "text"):
     """K7: fit the add-one model. ``vocab_size`` fixes the vocabulary shared
     by the compared models (pass the reference model's ``vocab_size``); by
-    default the corpus's own vocabulary.
+    default the corpus's own vocabulary. ``n >= 2`` gives an ``NgramModel``.
 
     The counts are persisted (they are read by every scoring join); the two
     totals are one small aggregate job."""
-    if n != 1:
-        raise NotImplementedError("only the unigram model (n=1) is provided")
+    if n >= 2:
+        return fit_ngram_n(texts, n, vocab_size, text_col)
     counts = token_counts(texts, text_col).persist()
     tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens = int(tot["n"] or 0)
@@ -95,43 +95,136 @@ def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: s
             for i, m in enumerate(names)}
 
 
+def _lookup(keyed: DataFrame, table: DataFrame, keys: list[str], value: str,
+            total: int, n_rows: int) -> DataFrame:
+    """Left-join ``table`` (keys -> value) onto ``keyed``. A table whose row
+    count (known from the fit) is at most ``BROADCAST_VOCAB_ROWS`` is
+    broadcast. A larger one is split: rows with a hot value (at least
+    ``total / HOT_SPLIT``, so at most ``HOT_SPLIT`` of them since values sum to
+    ``total``) come from a broadcast table, the rest from a shuffle join whose
+    keys are no longer hot."""
+    if n_rows <= BROADCAST_VOCAB_ROWS:
+        return keyed.join(F.broadcast(table.select(*keys, value)), keys, "left")
+    hot_min = max(1, total // HOT_SPLIT)
+    hot = table.where(F.col(value) >= hot_min).select(*keys, F.col(value).alias("_hot"))
+    tagged = keyed.join(F.broadcast(hot), keys, "left")
+    hot_rows = tagged.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", value)
+    cold = table.where(F.col(value) < hot_min).select(*keys, value)
+    cold_rows = tagged.where(F.col("_hot").isNull()).drop("_hot").join(cold, keys, "left")
+    return hot_rows.unionByName(cold_rows)
+
+
 def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") -> DataFrame:
-    """Attach the corpus count ``c`` (null when unseen) to rows keyed by token.
-    A count table of checked size is broadcast; a larger one is split: hot
-    tokens by broadcast, the rest by a shuffle join."""
+    """Attach the corpus count ``c`` (null when unseen) to rows keyed by token."""
     if model.n_tokens == 0:
         return keyed.withColumn("c", F.lit(None).cast("long"))
-    if model.n_types <= BROADCAST_VOCAB_ROWS:
-        small = model.counts.select(F.col("token").alias(token), "c")
-        return keyed.join(F.broadcast(small), token, "left")
-    hot_min = max(1, model.n_tokens // HOT_SPLIT)
-    hot = model.counts.where(F.col("c") >= hot_min).select(
-        F.col("token").alias(token), F.col("c").alias("_hot_c"))
-    tagged = keyed.join(F.broadcast(hot), token, "left")
-    hot_rows = tagged.where(F.col("_hot_c").isNotNull()).withColumnRenamed("_hot_c", "c")
-    cold = model.counts.where(F.col("c") < hot_min).select(
-        F.col("token").alias(token), "c")
-    cold_rows = tagged.where(F.col("_hot_c").isNull()).drop("_hot_c").join(
-        cold, token, "left")
-    return hot_rows.unionByName(cold_rows)
+    return _lookup(keyed, model.counts.withColumnRenamed("token", token), [token], "c",
+                   model.n_tokens, model.n_types)
 
 
-def score_tokens(tokens: DataFrame, model: UnigramModel, keys: list[str]) -> DataFrame:
-    """Per-token log-probs for a token table (``keys`` + pos + token); the
-    count lookup is done once per distinct (keys, token)."""
-    grouped = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_k"))
-    priced = _with_counts(grouped, model).select(
-        *keys, "token", model.logp(F.col("c")).alias("logp"))
-    return tokens.join(priced, [*keys, "token"])
+# ---------------------------------------------------------------------------
+# n >= 2
+# ---------------------------------------------------------------------------
+# Fixed value: the start-of-text symbol that pads the first contexts.
+START = "<s>"
 
 
-def sequence_sums(tokens: DataFrame, model: UnigramModel, keys: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class NgramModel:
+    """Add-one n-gram model (n >= 2): logp(w | ctx) = ln((c(ctx, w) + 1) /
+    (c(ctx) + V)), where ctx is the previous n - 1 tokens of the same text
+    (padded with ``<s>`` at its start) and c(ctx) counts ctx followed by any
+    token; an unseen context gives ln(1 / V)."""
+    n: int
+    grams: DataFrame     # (ctx, token, c)
+    contexts: DataFrame  # (ctx, c_ctx)
+    n_tokens: int
+    vocab_size: int
+    n_grams: int
+    n_contexts: int
+
+
+def _field_getter(name: str):
+    # A one-argument lambda: PySpark reads a two-argument one as (x, index).
+    return lambda x: x.getField(name)
+
+
+def with_context(seq: Column, n: int, fields: dict[str, str] | None = None) -> Column:
+    """array<struct<token, ..>> -> array<struct<token, ctx, ..>>: each token
+    with its previous n - 1 tokens joined by a space. The contexts come from
+    n - 1 shifted copies of the token array zipped element-wise, so the work
+    per text is linear in its length (a lambda that slices the whole array
+    per element would be quadratic). ``fields`` are extra struct fields to
+    keep, with their types."""
+    fields = fields or {}
+    toks = F.transform(seq, lambda x: x.getField("token"))
+    shifts = [F.slice(F.concat(F.array_repeat(F.lit(START), k), toks), 1, F.size(toks))
+              for k in range(n - 1, 0, -1)]
+    extras = [F.transform(seq, _field_getter(f)) for f in fields]
+    names = [f"p{k}" for k in range(n - 1, 0, -1)]
+    typ = ("array<struct<" + ",".join([f"{p}:string" for p in names] + ["token:string"]
+                                      + [f"{f}:{t}" for f, t in fields.items()]) + ">>")
+    zipped = F.arrays_zip(*shifts, toks, *extras).cast(typ)
+    return F.transform(zipped, lambda e: F.struct(
+        e.getField("token").alias("token"),
+        F.concat_ws(" ", *[e.getField(p) for p in names]).alias("ctx"),
+        *[e.getField(f).alias(f) for f in fields]))
+
+
+def _token_structs(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("token")))
+
+
+def fit_ngram_n(texts: DataFrame, n: int, vocab_size: int | None = None,
+                text_col: str = "text") -> NgramModel:
+    """K7 for n >= 2: gram counts (partial aggregate per (ctx, token)) and
+    context totals derived from them; both persisted."""
+    rows = texts.select(F.inline(with_context(_token_structs(whitespace_tokens(text_col)), n)))
+    grams = rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")).persist()
+    contexts = grams.groupBy("ctx").agg(F.sum("c").alias("c_ctx")).persist()
+    g = grams.agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n"),
+                  F.count_distinct("token").alias("v")).first()
+    nc = contexts.count()
+    v = int(g["v"]) if vocab_size is None else int(vocab_size)
+    return NgramModel(n, grams, contexts, int(g["n"] or 0), v, int(g["g"]), nc)
+
+
+def _price_ngram(keyed: DataFrame, model: NgramModel) -> DataFrame:
+    """Adds ``logp`` to rows keyed by (ctx, token)."""
+    j = _lookup(keyed, model.grams, ["ctx", "token"], "c", model.n_tokens, model.n_grams)
+    j = _lookup(j, model.contexts, ["ctx"], "c_ctx", model.n_tokens, model.n_contexts)
+    return j.withColumn("logp", F.ln(
+        (F.coalesce(F.col("c"), F.lit(0)).cast("double") + F.lit(1.0))
+        / (F.coalesce(F.col("c_ctx"), F.lit(0)).cast("double") + F.lit(float(model.vocab_size)))))
+
+
+def _price(keyed: DataFrame, model) -> DataFrame:
+    if isinstance(model, NgramModel):
+        return _price_ngram(keyed, model)
+    return _with_counts(keyed, model).withColumn("logp", model.logp(F.col("c")))
+
+
+def _key_cols(model) -> list[str]:
+    return ["ctx", "token"] if isinstance(model, NgramModel) else ["token"]
+
+
+def score_tokens(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
+    """Per-token log-probs for a token table (``keys`` + pos + token, and
+    ``ctx`` for n >= 2); the lookup is done once per distinct (keys, token)."""
+    kc = _key_cols(model)
+    grouped = tokens.groupBy(*keys, *kc).agg(F.count(F.lit(1)).alias("_k"))
+    priced = _price(grouped, model).select(*keys, *kc, "logp")
+    return tokens.join(priced, [*keys, *kc])
+
+
+def sequence_sums(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
     """(keys, n_tokens, logp_sum) without materialising per-token rows."""
-    grouped = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_k"))
-    priced = _with_counts(grouped, model)
+    kc = _key_cols(model)
+    grouped = tokens.groupBy(*keys, *kc).agg(F.count(F.lit(1)).alias("_k"))
+    priced = _price(grouped, model)
     return priced.groupBy(*keys).agg(
         F.sum("_k").alias("n_tokens"),
-        F.sum(F.col("_k").cast("double") * model.logp(F.col("c"))).alias("logp_sum"))
+        F.sum(F.col("_k").cast("double") * F.col("logp")).alias("logp_sum"))
 
 
 # K1 ------------------------------------------------------------------------
@@ -144,28 +237,34 @@ def sequence_logp(token_logps: DataFrame, keys=("seq_id",)) -> DataFrame:
 
 
 def completion_tokens(pairs: DataFrame, side: str, id_col: str = "pair_id",
-                      end: str = IM_END) -> DataFrame:
-    """(pair_id, side, pos, token, is_prompt) for one side of each pair: the
-    prompt's tokens (masked), then the completion closed with the end token
-    (D9)."""
+                      end: str = IM_END, n: int = 1) -> DataFrame:
+    """(pair_id, side, pos, token, is_prompt[, ctx]) for one side of each
+    pair: the prompt's tokens (masked), then the completion closed with the
+    end token (D9). With ``n >= 2`` each token carries its context, which
+    for the first completion tokens reaches into the prompt."""
     p = whitespace_tokens("prompt")
     c = close_sequence(whitespace_tokens(side), end)
     seq = F.concat(
         F.transform(p, lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_prompt"))),
         F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_prompt"))))
+    extra = []
+    if n >= 2:
+        seq = with_context(seq, n, {"is_prompt": "boolean"})
+        extra = [F.col("t.ctx").alias("ctx")]
     return pairs.select(id_col, F.lit(side).alias("side"),
                         F.posexplode(seq).alias("pos", "t")).select(
         id_col, "side", F.col("pos").cast("long").alias("pos"),
-        F.col("t.token").alias("token"), F.col("t.is_prompt").alias("is_prompt"))
+        F.col("t.token").alias("token"), F.col("t.is_prompt").alias("is_prompt"), *extra)
 
 
-def pair_logps(pairs: DataFrame, model: UnigramModel, id_col: str = "pair_id",
+def pair_logps(pairs: DataFrame, model, id_col: str = "pair_id",
                prefix: str = "") -> DataFrame:
     """(pair_id, {prefix}chosen, {prefix}rejected): completion log-probs of
     both sides. Prompt tokens are masked, so only completion tokens are
     priced."""
-    toks = completion_tokens(pairs, "chosen", id_col).unionByName(
-        completion_tokens(pairs, "rejected", id_col)).where(~F.col("is_prompt"))
+    n = model.n if isinstance(model, NgramModel) else 1
+    toks = completion_tokens(pairs, "chosen", id_col, n=n).unionByName(
+        completion_tokens(pairs, "rejected", id_col, n=n)).where(~F.col("is_prompt"))
     sums = sequence_sums(toks, model, [id_col, "side"])
     return sums.groupBy(id_col).agg(
         F.max(F.when(F.col("side") == "chosen", F.col("logp_sum"))).alias(prefix + "chosen"),
@@ -173,14 +272,16 @@ def pair_logps(pairs: DataFrame, model: UnigramModel, id_col: str = "pair_id",
 
 
 # K2 ------------------------------------------------------------------------
-def perplexity(texts: DataFrame, model: UnigramModel, id_col: str = "text_id",
+def perplexity(texts: DataFrame, model, id_col: str = "text_id",
                text_col: str = "text", max_len: int = 512, min_tokens: int = 2) -> DataFrame:
     """K2: per text the mean NLL of its first ``max_len`` tokens (D10),
     texts with fewer than ``min_tokens`` skipped (C5), then
     exp(mean over texts). Returns one row (n_texts, perplexity); an empty
     input gives a null perplexity."""
-    toks = texts.select(id_col, F.explode(
-        truncate_tokens(whitespace_tokens(text_col), max_len)).alias("token"))
+    seq = _token_structs(truncate_tokens(whitespace_tokens(text_col), max_len))
+    if isinstance(model, NgramModel):
+        seq = with_context(seq, model.n)
+    toks = texts.select(id_col, F.inline(seq))
     per_text = sequence_sums(toks, model, [id_col]).where(F.col("n_tokens") >= min_tokens)
     nll = -F.col("logp_sum") / F.col("n_tokens")
     return per_text.agg(F.count(F.lit(1)).alias("n_texts"),

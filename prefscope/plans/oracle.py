@@ -179,6 +179,24 @@ REF_DEN = f"((select sum(c) from ({REF_COUNTS}) a) + (select count(*) from ({REF
 POL_DEN = f"((select sum(c) from ({POL_COUNTS}) a) + (select count(*) from ({REF_COUNTS}) b))"
 
 
+def bigram_rows(tokens: str) -> str:
+    """(ctx, token) pairs of a token list: the previous token, '<s>' first."""
+    return (f"unnest(list_slice(list_prepend('<s>', {tokens}), 1, len({tokens}))) as ctx, "
+            f"unnest({tokens}) as token")
+
+
+BIGRAM_PPL = f"""with dt as (select {toks('text')} as t from documents),
+g as (select ctx, token, count(*) as c from (select {bigram_rows('t')} from dt) x group by ctx, token),
+cx as (select ctx, sum(c) as cc from g group by ctx),
+v as (select count(distinct token) as v from g),
+bt as (select item_id, {bigram_rows('t')} from (
+  select item_id, list_slice({toks('text')}, 1, 512) as t from benchmark) b),
+per as (select item_id, count(*) as n,
+    avg(-ln((coalesce(g.c, 0) + 1.0) / (coalesce(cx.cc, 0) + v.v))) as nll
+  from bt left join g using (ctx, token) left join cx using (ctx) cross join v group by item_id)
+select count(*) as n_texts, {r6('exp(avg(nll))')} as perplexity from per where n >= 2"""
+
+
 def _running_sql() -> str:
     return f"""select model, q_id as idx, cast(h as bigint) as hits_so_far, {r6('100.0 * h / q_id')} as running_acc_pct
 from (select model, q_id, coalesce(sum(cast(correct as int)) over (partition by model order by q_id
@@ -437,6 +455,8 @@ m as (select p.pair_id,
 select count(*) as n_pairs, {r6('100.0 * avg(case when margin > 0 then 1.0 else 0.0 end)')} as preference_accuracy_pct,
   {r6('avg(margin)')} as mean_margin from m""",
 
+    "k7_bigram_perplexity": BIGRAM_PPL,
+
     "l1_resolve_verdicts": VERDICTS,
 
     "l3_judged": f"""select s.q_id as prompt_id, s."Base", s."SFT", s."DPO", v.winner, v.reason

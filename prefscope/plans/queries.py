@@ -512,6 +512,14 @@ def k2_perplexity(spark, d):
     return p.select("n_texts", r6("perplexity").alias("perplexity"))
 
 
+def k7_bigram_perplexity(spark, d):
+    """K7 with n = 2 -> K2: add-one bigram model over all documents, macro
+    perplexity of the held-out texts (first 512 tokens each)."""
+    lm = K.fit_ngram(FX.reference_corpus(spark, d), n=2)
+    p = K.perplexity(FX.heldout_texts(spark, d), lm)
+    return p.select("n_texts", r6("perplexity").alias("perplexity"))
+
+
 def k3_rewards(spark, d):
     r = K.rewards(FX.fd5_logps(spark, d), beta=0.05)
     return r.select("pair_id", r6("chosen_reward").alias("chosen_reward"),
@@ -640,6 +648,7 @@ QUERIES: dict[str, Query] = {
     "k6_fill_failed": k6_fill_failed,
     "k7_fit_ngram": k7_fit_ngram,
     "k7_ngram_preference": k7_ngram_preference,
+    "k7_bigram_perplexity": k7_bigram_perplexity,
     "l1_resolve_verdicts": l1_resolve_verdicts,
     "l3_judged": l3_judged,
     "m2_stack_models": m2_stack_models,

@@ -74,3 +74,34 @@ def test_k6_fill_failed(spark):
     assert not out[1]["failed"] and out[1]["pol_rejected"] == -2.0
     assert out[2]["failed"] and out[2]["pol_rejected"] == 0.0
     assert out[3]["failed"] and out[3]["ref_chosen"] == 0.0
+
+
+def test_ngram_contexts(spark):
+    df = spark.createDataFrame([("a b a b",)], "text string")
+    lm = K.fit_ngram(df, n=2)
+    grams = {(r["ctx"], r["token"]): r["c"] for r in lm.grams.collect()}
+    assert grams == {("<s>", "a"): 1, ("a", "b"): 2, ("b", "a"): 1}
+    ctx = {r["ctx"]: r["c_ctx"] for r in lm.contexts.collect()}
+    assert ctx == {"<s>": 1, "a": 2, "b": 1}
+    assert lm.vocab_size == 2
+    held = spark.createDataFrame([(1, "a b c")], "text_id long, text string")
+    p = K.perplexity(held, lm).first()["perplexity"]
+    exp = math.exp(-(math.log(2 / 3) + math.log(3 / 4) + math.log(1 / 3)) / 3)
+    assert abs(p - exp) < 1e-12
+
+
+def test_ngram_pair_context_reaches_into_prompt(spark):
+    pairs = spark.createDataFrame([(1, "x y", "z", "w")], "pair_id long, prompt string, chosen string, rejected string")
+    rows = K.completion_tokens(pairs, "chosen", n=3).collect()
+    got = [(r["token"], r["ctx"], r["is_prompt"]) for r in rows]
+    assert got == [("x", "<s> <s>", True), ("y", "<s> x", True), ("z", "x y", False), ("<|im_end|>", "y z", False)]
+
+
+def test_ngram_split_join_equals_broadcast(spark, monkeypatch):
+    lm = K.fit_ngram(FX.reference_corpus(spark, SF001), n=2)
+    texts = FX.heldout_texts(spark, SF001)
+    a = K.perplexity(texts, lm).first()["perplexity"]
+    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 0)
+    monkeypatch.setattr(K, "HOT_SPLIT", 20)
+    b = K.perplexity(texts, lm).first()["perplexity"]
+    assert abs(a - b) < 1e-9 * a

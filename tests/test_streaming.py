@@ -1,6 +1,7 @@
 """The streaming counts equal the batch aggregate over the same rows."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,10 +17,13 @@ def test_stream_matches_batch(spark):
     resp = FX.fd3_responses(spark, SF0001)
     resp.where(F.col("q_id") % 2 == 0).write.mode("append").parquet(src)
     resp.where(F.col("q_id") % 2 == 1).write.mode("append").parquet(src)
-    q = start_qa_counts(spark, src, resp.schema, "qa_counts_test", available_now=True)
+    # The checkpoint lives in the shared spark.checkpoint.dir, where a query
+    # of the same name resumes: each test run gets its own name.
+    name = f"qa_counts_{uuid.uuid4().hex[:12]}"
+    q = start_qa_counts(spark, src, resp.schema, name, available_now=True)
     q.awaitTermination(120)
     got = {r["model"]: (r["n"], round(r["gsm8k_acc_pct"], 6), round(r["cot_presence_pct"], 6))
-           for r in spark.table("qa_counts_test").collect()}
+           for r in spark.table(name).collect()}
     exp = {r["model"]: (r["n"], round(r["gsm8k_acc_pct"], 6), round(r["cot_presence_pct"], 6))
            for r in qa_accuracy(score_qa(resp)).collect()}
     assert got == exp and len(got) == 3
