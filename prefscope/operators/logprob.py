@@ -208,18 +208,31 @@ def _key_cols(model) -> list[str]:
     return ["ctx", "token"] if isinstance(model, NgramModel) else ["token"]
 
 
+def _broadcastable(model) -> bool:
+    if isinstance(model, NgramModel):
+        return max(model.n_grams, model.n_contexts) <= BROADCAST_VOCAB_ROWS
+    return model.n_types <= BROADCAST_VOCAB_ROWS
+
+
 def score_tokens(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
     """Per-token log-probs for a token table (``keys`` + pos + token, and
-    ``ctx`` for n >= 2); the lookup is done once per distinct (keys, token)."""
-    kc = _key_cols(model)
-    grouped = tokens.groupBy(*keys, *kc).agg(F.count(F.lit(1)).alias("_k"))
-    priced = _price(grouped, model).select(*keys, *kc, "logp")
-    return tokens.join(priced, [*keys, *kc])
+    ``ctx`` for n >= 2). The lookup is a join on the token: a broadcast one
+    when the model's tables have a checked small size, else the hot/cold
+    split."""
+    return _price(tokens, model).drop("c", "c_ctx")
 
 
 def sequence_sums(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
-    """(keys, n_tokens, logp_sum) without materialising per-token rows."""
+    """(keys, n_tokens, logp_sum) without materialising per-token log-probs.
+    With a broadcast lookup the token rows are priced in place and summed
+    (one shuffle, partial aggregates). With a shuffle lookup they are first
+    reduced to distinct (keys, token) with a multiplicity, so the join moves
+    fewer rows."""
     kc = _key_cols(model)
+    if _broadcastable(model):
+        priced = _price(tokens.select(*keys, *kc), model)
+        return priced.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tokens"),
+                                         F.sum("logp").alias("logp_sum"))
     grouped = tokens.groupBy(*keys, *kc).agg(F.count(F.lit(1)).alias("_k"))
     priced = _price(grouped, model)
     return priced.groupBy(*keys).agg(

@@ -79,6 +79,27 @@ def identical_pct(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("idx",),
         .alias("identical_pct"))
 
 
+def identical_pcts(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """H5 for several model pairs at once, from a side-by-side table (G1:
+    one row per position, one column per model): one aggregate over the
+    already-pivoted rows instead of a join per pair. Returns (model_a,
+    model_b, n_a, n_b, n_equal, comparable, identical_pct)."""
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        aggs += [F.count(a).alias(f"a{i}"), F.count(b).alias(f"b{i}"),
+                 F.count_if(F.col(a) == F.col(b)).alias(f"e{i}")]
+    counts = wide.agg(*aggs)
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        na, nb, ne = F.col(f"a{i}"), F.col(f"b{i}"), F.col(f"e{i}")
+        ok = (na == nb) & (na > 0)
+        rows.append(F.struct(
+            F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), na.alias("n_a"), nb.alias("n_b"),
+            ne.alias("n_equal"), ok.alias("comparable"),
+            F.when(ok, F.lit(100.0) * ne / na).otherwise(F.lit(0.0)).alias("identical_pct")))
+    return counts.select(F.inline(F.array(*rows)))
+
+
 # H9 ------------------------------------------------------------------------
 def to_long(bundle: DataFrame, metrics: Mapping[str, str], model: str = "model") -> DataFrame:
     """Unpivot metric columns into (model, metric, value)."""

@@ -398,15 +398,11 @@ def h4_metric_bundle(spark, d):
 
 
 def h5_identical_pct(spark, d):
-    r = FX.fd3_responses(spark, d)
-    out = None
-    for a, b in (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO")):
-        x = R.identical_pct(r.where(F.col("model") == a), r.where(F.col("model") == b),
-                            keys=("q_id",)).select(
-            F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "n_a", "n_b", "n_equal",
-            "comparable", r6("identical_pct").alias("identical_pct"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """H5 for three model pairs from one side-by-side pivot (one shuffle)."""
+    wide = R.side_by_side(FX.fd3_responses(spark, d), keys=("q_id",))
+    out = R.identical_pcts(wide, (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO")))
+    return out.select("model_a", "model_b", "n_a", "n_b", "n_equal", "comparable",
+                      r6("identical_pct").alias("identical_pct"))
 
 
 def _verdicts(spark, d):

@@ -90,3 +90,13 @@ def test_h9_h10_m2(spark):
     g = {r["metric"]: r for r in R.relative_gain(t).collect()}
     assert g["acc"]["diff"] == -10.0 and g["acc"]["ratio"] == 0.5
     assert g["ppl"]["ratio"] is None and g["ppl"]["new_value"] is None
+
+
+def test_identical_pcts_matches_pairwise(spark):
+    r = spark.createDataFrame([(0, "Base", "x"), (0, "SFT", "x"), (1, "Base", "y"), (1, "SFT", "z"),
+                               (2, "Base", "w")], "idx long, model string, response string")
+    wide = R.side_by_side(r, keys=("idx",))
+    got = R.identical_pcts(wide, (("Base", "SFT"),)).first()
+    exp = R.identical_pct(r.where("model = 'Base'"), r.where("model = 'SFT'")).first()
+    assert (got["n_a"], got["n_b"], got["n_equal"], got["comparable"], got["identical_pct"]) == \
+        (exp["n_a"], exp["n_b"], exp["n_equal"], exp["comparable"], exp["identical_pct"])
