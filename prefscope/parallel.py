@@ -19,8 +19,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     The round-robin repartition sorts rows before distributing them, so a
     recomputed partition after an executor loss gets the same rows."""
-    slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
+        return df
     target = min(slots, SPREAD_FACTOR * max(n, 1))
     if n < target:
         return df.repartition(target)
