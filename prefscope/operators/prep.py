@@ -259,3 +259,27 @@ def preview(df: DataFrame, n: int = 10, partition_col: str = "model",
     w = Window.partitionBy(partition_col).orderBy(order_col)
     return (df.withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= n).drop("_rn"))
+
+
+def with_position(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataFrame:
+    """Dense 0-based position in ``order_cols`` order (the item index the
+    harness gets from ``enumerate``), without a window over all rows.
+
+    Rows are range-partitioned and sorted within partitions on the (unique)
+    order key; ``monotonically_increasing_id`` then holds (partition, row in
+    partition). Per-partition counts form a table with one row per partition
+    (a proven bound), whose running sum is broadcast back as each partition's
+    offset. The range bounds come from Spark's seeded sampling and the key is
+    unique, so a recomputed partition gets the same positions."""
+    mask = (1 << 33) - 1
+    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright(F.col("_mid"), 33)) \
+                   .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(mask)))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    return (ranged.join(F.broadcast(offsets), "_part")
+            .withColumn(name, (F.col("_off") + F.col("_row")).cast("long"))
+            .drop("_mid", "_part", "_row", "_off"))

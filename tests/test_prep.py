@@ -120,3 +120,15 @@ def test_j5_preview_uses_group_limit(spark):
     assert "WindowGroupLimit" in plan
     rows = p.collect()
     assert len(rows) == 30 and max(r["q_id"] for r in rows) == 9
+
+
+def test_with_position_is_dense_rank(spark):
+    from pyspark.sql import Window
+    docs = FX.table(spark, SF001, "events").select("event_id", "user_id").where("event_id % 3 <> 1")
+    got = P.with_position(docs, ["event_id"])
+    ref = docs.withColumn("r", F.row_number().over(Window.orderBy("event_id")) - 1)
+    a = {r["event_id"]: r["idx"] for r in got.collect()}
+    b = {r["event_id"]: r["r"] for r in ref.collect()}
+    assert a == b and sorted(a.values()) == list(range(len(b)))
+    again = {r["event_id"]: r["idx"] for r in P.with_position(docs.repartition(5), ["event_id"]).collect()}
+    assert again == a
