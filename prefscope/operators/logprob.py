@@ -29,6 +29,8 @@ from prefscope.functions.chat import IM_END, close_sequence, truncate_tokens, wh
 BROADCAST_VOCAB_ROWS = 2_000_000
 # At most this many tokens are treated as hot (broadcast side of the split).
 HOT_SPLIT = 10_000
+# Rows with a hot token are spread over this many join keys in the shuffle.
+HOT_SPREAD = 4096
 
 
 @dataclass(frozen=True)
@@ -97,21 +99,30 @@ def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: s
 
 def _lookup(keyed: DataFrame, table: DataFrame, keys: list[str], value: str,
             total: int, n_rows: int) -> DataFrame:
-    """Left-join ``table`` (keys -> value) onto ``keyed``. A table whose row
-    count (known from the fit) is at most ``BROADCAST_VOCAB_ROWS`` is
-    broadcast. A larger one is split: rows with a hot value (at least
-    ``total / HOT_SPLIT``, so at most ``HOT_SPLIT`` of them since values sum to
-    ``total``) come from a broadcast table, the rest from a shuffle join whose
-    keys are no longer hot."""
+    """Left-join ``table`` (keys -> value) onto ``keyed``.
+
+    A table whose row count (known from the fit) is at most
+    ``BROADCAST_VOCAB_ROWS`` is broadcast. A larger one is split by value: the
+    hot rows (value at least ``total / HOT_SPLIT``, so at most ``HOT_SPLIT``
+    of them since values sum to ``total``) are broadcast and joined map-side;
+    in the same pass the input rows that found a hot value get a join key
+    spread over ``HOT_SPREAD`` never-matching values, so the one shuffle join
+    with the cold rows sees no hot key and the input is read once."""
     if n_rows <= BROADCAST_VOCAB_ROWS:
         return keyed.join(F.broadcast(table.select(*keys, value)), keys, "left")
     hot_min = max(1, total // HOT_SPLIT)
     hot = table.where(F.col(value) >= hot_min).select(*keys, F.col(value).alias("_hot"))
     tagged = keyed.join(F.broadcast(hot), keys, "left")
-    hot_rows = tagged.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", value)
-    cold = table.where(F.col(value) < hot_min).select(*keys, value)
-    cold_rows = tagged.where(F.col("_hot").isNull()).drop("_hot").join(cold, keys, "left")
-    return hot_rows.unionByName(cold_rows)
+    spread = F.concat(F.lit("\u0000"), (F.abs(F.xxhash64(*[F.col(c) for c in tagged.columns]))
+                                         % HOT_SPREAD).cast("string"))
+    jk = [f"_jk{i}" for i in range(len(keys))]
+    join_cols = [(F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(k)) if i == 0
+                  else F.col(k)).alias(j) for i, (k, j) in enumerate(zip(keys, jk))]
+    cold = table.where(F.col(value) < hot_min).select(
+        *[F.col(k).alias(j) for k, j in zip(keys, jk)], F.col(value).alias("_cold"))
+    return (tagged.select("*", *join_cols).join(cold, jk, "left")
+            .withColumn(value, F.coalesce(F.col("_hot"), F.col("_cold")))
+            .drop("_hot", "_cold", *jk))
 
 
 def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") -> DataFrame:
