@@ -65,7 +65,8 @@ def identical_pct(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("idx",),
     """H5: share of positions where both sides' responses are equal. 0.0 when
     either side is empty or the sides differ in length (the harness hides
     that case; ``comparable`` exposes it). One full outer join on the
-    position keys, one aggregate."""
+    position keys, one aggregate. Positions are unique per side (as in the
+    harness's zip), so the join never pairs more than one row per key."""
     j = a.select(*keys, F.col(value).alias("_a")).join(
         b.select(*keys, F.col(value).alias("_b")), list(keys), "full")
     agg = j.agg(

@@ -56,3 +56,20 @@ def test_i1_two_level_prefix_equals_window(spark):
         .where((F.col("idx") > 0) & (F.col("idx") % 10 == 0))
     exp = {(r["model"], r["idx"]): round(100.0 * r["h"] / r["idx"], 6) for r in ref.collect()}
     assert got == exp and len(got) == 2 * 53
+
+
+def test_a1_array_form_json(spark):
+    import json
+    import os
+    from prefscope.functions.chat import render_chatml, last_content
+    from prefscope.operators import prep
+    d = tempfile.mkdtemp(prefix="prefscope-test-")
+    rows = [{"conv_id": 1, "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]},
+            {"conv_id": 2, "messages": [{"role": "user", "content": "x" * 2001}]}]
+    with open(os.path.join(d, "c.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows))
+    conv = readers.read_conversations(spark, os.path.join(d, "c.json"))
+    kept = prep.filter_conversations(conv).select(
+        "conv_id", last_content("messages").alias("last"), render_chatml("messages").alias("chatml")).collect()
+    assert [(r["conv_id"], r["last"]) for r in kept] == [(1, "yo")]
+    assert kept[0]["chatml"].startswith("<|im_start|>user\nhi<|im_end|>\n")
