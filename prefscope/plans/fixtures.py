@@ -24,8 +24,18 @@ MODEL_OFFSETS = (("Base", 0), ("SFT", 1), ("DPO", 2))
 CHAT_MODELS = ("SFT", "DPO")
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table, rebalanced when Spark cannot split it. The DataFrame
+    (a plan, no data) is kept per session and path, so footers are read and
+    splits counted once per table, not once per reference."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spread(spark.read.parquet(path))
+    return _TABLES[key]
 
 
 # FD1 ------------------------------------------------------------------------
