@@ -70,9 +70,9 @@ def _nonblank(s: Column) -> Column:
 def repetition_lines(x) -> Column:
     """Lines (split on newline) whose stripped length exceeds 3, stripped
     and lower-cased."""
-    lines = F.split(_c(x), "\n")
-    kept = F.filter(lines, lambda l: F.length(py_strip(l)) > REPETITION_MIN_LINE)
-    return F.transform(kept, lambda l: F.lower(py_strip(l)))
+    stripped = F.transform(F.split(_c(x), "\n"), py_strip)
+    kept = F.filter(stripped, lambda l: F.length(l) > REPETITION_MIN_LINE)
+    return F.transform(kept, F.lower)
 
 
 def has_repetition(x) -> Column:
