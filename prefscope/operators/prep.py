@@ -167,7 +167,13 @@ def to_pairs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 # ---------------------------------------------------------------------------
 # D3
 # ---------------------------------------------------------------------------
-def legacy_prompt(df: DataFrame) -> Column:
+def legacy_prompt(df: DataFrame, out: str = "prompt") -> DataFrame:
+    """D3 on a table: adds ``out``, the prompt message list of each legacy
+    row (see ``legacy_prompt_messages``)."""
+    return df.withColumn(out, legacy_prompt_messages(df))
+
+
+def legacy_prompt_messages(df: DataFrame) -> Column:
     """D3: optional system message, then a user message from ``input`` or,
     when that is empty, ``question``."""
     def opt(c):

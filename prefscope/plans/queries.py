@@ -133,10 +133,9 @@ def _legacy_rows(spark, d):
 
 
 def d3_legacy_prompt(spark, d):
-    rows = _legacy_rows(spark, d)
-    msgs = P.legacy_prompt(rows)
-    return rows.select("conv_id", long(F.size(msgs)).alias("n_messages"),
-                       _render(msgs).alias("prompt_chatml"))
+    rows = P.legacy_prompt(_legacy_rows(spark, d))
+    return rows.select("conv_id", long(F.size("prompt")).alias("n_messages"),
+                       _render("prompt").alias("prompt_chatml"))
 
 
 def d4_render_chatml(spark, d):

@@ -105,3 +105,13 @@ def test_ngram_split_join_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(K, "HOT_SPLIT", 20)
     b = K.perplexity(texts, lm).first()["perplexity"]
     assert abs(a - b) < 1e-9 * a
+
+
+def test_perplexity_from_token_table_equals_k2(spark):
+    lm = K.fit_ngram(FX.reference_corpus(spark, SF001))
+    texts = FX.heldout_texts(spark, SF001)
+    toks = FX.token_rows(texts, "text_id").where(F.col("pos") < 512)
+    per_token = K.score_tokens(toks, lm, ["text_id"]).withColumnRenamed("text_id", "seq_id")
+    a = K.perplexity_from_tokens(per_token).first()
+    b = K.perplexity(texts, lm).first()
+    assert a["n_texts"] == b["n_texts"] and abs(a["perplexity"] - b["perplexity"]) < 1e-6 * b["perplexity"]

@@ -69,7 +69,7 @@ def test_d2_shapes(spark):
 def test_d3_legacy_prompt(spark):
     df = spark.createDataFrame([("sys", "", "q"), (None, "in", "q"), ("", None, None)],
                                "system string, input string, question string")
-    out = [[tuple(m) for m in r[0]] for r in df.select(P.legacy_prompt(df)).collect()]
+    out = [[tuple(m) for m in r["prompt"]] for r in P.legacy_prompt(df).collect()]
     assert out == [[("system", "sys"), ("user", "q")], [("user", "in")], [("user", "")]]
 
 
