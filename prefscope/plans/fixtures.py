@@ -20,8 +20,6 @@ from prefscope.sources.readers import prompt_suite
 # The three checkpoints, in report order, and FD3's offsets.
 MODELS = ("Base", "SFT", "DPO")
 MODEL_OFFSETS = (("Base", 0), ("SFT", 1), ("DPO", 2))
-# Models whose prompts are rendered with the chat template.
-CHAT_MODELS = ("SFT", "DPO")
 
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
@@ -155,13 +153,6 @@ def policy_corpus(spark, sf_dir) -> DataFrame:
     return reference_corpus(spark, sf_dir).join(lab, "doc_id", "left_semi")
 
 
-def sft_corpus(spark, sf_dir) -> DataFrame:
-    """Documents labelled good (toxic or not): the middle checkpoint's corpus
-    in the three-model bundle."""
-    lab = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
-    return reference_corpus(spark, sf_dir).join(lab, "doc_id", "left_semi")
-
-
 def labelled_documents(spark, sf_dir) -> DataFrame:
     """Documents with their labels (null when unlabelled), for fitting all
     corpora in one pass."""

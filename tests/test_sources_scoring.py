@@ -73,3 +73,18 @@ def test_a1_array_form_json(spark):
         "conv_id", last_content("messages").alias("last"), render_chatml("messages").alias("chatml")).collect()
     assert [(r["conv_id"], r["last"]) for r in kept] == [(1, "yo")]
     assert kept[0]["chatml"].startswith("<|im_start|>user\nhi<|im_end|>\n")
+
+
+def test_a3_a4_readers(spark):
+    import json
+    import os
+    texts = readers.read_texts(spark, "/root/testdata/sf0.01/benchmark.parquet")
+    assert texts.count() == 40 and "text" in texts.columns
+    d = tempfile.mkdtemp(prefix="prefscope-test-")
+    with open(os.path.join(d, "qa.json"), "w") as f:
+        f.write(json.dumps({"question": "2+2?", "answer": "so\\n#### 4"}) + "\n")
+    with open(os.path.join(d, "lines.txt"), "w") as f:
+        f.write("one line\nanother line\n")
+    qa = H.score_qa(readers.read_qa(spark, os.path.join(d, "qa.json")).withColumn("response", F.lit("it is 4")))
+    assert qa.select("gold", "pred", "correct").first() == ("4", "4", True)
+    assert readers.read_texts(spark, os.path.join(d, "lines.txt"), fmt="text").count() == 2
