@@ -107,21 +107,28 @@ def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
 # H4 ------------------------------------------------------------------------
 def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: DataFrame,
                   n_qa_samples: int = 10, n_instr_samples: int = 25, by: str = "model",
-                  qa_order: str = "idx", instr_order: str = "idx") -> DataFrame:
+                  qa_order: str = "idx", instr_order: str = "idx",
+                  with_samples: bool = True) -> DataFrame:
     """H4: one row per model with the four metrics and the sample arrays
     (the first ``n_instr_samples`` instruction samples - the whole 25-prompt
     suite in the harness - and the first ``n_qa_samples`` QA samples).
 
     Sample arrays are built from a per-model top-n (WindowGroupLimit, applied
-    before the shuffle), so each collected group holds at most n rows."""
+    before the shuffle), so each collected group holds at most n rows.
+    ``with_samples=False`` leaves them out (a comparison table needs only the
+    metrics, and unused full-outer-join branches are not pruned by Spark)."""
     from prefscope.operators.prep import preview
     instr = instruction_accuracy(instr_scored, by).drop("n")
+    qa = qa_accuracy(qa_scored, by).drop("n")
+    metrics = perplexity.join(instr, by, "full").join(qa, by, "full")
+    if not with_samples:
+        return metrics.select(by, "perplexity", "instruction_following_acc_pct",
+                              "gsm8k_acc_pct", "cot_presence_pct")
     instr_samples = preview(instr_scored, n_instr_samples, by, instr_order).groupBy(by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(
             F.col(instr_order).alias("o"), F.col("prompt"), F.col("response")))),
             lambda s: F.struct(s.getField("prompt").alias("prompt"),
                                s.getField("response").alias("response"))).alias("instr_samples"))
-    qa = qa_accuracy(qa_scored, by).drop("n")
     samples = preview(qa_scored, n_qa_samples, by, qa_order).groupBy(by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(
             F.col(qa_order).alias("o"), F.col("question"), F.col("gold"), F.col("pred"),
@@ -130,7 +137,6 @@ def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: Dat
                                s.getField("gold").alias("gold"),
                                s.getField("pred").alias("pred"),
                                s.getField("response").alias("response"))).alias("gsm8k_samples"))
-    return (perplexity.join(instr, by, "full").join(qa, by, "full")
-            .join(instr_samples, by, "full").join(samples, by, "full")
+    return (metrics.join(instr_samples, by, "full").join(samples, by, "full")
             .select(by, "perplexity", "instruction_following_acc_pct", "gsm8k_acc_pct",
                     "cot_presence_pct", "instr_samples", "gsm8k_samples"))

@@ -373,14 +373,15 @@ def _three_models(spark, d):
         {"Base": FX.all_rows(), "SFT": FX.good(), "DPO": FX.good_clean()}, vocab_from="Base")
 
 
-def _bundle(spark, d):
+def _bundle(spark, d, with_samples: bool = True):
     texts = FX.heldout_texts(spark, d)
     ppl = R.stack_models({m: K.perplexity(texts, lm).select("perplexity")
                           for m, lm in _three_models(spark, d).items()})
     instr = _instr_scored(spark, d).withColumnRenamed("item_id", "idx")
     qa = _qa_scored(spark, d).withColumn("idx", F.col("q_id")).withColumn(
         "question", F.col("q_id").cast("string"))
-    return H.metric_bundle(ppl, instr, qa, n_qa_samples=10, n_instr_samples=25)
+    return H.metric_bundle(ppl, instr, qa, n_qa_samples=10, n_instr_samples=25,
+                           with_samples=with_samples)
 
 
 def h4_metric_bundle(spark, d):
@@ -437,7 +438,7 @@ METRIC_LABELS = {
 
 
 def _compare(spark, d):
-    return R.compare(R.to_long(_bundle(spark, d), METRIC_LABELS))
+    return R.compare(R.to_long(_bundle(spark, d, with_samples=False), METRIC_LABELS))
 
 
 def h9_compare(spark, d):
