@@ -22,31 +22,41 @@ ERROR_REASON = "All API judge model calls failed or timed out."
 UNCONFIGURED_WINNER = "Tie"
 UNCONFIGURED_REASON = "No Gemini or Groq API key configured."
 
-# Fixed value: the judge prompt template, as the harness formats it (the
-# three responses and the prompt are substituted in order).
-JUDGE_TEMPLATE_PARTS = (
-    "\n    You are an expert AI evaluator. Compare three responses generated by different models (Base, SFT, DPO) to the user's prompt.\n"
-    "    Evaluate their quality based on helpfulness, accuracy, structure, instruction following, and step-by-step reasoning quality.\n"
-    "    \n"
-    "    [USER PROMPT]:\n"
-    "    ",
-    "\n    \n"
-    "    [BASE RESPONSE]:\n"
-    "    ",
-    "\n    \n"
-    "    [SFT RESPONSE]:\n"
-    "    ",
-    "\n    \n"
-    "    [DPO RESPONSE]:\n"
-    "    ",
-    "\n    \n"
-    "    Respond ONLY with a JSON object in this format:\n"
-    "    {\n"
-    "      \"winner\": \"Base\" | \"SFT\" | \"DPO\" | \"Tie\",\n"
-    "      \"reason\": \"<one sentence explanation of why the winner was chosen>\"\n"
-    "    }\n"
-    "    ",
-)
+# Fixed value: the judge prompt template, as the harness formats it; the
+# four placeholders are filled with the prompt and the three responses.
+JUDGE_TEMPLATE = """
+    You are an expert AI evaluator. Compare three responses generated by different models (Base, SFT, DPO) to the user's prompt.
+    Evaluate their quality based on helpfulness, accuracy, structure, instruction following, and step-by-step reasoning quality.
+    
+    [USER PROMPT]:
+    {prompt}
+    
+    [BASE RESPONSE]:
+    {base}
+    
+    [SFT RESPONSE]:
+    {sft}
+    
+    [DPO RESPONSE]:
+    {dpo}
+    
+    Respond ONLY with a JSON object in this format:
+    {{
+      "winner": "Base" | "SFT" | "DPO" | "Tie",
+      "reason": "<one sentence explanation of why the winner was chosen>"
+    }}
+    """
+JUDGE_FIELDS = ("prompt", "base", "sft", "dpo")
+
+
+def _template_parts(template: str, fields) -> tuple[str, ...]:
+    """The literal pieces around the placeholders, braces unescaped."""
+    import re
+    pieces = re.split(r"\{(" + "|".join(fields) + r")\}", template)[::2]
+    return tuple(p.replace("{{", "{").replace("}}", "}") for p in pieces)
+
+
+JUDGE_TEMPLATE_PARTS = _template_parts(JUDGE_TEMPLATE, JUDGE_FIELDS)
 
 
 def _py_str(c: Column) -> Column:
