@@ -22,7 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefscope.functions.chat import IM_END, close_sequence, truncate_tokens, whitespace_tokens
+from pyspark.sql import types as T
+
+from prefscope.functions.chat import (IM_END, close_sequence, last_content, message,
+                                      render_chatml, truncate_tokens, whitespace_tokens)
 
 # A model whose count table has at most this many rows (a size known from
 # the fit) is joined by broadcast; beyond it the hot/cold split is used.
@@ -263,11 +266,18 @@ def sequence_logp(token_logps: DataFrame, keys=("seq_id",)) -> DataFrame:
 def completion_tokens(pairs: DataFrame, side: str, id_col: str = "pair_id",
                       end: str = IM_END, n: int = 1) -> DataFrame:
     """(pair_id, side, pos, token, is_prompt[, ctx]) for one side of each
-    pair: the prompt's tokens (masked), then the completion closed with the
-    end token (D9). With ``n >= 2`` each token carries its context, which
-    for the first completion tokens reaches into the prompt."""
-    p = whitespace_tokens("prompt")
-    c = close_sequence(whitespace_tokens(side), end)
+    pair: the prompt rendered with the chat template and the generation tail
+    (a text prompt is one user message), masked; then the completion - the
+    last message's content when the side is a message list - closed with the
+    end token (D9). With ``n >= 2`` each token carries its context, which for
+    the first completion tokens reaches into the prompt."""
+    types = {f.name: f.dataType for f in pairs.schema.fields}
+    prompt_msgs = (F.col("prompt") if isinstance(types["prompt"], T.ArrayType)
+                   else F.array(message("user", F.col("prompt").cast("string"))))
+    completion = (last_content(side) if isinstance(types[side], T.ArrayType)
+                  else F.col(side).cast("string"))
+    p = whitespace_tokens(render_chatml(prompt_msgs, True))
+    c = close_sequence(whitespace_tokens(completion), end)
     seq = F.concat(
         F.transform(p, lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_prompt"))),
         F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_prompt"))))

@@ -94,7 +94,15 @@ def test_ngram_pair_context_reaches_into_prompt(spark):
     pairs = spark.createDataFrame([(1, "x y", "z", "w")], "pair_id long, prompt string, chosen string, rejected string")
     rows = K.completion_tokens(pairs, "chosen", n=3).collect()
     got = [(r["token"], r["ctx"], r["is_prompt"]) for r in rows]
-    assert got == [("x", "<s> <s>", True), ("y", "<s> x", True), ("z", "x y", False), ("<|im_end|>", "y z", False)]
+    # prompt rendered as "<|im_start|>user\nx y<|im_end|>\n<|im_start|>assistant\n"
+    p1, p2 = "<|im_start|>user\nx", "y<|im_end|>\n<|im_start|>assistant\n"
+    assert got == [(p1, "<s> <s>", True), (p2, "<s> " + p1, True), ("z", p1 + " " + p2, False),
+                   ("<|im_end|>", p2 + " z", False)]
+    lists = spark.createDataFrame([(1, [("user", "x y")], [("user", "q"), ("assistant", "z")], [("assistant", "w")])],
+                                  "pair_id long, prompt array<struct<role:string,content:string>>, "
+                                  "chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>")
+    got2 = [(r["token"], r["ctx"], r["is_prompt"]) for r in K.completion_tokens(lists, "chosen", n=3).collect()]
+    assert got2 == got
 
 
 def test_ngram_split_join_equals_broadcast(spark, monkeypatch):
