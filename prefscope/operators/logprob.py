@@ -197,8 +197,9 @@ def fit_ngram_n(texts: DataFrame, n: int, vocab_size: int | None = None,
     grams = rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")).persist()
     contexts = grams.groupBy("ctx").agg(F.sum("c").alias("c_ctx")).persist()
     g = grams.agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n"),
-                  F.count_distinct("token").alias("v")).first()
-    nc = contexts.count()
+                  F.count_distinct("token").alias("v"),
+                  F.count_distinct("ctx").alias("nc")).first()
+    nc = int(g["nc"])
     v = int(g["v"]) if vocab_size is None else int(vocab_size)
     return NgramModel(n, grams, contexts, int(g["n"] or 0), v, int(g["g"]), nc)
 
