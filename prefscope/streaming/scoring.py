@@ -45,3 +45,28 @@ def start_qa_counts(spark: SparkSession, path: str, schema: StructType | str, na
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def verdicts_stream(spark: SparkSession, path: str, schema: StructType | str,
+                    fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+    """L1 over judge attempts (prompt_id, attempt, raw) arriving as files:
+    the same ``resolve_verdicts`` plan, kept in the state store per prompt,
+    so a late-arriving earlier attempt still wins."""
+    from prefscope.operators.judge import resolve_verdicts
+    r = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return resolve_verdicts(r.load(path))
+
+
+def start_verdicts(spark: SparkSession, path: str, schema: StructType | str, name: str,
+                   sink: str = "memory", fmt: str = "parquet", available_now: bool = False,
+                   max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the verdict stream in update mode (changed prompts only)."""
+    ckpt = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"
+    w = (verdicts_stream(spark, path, schema, fmt, max_files_per_trigger)
+         .writeStream.outputMode("update")
+         .format(sink).queryName(name).option("checkpointLocation", ckpt))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -27,3 +27,28 @@ def test_stream_matches_batch(spark):
     exp = {r["model"]: (r["n"], round(r["gsm8k_acc_pct"], 6), round(r["cot_presence_pct"], 6))
            for r in qa_accuracy(score_qa(resp)).collect()}
     assert got == exp and len(got) == 3
+
+
+def test_verdict_stream_matches_batch(spark):
+    from prefscope.operators.judge import resolve_verdicts
+    from prefscope.streaming.scoring import start_verdicts
+    src = tempfile.mkdtemp(prefix="prefscope-stream-")
+    att = FX.fd4_attempts(spark, SF0001)
+    # later attempts first, earlier ones in a second file: the earliest parsable one must still win
+    att.where(F.col("attempt") >= 2000).coalesce(1).write.mode("append").parquet(src)
+    att.where(F.col("attempt") < 2000).coalesce(1).write.mode("append").parquet(src)
+    name = f"verdicts_{uuid.uuid4().hex[:12]}"
+    q = start_verdicts(spark, src, att.schema, name, available_now=True, max_files_per_trigger=1)
+    q.awaitTermination(120)
+    rows = spark.table(name).collect()
+    assert q.lastProgress is not None and q.lastProgress["batchId"] >= 1  # two micro-batches
+    # update mode appends a row per prompt per change; a prompt's attempt count
+    # only grows, so its final state is the row with the most attempts
+    latest = {}
+    for r in rows:
+        cur = latest.get(r["prompt_id"])
+        if cur is None or r["n_attempts"] > cur[2]:
+            latest[r["prompt_id"]] = (r["winner"], r["reason"], r["n_attempts"], r["used_attempt"])
+    exp = {r["prompt_id"]: (r["winner"], r["reason"], r["n_attempts"], r["used_attempt"])
+           for r in resolve_verdicts(att).collect()}
+    assert latest == exp
