@@ -72,7 +72,7 @@ def instruction_accuracy(scored: DataFrame, by: str = "model") -> DataFrame:
 # I1 ------------------------------------------------------------------------
 def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
                      idx: str = "idx", flag: str = "correct",
-                     fanout: int = 4096) -> DataFrame:
+                     fanout: int = 4096, dense: bool = True) -> DataFrame:
     """Accuracy so far, reported before items idx = every, 2*every, ...
     (prior items only, divided by idx as the harness does). ``idx`` is the
     dense 0-based item position.
@@ -82,7 +82,17 @@ def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
     aggregate), then an exact two-level prefix sum: buckets are grouped in
     blocks of ``fanout``; block totals (n / (every * fanout) rows per model)
     get a running sum, and buckets get a running sum inside their block,
-    whose windows are partitioned by (model, block)."""
+    whose windows are partitioned by (model, block).
+
+    With ``dense=False`` ``idx`` is any unique item order key; each model's
+    items are first numbered 0, 1, 2, ... in that order (``with_position``)
+    and the output ``idx`` is that position."""
+    if not dense:
+        from prefscope.operators.prep import with_position
+        scored = with_position(scored.withColumnRenamed(idx, "_key"), [by, "_key"], "_gpos")
+        first = scored.groupBy(by).agg(F.min("_gpos").alias("_first"))
+        scored = scored.join(F.broadcast(first), by).withColumn(
+            idx, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first", "_key")
     b = scored.groupBy(by, F.floor(F.col(idx) / every).alias("bucket")).agg(
         F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias("hits"))
     b = b.withColumn("block", F.floor(F.col("bucket") / fanout))

@@ -88,3 +88,14 @@ def test_a3_a4_readers(spark):
     qa = H.score_qa(readers.read_qa(spark, os.path.join(d, "qa.json")).withColumn("response", F.lit("it is 4")))
     assert qa.select("gold", "pred", "correct").first() == ("4", "4", True)
     assert readers.read_texts(spark, os.path.join(d, "lines.txt"), fmt="text").count() == 2
+
+
+def test_i1_sparse_ids(spark):
+    rnd = random.Random(5)
+    rows = [(m, i * 7 + 3, rnd.random() < 0.5) for m in ("Base", "SFT") for i in range(123)]
+    df = spark.createDataFrame(rows, "model string, key long, correct boolean")
+    got = {(r["model"], r["key"]): r["running_acc_pct"]
+           for r in H.running_accuracy(df, every=10, idx="key", dense=False).collect()}
+    dense = spark.createDataFrame([(m, (k - 3) // 7, c) for m, k, c in rows], "model string, idx long, correct boolean")
+    exp = {(r["model"], r["idx"]): r["running_acc_pct"] for r in H.running_accuracy(dense, every=10).collect()}
+    assert got == exp and len(got) == 24
