@@ -91,7 +91,7 @@ def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
         from prefscope.operators.prep import with_position
         scored = with_position(scored.withColumnRenamed(idx, "_key"), [by, "_key"], "_gpos")
         first = scored.groupBy(by).agg(F.min("_gpos").alias("_first"))
-        scored = scored.join(F.broadcast(first), by).withColumn(
+        scored = scored.join(first, by).withColumn(
             idx, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first", "_key")
     b = scored.groupBy(by, F.floor(F.col(idx) / every).alias("bucket")).agg(
         F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias("hits"))
