@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefscope.functions import text as T
-from prefscope.functions.rules import INSTRUCTION_RULES, instruction_ok, rule_verdict
+from prefscope.functions.rules import INSTRUCTION_RULES, rule_verdict
 
 
 def pct(cond: Column) -> Column:
