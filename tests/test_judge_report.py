@@ -1,6 +1,5 @@
 """L, H5-H7, H9, H10, G and M operators."""
 
-
 from prefscope.operators import judge as L
 from prefscope.operators import report as R
 
