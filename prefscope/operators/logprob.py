@@ -54,6 +54,21 @@ class UnigramModel:
         return F.ln((F.coalesce(c, F.lit(0)).cast("double") + F.lit(1.0))
                     / F.lit(self.denominator))
 
+    def unpersist(self) -> None:
+        self.counts.unpersist()
+
+
+def _keep(df: DataFrame, reliable: bool) -> DataFrame:
+    """Keep a fitted table for the scoring joins that follow. ``reliable``
+    writes it to the cluster's ``spark.checkpoint.dir`` (cutting the lineage:
+    a lost executor does not send Spark back to recount the corpus);
+    otherwise it is persisted (memory and disk, recomputed if lost)."""
+    if reliable:
+        from prefscope.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df.persist()
+
 
 def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, c) over whitespace tokens of a corpus."""
@@ -62,7 +77,7 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
-              text_col: str = "text"):
+              text_col: str = "text", reliable: bool = False):
     """K7: fit the add-one model. ``vocab_size`` fixes the vocabulary shared
     by the compared models (pass the reference model's ``vocab_size``); by
     default the corpus's own vocabulary. ``n >= 2`` gives an ``NgramModel``.
@@ -70,8 +85,8 @@ def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
     The counts are persisted (they are read by every scoring join); the two
     totals are one small aggregate job."""
     if n >= 2:
-        return fit_ngram_n(texts, n, vocab_size, text_col)
-    counts = token_counts(texts, text_col).persist()
+        return fit_ngram_n(texts, n, vocab_size, text_col, reliable)
+    counts = _keep(token_counts(texts, text_col), reliable)
     tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens = int(tot["n"] or 0)
     n_types = int(tot["v"])
@@ -80,7 +95,8 @@ def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
 
 
 def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: str,
-                     n: int = 1, text_col: str = "text") -> dict[str, UnigramModel]:
+                     n: int = 1, text_col: str = "text",
+                     reliable: bool = False) -> dict[str, UnigramModel]:
     """K7 for several corpora that are row subsets of one table, in one pass:
     one scan and one ``groupBy(token)`` with a conditional count per corpus
     (``corpora`` maps a model name to a row predicate). All models share the
@@ -90,8 +106,8 @@ def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: s
     names = list(corpora)
     flags = [F.coalesce(corpora[m], F.lit(False)).alias(f"_in{i}") for i, m in enumerate(names)]
     toks = texts.select(*flags, F.explode(whitespace_tokens(text_col)).alias("token"))
-    wide = toks.groupBy("token").agg(
-        *[F.count_if(F.col(f"_in{i}")).alias(f"c{i}") for i in range(len(names))]).persist()
+    wide = _keep(toks.groupBy("token").agg(
+        *[F.count_if(F.col(f"_in{i}")).alias(f"c{i}") for i in range(len(names))]), reliable)
     tot = wide.agg(*[x for i in range(len(names)) for x in (
         F.sum(f"c{i}").alias(f"n{i}"), F.count_if(F.col(f"c{i}") > 0).alias(f"v{i}"))]).first()
     v = int(tot[f"v{names.index(vocab_from)}"])
@@ -157,6 +173,10 @@ class NgramModel:
     n_grams: int
     n_contexts: int
 
+    def unpersist(self) -> None:
+        self.grams.unpersist()
+        self.contexts.unpersist()
+
 
 def _field_getter(name: str):
     # A one-argument lambda: PySpark reads a two-argument one as (x, index).
@@ -190,12 +210,12 @@ def _token_structs(tokens: Column) -> Column:
 
 
 def fit_ngram_n(texts: DataFrame, n: int, vocab_size: int | None = None,
-                text_col: str = "text") -> NgramModel:
+                text_col: str = "text", reliable: bool = False) -> NgramModel:
     """K7 for n >= 2: gram counts (partial aggregate per (ctx, token)) and
     context totals derived from them; both persisted."""
     rows = texts.select(F.inline(with_context(_token_structs(whitespace_tokens(text_col)), n)))
-    grams = rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")).persist()
-    contexts = grams.groupBy("ctx").agg(F.sum("c").alias("c_ctx")).persist()
+    grams = _keep(rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")), reliable)
+    contexts = _keep(grams.groupBy("ctx").agg(F.sum("c").alias("c_ctx")), reliable)
     g = grams.agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n"),
                   F.count_distinct("token").alias("v"),
                   F.count_distinct("ctx").alias("nc")).first()

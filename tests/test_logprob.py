@@ -123,3 +123,13 @@ def test_perplexity_from_token_table_equals_k2(spark):
     a = K.perplexity_from_tokens(per_token).first()
     b = K.perplexity(texts, lm).first()
     assert a["n_texts"] == b["n_texts"] and abs(a["perplexity"] - b["perplexity"]) < 1e-6 * b["perplexity"]
+
+
+def test_reliable_fit_cuts_lineage(spark):
+    a = K.fit_ngram(FX.reference_corpus(spark, SF001))
+    b = K.fit_ngram(FX.reference_corpus(spark, SF001), reliable=True)
+    plan = b.counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan  # read back from the checkpoint, not recounted
+    texts = FX.heldout_texts(spark, SF001)
+    assert K.perplexity(texts, a).first()["perplexity"] == K.perplexity(texts, b).first()["perplexity"]
+    a.unpersist()
