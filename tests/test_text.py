@@ -142,3 +142,59 @@ def py_verdict(raw):
 def test_parse_verdict(spark, raw):
     r = spark.createDataFrame([(raw,)], "raw string").select(T.parse_verdict("raw").alias("v")).first()["v"]
     assert (r["ok"], r["winner"], r["reason"]) == py_verdict(raw)
+
+
+def _py_test(spec, raw, low):
+    kind = spec[0]
+    if kind == "any":
+        return any(w in low for w in spec[1])
+    if kind == "all":
+        return all(w in low for w in spec[1])
+    if kind == "none":
+        return not any(w in low for w in spec[1])
+    if kind == "exact":
+        return spec[1] in raw
+    if kind == "len_gt":
+        return len(low) > spec[1]
+    if kind == "sentences":
+        return py_sentences(raw) == spec[1]
+    if kind == "lines_ge":
+        return py_lines(raw) >= spec[1]
+    if kind == "words":
+        return py_words(raw) == spec[1]
+    if kind == "all_start":
+        return py_all_start(raw, spec[1], spec[2])
+    parts = [_py_test(s, raw, low) for s in spec[1:]]
+    return all(parts) if kind == "and" else any(parts)
+
+
+def py_rule(prompt, resp):
+    from prefscope.functions.rules import INSTRUCTION_RULES
+    low = resp.lower().strip()
+    for trigger, spec in INSTRUCTION_RULES:
+        if trigger in prompt.lower():
+            return _py_test(spec, resp, low)
+    return False
+
+
+def test_real_documents_match_python(spark):
+    from prefscope.plans import fixtures as FX
+    from conftest import SF001
+    r = FX.fd6_responses(spark, SF001)
+    got = r.select("item_id", "prompt", "response",
+                   rule_verdict("prompt", "response").alias("rule"),
+                   instruction_ok("prompt", "response").alias("ok"),
+                   T.has_repetition("response").alias("rep"), T.has_cot("response").alias("cot"),
+                   T.n_words("response").alias("words"), T.n_sentences("response").alias("sent"),
+                   T.n_lines("response").alias("lines"), T.final_number("response").alias("num"),
+                   F.length(T.py_strip("response")).alias("slen")).collect()
+    assert len(got) == 1000
+    for x in got:
+        t = x["response"]
+        exp_rule = py_rule(x["prompt"], t)
+        collapse = any(m in t.lower() for m in ["user\n", "assistant\n", "<|im_start|>", "<|im_end|>"])
+        assert x["rule"] == exp_rule, x["item_id"]
+        assert x["ok"] == (exp_rule and not collapse and not py_rep(t)), x["item_id"]
+        assert (x["rep"], x["cot"], x["words"], x["sent"], x["lines"], x["num"], x["slen"]) == (
+            py_rep(t), py_cot(t), py_words(t), py_sentences(t), py_lines(t), py_final_number(t),
+            len(t.strip())), x["item_id"]
