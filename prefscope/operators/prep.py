@@ -70,11 +70,18 @@ def filter_conversations(df: DataFrame, max_turns: int = 6,
     if "messages" in df.columns:
         return df.where(conversation_ok(F.size("messages"), message_chars("messages"),
                                         max_turns, max_chars))
-    ok = conversation_stats(df).where(
-        conversation_ok(F.col("n_turns"), F.col("n_chars"), max_turns, max_chars))
+    ok = passing_conversations(df, max_turns, max_chars)
     return df.join(ok.select("conv_id"), "conv_id", "left_semi")
 
 
+def passing_conversations(long_df: DataFrame, max_turns: int = 6,
+                          max_chars: int = 2000) -> DataFrame:
+    """C1 on long rows, as statistics: (conv_id, n_turns, n_chars) of the
+    conversations that pass. One partial aggregate, no message arrays."""
+    return conversation_stats(long_df).where(
+        conversation_ok(F.col("n_turns"), F.col("n_chars"), max_turns, max_chars))
+
+
 # ---------------------------------------------------------------------------
 # C2 / C3
 # ---------------------------------------------------------------------------

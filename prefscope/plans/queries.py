@@ -37,10 +37,10 @@ def long(c) -> Column:
 # C: filters
 # ---------------------------------------------------------------------------
 def c1_filter_conversations(spark, d):
-    msgs = FX.fd1_messages(spark, d, max_turns=6)
-    kept = P.filter_conversations(msgs, max_turns=6, max_chars=2000)
-    return kept.select("conv_id", long(F.size("messages")).alias("n_turns"),
-                       long(P.message_chars("messages")).alias("n_chars"))
+    """C1 over the long conversation rows: one partial aggregate per
+    conversation (the array form is used where arrays are needed, d4)."""
+    kept = P.passing_conversations(FX.table(spark, d, "conversations"), 6, 2000)
+    return kept.select("conv_id", long("n_turns").alias("n_turns"), long("n_chars").alias("n_chars"))
 
 
 def c3_filter_pairs(spark, d):
@@ -460,7 +460,7 @@ def i1_running_accuracy(spark, d):
 
 
 def _passing_conversations(spark, d):
-    return P.filter_conversations(FX.fd1_messages(spark, d, max_turns=6)).select("conv_id")
+    return P.passing_conversations(FX.table(spark, d, "conversations")).select("conv_id")
 
 
 def j1_seeded_order(spark, d):
