@@ -275,6 +275,28 @@ def sequence_sums(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
         F.sum(F.col("_k").cast("double") * F.col("logp")).alias("logp_sum"))
 
 
+def sequence_sums_multi(tokens: DataFrame, models: dict, keys: list[str]) -> DataFrame:
+    """(keys, n_tokens, logp_sum_<name> per model) in one pass: when every
+    model is a unigram model with a broadcastable table, the token rows meet
+    each count table in a chain of map-side joins and one aggregate sums all
+    models; otherwise each model is summed on its own and the results are
+    joined on the keys."""
+    if all(isinstance(m, UnigramModel) and _broadcastable(m) for m in models.values()):
+        t = tokens.select(*keys, "token")
+        for name, m in models.items():
+            t = t.join(F.broadcast(m.counts.select("token", F.col("c").alias(f"_c_{name}"))),
+                       "token", "left")
+        return t.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_tokens"),
+            *[F.sum(m.logp(F.col(f"_c_{name}"))).alias(f"logp_sum_{name}")
+              for name, m in models.items()])
+    out = None
+    for name, m in models.items():
+        x = sequence_sums(tokens, m, keys).withColumnRenamed("logp_sum", f"logp_sum_{name}")
+        out = x if out is None else out.join(x.drop("n_tokens"), keys)
+    return out
+
+
 # K1 ------------------------------------------------------------------------
 def sequence_logp(token_logps: DataFrame, keys=("seq_id",)) -> DataFrame:
     """K1: completion log-prob = sum of token log-probs outside the prompt."""
@@ -343,6 +365,46 @@ def perplexity(texts: DataFrame, model, id_col: str = "text_id",
                         F.exp(F.avg(nll)).alias("perplexity"))
 
 
+def perplexity_multi(texts: DataFrame, models: dict, id_col: str = "text_id",
+                     text_col: str = "text", max_len: int = 512,
+                     min_tokens: int = 2) -> DataFrame:
+    """K2 for several models over the same texts in one tokenization pass:
+    rows (model, n_texts, perplexity)."""
+    if any(isinstance(m, NgramModel) for m in models.values()):
+        out = None
+        for name, m in models.items():
+            x = perplexity(texts, m, id_col, text_col, max_len, min_tokens).select(
+                F.lit(name).alias("model"), "n_texts", "perplexity")
+            out = x if out is None else out.unionByName(x)
+        return out
+    toks = texts.select(id_col, F.explode(
+        truncate_tokens(whitespace_tokens(text_col), max_len)).alias("token"))
+    per = sequence_sums_multi(toks, models, [id_col]).where(F.col("n_tokens") >= min_tokens)
+    agg = per.agg(F.count(F.lit(1)).alias("n_texts"), *[
+        F.exp(F.avg(-F.col(f"logp_sum_{name}") / F.col("n_tokens"))).alias(f"p_{name}")
+        for name in models])
+    return agg.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col("n_texts"), F.col(f"p_{name}").alias("perplexity"))
+        for name in models])))
+
+
+def pair_logps_multi(pairs: DataFrame, models: dict, id_col: str = "pair_id") -> DataFrame:
+    """(pair_id, <name>_chosen, <name>_rejected per model): completion
+    log-probs of both sides under several unigram models in one pass."""
+    if any(isinstance(m, NgramModel) for m in models.values()):
+        out = None
+        for name, m in models.items():
+            x = pair_logps(pairs, m, id_col, prefix=f"{name}_")
+            out = x if out is None else out.join(x, id_col)
+        return out
+    toks = completion_tokens(pairs, "chosen", id_col).unionByName(
+        completion_tokens(pairs, "rejected", id_col)).where(~F.col("is_prompt"))
+    sums = sequence_sums_multi(toks, models, [id_col, "side"])
+    return sums.groupBy(id_col).agg(*[
+        F.max(F.when(F.col("side") == side, F.col(f"logp_sum_{name}"))).alias(f"{name}_{side}")
+        for name in models for side in ("chosen", "rejected")])
+
+
 def perplexity_from_tokens(token_logps: DataFrame, keys=("seq_id",), max_len: int = 512,
                            min_tokens: int = 2) -> DataFrame:
     """K2 over a provided token log-prob table (seq_id, pos, logp)."""

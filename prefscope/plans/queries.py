@@ -375,8 +375,7 @@ def _three_models(spark, d):
 
 def _bundle(spark, d, with_samples: bool = True):
     texts = FX.heldout_texts(spark, d)
-    ppl = R.stack_models({m: K.perplexity(texts, lm).select("perplexity")
-                          for m, lm in _three_models(spark, d).items()})
+    ppl = K.perplexity_multi(texts, _three_models(spark, d)).select("model", "perplexity")
     instr = _instr_scored(spark, d).withColumnRenamed("item_id", "idx")
     qa = _qa_scored(spark, d).withColumn("idx", F.col("q_id")).withColumn(
         "question", F.col("q_id").cast("string"))
@@ -551,9 +550,7 @@ def k7_ngram_preference(spark, d):
     documents, policy = good, non-toxic documents, shared vocabulary."""
     lms = K.fit_ngram_family(FX.labelled_documents(spark, d),
                              {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref")
-    ref, pol = lms["ref"], lms["pol"]
-    pairs = FX.fd2_pairs(spark, d)
-    j = K.join_logps(K.pair_logps(pairs, pol, prefix="pol_"), K.pair_logps(pairs, ref, prefix="ref_"))
+    j = K.pair_logps_multi(FX.fd2_pairs(spark, d), {"pol": lms["pol"], "ref": lms["ref"]})
     s = K.preference_summary(K.reward_margin(K.rewards(j, beta=0.05)))
     return s.select("n_pairs", r6("preference_accuracy_pct").alias("preference_accuracy_pct"),
                     r6("mean_margin").alias("mean_margin"))

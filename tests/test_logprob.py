@@ -133,3 +133,20 @@ def test_reliable_fit_cuts_lineage(spark):
     texts = FX.heldout_texts(spark, SF001)
     assert K.perplexity(texts, a).first()["perplexity"] == K.perplexity(texts, b).first()["perplexity"]
     a.unpersist()
+
+
+def test_multi_model_passes_equal_single(spark, monkeypatch):
+    lms = K.fit_ngram_family(FX.labelled_documents(spark, SF001),
+                             {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref")
+    texts = FX.heldout_texts(spark, SF001)
+    multi = {r["model"]: r["perplexity"] for r in K.perplexity_multi(texts, lms).collect()}
+    for name, lm in lms.items():
+        assert abs(multi[name] - K.perplexity(texts, lm).first()["perplexity"]) < 1e-9 * multi[name]
+    pairs = FX.fd2_pairs(spark, SF001)
+    a = {r["pair_id"]: r for r in K.pair_logps_multi(pairs, lms).collect()}
+    b = {r["pair_id"]: r for r in K.pair_logps(pairs, lms["pol"], prefix="pol_").collect()}
+    assert all(abs(a[k]["pol_chosen"] - b[k]["pol_chosen"]) < 1e-9 and
+               abs(a[k]["pol_rejected"] - b[k]["pol_rejected"]) < 1e-9 for k in b)
+    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 0)  # per-model fallback path
+    c = {r["model"]: r["perplexity"] for r in K.perplexity_multi(texts, lms).collect()}
+    assert all(abs(c[k] - multi[k]) < 1e-9 * multi[k] for k in multi)
