@@ -6,13 +6,18 @@ re-aims the provider as an add-one unigram model counted from a corpus table,
 so K1-K6 run end to end on the given tables.
 
 Scale notes:
-* Token counts are partial aggregates (``groupBy(token).count()``).
-* Scoring pre-aggregates ``(seq, token) -> k`` before joining the counts, and
-  splits the join by token frequency: tokens whose corpus count is at least
-  ``N / HOT_SPLIT`` (at most ``HOT_SPLIT`` of them, since counts sum to N)
-  come from a broadcast table; the rest go through a shuffle join whose keys
-  are no longer hot. AQE skew-join splitting covers tokens that are hot in
-  the scored texts only.
+* Token and gram counts are partial aggregates (``groupBy(token).count()``);
+  several corpora that are row subsets of one table are counted in one pass.
+* A count table whose row count (known from the fit) is under
+  ``BROADCAST_VOCAB_ROWS`` is broadcast: token rows are priced in place and
+  summed with one aggregate; several models are chained in the same pass.
+* A larger table is joined by shuffle after the token rows are reduced to
+  distinct (keys, token) with a multiplicity; tokens with a hot count (at
+  most ``HOT_SPLIT`` of them) are priced map-side from a broadcast table and
+  their rows get spread, never-matching join keys, so the one shuffle join
+  has no hot key and the input is read once.
+* A fit can ``checkpoint()`` its tables into ``spark.checkpoint.dir``
+  (``reliable=True``) so that a lost executor does not cost a recount.
 """
 
 from __future__ import annotations
