@@ -2,7 +2,7 @@
 
 The model forward pass is outside Spark; its output comes in as a token
 table ``(seq_id, pos, token, logp, is_prompt)`` or as per-pair sums. K7
-re-aims the provider as an add-one unigram model counted from a corpus table,
+re-aims the provider as an add-one n-gram model counted from a corpus table,
 so K1-K6 run end to end on the given tables.
 
 Scale notes:
@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
 from prefscope.functions.chat import (IM_END, close_sequence, last_content, message,
