@@ -36,9 +36,14 @@ def conversation_stats(long_df: DataFrame) -> DataFrame:
         .alias("n_chars"))
 
 
-def conversations_to_messages(long_df: DataFrame) -> DataFrame:
+def conversations_to_messages(long_df: DataFrame, max_turns: int | None = None) -> DataFrame:
     """(conv_id, messages) with messages in turn order. Collects one group per
-    conversation: apply the turn filter first so the group size is bounded."""
+    conversation; with ``max_turns`` only conversations of at most that many
+    turns are collected (their turn counts are a partial aggregate joined
+    back first), so every collected group is bounded."""
+    if max_turns is not None:
+        ok = conversation_stats(long_df).where(F.col("n_turns") <= max_turns)
+        long_df = long_df.join(ok.select("conv_id"), "conv_id", "left_semi")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return long_df.groupBy("conv_id").agg(turns.alias("_t")).select(
         "conv_id",

@@ -45,11 +45,7 @@ def fd1_stats(spark, sf_dir) -> DataFrame:
 def fd1_messages(spark, sf_dir, max_turns: int | None = None) -> DataFrame:
     """(conv_id, messages); with ``max_turns`` only conversations of at most
     that many turns are collected (the C1 cap bounds every group)."""
-    conv = table(spark, sf_dir, "conversations")
-    if max_turns is not None:
-        ok = prep.conversation_stats(conv).where(F.col("n_turns") <= max_turns)
-        conv = conv.join(ok.select("conv_id"), "conv_id", "left_semi")
-    return prep.conversations_to_messages(conv)
+    return prep.conversations_to_messages(table(spark, sf_dir, "conversations"), max_turns)
 
 
 # FD2 ------------------------------------------------------------------------

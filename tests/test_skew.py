@@ -43,8 +43,7 @@ def test_hot_conversation_is_not_collected(spark):
     cold = spark.range(1, 3001).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"),
                                       F.lit("user").alias("role"), F.lit("hello").alias("text"))
     long = hot.unionByName(cold)
-    ok = P.conversation_stats(long).where(F.col("n_turns") <= 6)
-    msgs = P.conversations_to_messages(long.join(ok.select("conv_id"), "conv_id", "left_semi"))
+    msgs = P.conversations_to_messages(long, max_turns=6)
     kept = P.filter_conversations(msgs)
     ids = {r["conv_id"] for r in kept.select("conv_id").collect()}
     assert 0 not in ids and len(ids) == 3000
