@@ -30,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     (a plan, no data) is kept per session and path, so footers are read and
     splits counted once per table, not once per reference."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext view (e.g. Spark Connect)
+        app = str(id(spark))
+    key = (app, path)
     if key not in _TABLES:
         _TABLES[key] = spread(spark.read.parquet(path))
     return _TABLES[key]
