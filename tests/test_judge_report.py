@@ -98,3 +98,10 @@ def test_identical_pcts_matches_pairwise(spark):
     exp = R.identical_pct(r.where("model = 'Base'"), r.where("model = 'SFT'")).first()
     assert (got["n_a"], got["n_b"], got["n_equal"], got["comparable"], got["identical_pct"]) == \
         (exp["n_a"], exp["n_b"], exp["n_equal"], exp["comparable"], exp["identical_pct"])
+
+
+def test_win_rates_sum_to_100(spark):
+    from conftest import SF001
+    from prefscope.plans import fixtures as FX
+    rates = L.win_rates(L.verdict_counts(L.resolve_verdicts(FX.fd4_attempts(spark, SF001)))).collect()
+    assert len(rates) == 4 and abs(sum(r["win_rate_pct"] for r in rates) - 100.0) < 1e-9
