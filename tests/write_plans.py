@@ -16,7 +16,7 @@ notes = {
  "i1_running_accuracy": "Running accuracy: bucket partial counts, block totals, within-block windows partitioned by (model, block); no window over a whole model.",
  "j2_seeded_sample": "Seeded sample: TakeOrderedAndProject over (id, key) only, then a broadcast join of the n sampled ids back to the rows.",
  "j5_preview": "First 10 per model: WindowGroupLimit before and after the shuffle.",
- "c1_filter_conversations": "Turn cap (partial count) and semi-join before collect_list: every collected group has at most 6 rows.",
+ "c1_filter_conversations": "C1 on long rows: one partial aggregate of turns and characters per conversation (no message arrays are built to filter).",
  "k2_perplexity": "Unigram perplexity: count table broadcast behind its fitted size; per-text partial sums, then one global average.",
  "h5_identical_pct": "Identical outputs for three model pairs from one pivot (one shuffle), not three joins.",
  "g4_request_grid": "Prompt x model grid as an exploded literal array: no cartesian product.",
