@@ -105,3 +105,9 @@ def test_win_rates_sum_to_100(spark):
     from prefscope.plans import fixtures as FX
     rates = L.win_rates(L.verdict_counts(L.resolve_verdicts(FX.fd4_attempts(spark, SF001)))).collect()
     assert len(rates) == 4 and abs(sum(r["win_rate_pct"] for r in rates) - 100.0) < 1e-9
+
+
+def test_g4_without_generation_settings(spark):
+    p = spark.createDataFrame([(1, "q")], "prompt_id long, prompt string")
+    g = R.request_grid(p)
+    assert g.columns == ["prompt_id", "prompt", "model", "is_chat"] and g.count() == 3

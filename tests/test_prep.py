@@ -132,3 +132,9 @@ def test_with_position_is_dense_rank(spark):
     assert a == b and sorted(a.values()) == list(range(len(b)))
     again = {r["event_id"]: r["idx"] for r in P.with_position(docs.repartition(5), ["event_id"]).collect()}
     assert again == a
+
+
+def test_j2_sample_larger_than_pool(spark):
+    base = FX.fd1_stats(spark, SF001)
+    s = P.seeded_sample(base, "conv_id", 1000)
+    assert s.count() == 100 and sorted(r["sample_rank"] for r in s.collect()) == list(range(1, 101))
