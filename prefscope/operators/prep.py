@@ -210,6 +210,13 @@ def model_prompt(prompt, is_chat) -> Column:
     return F.when(chat, render_chatml(F.array(message("user", p)), True)).otherwise(p)
 
 
+def with_model_prompt(df: DataFrame, prompt: str = "prompt", is_chat: str = "is_chat",
+                      out: str = "model_prompt") -> DataFrame:
+    """D6 on a table (e.g. a request grid): adds the prompt text each model
+    is given."""
+    return df.withColumn(out, model_prompt(prompt, is_chat))
+
+
 # ---------------------------------------------------------------------------
 # J1-J5
 # ---------------------------------------------------------------------------

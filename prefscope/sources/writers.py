@@ -15,6 +15,14 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_bundles(bundle: DataFrame, root: str, model: str = "model",
+                  mode: str = "overwrite") -> None:
+    """B1 for a per-model metric bundle: one JSON document per model under
+    ``root/model=<name>`` (read back with ``read_metrics``), written by one
+    job partitioned on the model column."""
+    bundle.write.mode(mode).partitionBy(model).json(root)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Comparison tables, judged rows, showcases and sweeps. CSV

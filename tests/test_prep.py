@@ -138,3 +138,10 @@ def test_j2_sample_larger_than_pool(spark):
     base = FX.fd1_stats(spark, SF001)
     s = P.seeded_sample(base, "conv_id", 1000)
     assert s.count() == 100 and sorted(r["sample_rank"] for r in s.collect()) == list(range(1, 101))
+
+
+def test_d6_with_model_prompt(spark):
+    from prefscope.operators.report import request_grid
+    g = P.with_model_prompt(request_grid(spark.createDataFrame([(1, "hi")], "prompt_id long, prompt string")))
+    got = {r["model"]: r["model_prompt"] for r in g.collect()}
+    assert got["Base"] == "hi" and got["SFT"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n"

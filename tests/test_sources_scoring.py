@@ -99,3 +99,12 @@ def test_i1_sparse_ids(spark):
     dense = spark.createDataFrame([(m, (k - 3) // 7, c) for m, k, c in rows], "model string, idx long, correct boolean")
     exp = {(r["model"], r["idx"]): r["running_acc_pct"] for r in H.running_accuracy(dense, every=10).collect()}
     assert got == exp and len(got) == 24
+
+
+def test_write_bundles_round_trip(spark, golden_samples):
+    bundle, _, _ = golden_samples
+    out = tempfile.mkdtemp(prefix="prefscope-test-") + "/bundles"
+    writers.write_bundles(bundle, out)
+    back = readers.read_metrics(spark, {m: f"{out}/model={m}" for m in ("Base", "SFT", "DPO")})
+    got = sorted((r["model"], r["instruction_following_acc_pct"]) for r in back.collect())
+    assert got == [("Base", 20.0), ("DPO", 72.0), ("SFT", 64.0)]
