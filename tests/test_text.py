@@ -198,3 +198,55 @@ def test_real_documents_match_python(spark):
         assert (x["rep"], x["cot"], x["words"], x["sent"], x["lines"], x["num"], x["slen"]) == (
             py_rep(t), py_cot(t), py_words(t), py_sentences(t), py_lines(t), py_final_number(t),
             len(t.strip())), x["item_id"]
+
+
+def _rule_words():
+    from prefscope.functions.rules import INSTRUCTION_RULES
+    out = set()
+
+    def walk(spec):
+        if spec[0] in ("any", "all", "none"):
+            out.update(spec[1])
+        elif spec[0] == "exact":
+            out.add(spec[1])
+        elif spec[0] in ("and", "or"):
+            for s in spec[1:]:
+                walk(s)
+    for _, spec in INSTRUCTION_RULES:
+        walk(spec)
+    return sorted(out)
+
+
+def test_rules_fuzz_against_python(spark):
+    rnd = random.Random(11)
+    words = _rule_words() + ["Sun", "sky", "Shakespeare", "Tokyo", "PARIS", "Pacific", "so", "she",
+                             "\"safe\"", "'sure'", "x", "The", "AU"]
+    seps = [" ", " ", " ", "\n", ". ", "! ", "? ", ", ", ";", "\t", "\n\n", "  "]
+    data = []
+    i = 0
+    for p in INSTRUCTION_PROMPTS:
+        for _ in range(60):
+            k = rnd.randint(0, 9)
+            parts = []
+            for _ in range(k):
+                w = rnd.choice(words)
+                w = w.upper() if rnd.random() < 0.15 else (w.capitalize() if rnd.random() < 0.2 else w)
+                parts += [w, rnd.choice(seps)]
+            resp = "".join(parts)
+            if rnd.random() < 0.1:
+                resp = resp + "\n" + resp  # repeated lines
+            if rnd.random() < 0.05:
+                resp = "assistant\n" + resp
+            data.append((i, p, resp))
+            i += 1
+    df = spark.createDataFrame(data, "id long, prompt string, response string")
+    got = {r["id"]: (r["rule"], r["ok"]) for r in df.select(
+        "id", rule_verdict("prompt", "response").alias("rule"),
+        instruction_ok("prompt", "response").alias("ok")).collect()}
+    hits = 0
+    for i, p, t in data:
+        exp = py_rule(p, t)
+        collapse = any(m in t.lower() for m in ["user\n", "assistant\n", "<|im_start|>", "<|im_end|>"])
+        assert got[i] == (exp, exp and not collapse and not py_rep(t)), (p, repr(t))
+        hits += exp
+    assert 100 < hits < len(data) - 100  # both outcomes are exercised
