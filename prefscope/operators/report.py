@@ -20,8 +20,10 @@ def side_by_side(responses: DataFrame, keys: Sequence[str] = ("item_id",),
                  models: Sequence[str] = MODELS, model: str = "model",
                  value: str = "response") -> DataFrame:
     """G1: one row per item, one column per model. A pivot with a fixed value
-    list is one aggregation shuffle (and no extra distinct job)."""
-    return responses.groupBy(*keys).pivot(model, list(models)).agg(F.first(value))
+    list is one aggregation shuffle (and no extra distinct job). A duplicated
+    (item, model) resolves to the largest value, the same on every run (an
+    arbitrary ``first`` would depend on partitioning)."""
+    return responses.groupBy(*keys).pivot(model, list(models)).agg(F.max(value))
 
 
 # G4 / D8 -------------------------------------------------------------------
@@ -113,7 +115,7 @@ def compare(metrics_long: DataFrame, models: Sequence[str] = MODELS,
             model: str = "model") -> DataFrame:
     """H9: metric x model table. Missing models or metrics are null cells
     (A7: report only what exists)."""
-    return metrics_long.groupBy("metric").pivot(model, list(models)).agg(F.first("value"))
+    return metrics_long.groupBy("metric").pivot(model, list(models)).agg(F.max("value"))
 
 
 # H10 -----------------------------------------------------------------------
