@@ -120,6 +120,7 @@ def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: Dat
                   qa_order: str = "idx", instr_order: str = "idx",
                   with_samples: bool = True) -> DataFrame:
     """H4: one row per model with the four metrics and the sample arrays
+    (``qa_scored`` is ``score_qa`` output, which keeps ``answer``)
     (the first ``n_instr_samples`` instruction samples - the whole 25-prompt
     suite in the harness - and the first ``n_qa_samples`` QA samples).
 
@@ -139,7 +140,13 @@ def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: Dat
             F.col(instr_order).alias("o"), F.col("prompt"), F.col("response")))),
             lambda s: F.struct(s.getField("prompt").alias("prompt"),
                                s.getField("response").alias("response"))).alias("instr_samples"))
-    samples = preview(qa_scored, n_qa_samples, by, qa_order).groupBy(by).agg(
+    # Gold and prediction are re-derived after the per-model top-n, so the
+    # regex work of this branch covers n rows per model, not every response.
+    top = preview(qa_scored.select(by, qa_order, "question", "answer", "response"),
+                  n_qa_samples, by, qa_order).select(
+        by, qa_order, "question", T.gold_answer("answer").alias("gold"),
+        T.final_number("response").alias("pred"), "response")
+    samples = top.groupBy(by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(
             F.col(qa_order).alias("o"), F.col("question"), F.col("gold"), F.col("pred"),
             F.col("response")))),
