@@ -484,9 +484,10 @@ def j4_first_n(spark, d):
 
 
 def j5_preview(spark, d):
-    s = _qa_scored(spark, d)
-    p = P.preview(s, 10, "model", "q_id")
-    return p.select("model", "q_id", "pred", "gold", "correct")
+    """First 10 graded answers per model. Scoring is row-local, so the top-n
+    is taken first and only its rows are scored."""
+    p = P.preview(FX.fd3_responses(spark, d), 10, "model", "q_id")
+    return H.score_qa(p).select("model", "q_id", "pred", "gold", "correct")
 
 
 # ---------------------------------------------------------------------------
