@@ -2,6 +2,8 @@
 row count, column names and order-insensitive values (doubles to 6 places).
 
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
+Set ORACLE_JSON=<path> to also write a per-query summary as JSON, and
+ORACLE_STRICT=1 to compare doubles exactly.
 """
 
 from __future__ import annotations
@@ -82,6 +84,7 @@ def main(argv):
     con = duck(sf_dir)
     qs, oracle = E.queries(), E.oracle_sql()
     failed = []
+    summary = {}
     for name in names or list(qs):
         if name not in oracle:
             print(f"{name}: no oracle")
@@ -91,9 +94,14 @@ def main(argv):
         except Exception as e:  # noqa: BLE001
             ok, msg = False, f"error {type(e).__name__}: {str(e)[:400]}"
         print(f"{'OK  ' if ok else 'FAIL'} {name}: {msg}", flush=True)
+        summary[name] = {"match": ok, "detail": msg}
         if not ok:
             failed.append(name)
     print("failed:", failed)
+    if os.environ.get("ORACLE_JSON"):
+        import json
+        with open(os.environ["ORACLE_JSON"], "w") as f:
+            json.dump({"sf_dir": sf_dir, "strict": STRICT, "queries": summary}, f, indent=1)
     return 1 if failed else 0
 
 
