@@ -108,3 +108,14 @@ def test_write_bundles_round_trip(spark, golden_samples):
     back = readers.read_metrics(spark, {m: f"{out}/model={m}" for m in ("Base", "SFT", "DPO")})
     got = sorted((r["model"], r["instruction_following_acc_pct"]) for r in back.collect())
     assert got == [("Base", 20.0), ("DPO", 72.0), ("SFT", 64.0)]
+
+
+def test_spread_is_a_no_op_for_split_inputs(spark):
+    from prefscope.parallel import spread
+    many = spark.range(0, 1000, numPartitions=32)
+    assert spread(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    slots = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == min(slots, 8)
+    two = spark.range(0, 1000, numPartitions=2)
+    assert spread(two, min_partitions=64).rdd.getNumPartitions() == 16  # capped at 8x its splits
