@@ -34,13 +34,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
-    Only when it is unset (local tests) is a scratch folder created and set."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if not path:
+    """The folder shared by driver and executors for data that must outlive an
+    executor: ``spark.checkpoint.dir`` of the session. Where it is unset, a
+    local master (driver and executors are one process) gets a scratch folder
+    once; on a cluster that would be a machine-local folder, so it raises."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if path is None and current is not None:
+        return current
+    if path is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: it must name a folder that the "
+                "driver and all executors share")
         path = tempfile.mkdtemp(prefix="prefscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if current is None:
+        sc.setCheckpointDir(path)
     return path
