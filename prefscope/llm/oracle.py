@@ -16,7 +16,7 @@ OP3 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 lined AS (
-  SELECT r, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 windows AS (
   SELECT r, i, w[i : i + 7] AS k
   FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
@@ -26,7 +26,7 @@ hit AS (
   FROM (SELECT r, unnest(generate_series(i, i + 7)) AS p FROM often WHERE c > 1) GROUP BY r),
 m AS (
   SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(hit.n, 0)::BIGINT AS n_repeat_words
@@ -78,4 +78,24 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-ORACLE = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op6_mixing": OP6}
+OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+windows AS (
+  SELECT r, i, sha256(array_to_string(w[i : i + 34], ' ')) AS k
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+often AS (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM windows),
+gone AS (
+  SELECT r, list(DISTINCT p) AS ps
+  FROM (SELECT r, unnest(generate_series(i, i + 34)) AS p FROM often WHERE c > 1) GROUP BY r),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT d.r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM d) u
+  LEFT JOIN (SELECT r, unnest(ps) AS i, true AS g FROM gone) USING (r, i)
+  WHERE g IS NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op6_mixing": OP6,
+          "op9_substring_dedup": OP9}
