@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscope.llm import exact_dedup, langid, mixing, quality, sharding, substring_dedup
+from prefscope.llm import (exact_dedup, langid, mixing, ngram_join, quality, sharding,
+                           substring_dedup)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_exact_dedup, op3_quality_rules, op5_language_id, op6_mixing, op9_substring_dedup)
+        op1_sharding, op2_exact_dedup, op3_quality_rules, op5_language_id, op6_mixing, op9_substring_dedup,
+        op10_ngram_join)
 }
