@@ -120,15 +120,14 @@ def _candidate_rows(window: int):
 
 def _kept_rows(window: int):
     def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
-        h0, h1 = _as_hashes(found, "h0"), _as_hashes(found, "h1")
-        known = np.unique(T.mix(h0) ^ h1)
+        known = np.unique(_as_hashes(found, "h"))
         column, ids, out = _column(texts, "text"), _column(texts, "doc_id"), []
         for lo, hi in T.slices(column):
             t = T.Texts(column.slice(lo, hi - lo))
             gone = np.zeros(len(t.start), bool)
             if len(known):
                 first, _ = t.windows(window)
-                both = T.mix(T.window_hashes(t.hashes(), first, window)) ^ T.window_hashes(
+                both = T.window_hashes(t.hashes(), first, window) ^ T.window_hashes(
                     t.hashes(1), first, window, 1)
                 gone = T.covered(len(t.start), first[is_in(both, known)], window)
             out.append(pa.RecordBatch.from_arrays(
@@ -168,7 +167,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     and rows that repeat another in full lose all windows. Texts are read
     whole; a bucket of about 1 / (8 * spark.sql.shuffle.partitions) of them is
     in memory at a time. An empty table gives an empty result; columns besides
-    doc_id and text are not read. Windows are told apart by 128 bits.
+    doc_id and text are not read. Windows are told apart by 128 bits
+    over the corpus, and by 64 within a bucket.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
@@ -186,5 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     seen = texts.mapInArrow(_anchor_rows(window), "h0 long, bucket int, n int")
     near = texts.groupBy("bucket").cogroup(again(seen, "h0").groupBy("bucket")).applyInArrow(
         _candidate_rows(window), "h0 long, h1 long, bucket int, n int")
-    return texts.groupBy("bucket").cogroup(again(near, "h0", "h1").groupBy("bucket")).applyInArrow(
+    # Back in their bucket, 64 of the 128 bits tell windows apart.
+    repeated = again(near, "h0", "h1").select("bucket", F.col("h0").bitwiseXOR(F.col("h1")).alias("h"))
+    return texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(
         _kept_rows(window), "doc_id long, n_words long, n_removed long, kept_text string")
