@@ -78,6 +78,39 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+# Licence sentences that stand for a licence alone; the documents have no
+# others (the rules of several sentences are tested on full licence texts).
+OP7 = r"""
+WITH known(id, s, rank, license) AS (VALUES
+  ('ref-mit', 'released under the mit license', 8, 'MIT'),
+  ('ref-mit-2', 'licensed under the mit license', 8, 'MIT'),
+  ('ref-apache', 'licensed under the apache license version 2.0', 6, 'Apache-2.0'),
+  ('ref-gpl3', 'this work is licensed under the gnu general public license version 3', 7, 'GPL-3.0-only'),
+  ('ref-cc-by-nc', 'licensed under cc by nc 4.0', 1, 'CC-BY-NC-4.0'),
+  ('ref-cc-by-sa', 'licensed under cc by sa 4.0', 2, 'CC-BY-SA-4.0'),
+  ('ref-cc-by', 'licensed under cc by 4.0', 3, 'CC-BY-4.0'),
+  ('mit-title', 'the mit license mit', 8, 'MIT'),
+  ('reserved', 'all rights reserved', 9, 'All-Rights-Reserved')),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT r, unnest(p) AS p, generate_subscripts(p, 1) AS i
+  FROM (SELECT r, string_split(regexp_replace(lower(regexp_replace(text,
+          '([.!?;:])[ \t\n\r\f]+|\n[ \t\r\f]*\n', '\1' || chr(1), 'g')),
+          '[^a-z0-9.+\x01]+', ' ', 'g'), chr(1)) AS p FROM d)),
+found AS (
+  SELECT r, i, id, license, rank
+  FROM (SELECT r, i, ' ' || regexp_replace(p, '[ .+]+$', '') AS s FROM parts
+        WHERE p LIKE '%licen%' OR p LIKE '%reserved%') x
+  JOIN known ON suffix(x.s, ' ' || known.s)),
+ids AS (SELECT r, list(id ORDER BY i) AS sentence_ids FROM found GROUP BY r),
+names AS (
+  SELECT r, list(license ORDER BY rank) AS licenses
+  FROM (SELECT r, license, min(rank) AS rank FROM found GROUP BY r, license) GROUP BY r)
+SELECT doc_id, coalesce(sentence_ids, []::VARCHAR[]) AS sentence_ids, coalesce(licenses, []::VARCHAR[]) AS licenses,
+       []::VARCHAR[] AS unresolved
+FROM d LEFT JOIN ids USING (r) LEFT JOIN names USING (r)
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 windows AS (
@@ -120,5 +153,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN lowest ON lowest.x = d.doc_id
 """
 
-ORACLE = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op6_mixing": OP6,
+ORACLE = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op6_mixing": OP6, "op7_license_scan": OP7,
           "op9_substring_dedup": OP9, "op10_ngram_join": OP10}

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscope.llm import (exact_dedup, langid, mixing, ngram_join, piece_codec, quality,
-                           sharding, substring_dedup)
+from prefscope.llm import (exact_dedup, langid, license_scan, mixing, ngram_join, piece_codec,
+                           quality, sharding, substring_dedup)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The piece ids of every document, and whether they decode to its text."""
     return piece_codec.encode_documents(documents(spark, sf_dir))
@@ -57,5 +61,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_exact_dedup, op3_quality_rules, op5_language_id, op6_mixing,
-        op8_sentencepiece, op9_substring_dedup, op10_ngram_join)
+        op7_license_scan, op8_sentencepiece, op9_substring_dedup, op10_ngram_join)
 }
