@@ -32,7 +32,7 @@ SENTENCES = {
     "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
     "apache-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
-    "gpl-free": "This program is free software",
+    "gpl-free": "This program is free software:",
     "gpl-terms-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     "gpl-later-2": "either version 2 of the License, or (at your option) any later version.",
@@ -108,7 +108,7 @@ def known(sentence: Column) -> Column:
 def rule_pattern(sequence: str) -> str:
     """A rule as a pattern on identifiers that each end with a comma, at the
     beginning of one."""
-    return r"(^|,)" + "".join(f"(?:{re.escape(x[:-1])},)?" if x.endswith("?") else f"{re.escape(x)},"
+    return r"(?<![^,])" + "".join(f"(?:{re.escape(x[:-1])},)?" if x.endswith("?") else f"{re.escape(x)},"
                               for x in sequence.split())
 
 
@@ -119,7 +119,7 @@ def apply_rules(ids: Column, rules=RULES) -> Column:
                       for name, seq in rules])
 
     def step(seen: Column, rule: Column) -> Column:
-        left = F.regexp_replace(seen["rest"], rule["pattern"], F.lit("$1"))
+        left = F.regexp_replace(seen["rest"], rule["pattern"], F.lit(""))
         return F.struct(left.alias("rest"), F.when(left != seen["rest"], F.array_union(
             seen["found"], F.array(rule["name"]))).otherwise(seen["found"]).alias("found"))
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscope.llm import (exact_dedup, langid, license_scan, mixing, ngram_join, piece_codec,
-                           quality, sharding, substring_dedup)
+from prefscope.llm import (brown_lm, exact_dedup, langid, license_scan, mixing, ngram_join,
+                           piece_codec, quality, sharding, substring_dedup)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("host_rate")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -60,6 +64,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_exact_dedup, op3_quality_rules, op5_language_id, op6_mixing,
+        op1_sharding, op2_exact_dedup, op3_quality_rules, op4_lm_scoring, op5_language_id, op6_mixing,
         op7_license_scan, op8_sentencepiece, op9_substring_dedup, op10_ngram_join)
 }
