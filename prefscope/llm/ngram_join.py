@@ -347,6 +347,18 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents that stay when one of each connected group does, with all
+    their columns: those whose doc_id is their component_id. Documents without
+    words are a group each. Rows without an id have no group and stay. Where
+    rows repeat the id that stays, all of them do."""
+    groups = ngram_components(docs.select("doc_id", "text"), percent)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+
+
 def _clusters(rows: DataFrame, percent: int) -> DataFrame:
     """(_set, cluster): sets, by half of their id, that chains of common
     routing keys connect."""
