@@ -88,7 +88,7 @@ def _counted(hashes: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(bucket)))
     return pa.RecordBatch.from_arrays(
-        [*[pa.array(T.signed(h[at])) for h in hashes], pa.array(bucket[at].astype(np.int32)),
+        [*[pa.array(T.signed(h[at]) if h.dtype == np.uint64 else h[at]) for h in hashes], pa.array(bucket[at].astype(np.int32)),
          pa.array(count.astype(np.int32))],
         [*[f"h{i}" for i in range(len(hashes))], "bucket", "n"])
 
@@ -97,6 +97,11 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return table[name].combine_chunks() if table.num_rows else pa.array([], table.schema.field(name).type)
 
 
+def _second(t: T.Texts, first: np.ndarray, window: int) -> np.ndarray:
+    """The other 32 bits by which windows are told apart, as signed longs."""
+    return T.signed(T.window_hashes(t.hashes(1), first, window, 1)) >> 32
+
+
 def _as_hashes(table: pa.Table, name: str) -> np.ndarray:
     return _column(table, name).to_numpy().view(np.uint64)
 
@@ -111,8 +116,8 @@ def _candidate_rows(window: int):
             first, h = anchors(t, words, window)
             starts = candidates(t, first[is_in(h, known)], window)
             parts.append([T.window_hashes(words, starts, window),
-                          T.window_hashes(t.hashes(1), starts, window, 1)])
-        hashes = [np.concatenate(p) for p in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * 2
+                          _second(t, starts, window).astype(np.int32)])
+        hashes = [np.concatenate(p) for p in zip(*parts)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int32)]
         bucket = np.full(len(hashes[0]), texts["bucket"][0].as_py() if texts.num_rows else 0, np.int32)
         return pa.Table.from_batches([_counted(hashes, bucket)])
     return rows
@@ -127,8 +132,7 @@ def _kept_rows(window: int):
             gone = np.zeros(len(t.start), bool)
             if len(known):
                 first, _ = t.windows(window)
-                both = T.window_hashes(t.hashes(), first, window) ^ T.window_hashes(
-                    t.hashes(1), first, window, 1)
+                both = T.window_hashes(t.hashes(), first, window) ^ _second(t, first, window).view(np.uint64)
                 gone = T.covered(len(t.start), first[is_in(both, known)], window)
             out.append(pa.RecordBatch.from_arrays(
                 [ids.slice(lo, hi - lo), pa.array(t.n_words().astype(np.int64)),
@@ -167,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     and rows that repeat another in full lose all windows. Texts are read
     whole; a bucket of about 1 / (8 * spark.sql.shuffle.partitions) of them is
     in memory at a time. An empty table gives an empty result; columns besides
-    doc_id and text are not read. Windows are told apart by 128 bits
+    doc_id and text are not read. Windows are told apart by 96 bits
     over the corpus, and by 64 within a bucket.
     """
     if window < PERIOD:
@@ -185,8 +189,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     seen = texts.mapInArrow(_anchor_rows(window), "h0 long, bucket int, n int")
     near = texts.groupBy("bucket").cogroup(again(seen, "h0").groupBy("bucket")).applyInArrow(
-        _candidate_rows(window), "h0 long, h1 long, bucket int, n int")
-    # Back in their bucket, 64 of the 128 bits tell windows apart.
-    repeated = again(near, "h0", "h1").select("bucket", F.col("h0").bitwiseXOR(F.col("h1")).alias("h"))
+        _candidate_rows(window), "h0 long, h1 int, bucket int, n int")
+    # Back in their bucket, 64 of the 96 bits tell windows apart.
+    repeated = again(near, "h0", "h1").select(
+        "bucket", F.col("h0").bitwiseXOR(F.col("h1").cast("long")).alias("h"))
     return texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(
         _kept_rows(window), "doc_id long, n_words long, n_removed long, kept_text string")
