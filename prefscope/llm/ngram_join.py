@@ -13,10 +13,10 @@ share a key are chained to the key's smallest set; what the chains connect meets
 one task (or, if it is larger than a block, in a task for each pair of blocks).
 
 Join. There the sets, as ascending shingle hashes, which is one global order,
-are put in a prefix tree whose edges hold runs of shingles. Each set walks the
-tree once: sets with a common beginning share the count of what overlaps, and
-a subtree is left when the shingles that remain can't reach the threshold, or
-when all its sets are already known to be connected with the walking one.
+are put in a prefix tree whose edges hold runs of shingles. All sets walk the
+tree together: for sets with a common beginning what overlaps is counted once,
+and a set leaves a subtree when the shingles that remain can't reach the
+threshold, or when it is already connected with all sets there.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ PERCENT = 85
 #: Shingles in all sets that one task joins; a larger cluster of sets is joined
 #: by pairs of blocks.
 BLOCK_SHINGLES = 1_000_000
+#: Cells of the table of which set has which shingle, while sets walk a tree.
+HELD = 64_000_000
 
 
 # ---- sets ------------------------------------------------------------------
@@ -119,121 +121,95 @@ def slice_keys(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.
 
 
 # ---- join in a task --------------------------------------------------------
-class Roots:
-    """Union-find over sets 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-
-class Node:
-    """An edge's run of shingles and what is below it: ``ends``, the sets that
-    end here; ``sizes``, the least and the most shingles of a set at or below;
-    ``members``, one of these sets for each component that they are in."""
-
-    __slots__ = ("run", "children", "ends", "sizes", "members")
-
-    def __init__(self, run: np.ndarray):
-        self.run, self.children, self.ends = run, {}, []
-        self.sizes, self.members = [1 << 60, 0], []
+class PrefixTree:
+    """Sets of numbers in ascending order, as a tree that shares beginnings.
 
+    The sets are kept in lexicographic order, which is the tree: a node is a
+    range of sets with a common beginning, its edge is what they share beyond
+    the parent's, and its children are the ranges by the next number."""
 
-class PrefixTree:
-    """Sets in ascending order of shingles, with runs shared."""
-
-    def __init__(self):
-        self.root = Node(np.zeros(0, np.uint64))
-
-    def add(self, number: int, items: np.ndarray) -> None:
-        node, at, n = self.root, 0, len(items)
-        self._count(node, number, n)
-        while at < n:
-            child = node.children.get(int(items[at]))
-            if child is None:
-                child = Node(items[at:])
-                node.children[int(items[at])] = child
-                self._count(child, number, n)
-                node, at = child, n
-                break
-            m = min(len(child.run), n - at)
-            same = child.run[:m] == items[at:at + m]
-            shared = m if same.all() else int(same.argmin())
-            if shared < len(child.run):  # split the edge
-                lower = Node(child.run[shared:])
-                lower.children, lower.ends = child.children, child.ends
-                lower.sizes, lower.members = list(child.sizes), list(child.members)
-                child.run, child.children, child.ends = child.run[:shared], {int(lower.run[0]): lower}, []
-            self._count(child, number, n)
-            node, at = child, at + shared
-        node.ends.append(number)
-
-    @staticmethod
-    def _count(node: Node, number: int, size: int) -> None:
-        node.sizes[0], node.sizes[1] = min(node.sizes[0], size), max(node.sizes[1], size)
-        node.members.append(number)
-
-    def link(self, number: int, items: np.ndarray, roots: Roots, percent: int) -> None:
-        """Union ``number`` with the sets of the tree that it links with."""
-        n = len(items)
-        stack = [(self.root, 0, 0, 0)]  # node, depth, common shingles so far, own shingles passed
-        while stack:
-            node, depth, common, passed = stack.pop()
-            own = roots.find(number)
-            node.members = _one_per_root(node.members, roots)
-            if node.members and len(node.members) == 1 and roots.find(node.members[0]) == own:
-                continue
-            run = node.run
-            if len(run):
-                found = np.searchsorted(items, run)
-                found[found == n] = 0
-                common += int((items[found] == run).sum())
-                depth += len(run)
-                passed = int(np.searchsorted(items, run[-1], "right"))
-            smallest, largest = node.sizes
-            # Sets below have up to largest shingles in all, largest - depth of them still to come.
-            best = common + min(n - passed, largest - depth)
-            if (100 + percent) * best < percent * (n + max(smallest, depth)):
-                continue
-            if node.ends and (100 + percent) * common >= percent * (n + depth):
-                for other in node.ends:
-                    roots.union(number, other)
-            stack += [(c, depth, common, passed) for c in node.children.values()]
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        keys = [s.astype(">u4").tobytes() for s in sets]
+        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__))
+        self.sets = [sets[i] for i in self.order]
+        self.length = np.array([len(s) for s in self.sets])
+        self.sizes = sizes[self.order]
 
+    def edge(self, lo: int, hi: int, depth: int) -> np.ndarray:
+        """What the sets lo..hi-1 share beyond ``depth``; as they are in
+        order, that is what the first and the last share."""
+        a, b = self.sets[lo][depth:], self.sets[hi - 1][depth:]
+        n = min(len(a), len(b))
+        same = a[:n] == b[:n]
+        return a[:n] if same.all() else a[:int(same.argmin())]
 
-def _one_per_root(members: list[int], roots: Roots) -> list[int]:
-    """One set for each root among the members: those with one root stay
-    connected for good."""
-    seen = {}
-    for m in members:
-        seen.setdefault(roots.find(m), m)
-    return list(seen.values())
+    def children(self, lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+        following = np.array([self.sets[k][depth] for k in range(lo, hi)])
+        cuts = np.flatnonzero(following[1:] != following[:-1]) + 1 + lo
+        return list(zip([lo, *cuts], [*cuts, hi]))
 
 
 def link_sets(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[int]:
     """For each set, the first set of its connected component. With ``left``,
     only links between the first ``left`` sets and the others are looked for.
-    Sets enter by rising size, so that a set meets those that came before."""
-    roots, tree = Roots(len(sets)), PrefixTree()
-    if left is None:
-        for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-            tree.link(i, sets[i], roots, percent)
-            tree.add(i, sets[i])
-    else:
-        for i in range(left):
-            tree.add(i, sets[i])
-        for i in range(left, len(sets)):
-            tree.link(i, sets[i], roots, percent)
-    return [roots.find(i) for i in range(len(sets))]
+
+    All sets walk the tree together. At a node, those still on the way count
+    how much of the edge they have (one count for all sets that begin like
+    this); a set leaves when even all that remains below wouldn't reach the
+    threshold, or when it is connected with every set below already."""
+    m = len(sets)
+    label = np.arange(m)
+    sizes = np.array([len(s) for s in sets])
+    # Shingles of one set alone overlap with nothing: only the others are walked.
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    name = np.cumsum(shared) - 1
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    short = [name[x[shared[x]]] for x in (number[a:b] for a, b in zip(begin[:-1], begin[1:]))]
+    tree = PrefixTree(short[:left], sizes[:left])
+    probes = np.arange(left or 0, m)
+    width = max(1, int(shared.sum()))
+    step = max(1, HELD // width)
+    for at in range(0, len(probes), step):
+        some = probes[at:at + step]
+        has = np.zeros((len(some), width), bool)
+        for row, p in enumerate(some):
+            has[row, short[p]] = True
+        _walk(tree, some, has, sizes, label, percent)
+    return label.tolist()
+
+
+def _walk(tree: PrefixTree, probes: np.ndarray, has: np.ndarray, sizes: np.ndarray, label: np.ndarray,
+          percent: int) -> None:
+    """Let ``probes`` walk the tree and merge the labels of sets that link."""
+    rows = np.arange(len(probes))
+    stack = [(0, len(tree.sets), 0, rows, np.zeros(len(probes), np.int64))]
+    while stack:
+        lo, hi, depth, rows, common = stack.pop()
+        below = label[tree.order[lo:hi]]
+        if (below == below[0]).all():
+            on = label[probes[rows]] != below[0]
+            rows, common = rows[on], common[on]
+        if not len(rows):
+            continue
+        edge = tree.edge(lo, hi, depth)
+        if len(edge):
+            common = common + has[np.ix_(rows, edge)].sum(axis=1)
+            depth += len(edge)
+        n = sizes[probes[rows]]
+        best = np.minimum(n, common + tree.length[lo:hi].max() - depth)
+        on = (100 + percent) * best >= percent * (n + tree.sizes[lo:hi].min())
+        rows, common, n = rows[on], common[on], n[on]
+        if not len(rows):
+            continue
+        ends = lo + int(np.searchsorted(tree.length[lo:hi] > depth, True))  # sets that end here come first
+        for k in range(lo, ends):
+            for p in probes[rows[(100 + percent) * common >= percent * (n + tree.sizes[k])]]:
+                a, b = label[p], label[tree.order[k]]
+                if a != b:
+                    label[label == max(a, b)] = min(a, b)
+        if ends < hi:
+            stack += [(x, y, depth, rows, common) for x, y in tree.children(ends, hi, depth)]
 
 
 # ---- Spark -----------------------------------------------------------------
