@@ -159,6 +159,8 @@ def link_sets(sets: list[np.ndarray], percent: int, left: int | None = None) ->
     threshold, or when it is connected with every set below already."""
     m = len(sets)
     label = np.arange(m)
+    if not m or left == 0:
+        return label.tolist()
     sizes = np.array([len(s) for s in sets])
     # Shingles of one set alone overlap with nothing: only the others are walked.
     _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
