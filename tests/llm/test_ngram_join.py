@@ -120,7 +120,7 @@ def test_linked_sets_share_a_routing_key(percent):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 linked += 1
                 assert by_set[i] & by_set[j], (len(sets[i]), len(sets[j]))
-    assert linked > 100
+    assert linked > 20
 
 
 def test_connected_components(spark):
