@@ -75,16 +75,17 @@ def shapes(t: T.Texts) -> np.ndarray:
 # ---- counts ----------------------------------------------------------------
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, shape = [], []
+        parts = []
         for lo, hi in T.slices(batch["text"]):
             t = T.Texts(batch["text"].slice(lo, hi - lo), lower=True)
-            keys.append(t.hashes())
-            shape.append(shapes(t))
-        if keys:
-            key, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            key, first, n = np.unique(t.hashes(), return_index=True, return_counts=True)
+            parts.append((key, shapes(t)[first].astype(np.int32), n))
+        if parts:
+            key, shape, n = (np.concatenate(x) for x in zip(*parts))
+            key, first, at = np.unique(key, return_index=True, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(T.signed(key)), pa.array(np.concatenate(shape)[first].astype(np.int32)), pa.array(n)],
-                ["word", "shape", "n"])
+                [pa.array(T.signed(key)), pa.array(shape[first]),
+                 pa.array(np.bincount(at, n, len(key)).astype(np.int64))], ["word", "shape", "n"])
 
 
 def count_words(train: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ U = np.uint64
 #: Odd multipliers of the two hash families.
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 #: Texts are handled in slices of about this many bytes.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _SEPARATOR = np.zeros(256, bool)
