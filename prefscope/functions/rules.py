@@ -122,19 +122,41 @@ def test_column(spec, raw: Column, low: Column) -> Column:
     raise ValueError(f"unknown rule test {kind!r}")
 
 
+def rule_number(prompt, rules=INSTRUCTION_RULES) -> Column:
+    """Index of the first rule whose trigger occurs in the lower prompt; null
+    when none does. It depends on the prompt alone, so it is worked out on the
+    prompt suite (a few rows) and joined to the responses with the prompt."""
+    p = F.lower(F.col(prompt) if isinstance(prompt, str) else prompt)
+    return F.coalesce(*[F.when(p.contains(trigger), F.lit(i)) for i, (trigger, _) in enumerate(rules)])
+
+
+def verdict_by_number(number, raw: Column, low: Column, rules=INSTRUCTION_RULES) -> Column:
+    """F1 for a known rule: the test of rule ``number`` on the response and on
+    its lower-cased, stripped form; false when there is no rule."""
+    n = F.col(number) if isinstance(number, str) else number
+    out = None
+    for i, (_, spec) in enumerate(rules):
+        val = F.coalesce(test_column(spec, raw, low), F.lit(False))
+        out = F.when(n == i, val) if out is None else out.when(n == i, val)
+    return out.otherwise(F.lit(False))
+
+
 def rule_verdict(prompt, response, rules=INSTRUCTION_RULES) -> Column:
     """verdict of the first rule whose trigger occurs in the lower
     prompt; false when none does. A null response counts as empty text."""
-    p = F.lower(F.col(prompt) if isinstance(prompt, str) else prompt)
     raw = F.coalesce(F.col(response) if isinstance(response, str) else response,
                      F.lit(""))
-    low = T.py_strip(F.lower(raw))
-    out = None
-    for trigger, spec in rules:
-        cond = p.contains(trigger)
-        val = F.coalesce(test_column(spec, raw, low), F.lit(False))
-        out = F.when(cond, val) if out is None else out.when(cond, val)
-    return out.otherwise(F.lit(False))
+    return verdict_by_number(rule_number(prompt, rules), raw, T.py_strip(F.lower(raw)), rules)
+
+
+def with_rule_verdict(df: DataFrame, number: str = "rule_number", response: str = "response",
+                      out: str = "correct", rules=INSTRUCTION_RULES) -> DataFrame:
+    """F1 on a table whose rows know their rule: the lowered response is
+    staged once, the dispatch compares a number."""
+    staged = df.withColumn("_raw", F.coalesce(response, F.lit(""))).withColumn(
+        "_low", T.py_strip(F.lower("_raw")))
+    return staged.withColumn(out, verdict_by_number(number, F.col("_raw"), F.col("_low"), rules)).drop(
+        "_raw", "_low")
 
 
 def instruction_ok(prompt, response, rules=INSTRUCTION_RULES) -> Column:

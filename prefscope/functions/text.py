@@ -38,9 +38,7 @@ NUMBER_PATTERN = r"-?[0-9][0-9,]*\.?[0-9]*"
 # The answer anchor: "####", optional whitespace, then a number (group 1).
 ANCHOR_PATTERN = "####" + WS_CLASS + "*(" + NUMBER_PATTERN + ")"
 # Chain-of-thought markers, case-insensitive, not word-anchored.
-COT_ALTERNATIVES = ("step" + WS_CLASS + "*[0-9]", "first,", "then,", "next,",
-                    "\\n[0-9]\\.")
-COT_PATTERN = "(?iu)(" + "|".join(COT_ALTERNATIVES) + ")"
+COT_PATTERN = "(?iu)(step" + WS_CLASS + r"*[0-9]|first,|then,|next,|\n[0-9]\.)"
 # Chat-template leakage markers, searched in the lower-cased text.
 COLLAPSE_MARKERS = ("user\n", "assistant\n", "<|im_start|>", "<|im_end|>")
 # Sentence terminators for sentence counting.
@@ -199,24 +197,28 @@ DEFAULT_WINNER = "Tie"
 DEFAULT_REASON = "No reason provided."
 
 
-def verdict_ok(raw) -> Column:
-    """The stripped text is one JSON object (what ``json.loads`` accepts and
-    ``.get`` can read)."""
-    s = py_strip(_c(raw))
-    return (F.coalesce(s.startswith("{") & s.endswith("}"), F.lit(False))
-            & F.try_parse_json(s).isNotNull())
+# What closes the array around a verdict text; see ``parse_verdict``.
+_CLOSING = "end-of-verdict"
+_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
 
 
 def parse_verdict(raw) -> Column:
     """Struct ``(ok, winner, reason)``; winner/reason default when absent,
-    null when the text is not a JSON object."""
+    null when the text is not one JSON object (what ``json.loads`` accepts and
+    ``.get`` can read). Of a repeated key the last counts.
+
+    The parser stops behind the first value, so the text is read as the first
+    of two elements of an array: text behind the object either breaks the
+    array or changes its length. Only then are the fields taken."""
     s = py_strip(_c(raw))
-    ok = verdict_ok(raw)
-    winner = F.coalesce(F.get_json_object(s, "$.winner"), F.lit(DEFAULT_WINNER))
-    reason = F.coalesce(F.get_json_object(s, "$.reason"), F.lit(DEFAULT_REASON))
-    return F.struct(ok.alias("ok"),
-                    F.when(ok, winner).alias("winner"),
-                    F.when(ok, reason).alias("reason"))
+    wrapped = F.concat(F.lit("["), s, F.lit(f',"{_CLOSING}"]'))
+    parts = F.from_json(wrapped, "array<string>", _JSON)
+    whole = F.coalesce(s.startswith("{") & s.endswith("}") & (F.size(parts) == 2)
+                       & (F.try_element_at(parts, F.lit(2)) == _CLOSING), F.lit(False))
+    fields = F.from_json(s, "winner string, reason string", _JSON)
+    return F.struct(whole.alias("ok"),
+                    F.when(whole, F.coalesce(fields["winner"], F.lit(DEFAULT_WINNER))).alias("winner"),
+                    F.when(whole, F.coalesce(fields["reason"], F.lit(DEFAULT_REASON))).alias("reason"))
 
 
 # D5 -------------------------------------------------------------------------

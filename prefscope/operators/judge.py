@@ -130,5 +130,8 @@ def win_rates(counts: DataFrame, valid=VALID_VERDICTS) -> DataFrame:
 
 # L3 ------------------------------------------------------------------------
 def judged(side_by_side: DataFrame, verdicts: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """L3: side-by-side responses with the winner and reason of each prompt."""
-    return side_by_side.join(verdicts.select(key, "winner", "reason"), key, "inner")
+    """L3: every prompt's side-by-side responses with winner and reason; a
+    prompt without a verdict has ``Error`` and the fixed reason."""
+    joined = side_by_side.join(verdicts.select(key, "winner", "reason"), key, "left")
+    return joined.withColumn("winner", F.coalesce("winner", F.lit(ERROR_WINNER))).withColumn(
+        "reason", F.coalesce("reason", F.lit(ERROR_REASON)))

@@ -8,16 +8,16 @@ so K1-K6 run end to end on the given tables.
 Scale notes:
 * Token and gram counts are partial aggregates (``groupBy(token).count()``);
   several corpora that are row subsets of one table are counted in one pass.
-* A count table whose row count (known from the fit) is under
-  ``BROADCAST_VOCAB_ROWS`` is broadcast: token rows are priced in place and
+* Count tables whose size in bytes (known from the fit) is, taken together,
+  under ``BROADCAST_BYTES`` are broadcast: token rows are priced in place and
   summed with one aggregate; several models are chained in the same pass.
 * A larger table is joined by shuffle after the token rows are reduced to
-  distinct (keys, token) with a multiplicity; tokens with a hot count (at
-  most ``HOT_SPLIT`` of them) are priced map-side from a broadcast table and
-  their rows get spread, never-matching join keys, so the one shuffle join
-  has no hot key and the input is read once.
-* A fit can ``checkpoint()`` its tables into ``spark.checkpoint.dir``
-  (``reliable=True``) so that a lost executor does not cost a recount.
+  distinct (keys, token) with a multiplicity; the ``HOT_SPLIT`` most frequent
+  keys of the scored rows, known to the corpus or not, are priced map-side
+  from a broadcast table and their rows get spread, never-matching join keys,
+  so the shuffle join has no hot key.
+* A fit writes its tables to ``spark.checkpoint.dir``, so a lost executor does
+  not cost a recount (``reliable=False`` keeps them on the executors).
 """
 
 from __future__ import annotations
@@ -30,11 +30,14 @@ from pyspark.sql import types as T
 
 from prefscope.functions.chat import (IM_END, close_sequence, last_content, message,
                                       render_chatml, truncate_tokens, whitespace_tokens)
-
-# A model whose count table has at most this many rows (a size known from
-# the fit) is joined by broadcast; beyond it the hot/cold split is used.
-BROADCAST_VOCAB_ROWS = 2_000_000
-# At most this many tokens are treated as hot (broadcast side of the split).
+from prefscope.operators.prep import legacy_prompt_messages
+
+# Count tables of up to this many bytes in all (a size known from the fit) are
+# joined by broadcast; beyond it the hot/cold split is used.
+BROADCAST_BYTES = 64_000_000
+# Bytes of a broadcast row besides its key.
+ROW_BYTES = 48
+# This many keys are treated as hot (broadcast side of the split).
 HOT_SPLIT = 10_000
 # Rows with a hot token are spread over this many join keys in the shuffle.
 HOT_SPREAD = 4096
@@ -48,7 +51,7 @@ class UnigramModel:
     counts: DataFrame  # (token, c)
     n_tokens: int
     vocab_size: int
-    n_types: int = 0  # rows of ``counts``
+    n_bytes: int = 0  # of ``counts``, when broadcast
 
     @property
     def denominator(self) -> float:
@@ -80,72 +83,83 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("token").agg(F.count(F.lit(1)).alias("c")))
 
 
+def _key_bytes(*keys: str) -> Column:
+    """Bytes that a table takes when broadcast: its keys and a fixed part a row."""
+    return F.sum(sum((F.octet_length(k) for k in keys), F.lit(ROW_BYTES)))
+
+
 def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
-              text_col: str = "text", reliable: bool = False):
+              text_col: str = "text", reliable: bool = True):
     """K7: fit the add-one model. ``vocab_size`` fixes the vocabulary shared
     by the compared models (pass the reference model's ``vocab_size``); by
     default the corpus's own vocabulary. ``n >= 2`` gives an ``NgramModel``.
 
-    The counts are persisted (they are read by every scoring join); the two
-    totals are one small aggregate job."""
+    The counts are kept (they are read by every scoring join); the totals are
+    one small aggregate job."""
     if n >= 2:
         return fit_ngram_n(texts, n, vocab_size, text_col, reliable)
     counts = _keep(token_counts(texts, text_col), reliable)
-    tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_tokens = int(tot["n"] or 0)
-    n_types = int(tot["v"])
-    v = n_types if vocab_size is None else int(vocab_size)
-    return UnigramModel(counts, n_tokens, v, n_types)
+    tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
+                     _key_bytes("token").alias("b")).first()
+    v = int(tot["v"]) if vocab_size is None else int(vocab_size)
+    return UnigramModel(counts, int(tot["n"] or 0), v, int(tot["b"] or 0))
 
 
 def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: str,
-                     n: int = 1, text_col: str = "text",
-                     reliable: bool = False) -> dict[str, UnigramModel]:
-    """K7 for several corpora that are row subsets of one table, in one pass:
+                     text_col: str = "text",
+                     reliable: bool = True) -> dict[str, UnigramModel]:
+    """Unigram K7 for several corpora that are row subsets of one table, in one pass:
     one scan and one ``groupBy(token)`` with a conditional count per corpus
     (``corpora`` maps a model name to a row predicate). All models share the
     vocabulary size of ``vocab_from``."""
-    if n != 1:
-        raise NotImplementedError("only the unigram model (n=1) is provided")
     names = list(corpora)
     flags = [F.coalesce(corpora[m], F.lit(False)).alias(f"_in{i}") for i, m in enumerate(names)]
     toks = texts.select(*flags, F.explode(whitespace_tokens(text_col)).alias("token"))
     wide = _keep(toks.groupBy("token").agg(
         *[F.count_if(F.col(f"_in{i}")).alias(f"c{i}") for i in range(len(names))]), reliable)
     tot = wide.agg(*[x for i in range(len(names)) for x in (
-        F.sum(f"c{i}").alias(f"n{i}"), F.count_if(F.col(f"c{i}") > 0).alias(f"v{i}"))]).first()
+        F.sum(f"c{i}").alias(f"n{i}"), F.count_if(F.col(f"c{i}") > 0).alias(f"v{i}"))],
+        _key_bytes("token").alias("b")).first()
     v = int(tot[f"v{names.index(vocab_from)}"])
     return {m: UnigramModel(wide.where(F.col(f"c{i}") > 0).select("token", F.col(f"c{i}").alias("c")),
-                            int(tot[f"n{i}"] or 0), v, int(tot[f"v{i}"]))
+                            int(tot[f"n{i}"] or 0), v, int(tot["b"] or 0))
             for i, m in enumerate(names)}
 
 
+def _same(keyed: DataFrame, other: DataFrame, pairs) -> Column:
+    out = None
+    for k, j in pairs:
+        t = keyed[k].eqNullSafe(other[j])
+        out = t if out is None else out & t
+    return out
+
+
 def _lookup(keyed: DataFrame, table: DataFrame, keys: list[str], value: str,
-            total: int, n_rows: int) -> DataFrame:
+            broadcast: bool) -> DataFrame:
     """Left-join ``table`` (keys -> value) onto ``keyed``.
 
-    A table whose row count (known from the fit) is at most
-    ``BROADCAST_VOCAB_ROWS`` is broadcast. A larger one is split by value: the
-    hot rows (value at least ``total / HOT_SPLIT``, so at most ``HOT_SPLIT``
-    of them since values sum to ``total``) are broadcast and joined map-side;
-    in the same pass the input rows that found a hot value get a join key
-    spread over ``HOT_SPREAD`` never-matching values, so the one shuffle join
-    with the cold rows sees no hot key and the input is read once."""
-    if n_rows <= BROADCAST_VOCAB_ROWS:
+    A table of checked size is broadcast. For a larger one the ``HOT_SPLIT``
+    most frequent keys of ``keyed`` itself (so also keys that the table does
+    not have) get their values first, from a broadcast table of that many
+    rows; their rows then go through the shuffle join under one of
+    ``HOT_SPREAD`` keys that match nothing, so no partition gets a hot key."""
+    if broadcast:
         return keyed.join(F.broadcast(table.select(*keys, value)), keys, "left")
-    hot_min = max(1, total // HOT_SPLIT)
-    hot = table.where(F.col(value) >= hot_min).select(*keys, F.col(value).alias("_hot"))
-    tagged = keyed.join(F.broadcast(hot), keys, "left")
-    spread = F.concat(F.lit("\u0000"), (F.abs(F.xxhash64(*[F.col(c) for c in tagged.columns]))
-                                         % HOT_SPREAD).cast("string"))
+    names = [f"_hk{i}" for i in range(len(keys))]
+    often = (keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+             .orderBy(F.desc("_n"), *keys).limit(HOT_SPLIT).select(*keys))
+    hot = often.join(table.select(*keys, F.col(value).alias("_hot_value")), keys, "left").select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], "_hot_value", F.lit(True).alias("_hot"))
+    tagged = keyed.join(F.broadcast(hot), _same(keyed, hot, zip(keys, names)), "left").drop(*names)
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*[F.col(c) for c in tagged.columns]),
+                                              F.lit(HOT_SPREAD)).cast("string"))
     jk = [f"_jk{i}" for i in range(len(keys))]
-    join_cols = [(F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(k)) if i == 0
+    join_cols = [(F.when(F.col("_hot"), spread).otherwise(F.col(k)) if i == 0
                   else F.col(k)).alias(j) for i, (k, j) in enumerate(zip(keys, jk))]
-    cold = table.where(F.col(value) < hot_min).select(
-        *[F.col(k).alias(j) for k, j in zip(keys, jk)], F.col(value).alias("_cold"))
+    cold = table.select(*[F.col(k).alias(j) for k, j in zip(keys, jk)], F.col(value).alias("_cold"))
     return (tagged.select("*", *join_cols).join(cold, jk, "left")
-            .withColumn(value, F.coalesce(F.col("_hot"), F.col("_cold")))
-            .drop("_hot", "_cold", *jk))
+            .withColumn(value, F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col("_cold")))
+            .drop("_hot", "_hot_value", "_cold", *jk))
 
 
 def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") -> DataFrame:
@@ -153,7 +167,7 @@ def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") ->
     if model.n_tokens == 0:
         return keyed.withColumn("c", F.lit(None).cast("long"))
     return _lookup(keyed, model.counts.withColumnRenamed("token", token), [token], "c",
-                   model.n_tokens, model.n_types)
+                   _broadcastable(model))
 
 
 # ---------------------------------------------------------------------------
@@ -174,8 +188,7 @@ class NgramModel:
     contexts: DataFrame  # (ctx, c_ctx)
     n_tokens: int
     vocab_size: int
-    n_grams: int
-    n_contexts: int
+    n_bytes: int  # of both tables, when broadcast
 
     def unpersist(self) -> None:
         self.grams.unpersist()
@@ -214,24 +227,24 @@ def _token_structs(tokens: Column) -> Column:
 
 
 def fit_ngram_n(texts: DataFrame, n: int, vocab_size: int | None = None,
-                text_col: str = "text", reliable: bool = False) -> NgramModel:
+                text_col: str = "text", reliable: bool = True) -> NgramModel:
     """K7 for n >= 2: gram counts (partial aggregate per (ctx, token)) and
-    context totals derived from them; both persisted."""
+    context totals derived from them; both kept. The vocabulary is counted by
+    a plain aggregate of its own (two distinct counts in one aggregate would
+    multiply every gram row)."""
     rows = texts.select(F.inline(with_context(_token_structs(whitespace_tokens(text_col)), n)))
     grams = _keep(rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")), reliable)
     contexts = _keep(grams.groupBy("ctx").agg(F.sum("c").alias("c_ctx")), reliable)
-    g = grams.agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n"),
-                  F.count_distinct("token").alias("v"),
-                  F.count_distinct("ctx").alias("nc")).first()
-    nc = int(g["nc"])
-    v = int(g["v"]) if vocab_size is None else int(vocab_size)
-    return NgramModel(n, grams, contexts, int(g["n"] or 0), v, int(g["g"]), nc)
+    g = grams.agg(F.sum("c").alias("n"), _key_bytes("ctx", "token").alias("b")).first()
+    cx = contexts.agg(_key_bytes("ctx").alias("b")).first()
+    v = grams.select("token").distinct().count() if vocab_size is None else int(vocab_size)
+    return NgramModel(n, grams, contexts, int(g["n"] or 0), v, int(g["b"] or 0) + int(cx["b"] or 0))
 
 
 def _price_ngram(keyed: DataFrame, model: NgramModel) -> DataFrame:
     """Adds ``logp`` to rows keyed by (ctx, token)."""
-    j = _lookup(keyed, model.grams, ["ctx", "token"], "c", model.n_tokens, model.n_grams)
-    j = _lookup(j, model.contexts, ["ctx"], "c_ctx", model.n_tokens, model.n_contexts)
+    j = _lookup(keyed, model.grams, ["ctx", "token"], "c", _broadcastable(model))
+    j = _lookup(j, model.contexts, ["ctx"], "c_ctx", _broadcastable(model))
     return j.withColumn("logp", F.ln(
         (F.coalesce(F.col("c"), F.lit(0)).cast("double") + F.lit(1.0))
         / (F.coalesce(F.col("c_ctx"), F.lit(0)).cast("double") + F.lit(float(model.vocab_size)))))
@@ -247,10 +260,9 @@ def _key_cols(model) -> list[str]:
     return ["ctx", "token"] if isinstance(model, NgramModel) else ["token"]
 
 
-def _broadcastable(model) -> bool:
-    if isinstance(model, NgramModel):
-        return max(model.n_grams, model.n_contexts) <= BROADCAST_VOCAB_ROWS
-    return model.n_types <= BROADCAST_VOCAB_ROWS
+def _broadcastable(*models) -> bool:
+    """Whether the tables of all these models together may be broadcast."""
+    return sum(m.n_bytes for m in models) <= BROADCAST_BYTES
 
 
 def score_tokens(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
@@ -285,7 +297,7 @@ def sequence_sums_multi(tokens: DataFrame, models: dict, keys: list[str]) -> Dat
     each count table in a chain of map-side joins and one aggregate sums all
     models; otherwise each model is summed on its own and the results are
     joined on the keys."""
-    if all(isinstance(m, UnigramModel) and _broadcastable(m) for m in models.values()):
+    if all(isinstance(m, UnigramModel) for m in models.values()) and _broadcastable(*models.values()):
         t = tokens.select(*keys, "token")
         for name, m in models.items():
             t = t.join(F.broadcast(m.counts.select("token", F.col("c").alias(f"_c_{name}"))),
@@ -297,10 +309,16 @@ def sequence_sums_multi(tokens: DataFrame, models: dict, keys: list[str]) -> Dat
     out = None
     for name, m in models.items():
         x = sequence_sums(tokens, m, keys).withColumnRenamed("logp_sum", f"logp_sum_{name}")
-        out = x if out is None else out.join(x.drop("n_tokens"), keys)
+        out = x if out is None else _join_keys(out, x.drop("n_tokens"), keys)
     return out
 
 
+def _join_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null (as grouping has them)."""
+    b = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(b, _same(a, b, [(k, f"_r_{k}") for k in keys])).drop(*[f"_r_{k}" for k in keys])
+
+
 # K1 ------------------------------------------------------------------------
 def sequence_logp(token_logps: DataFrame, keys=("seq_id",)) -> DataFrame:
     """K1: completion log-prob = sum of token log-probs outside the prompt."""
@@ -314,17 +332,22 @@ def completion_tokens(pairs: DataFrame, side: str, id_col: str = "pair_id",
                       end: str = IM_END, n: int = 1) -> DataFrame:
     """(pair_id, side, pos, token, is_prompt[, ctx]) for one side of each
     pair: the prompt rendered with the chat template and the generation tail
-    (a text prompt is one user message), masked; then the completion - the
-    last message's content when the side is a message list - closed with the
+    (a text prompt is one user message; without a ``prompt`` column the legacy
+    ``system`` / ``input`` / ``question`` columns, D3), masked; then the
+    completion - the last message's content when the side is a message list - closed with the
     end token (D9). With ``n >= 2`` each token carries its context, which for
     the first completion tokens reaches into the prompt."""
     types = {f.name: f.dataType for f in pairs.schema.fields}
-    prompt_msgs = (F.col("prompt") if isinstance(types["prompt"], T.ArrayType)
-                   else F.array(message("user", F.col("prompt").cast("string"))))
+    if "prompt" not in types:
+        prompt_msgs = legacy_prompt_messages(pairs)
+    elif isinstance(types["prompt"], T.ArrayType):
+        prompt_msgs = F.col("prompt")
+    else:
+        prompt_msgs = F.array(message("user", F.col("prompt").cast("string")))
     completion = (last_content(side) if isinstance(types[side], T.ArrayType)
                   else F.col(side).cast("string"))
     p = whitespace_tokens(render_chatml(prompt_msgs, True))
-    c = close_sequence(whitespace_tokens(completion), end)
+    c = close_sequence(whitespace_tokens(F.coalesce(completion, F.lit(""))), end)
     seq = F.concat(
         F.transform(p, lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_prompt"))),
         F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_prompt"))))
@@ -399,7 +422,7 @@ def pair_logps_multi(pairs: DataFrame, models: dict, id_col: str = "pair_id") ->
         out = None
         for name, m in models.items():
             x = pair_logps(pairs, m, id_col, prefix=f"{name}_")
-            out = x if out is None else out.join(x, id_col)
+            out = x if out is None else _join_keys(out, x, [id_col])
         return out
     toks = completion_tokens(pairs, "chosen", id_col).unionByName(
         completion_tokens(pairs, "rejected", id_col)).where(~F.col("is_prompt"))
@@ -451,16 +474,18 @@ def dpo_loss(margins: DataFrame) -> DataFrame:
 
 # K6 ------------------------------------------------------------------------
 def fill_failed(pair_ids: DataFrame, logps: DataFrame, on: str = "pair_id",
-                cols=("pol_chosen", "pol_rejected", "ref_chosen", "ref_rejected")) -> DataFrame:
-    """K6: every pair gets log-probs; a pair whose scoring failed (no row or
-    a null value) gets 0.0 on both sides, with ``failed`` set."""
+                models=("pol", "ref")) -> DataFrame:
+    """K6: every pair gets log-probs. A model whose scoring of a pair failed
+    (no row, or a null on either side) gets 0.0 on both sides of that pair and
+    ``<model>_failed``; the other model's values stay. ``failed``: any did."""
     j = pair_ids.select(on).join(logps, on, "left")
-    failed = None
-    for c in cols:
-        t = F.col(c).isNull()
-        failed = t if failed is None else (failed | t)
-    return j.select(on, *[F.when(failed, F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in cols],
-                    failed.alias("failed"))
+    cols, any_failed = [], F.lit(False)
+    for m in models:
+        failed = F.col(f"{m}_chosen").isNull() | F.col(f"{m}_rejected").isNull()
+        cols += [F.when(failed, F.lit(0.0)).otherwise(F.col(c)).alias(c)
+                 for c in (f"{m}_chosen", f"{m}_rejected")] + [failed.alias(f"{m}_failed")]
+        any_failed = any_failed | failed
+    return j.select(on, *cols, any_failed.alias("failed"))
 
 
 # H8 ------------------------------------------------------------------------

@@ -3,14 +3,12 @@ and seeded ordering / sampling (J1-J5).
 
 Design notes for scale:
 * Conversation statistics (turn count, characters) are partial aggregates,
-  so a conversation with a huge share of all rows costs nothing special;
-  message arrays are only built for conversations that passed the turn cap,
-  so every collected group is bounded by ``max_turns``.
+  so a conversation with a huge share of all rows costs nothing special.
 * The seeded order is ``md5(seed:id)``: independent of partitioning, equal in
   DuckDB, and stable under recomputation after an executor loss.
-* Samples order only ``(id, key)`` (TakeOrderedAndProject: a per-partition
-  top-n before one small merge), then join wide rows back by id; the
-  broadcast side is the sample itself, bounded by ``n``.
+* Samples and "first n" find the n-th key among narrow ``(key, id)`` rows,
+  then filter the wide rows by that one key: no join back (a repeated id does
+  not multiply rows), no sort of wide rows, no task that holds n rows.
 """
 
 from __future__ import annotations
@@ -20,9 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefscope.functions.chat import last_content, message, render_chatml
-
-# Samples up to this many rows are broadcast when joined back to their rows.
-BROADCAST_SAMPLE_ROWS = 2_000_000
+from prefscope.session import ensure_checkpoint_dir
 
 
 # ---------------------------------------------------------------------------
@@ -37,10 +33,11 @@ def conversation_stats(long_df: DataFrame) -> DataFrame:
 
 
 def conversations_to_messages(long_df: DataFrame, max_turns: int | None = None) -> DataFrame:
-    """(conv_id, messages) with messages in turn order. Collects one group per
-    conversation; with ``max_turns`` only conversations of at most that many
-    turns are collected (their turn counts are a partial aggregate joined
-    back first), so every collected group is bounded."""
+    """(conv_id, messages) with messages in turn order: a message list is one
+    value, so a conversation's messages meet in one task. With ``max_turns``
+    (C1's filter, where that is wanted) only conversations of at most that many
+    turns are collected; their turn counts are a partial aggregate joined back
+    first."""
     if max_turns is not None:
         ok = conversation_stats(long_df).where(F.col("n_turns") <= max_turns)
         long_df = long_df.join(ok.select("conv_id"), "conv_id", "left_semi")
@@ -221,7 +218,8 @@ def with_model_prompt(df: DataFrame, prompt: str = "prompt", is_chat: str = "is_
 # J1-J5
 # ---------------------------------------------------------------------------
 def shuffle_key(id_col: str, seed: int = 42) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    """md5 of ``seed:id``; a null id counts as the text ``null``."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
 
 
 def seeded_order(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
@@ -230,59 +228,74 @@ def seeded_order(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
         "shuffle_key", id_col)
 
 
-def _top_ids(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    keyed = df.select(id_col, shuffle_key(id_col, seed).alias("shuffle_key"))
-    return keyed.orderBy("shuffle_key", id_col).limit(n)
-
-
-def _join_back(df: DataFrame, ids: DataFrame, id_col: str, n: int) -> DataFrame:
-    small = F.broadcast(ids) if n <= BROADCAST_SAMPLE_ROWS else ids
-    return df.join(small, id_col, "inner")
+def _first_rows(df: DataFrame, order: list[str], n: int, name: str,
+                need: bool = False, what: str = "") -> DataFrame:
+    """The first n rows in ``order``, with their 0-based position ``name``.
+
+    The n-th key comes from the narrow rows of ``order`` alone and is one row
+    on the driver; the wide rows up to that key are then numbered. Rows of
+    equal keys are told apart by a hash of the whole row, so which of them are
+    among the n does not depend on partitions. With ``need`` fewer than n rows
+    are an error."""
+    if n <= 0:
+        return df.limit(0).withColumn(name, F.lit(None).cast("long"))
+    at = with_position(df.select(*order), order, "_pos").where(F.col("_pos") == n - 1).select(*order).first()
+    if at is None and need:
+        raise ValueError(f"{what}: need {n} rows, the pool has {df.count()}")
+    upto = df if at is None else df.where(_not_after(order, at))
+    tie = upto.withColumn("_tie", F.xxhash64(*upto.columns))
+    return with_position(tie, [*order, "_tie"], name).where(F.col(name) < n).drop("_tie")
+
+
+def _not_after(order: list[str], at) -> Column:
+    """(order columns) <= (the values ``at``), nulls first as ``orderBy`` has them."""
+    out = F.lit(True)
+    for c in reversed(order):
+        v = at[c]
+        if v is None:
+            out = F.col(c).isNull() & out
+        else:
+            out = F.col(c).isNull() | (F.col(c) < F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
+    return F.coalesce(out, F.lit(False))
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """At most n rows of the seeded order, with their 1-based rank."""
-    ids = _top_ids(df, id_col, n, seed)
-    ranked = ids.withColumn(
-        "sample_rank",
-        F.row_number().over(Window.orderBy("shuffle_key", id_col)).cast("long"))
-    return _join_back(df, ranked, id_col, n)
-
-
-def _require_rows(df: DataFrame, need: int, what: str) -> DataFrame:
-    """Materialise a bounded frame once and fail when it is short."""
-    df = df.cache()
-    have = df.count()
-    if have < need:
-        raise ValueError(f"{what}: need {need} rows, the pool has {have}")
-    return df
+    """At most n rows of the seeded order, with their 1-based rank. Rows
+    that repeat an id follow one another in the order and count one by one."""
+    keyed = df.withColumn("shuffle_key", shuffle_key(id_col, seed))
+    return _first_rows(keyed, ["shuffle_key", id_col], n, "_pos").withColumn(
+        "sample_rank", F.col("_pos") + 1).drop("_pos")
 
 
 def train_eval_split(df: DataFrame, id_col: str, n_train: int, n_eval: int,
                      seed: int = 42) -> DataFrame:
     """Disjoint slices [0, n_train) and [n_train, n_train + n_eval) of the
     seeded order; a pool smaller than n_train + n_eval is an error."""
-    need = n_train + n_eval
-    ids = _require_rows(_top_ids(df, id_col, need, seed), need, "train_eval_split")
-    ranked = ids.withColumn(
-        "sample_rank",
-        F.row_number().over(Window.orderBy("shuffle_key", id_col)).cast("long"))
-    ranked = ranked.withColumn(
-        "split", F.when(F.col("sample_rank") <= n_train, "train").otherwise("eval"))
-    return _join_back(df, ranked, id_col, need)
+    keyed = df.withColumn("shuffle_key", shuffle_key(id_col, seed))
+    first = _first_rows(keyed, ["shuffle_key", id_col], n_train + n_eval, "_pos", True, "train_eval_split")
+    return first.withColumn("sample_rank", F.col("_pos") + 1).withColumn(
+        "split", F.when(F.col("_pos") < n_train, "train").otherwise("eval")).drop("_pos")
 
 
 def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
     """The first n rows in ``order_col`` order; fewer rows is an error."""
-    return _require_rows(df.orderBy(order_col).limit(n), n, "first_n")
+    return _first_rows(df, [order_col], n, "_pos", True, "first_n").drop("_pos")
 
 
 def preview(df: DataFrame, n: int = 10, partition_col: str = "model",
             order_col: str = "idx") -> DataFrame:
-    """First n rows per partition value. Spark plans this as a
-    WindowGroupLimit, applied before the shuffle as well as after it."""
+    """First n rows per partition value. The n-th key of each partition
+    value comes from narrow rows (a WindowGroupLimit, applied before the
+    shuffle as well as after it); wide rows beyond it are dropped before they
+    are ranked."""
+    narrow = df.select(F.col(partition_col).alias("_p"), F.col(order_col).alias("_o"))
+    w = Window.partitionBy("_p").orderBy("_o")
+    last = (narrow.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+            .groupBy("_p").agg(F.max("_o").alias("_last")))
+    near = df.join(last, F.col(partition_col).eqNullSafe(F.col("_p")) & (
+        F.col(order_col).isNull() | (F.col(order_col) <= F.col("_last")))).drop("_p", "_last")
     w = Window.partitionBy(partition_col).orderBy(order_col)
-    return (df.withColumn("_rn", F.row_number().over(w))
+    return (near.withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= n).drop("_rn"))
 
 
@@ -290,21 +303,21 @@ def with_position(df: DataFrame, order_cols: list[str], name: str = "idx") -> Da
     """Dense 0-based position in ``order_cols`` order (the item index the
     harness gets from ``enumerate``), without a window over all rows.
 
-    Rows are range-partitioned and sorted within partitions on the (unique)
-    order key; ``monotonically_increasing_id`` then holds (partition, row in
-    partition). Per-partition counts form a table with one row per partition
-    (a proven bound), whose running sum is broadcast back as each partition's
-    offset. The range bounds come from Spark's seeded sampling and the key is
-    unique, so a recomputed partition gets the same positions."""
-    mask = (1 << 33) - 1
-    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_part", F.shiftright(F.col("_mid"), 33)) \
-                   .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(mask)))
+    Rows are range-partitioned on the key and checkpointed with the number of
+    their partition, so the ranges are drawn once: counts and positions read
+    the same partitions, whatever AQE makes of either plan, and a lost
+    executor costs nothing. Counts per partition (one row each) give every
+    partition's first position; rows are numbered within their partition.
+    Rows of equal keys follow one another in any order."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*order_cols)
+              .withColumn("_part", F.spark_partition_id()).checkpoint())
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(
+    first = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(
         Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_off") + F.col("_row")).cast("long"))
-            .drop("_mid", "_part", "_row", "_off"))
+        F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_part").orderBy(*order_cols)
+    return (ranged.withColumn("_row", F.row_number().over(within) - 1)
+            .join(F.broadcast(first), F.col("_part") == F.col("_p"))
+            .withColumn(name, (F.col("_first") + F.col("_row")).cast("long"))
+            .drop("_part", "_row", "_p", "_first"))

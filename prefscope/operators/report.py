@@ -18,12 +18,19 @@ FALLBACK = {"Base": ("Base",), "SFT": ("SFT", "Base"), "DPO": ("DPO", "SFT", "Ba
 # G1 ------------------------------------------------------------------------
 def side_by_side(responses: DataFrame, keys: Sequence[str] = ("item_id",),
                  models: Sequence[str] = MODELS, model: str = "model",
-                 value: str = "response") -> DataFrame:
+                 value: str = "response", order: str | None = None) -> DataFrame:
     """G1: one row per item, one column per model. A pivot with a fixed value
-    list is one aggregation shuffle (and no extra distinct job). A duplicated
-    (item, model) resolves to the largest value, the same on every run (an
-    arbitrary ``first`` would depend on partitioning)."""
-    return responses.groupBy(*keys).pivot(model, list(models)).agg(F.max(value))
+    list is one aggregation shuffle (and no extra distinct job). Of a repeated
+    (item, model) the last in ``order`` stays, as in a dict that is written
+    again; without an order column a repetition is an error at run time."""
+    if order is not None:
+        return responses.groupBy(*keys).pivot(model, list(models)).agg(F.max_by(value, order))
+    one = responses.groupBy(*keys).pivot(model, list(models)).agg(
+        F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    repeated = F.raise_error(F.lit("side_by_side: an item has a model's response twice; pass order="))
+    return one.select(*keys, *[
+        F.when(F.col(f"{m}_n") > 1, repeated.cast(responses.schema[value].dataType))
+        .otherwise(F.col(f"{m}_v")).alias(m) for m in models])
 
 
 # G4 / D8 -------------------------------------------------------------------
@@ -73,8 +80,7 @@ def identical_pct(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("idx",),
         b.select(*keys, F.col(value).alias("_b")), list(keys), "full")
     agg = j.agg(
         F.count("_a").alias("n_a"), F.count("_b").alias("n_b"),
-        F.count_if(F.col("_a") == F.col("_b")).alias("n_equal"),
-        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"))
+        F.count_if(F.col("_a") == F.col("_b")).alias("n_equal"))
     ok = (F.col("n_a") == F.col("n_b")) & (F.col("n_a") > 0)
     return agg.select(
         "n_a", "n_b", "n_equal", ok.alias("comparable"),
@@ -82,16 +88,18 @@ def identical_pct(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("idx",),
         .alias("identical_pct"))
 
 
-def identical_pcts(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def identical_pcts(wide: DataFrame, pairs: Sequence[tuple[str, str]],
+                   by: Sequence[str] = ()) -> DataFrame:
     """H5 for several model pairs at once, from a side-by-side table (G1:
     one row per position, one column per model): one aggregate over the
-    already-pivoted rows instead of a join per pair. Returns (model_a,
+    already-pivoted rows instead of a join per pair, for each value of ``by``
+    (G2: the task, when positions are (task, idx)). Returns (by, model_a,
     model_b, n_a, n_b, n_equal, comparable, identical_pct)."""
     aggs = []
     for i, (a, b) in enumerate(pairs):
         aggs += [F.count(a).alias(f"a{i}"), F.count(b).alias(f"b{i}"),
                  F.count_if(F.col(a) == F.col(b)).alias(f"e{i}")]
-    counts = wide.agg(*aggs)
+    counts = wide.groupBy(*by).agg(*aggs)
     rows = []
     for i, (a, b) in enumerate(pairs):
         na, nb, ne = F.col(f"a{i}"), F.col(f"b{i}"), F.col(f"e{i}")
@@ -100,7 +108,7 @@ def identical_pcts(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
             F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), na.alias("n_a"), nb.alias("n_b"),
             ne.alias("n_equal"), ok.alias("comparable"),
             F.when(ok, F.lit(100.0) * ne / na).otherwise(F.lit(0.0)).alias("identical_pct")))
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.select(*by, F.inline(F.array(*rows)))
 
 
 # H9 ------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefscope.functions import text as T
-from prefscope.functions.rules import INSTRUCTION_RULES, rule_verdict
+from prefscope.functions.rules import INSTRUCTION_RULES, rule_number, with_rule_verdict
 
 
 def pct(cond: Column) -> Column:
@@ -52,14 +52,16 @@ def cot_rate(scored: DataFrame, by: str = "model") -> DataFrame:
 # F1 / F2 / H1 --------------------------------------------------------------
 def score_instructions(df: DataFrame, prompt: str = "prompt", response: str = "response",
                        rules=INSTRUCTION_RULES) -> DataFrame:
-    """Adds correct (F1), collapse (E3), repetition (E2) and ok (F2)."""
+    """Adds correct (F1), collapse (E3), repetition (E2) and ok (F2). Rows that
+    carry ``rule_number`` (worked out on the suite) are dispatched by it."""
+    known = "rule_number" in df.columns
+    numbered = df if known else df.withColumn("rule_number", rule_number(prompt, rules))
+    scored = with_rule_verdict(numbered, "rule_number", response, "correct", rules)
     resp = F.coalesce(F.col(response), F.lit(""))
-    return df.select(
-        "*",
-        rule_verdict(prompt, resp, rules).alias("correct"),
-        T.has_chat_collapse(resp).alias("collapse"),
-        T.has_repetition(resp).alias("repetition"),
-    ).withColumn("ok", F.col("correct") & ~F.col("collapse") & ~F.col("repetition"))
+    scored = scored.select("*", T.has_chat_collapse(resp).alias("collapse"),
+                           T.has_repetition(resp).alias("repetition"))
+    scored = scored.withColumn("ok", F.col("correct") & ~F.col("collapse") & ~F.col("repetition"))
+    return scored if known else scored.drop("rule_number")
 
 
 def instruction_accuracy(scored: DataFrame, by: str = "model") -> DataFrame:
@@ -72,21 +74,20 @@ def instruction_accuracy(scored: DataFrame, by: str = "model") -> DataFrame:
 # I1 ------------------------------------------------------------------------
 def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
                      idx: str = "idx", flag: str = "correct",
-                     fanout: int = 4096, dense: bool = True) -> DataFrame:
+                     fanout: int = 4096, dense: bool = False) -> DataFrame:
     """Accuracy so far, reported before items idx = every, 2*every, ...
-    (prior items only, divided by idx as the harness does). ``idx`` is the
-    dense 0-based item position.
+    (prior items only, divided by idx as the harness does). ``idx`` is any
+    unique item order key: each model's items are first numbered 0, 1, 2, ...
+    in that order (``with_position``), and the output ``idx`` is that number.
+    With ``dense=True`` the caller states that ``idx`` is this number already,
+    and numbering is left out.
 
     A window ordered over every item of a model would put the whole model in
     one task. Instead: per-bucket sums (bucket = idx div every, a partial
     aggregate), then an exact two-level prefix sum: buckets are grouped in
     blocks of ``fanout``; block totals (n / (every * fanout) rows per model)
     get a running sum, and buckets get a running sum inside their block,
-    whose windows are partitioned by (model, block).
-
-    With ``dense=False`` ``idx`` is any unique item order key; each model's
-    items are first numbered 0, 1, 2, ... in that order (``with_position``)
-    and the output ``idx`` is that position."""
+    whose windows are partitioned by (model, block)."""
     if not dense:
         from prefscope.operators.prep import with_position
         scored = with_position(scored.withColumnRenamed(idx, "_key"), [by, "_key"], "_gpos")
@@ -116,30 +117,22 @@ def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
 
 # H4 ------------------------------------------------------------------------
 def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: DataFrame,
-                  n_qa_samples: int = 10, n_instr_samples: int = 25, by: str = "model",
-                  qa_order: str = "idx", instr_order: str = "idx",
+                  n_qa_samples: int = 10, by: str = "model", qa_order: str = "idx",
                   with_samples: bool = True) -> DataFrame:
-    """H4: one row per model with the four metrics and the sample arrays
-    (``qa_scored`` is ``score_qa`` output, which keeps ``answer``)
-    (the first ``n_instr_samples`` instruction samples - the whole 25-prompt
-    suite in the harness - and the first ``n_qa_samples`` QA samples).
-
-    Sample arrays are built from a per-model top-n (WindowGroupLimit, applied
-    before the shuffle), so each collected group holds at most n rows.
-    ``with_samples=False`` leaves them out (a comparison table needs only the
-    metrics, and unused full-outer-join branches are not pruned by Spark)."""
+    """H4: one row per model with the four metrics, the number of instruction
+    samples and the first ``n_qa_samples`` QA samples (``qa_scored`` is
+    ``score_qa`` output, which keeps ``answer``; the cut is the harness's own).
+    The instruction samples, of which all are kept, are the long table of
+    ``instruction_samples``: an array per model would grow with the responses.
+    ``with_samples=False`` leaves the samples out (a comparison table needs only
+    the metrics, and unused full-outer-join branches are not pruned by Spark)."""
     from prefscope.operators.prep import preview
-    instr = instruction_accuracy(instr_scored, by).drop("n")
+    instr = instruction_accuracy(instr_scored, by).withColumnRenamed("n", "n_instr_samples")
     qa = qa_accuracy(qa_scored, by).drop("n")
     metrics = perplexity.join(instr, by, "full").join(qa, by, "full")
+    names = [by, "perplexity", "instruction_following_acc_pct", "gsm8k_acc_pct", "cot_presence_pct"]
     if not with_samples:
-        return metrics.select(by, "perplexity", "instruction_following_acc_pct",
-                              "gsm8k_acc_pct", "cot_presence_pct")
-    instr_samples = preview(instr_scored, n_instr_samples, by, instr_order).groupBy(by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(
-            F.col(instr_order).alias("o"), F.col("prompt"), F.col("response")))),
-            lambda s: F.struct(s.getField("prompt").alias("prompt"),
-                               s.getField("response").alias("response"))).alias("instr_samples"))
+        return metrics.select(*names)
     # Gold and prediction are re-derived after the per-model top-n, so the
     # regex work of this branch covers n rows per model, not every response.
     top = preview(qa_scored.select(by, qa_order, "question", "answer", "response"),
@@ -154,6 +147,9 @@ def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: Dat
                                s.getField("gold").alias("gold"),
                                s.getField("pred").alias("pred"),
                                s.getField("response").alias("response"))).alias("gsm8k_samples"))
-    return (metrics.join(instr_samples, by, "full").join(samples, by, "full")
-            .select(by, "perplexity", "instruction_following_acc_pct", "gsm8k_acc_pct",
-                    "cot_presence_pct", "instr_samples", "gsm8k_samples"))
+    return metrics.join(samples, by, "full").select(*names, "n_instr_samples", "gsm8k_samples")
+
+
+def instruction_samples(instr_scored: DataFrame, by: str = "model", order: str = "idx") -> DataFrame:
+    """The instruction samples of H4, all of them: (model, idx, prompt, response)."""
+    return instr_scored.select(by, order, "prompt", "response")

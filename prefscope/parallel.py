@@ -4,27 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# A scan is spread over at most this many times its own split count.
+# Only a scan of up to this many splits is spread, and over at most this many
+# times its splits.
+SPREAD_SPLITS = 8
 SPREAD_FACTOR = 8
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Rebalance a scan that yields fewer partitions than the cluster has
-    task slots (e.g. a file written as one row group, which Spark cannot
-    split). The text scoring after the scan is CPU-bound, so it would
-    otherwise run in one task. The fan-out is capped at ``SPREAD_FACTOR``
-    times the scan's own split count, so a small table on a large cluster
-    does not turn into thousands of empty tasks; a large input already has
-    many splits, and then ``df`` is returned unchanged (no shuffle at scale).
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan of a few files that Spark cannot split (one row group
+    each) over the cluster's task slots: the text scoring behind it would
+    otherwise run in one task. Any larger scan is returned unchanged, on
+    whatever cluster; its split size is set by row groups and
+    ``spark.sql.files.maxPartitionBytes``.
 
     The round-robin repartition sorts rows before distributing them, so a
     recomputed partition after an executor loss gets the same rows."""
-    try:
-        slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
-        return df
-    target = min(slots, SPREAD_FACTOR * max(n, 1))
-    if n < target:
+    n = df.rdd.getNumPartitions()
+    target = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_FACTOR * max(n, 1))
+    if n <= SPREAD_SPLITS and n < target:
         return df.repartition(target)
     return df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefscope.functions.chat import whitespace_tokens
-from prefscope.functions.rules import INSTRUCTION_PROMPTS
+from prefscope.functions.rules import INSTRUCTION_PROMPTS, rule_number
 from prefscope.operators import prep
 from prefscope.parallel import spread
 from prefscope.sources.readers import prompt_suite
@@ -22,22 +22,9 @@ MODELS = ("Base", "SFT", "DPO")
 MODEL_OFFSETS = (("Base", 0), ("SFT", 1), ("DPO", 2))
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, rebalanced when Spark cannot split it. The DataFrame
-    (a plan, no data) is kept per session and path, so footers are read and
-    splits counted once per table, not once per reference."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - no SparkContext view (e.g. Spark Connect)
-        app = str(id(spark))
-    key = (app, path)
-    if key not in _TABLES:
-        _TABLES[key] = spread(spark.read.parquet(path))
-    return _TABLES[key]
+    """A given table, rebalanced when Spark cannot split it."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 # FD1 ------------------------------------------------------------------------
@@ -48,7 +35,7 @@ def fd1_stats(spark, sf_dir) -> DataFrame:
 
 def fd1_messages(spark, sf_dir, max_turns: int | None = None) -> DataFrame:
     """(conv_id, messages); with ``max_turns`` only conversations of at most
-    that many turns are collected (the C1 cap bounds every group)."""
+    that many turns."""
     return prep.conversations_to_messages(table(spark, sf_dir, "conversations"), max_turns)
 
 
@@ -103,8 +90,10 @@ def fd3_responses(spark, sf_dir) -> DataFrame:
 # FD4 ------------------------------------------------------------------------
 def fd4_attempts(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    t = F.col("event_type")
-    raw = (F.when(t == "error", F.lit("not json"))
+    t, i = F.col("event_type"), F.col("event_id")
+    raw = (F.when(i % 13 == 0, F.lit('{"winner":"DPO"} {"winner":"SFT"}'))
+           .when(i % 17 == 0, F.lit('{"winner":"SFT","reason":"c","winner":"DPO"}'))
+           .when(t == "error", F.lit("not json"))
            .when(t == "click", F.lit('{"winner":"DPO","reason":"a"}'))
            .when(t == "view", F.lit('{"winner":"SFT","reason":"b"}'))
            .when(t == "signup", F.lit('{"winner":"Tie"}'))
@@ -113,6 +102,11 @@ def fd4_attempts(spark, sf_dir) -> DataFrame:
                     F.col("event_id").alias("attempt"), raw.alias("raw"))
 
 
+def judged_prompts(spark, sf_dir) -> DataFrame:
+    """The prompts that were given to the judge: every question of FD3."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("prompt_id"))
+
+
 # FD5 ------------------------------------------------------------------------
 def fd5_logps(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -130,7 +124,7 @@ def fd6_responses(spark, sf_dir) -> DataFrame:
     the prompt, (doc_id / 25) % 3 the model). The suite is a broadcast side of
     25 rows (G5)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    suite = prompt_suite(spark, INSTRUCTION_PROMPTS)
+    suite = prompt_suite(spark, INSTRUCTION_PROMPTS).withColumn("rule_number", rule_number("prompt"))
     models = F.array(*[F.lit(m) for m in MODELS])
     d = d.select(
         F.col("doc_id").alias("item_id"),
@@ -155,7 +149,8 @@ def policy_corpus(spark, sf_dir) -> DataFrame:
 
 def labelled_documents(spark, sf_dir) -> DataFrame:
     """Documents with their labels (null when unlabelled), for fitting all
-    corpora in one pass."""
+    corpora in one pass. The join moves the labels if they are few (AQE decides
+    by their size); beyond that documents and labels are best bucketed by id."""
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return reference_corpus(spark, sf_dir).join(lab, "doc_id", "left")
 

@@ -1,15 +1,42 @@
 """DuckDB oracles: for each registered query, ANSI-style SQL over the same
-parquet tables (pre-registered views), giving the same columns and types."""
+parquet tables (pre-registered views), giving the same columns and types.
+
+Words, patterns and texts that decide a result are written out here and in
+``sqltext``, not taken from the operators. Only the 25 prompts, which are input
+data of FD6, come from the package."""
 
 from __future__ import annotations
 
-from prefscope.functions import text as T
-from prefscope.functions.chat import IM_END
-from prefscope.functions.rules import INSTRUCTION_PROMPTS, INSTRUCTION_RULES
-from prefscope.operators import judge as L
-from prefscope.plans import queries as Q
+from prefscope.functions.rules import INSTRUCTION_PROMPTS
 from prefscope.plans import sqltext as S
 
+IM_END = "<|im_end|>"
+ERROR_REASON = "All API judge model calls failed or timed out."
+DEFAULT_REASON = "No reason provided."
+QA_SUFFIX = "\nSolve step by step and give the final numeric answer."
+JUDGE_PROMPT = """
+    You are an expert AI evaluator. Compare three responses generated by different models (Base, SFT, DPO) to the user's prompt.
+    Evaluate their quality based on helpfulness, accuracy, structure, instruction following, and step-by-step reasoning quality.
+    
+    [USER PROMPT]:
+    @prompt
+    
+    [BASE RESPONSE]:
+    @base
+    
+    [SFT RESPONSE]:
+    @sft
+    
+    [DPO RESPONSE]:
+    @dpo
+    
+    Respond ONLY with a JSON object in this format:
+    {
+      "winner": "Base" | "SFT" | "DPO" | "Tie",
+      "reason": "<one sentence explanation of why the winner was chosen>"
+    }
+    """
+
 # ---------------------------------------------------------------------------
 # Fixture CTEs (FIXTURES.md)
 # ---------------------------------------------------------------------------
@@ -36,9 +63,11 @@ FD3 = """select o.o_orderkey as q_id, m.model as model,
 from orders o cross join (select 'Base' as model, 0 as k union all select 'SFT', 1 union all select 'DPO', 2) m"""
 
 FD4 = """select user_id as prompt_id, event_id as attempt,
-  case event_type when 'error' then 'not json'
+  case when event_id % 13 = 0 then '{"winner":"DPO"} {"winner":"SFT"}'
+    when event_id % 17 = 0 then '{"winner":"SFT","reason":"c","winner":"DPO"}'
+    else case event_type when 'error' then 'not json'
     when 'click' then '{"winner":"DPO","reason":"a"}' when 'view' then '{"winner":"SFT","reason":"b"}'
-    when 'signup' then '{"winner":"Tie"}' else '{"reason":"no winner"}' end as raw
+    when 'signup' then '{"winner":"Tie"}' else '{"reason":"no winner"}' end end as raw
 from events"""
 
 FD5 = """select event_id as pair_id, -value as ref_chosen, -(value * 1.1) as ref_rejected,
@@ -85,8 +114,8 @@ QA_SCORED = f"""select *, {S.is_exact('pred', 'gold')} as correct from (
     {S.has_cot('response')} as cot
   from ({FD3}) x) y"""
 
-INSTR_SCORED = f"""select *, {S.rule_verdict('prompt', 'response', INSTRUCTION_RULES)} as correct,
-  {S.instruction_ok('prompt', 'response', INSTRUCTION_RULES)} as ok
+INSTR_SCORED = f"""select *, {S.rule_verdict('prompt', 'response')} as correct,
+  {S.instruction_ok('prompt', 'response')} as ok
 from ({FD6}) x"""
 
 
@@ -103,35 +132,41 @@ SFT_COUNTS = corpus_counts("quality = 1")
 POL_COUNTS = corpus_counts("quality = 1 and toxic = 0")
 
 
-def perplexity_sql(counts: str) -> str:
-    """exp of the mean over benchmark texts of the mean NLL of the first 512
+def perplexity_sql(counts: str, texts: str = "select item_id, text from benchmark") -> str:
+    """exp of the mean over texts of the mean NLL of the first 512
     tokens, texts of fewer than 2 tokens skipped; V is the reference
     vocabulary."""
     return f"""with cnt as ({counts}), ref as ({REF_COUNTS}),
 nv as (select (select sum(c) from cnt) + (select count(*) from ref) as den),
-tk as (select item_id, unnest(list_slice({toks('text')}, 1, 512)) as token from benchmark),
+tk as (select item_id, unnest(list_slice({toks('text')}, 1, 512)) as token from ({texts}) x),
 per as (select item_id, avg(-ln((coalesce(cnt.c, 0) + 1.0) / nv.den)) as nll, count(*) as n
   from tk left join cnt using (token) cross join nv group by item_id)
 select count(*) as n_texts, exp(avg(nll)) as perplexity from per where n >= 2"""
 
 
-VERDICTS = f"""select prompt_id,
-  coalesce(arg_min(winner, attempt) filter (where ok), '{L.ERROR_WINNER}') as winner,
-  coalesce(arg_min(reason, attempt) filter (where ok), {S.lit(L.ERROR_REASON)}) as reason,
-  count(*) as n_attempts, min(attempt) filter (where ok) as used_attempt
-from (select prompt_id, attempt, ok,
-    case when ok then coalesce(json_extract_string(s, '$.winner'), '{T.DEFAULT_WINNER}') end as winner,
-    case when ok then coalesce(json_extract_string(s, '$.reason'), {S.lit(T.DEFAULT_REASON)}) end as reason
+# One JSON object and nothing else; of a repeated key the last value.
+PARSED = f"""select prompt_id, attempt, ok,
+    case when ok then coalesce(regexp_extract_all(s, '"winner":"([^"]*)"', 1)[-1], 'Tie') end as winner,
+    case when ok then coalesce(regexp_extract_all(s, '"reason":"([^"]*)"', 1)[-1], {S.lit(DEFAULT_REASON)}) end as reason
   from (select prompt_id, attempt, s,
       coalesce(starts_with(s, '{{') and ends_with(s, '}}'), false) and coalesce(json_valid(s), false) as ok
-    from (select prompt_id, attempt, {S.strip('raw')} as s from ({FD4}) a) b) c) d
-group by prompt_id"""
+    from (select prompt_id, attempt, {S.strip('raw')} as s from ({FD4}) a) b) c"""
+
+VERDICTS = f"""select o.o_orderkey as prompt_id,
+  coalesce(arg_min(winner, attempt) filter (where ok), 'Error') as winner,
+  coalesce(arg_min(reason, attempt) filter (where ok), {S.lit(ERROR_REASON)}) as reason,
+  count(attempt) as n_attempts, min(attempt) filter (where ok) as used_attempt
+from orders o left join ({PARSED}) d on d.prompt_id = o.o_orderkey
+group by o.o_orderkey"""
 
 VERDICT_COUNTS = f"""select winner, cast(sum(w) as bigint) as n from (
   select winner, 1 as w from ({VERDICTS}) v
   union all select * from (values ('Base', 0), ('SFT', 0), ('DPO', 0), ('Tie', 0), ('Error', 0)) z(winner, w)
 ) u group by winner"""
 
+TASK_RESPONSES = f"""select 'qa' as task, q_id as idx, model, response from ({FD3}) q
+union all select 'instructions', (item_id // 75) * 25 + item_id % 25, model, substr(response, 1, 1) from ({FD6}) i"""
+
 MARGINS = f"""select pair_id, 0.05 * (pol_chosen - ref_chosen) - 0.05 * (pol_rejected - ref_rejected) as margin
 from ({FD5}) f"""
 
@@ -144,7 +179,7 @@ ppl as (select 'Base' as model, perplexity from ({perplexity_sql(REF_COUNTS)}) a
   union all select 'SFT', perplexity from ({perplexity_sql(SFT_COUNTS)}) b
   union all select 'DPO', perplexity from ({perplexity_sql(POL_COUNTS)}) c),
 ins as (select model, {pct('ok')} as instruction_following_acc_pct,
-  least(count(*), 25) as n_instr_samples from ({INSTR_SCORED}) i group by model),
+  count(*) as n_instr_samples from ({INSTR_SCORED}) i group by model),
 qa as (select model, {pct('correct')} as gsm8k_acc_pct, {pct('cot')} as cot_presence_pct from ({QA_SCORED}) q group by model),
 smp as (select model, count(*) as n_gsm8k_samples,
     string_agg(cast(q_id as varchar) || '=' || coalesce(pred, '-'), ',' order by q_id) as gsm8k_sample_preds
@@ -163,15 +198,15 @@ select metric, max(value) filter (where model = 'Base') as "Base", max(value) fi
   max(value) filter (where model = 'DPO') as "DPO" from l group by metric"""
 
 
-def pair_side_logp(counts: str, den: str) -> str:
+def pair_side_logp(counts: str, den: str, pairs: str = FD2) -> str:
     """Completion log-prob per (pair_id, side): the completion's tokens plus
     the end token, under the given counts."""
     closed = ("case when coalesce(t[-1] = '{e}', false) then t else list_append(t, '{e}') end"
               .format(e=IM_END))
     return f"""select pair_id, side, count(*) as n, sum(ln((coalesce(cnt.c, 0) + 1.0) / {den})) as logp
 from (select pair_id, side, unnest({closed}) as token from (
-    select pair_id, 'chosen' as side, {toks('chosen')} as t from ({FD2}) p
-    union all select pair_id, 'rejected', {toks('rejected')} from ({FD2}) p) x) y
+    select pair_id, 'chosen' as side, {toks("coalesce(chosen, '')")} as t from ({pairs}) p
+    union all select pair_id, 'rejected', {toks("coalesce(rejected, '')")} from ({pairs}) p) x) y
 left join ({counts}) cnt using (token) group by pair_id, side"""
 
 
@@ -204,6 +239,39 @@ from (select model, q_id, coalesce(sum(cast(correct as int)) over (partition by
 where q_id > 0 and q_id % 10 = 0"""
 
 
+SAMPLED_PAIRS = f"""select *, md5('42:' || cast(pair_id as varchar)) as shuffle_key from ({FD2}) p
+  where coalesce(score_chosen - score_rejected >= 1.0, true) and length(chosen) <= 1200 and length(rejected) <= 1200
+  order by shuffle_key, pair_id"""
+
+LEGACY = """select conv_id as pair_id,
+    arg_min(text, turn) filter (where role = 'system') as system,
+    case when conv_id % 3 = 0 then '' else arg_min(text, turn) filter (where role = 'user') end as input,
+    arg_max(text, turn) filter (where role = 'user') as question,
+    arg_min(text, turn) filter (where role = 'assistant') as chosen,
+    arg_max(text, turn) filter (where role = 'assistant') as rejected
+  from conversations group by conv_id"""
+
+
+def k1_sql(pairs: str, prompt: str) -> str:
+    """Both sides' completion log-probs under the reference counts, and the
+    tokens of the rendered prompt; a side without text is the end token alone."""
+    return f"""select s.pair_id, s.side, p.n_prompt_tokens, s.n as n_completion_tokens, {r6('s.logp')} as logp
+from ({pair_side_logp(REF_COUNTS, REF_DEN, pairs)}) s
+join (select pair_id, len({toks('r')}) as n_prompt_tokens from (
+  select pair_id, {prompt} || {S.CHAT_TAIL} as r from ({pairs}) x) y) p using (pair_id)"""
+
+
+def preference_sql(pairs: str) -> str:
+    return f"""with pol as ({pair_side_logp(POL_COUNTS, POL_DEN, pairs)}),
+ref as ({pair_side_logp(REF_COUNTS, REF_DEN, pairs)}),
+m as (select p.pair_id,
+    0.05 * (max(p.logp) filter (where p.side = 'chosen') - max(r.logp) filter (where r.side = 'chosen'))
+    - 0.05 * (max(p.logp) filter (where p.side = 'rejected') - max(r.logp) filter (where r.side = 'rejected')) as margin
+  from pol p join ref r on p.pair_id = r.pair_id and p.side = r.side group by p.pair_id)
+select count(*) as n_pairs, {r6('100.0 * avg(case when margin > 0 then 1.0 else 0.0 end)')} as preference_accuracy_pct,
+  {r6('avg(margin)')} as mean_margin from m"""
+
+
 ORACLE: dict[str, str] = {
     "qa_report": f"""select model, count(*) as n, {r6(pct('correct'))} as gsm8k_acc_pct,
   {r6(pct('cot'))} as cot_presence_pct from ({QA_SCORED}) s group by model""",
@@ -249,7 +317,7 @@ g as (select conv_id, max(n) as n, arg_min(text, turn) as first_text,
     max(role) filter (where rn = n - 1) as prev_role, max(text) filter (where rn = n - 1) as prev_text,
     coalesce(string_agg({piece('role', 'text')}, '' order by turn), '') as all_chatml,
     coalesce(string_agg({piece('role', 'text')}, '' order by turn) filter (where rn < n), '') as but_last_chatml
-  from c group by conv_id having max(n) <= 6)
+  from c group by conv_id)
 select conv_id as pair_id,
   cast(case when n > 1 and last_role = 'assistant' then 1 else n end as bigint) as n_chosen,
   cast(case when n - 1 > 1 and prev_role = 'assistant' then 1 else n - 1 end as bigint) as n_rejected,
@@ -271,18 +339,17 @@ from r""",
 
     "d4_render_chatml": f"""select conv_id, string_agg({piece('role', 'text')}, '' order by turn) as chatml,
   string_agg({piece('role', 'text')}, '' order by turn) || {S.CHAT_TAIL} as chatml_prompt
-from conversations where conv_id in ({PASSING}) group by conv_id""",
+from conversations group by conv_id""",
 
-    "d5_qa_prompt": f"select item_id, text || {S.lit(T.QA_SUFFIX)} as prompt from benchmark",
+    "d5_qa_prompt": f"select item_id, text || {S.lit(QA_SUFFIX)} as prompt from benchmark",
 
     "d6_model_prompt": f"""select p.conv_id, p.turn, m.model,
   case when m.is_chat then {piece("'user'", 'p.prompt')} || {S.CHAT_TAIL} else p.prompt end as model_prompt
 from ({USER_PROMPTS}) p cross join {MODELS_CTE}""",
 
-    "d7_judge_prompt": "select q_id, " + " || ".join(
-        [S.lit(L.JUDGE_TEMPLATE_PARTS[0])] + [
-            f"coalesce(cast({c} as varchar), 'None') || {S.lit(part)}"
-            for c, part in zip(("q_id", '"Base"', '"SFT"', '"DPO"'), L.JUDGE_TEMPLATE_PARTS[1:])])
+    "d7_judge_prompt": "select q_id, " + S.lit(JUDGE_PROMPT).join(("replace(" * 4, "")) + "".join(
+        f", '@{name}', coalesce(cast({c} as varchar), 'None'))"
+        for name, c in (("prompt", "q_id"), ("base", '"Base"'), ("sft", '"SFT"'), ("dpo", '"DPO"')))
         + f" as judge_prompt from ({SIDE_BY_SIDE}) s",
 
     "d9_close_sequence": f"""select doc_id, len(c) as n_tokens, c[-1] as last_token from (
@@ -320,32 +387,29 @@ from documents""",
 
     "e10_n_words": f"select doc_id, {S.n_words('text')} as n_words from documents",
 
-    "e11_contains": f"""select doc_id, {S.contains_any('low', Q.E11_ANY)} as has_any,
-  {S.contains_all('low', Q.E11_ALL)} as has_all, {S.contains_none('low', Q.E11_NONE)} as has_none
+    "e11_contains": f"""select doc_id, {S.contains_any('low', ('the', 'und', 'les'))} as has_any,
+  {S.contains_all('low', ('le', 'la'))} as has_all, {S.contains_none('low', ('der', 'die', 'das'))} as has_none
 from (select doc_id, {S.strip('lower(text)')} as low from documents) d""",
 
-    "e12_contains_exact": """select doc_id, contains(text, 'PACIFIC') as has_pacific,
-  contains(text, ';') as has_semicolon, contains(text, 'The') as has_the from documents""",
+    "e12_contains_exact": """select doc_id, contains(text, 'MIT') as has_mit,
+  contains(text, '#') as has_hash, contains(text, 'The') as has_the from documents""",
 
-    "e13_all_words_start": f"""select conv_id, turn, {S.all_words_start('low', 's', 3)} as all_start_s,
-  {S.all_words_start('low', 'e', 1)} as all_start_e
-from (select conv_id, turn, {S.strip('lower(text)')} as low from conversations) c""",
+    "e13_all_words_start": f"""select item, {S.all_words_start('low', 's', 3)} as all_start_s,
+  {S.all_words_start('low', 's', 4)} as four_start_s
+from (select item, {S.strip('lower(words)')} as low from (
+  select 'c' || conv_id || '-' || turn as item, role || ' "' || role || ' "' || role || '!"' as words from conversations
+  union all select 'p' || p_partkey, p_type from part) w) c""",
 
     "e14_min_len": f"""select conv_id, turn, length({S.strip('lower(text)')}) > 20 as longer_than_20
 from conversations""",
 
-    "e15_parse_verdict": f"""select prompt_id, attempt, ok,
-  case when ok then coalesce(json_extract_string(s, '$.winner'), '{T.DEFAULT_WINNER}') end as winner,
-  case when ok then coalesce(json_extract_string(s, '$.reason'), {S.lit(T.DEFAULT_REASON)}) end as reason
-from (select prompt_id, attempt, s,
-    coalesce(starts_with(s, '{{') and ends_with(s, '}}'), false) and coalesce(json_valid(s), false) as ok
-  from (select prompt_id, attempt, {S.strip('raw')} as s from ({FD4}) a) b) c""",
+    "e15_parse_verdict": f"select prompt_id, attempt, ok, winner, reason from ({PARSED}) p",
 
     "f1_rule_verdict": f"""select item_id, model, prompt_id,
-  {S.rule_verdict('prompt', 'response', INSTRUCTION_RULES)} as correct from ({FD6}) r""",
+  {S.rule_verdict('prompt', 'response')} as correct from ({FD6}) r""",
 
     "f2_instruction_ok": f"""select item_id, model,
-  {S.instruction_ok('prompt', 'response', INSTRUCTION_RULES)} as ok from ({FD6}) r""",
+  {S.instruction_ok('prompt', 'response')} as ok from ({FD6}) r""",
 
     "h1_instruction_accuracy": f"""select model, count(*) as n, {r6(pct('ok'))} as instruction_following_acc_pct
 from ({INSTR_SCORED}) s group by model""",
@@ -376,6 +440,18 @@ from ({QA_SCORED}) s group by model""",
   {r6('cot_presence_pct')} as cot_presence_pct, cast(n_instr_samples as bigint) as n_instr_samples,
   cast(n_gsm8k_samples as bigint) as n_gsm8k_samples, gsm8k_sample_preds from ({BUNDLE}) b""",
 
+    "h4_instruction_samples": f"""select model, item_id, prompt, md5(response) as response_md5 from ({FD6}) x""",
+
+    "h5_identical_by_task": " union all ".join(
+        f"""select task, '{a}' as model_a, '{b}' as model_b, n_a, n_b, n_equal, n_a = n_b and n_a > 0 as comparable,
+  {r6('case when n_a = n_b and n_a > 0 then 100.0 * n_equal / n_a else 0.0 end')} as identical_pct
+from (select coalesce(x.task, y.task) as task, count(x.response) as n_a, count(y.response) as n_b,
+    count(*) filter (where x.response = y.response) as n_equal
+  from (select * from ({TASK_RESPONSES}) r where model = '{a}') x
+  full join (select * from ({TASK_RESPONSES}) r where model = '{b}') y on x.task = y.task and x.idx = y.idx
+  group by 1) j"""
+        for a, b in (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO"))),
+
     "h5_identical_pct": " union all ".join(
         f"""select '{a}' as model_a, '{b}' as model_b, n_a, n_b, n_equal, n_a = n_b and n_a > 0 as comparable,
   {r6('case when n_a = n_b and n_a > 0 then 100.0 * n_equal / n_a else 0.0 end')} as identical_pct
@@ -404,12 +480,21 @@ from ({COMPARE}) c""",
 
     "i1_running_accuracy": _running_sql(),
 
-    "j1_seeded_order": f"""select conv_id, md5('42:' || cast(conv_id as varchar)) as shuffle_key from ({PASSING}) p""",
+    "i1_running_accuracy_sparse": f"""select model, idx, cast(h as bigint) as hits_so_far,
+  {r6('100.0 * h / idx')} as running_acc_pct
+from (select model, row_number() over w - 1 as idx, coalesce(sum(cast(correct as int)) over (w
+    rows between unbounded preceding and 1 preceding), 0) as h
+  from ({QA_SCORED}) s where q_id % 5 <> 2 window w as (partition by model order by q_id)) x
+where idx > 0 and idx % 10 = 0""",
+
+    "j0_position": """select row_number() over (order by n_chars, doc_id) - 1 as position, doc_id, lang, source, n_chars,
+  md5(text) as text_md5 from documents""",
+
+    "j1_seeded_order": f"""select conv_id, shuffle_key, row_number() over (order by shuffle_key, conv_id) - 1 as position
+from (select conv_id, md5('42:' || cast(conv_id as varchar)) as shuffle_key from ({PASSING}) p) k""",
 
     "j2_seeded_sample": f"""select pair_id, row_number() over (order by shuffle_key, pair_id) as sample_rank, shuffle_key
-from (select pair_id, md5('42:' || cast(pair_id as varchar)) as shuffle_key from ({FD2}) p
-  where coalesce(score_chosen - score_rejected >= 1.0, true) and length(chosen) <= 1200 and length(rejected) <= 1200
-  order by shuffle_key, pair_id limit 100) s""",
+from ({SAMPLED_PAIRS} limit 20) s""",
 
     "j3_train_eval_split": f"""select conv_id, sample_rank, case when sample_rank <= 20 then 'train' else 'eval' end as split
 from (select conv_id, row_number() over (order by shuffle_key, conv_id) as sample_rank
@@ -422,8 +507,14 @@ where length({S.strip('text')}) > 20 order by doc_id limit 200""",
     "j5_preview": f"""select model, q_id, pred, gold, correct from (
   select *, row_number() over (partition by model order by q_id) as rn from ({QA_SCORED}) s) r where rn <= 10""",
 
-    "k1_sequence_logp": f"""select pair_id, side, n as n_completion_tokens, {r6('logp')} as logp
-from ({pair_side_logp(REF_COUNTS, REF_DEN)}) s""",
+    "k1_sequence_logp": k1_sql(FD2, piece("'user'", "prompt")),
+
+    "k1_legacy": k1_sql(LEGACY, "case when coalesce(system, '') <> '' then " + piece("'system'", "system")
+                        + " else '' end || " + piece("'user'", "coalesce(nullif(input, ''), question, '')")),
+
+    "k2_perplexity_documents": f"""select n_texts, {r6('perplexity')} as perplexity from ({perplexity_sql(
+        REF_COUNTS, "select doc_id as item_id, text from documents "
+        "union all select -doc_id - 1, string_split(text, ' ')[1] from documents")}) p""",
 
     "k2_perplexity": f"""select n_texts, {r6('perplexity')} as perplexity from ({perplexity_sql(REF_COUNTS)}) p""",
 
@@ -435,32 +526,28 @@ from ({pair_side_logp(REF_COUNTS, REF_DEN)}) s""",
     "k5_dpo_loss": f"""select count(*) as n, {r6('avg(greatest(-margin, 0) + ln(1 + exp(-abs(margin))))')} as dpo_loss
 from ({MARGINS}) m""",
 
-    "k6_fill_failed": f"""select e.event_id as pair_id,
-  {r6('case when f.pair_id is null then 0.0 else f.pol_chosen end')} as pol_chosen,
-  {r6('case when f.pair_id is null then 0.0 else f.pol_rejected end')} as pol_rejected,
-  {r6('case when f.pair_id is null then 0.0 else f.ref_chosen end')} as ref_chosen,
-  {r6('case when f.pair_id is null then 0.0 else f.ref_rejected end')} as ref_rejected,
-  f.pair_id is null as failed
-from events e left join (select * from ({FD5}) x
-  where pair_id in (select event_id from events where event_type <> 'error')) f on f.pair_id = e.event_id""",
+    "k6_fill_failed": f"""with x as (select e.event_id as pair_id, f.* exclude (pair_id),
+    f.p is null or f.p % 5 = 0 as pol_failed, f.p is null or f.p % 7 = 0 as ref_failed
+  from events e left join (select pair_id as p, * from ({FD5}) g
+    where pair_id in (select event_id from events where event_type <> 'error')) f on f.p = e.event_id)
+select pair_id, {r6('case when pol_failed then 0.0 else pol_chosen end')} as pol_chosen,
+  {r6('case when pol_failed then 0.0 else pol_rejected end')} as pol_rejected,
+  {r6('case when ref_failed then 0.0 else ref_chosen end')} as ref_chosen,
+  {r6('case when ref_failed then 0.0 else ref_rejected end')} as ref_rejected,
+  pol_failed, ref_failed, pol_failed or ref_failed as failed from x""",
 
     "k7_fit_ngram": f"""select token, c, {r6(f'ln((c + 1.0) / {REF_DEN})')} as logp from ({REF_COUNTS}) r""",
 
-    "k7_ngram_preference": f"""with pol as ({pair_side_logp(POL_COUNTS, POL_DEN)}),
-ref as ({pair_side_logp(REF_COUNTS, REF_DEN)}),
-m as (select p.pair_id,
-    0.05 * (max(p.logp) filter (where p.side = 'chosen') - max(r.logp) filter (where r.side = 'chosen'))
-    - 0.05 * (max(p.logp) filter (where p.side = 'rejected') - max(r.logp) filter (where r.side = 'rejected')) as margin
-  from pol p join ref r on p.pair_id = r.pair_id and p.side = r.side group by p.pair_id)
-select count(*) as n_pairs, {r6('100.0 * avg(case when margin > 0 then 1.0 else 0.0 end)')} as preference_accuracy_pct,
-  {r6('avg(margin)')} as mean_margin from m""",
+    "k7_ngram_preference": preference_sql(FD2),
+
+    "h8_preference_validation": preference_sql(f"{SAMPLED_PAIRS} limit 25"),
 
     "k7_bigram_perplexity": BIGRAM_PPL,
 
     "l1_resolve_verdicts": VERDICTS,
 
     "l3_judged": f"""select s.q_id as prompt_id, s."Base", s."SFT", s."DPO", v.winner, v.reason
-from ({SIDE_BY_SIDE}) s join ({VERDICTS}) v on v.prompt_id = s.q_id""",
+from ({SIDE_BY_SIDE}) s left join ({VERDICTS}) v on v.prompt_id = s.q_id""",
 
     "m2_stack_models": f"select model, q_id, response from ({FD3}) r",
 }

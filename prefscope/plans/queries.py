@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prefscope.functions import chat as C
 from prefscope.functions import text as T
-from prefscope.functions.rules import INSTRUCTION_RULES, instruction_ok, rule_verdict
+from prefscope.functions.rules import with_rule_verdict
 from prefscope.operators import judge as L
 from prefscope.operators import logprob as K
 from prefscope.operators import prep as P
@@ -76,14 +76,12 @@ def c6_pair_funnel(spark, d):
 # D: reshapes
 # ---------------------------------------------------------------------------
 def d1_last_content(spark, d):
-    """Last message per conversation, as a partial aggregate over long rows
-    (max_by turn): the long-form spelling of D1, safe for any group size."""
-    conv = FX.table(spark, d, "conversations")
-    last = conv.groupBy("conv_id").agg(
-        F.max_by(F.struct("role", "text"), "turn").alias("m"))
-    return last.select("conv_id", F.col("m.role").alias("last_role"),
-                       F.col("m.text").alias("last_content"),
-                       long(F.length("m.text")).alias("last_chars"))
+    """The last message of each conversation's message list."""
+    msgs = FX.fd1_messages(spark, d)
+    last = C.last_content("messages")
+    return msgs.select("conv_id",
+                       F.try_element_at("messages", F.lit(-1)).getField("role").alias("last_role"),
+                       last.alias("last_content"), long(F.length(last)).alias("last_chars"))
 
 
 def _render(c) -> Column:
@@ -102,10 +100,9 @@ def d2_to_pairs_text(spark, d):
 
 
 def d2_to_pairs_lists(spark, d):
-    """List-form pairs from conversations of at most 6 turns: prompt = first
-    message's text, chosen = the whole conversation, rejected = all but its
-    last message."""
-    msgs = FX.fd1_messages(spark, d, max_turns=6)
+    """List-form pairs from all conversations: prompt = first message's text,
+    chosen = the whole conversation, rejected = all but its last message."""
+    msgs = FX.fd1_messages(spark, d)
     src = msgs.select(
         F.col("conv_id").alias("pair_id"),
         F.col("messages")[0].getField("content").alias("prompt"),
@@ -139,7 +136,7 @@ def d3_legacy_prompt(spark, d):
 
 
 def d4_render_chatml(spark, d):
-    msgs = P.filter_conversations(FX.fd1_messages(spark, d, max_turns=6))
+    msgs = FX.fd1_messages(spark, d)
     return msgs.select("conv_id", C.render_chatml("messages", False).alias("chatml"),
                        C.render_chatml("messages", True).alias("chatml_prompt"))
 
@@ -268,15 +265,23 @@ def e11_contains(spark, d):
 
 def e12_contains_exact(spark, d):
     return _docs(spark, d).select(
-        "doc_id", T.contains_exact("text", "PACIFIC").alias("has_pacific"),
-        T.contains_exact("text", ";").alias("has_semicolon"),
+        "doc_id", T.contains_exact("text", "MIT").alias("has_mit"),
+        T.contains_exact("text", "#").alias("has_hash"),
         T.contains_exact("text", "The").alias("has_the"))
 
 
 def e13_all_words_start(spark, d):
-    return FX.table(spark, d, "conversations").select(
-        "conv_id", "turn", T.all_words_start(_low(), "s", 3).alias("all_start_s"),
-        T.all_words_start(_low(), "e", 1).alias("all_start_e"))
+    """Three words that start with s: the roles of each turn, three times over
+    (all, when the role is ``system``), and the part types."""
+    roles = FX.table(spark, d, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("item"),
+        F.concat_ws(' "', "role", "role", F.concat("role", F.lit('!"'))).alias("words"))
+    types = FX.table(spark, d, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("item"), F.col("p_type").alias("words"))
+    low = T.py_strip(F.lower(F.col("words")))
+    return roles.unionByName(types).select(
+        "item", T.all_words_start(low, "s", 3).alias("all_start_s"),
+        T.all_words_start(low, "s", 4).alias("four_start_s"))
 
 
 def e14_min_len(spark, d):
@@ -299,14 +304,12 @@ def _instr_scored(spark, d):
 
 
 def f1_rule_verdict(spark, d):
-    r = FX.fd6_responses(spark, d)
-    return r.select("item_id", "model", "prompt_id",
-                    rule_verdict("prompt", "response", INSTRUCTION_RULES).alias("correct"))
+    r = with_rule_verdict(FX.fd6_responses(spark, d))
+    return r.select("item_id", "model", "prompt_id", "correct")
 
 
 def f2_instruction_ok(spark, d):
-    r = FX.fd6_responses(spark, d)
-    return r.select("item_id", "model", instruction_ok("prompt", "response").alias("ok"))
+    return _instr_scored(spark, d).select("item_id", "model", "ok")
 
 
 def h1_instruction_accuracy(spark, d):
@@ -379,8 +382,7 @@ def _bundle(spark, d, with_samples: bool = True):
     instr = _instr_scored(spark, d).withColumnRenamed("item_id", "idx")
     qa = _qa_scored(spark, d).withColumn("idx", F.col("q_id")).withColumn(
         "question", F.col("q_id").cast("string"))
-    return H.metric_bundle(ppl, instr, qa, n_qa_samples=10, n_instr_samples=25,
-                           with_samples=with_samples)
+    return H.metric_bundle(ppl, instr, qa, n_qa_samples=10, with_samples=with_samples)
 
 
 def h4_metric_bundle(spark, d):
@@ -389,13 +391,35 @@ def h4_metric_bundle(spark, d):
         "model", r6("perplexity").alias("perplexity"),
         r6("instruction_following_acc_pct").alias("instruction_following_acc_pct"),
         r6("gsm8k_acc_pct").alias("gsm8k_acc_pct"), r6("cot_presence_pct").alias("cot_presence_pct"),
-        long(F.size("instr_samples")).alias("n_instr_samples"),
+        long("n_instr_samples").alias("n_instr_samples"),
         long(F.size("gsm8k_samples")).alias("n_gsm8k_samples"),
         F.array_join(F.transform("gsm8k_samples", lambda s: F.concat_ws(
             "=", s.getField("question"), F.coalesce(s.getField("pred"), F.lit("-")))), ",")
         .alias("gsm8k_sample_preds"))
 
 
+def h4_instruction_samples(spark, d):
+    """All instruction samples of the three models, as a long table."""
+    s = H.instruction_samples(_instr_scored(spark, d), order="item_id")
+    return s.select("model", "item_id", "prompt", F.md5("response").alias("response_md5"))
+
+
+def h5_identical_by_task(spark, d):
+    """Overlap of the QA answers and of the instruction responses,
+    positions being (task, idx). The model of an instruction response is one
+    of three in turn, so documents 75 k + 25 m + p are the three models'
+    answers to prompt p in round k."""
+    qa = FX.fd3_responses(spark, d).select(F.lit("qa").alias("task"), F.col("q_id").alias("idx"), "model", "response")
+    ins = FX.fd6_responses(spark, d).select(
+        F.lit("instructions").alias("task"),
+        (F.floor(F.col("item_id") / 75) * 25 + F.col("prompt_id")).cast("long").alias("idx"), "model",
+        F.substring("response", 1, 1).alias("response"))
+    wide = R.side_by_side(qa.unionByName(ins), keys=("task", "idx"))
+    out = R.identical_pcts(wide, (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO")), by=("task",))
+    return out.select("task", "model_a", "model_b", "n_a", "n_b", "n_equal", "comparable",
+                      r6("identical_pct").alias("identical_pct"))
+
+
 def h5_identical_pct(spark, d):
     """H5 for three model pairs from one side-by-side pivot (one shuffle)."""
     wide = R.side_by_side(FX.fd3_responses(spark, d), keys=("q_id",))
@@ -405,7 +429,7 @@ def h5_identical_pct(spark, d):
 
 
 def _verdicts(spark, d):
-    return L.resolve_verdicts(FX.fd4_attempts(spark, d))
+    return L.resolve_verdicts(FX.fd4_attempts(spark, d), FX.judged_prompts(spark, d))
 
 
 def h6_verdict_counts(spark, d):
@@ -455,20 +479,34 @@ def h10_relative_gain(spark, d):
 # ---------------------------------------------------------------------------
 def i1_running_accuracy(spark, d):
     s = _qa_scored(spark, d).withColumnRenamed("q_id", "idx")
+    return H.running_accuracy(s, every=10, dense=True)
+
+
+def i1_running_accuracy_sparse(spark, d):
+    """I1 over items whose ids have gaps, answers and all columns along."""
+    s = _qa_scored(spark, d).withColumn("idx", F.col("q_id") * 7 + F.col("q_id") % 3).where("q_id % 5 <> 2")
     return H.running_accuracy(s, every=10)
 
 
+def j0_position(spark, d):
+    """The position of every document, all columns along, by length and id."""
+    p = P.with_position(FX.table(spark, d, "documents"), ["n_chars", "doc_id"], "position")
+    return p.select("position", "doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def _passing_conversations(spark, d):
     return P.passing_conversations(FX.table(spark, d, "conversations")).select("conv_id")
 
 
 def j1_seeded_order(spark, d):
-    return P.seeded_order(_passing_conversations(spark, d), "conv_id", seed=42)
+    """The seeded permutation with each row's place in it."""
+    keyed = _passing_conversations(spark, d).withColumn("shuffle_key", P.shuffle_key("conv_id", 42))
+    return P.with_position(keyed, ["shuffle_key", "conv_id"], "position")
 
 
 def j2_seeded_sample(spark, d):
     pairs = P.filter_pairs(FX.fd2_pairs(spark, d))
-    s = P.seeded_sample(pairs, "pair_id", n=100, seed=42)
+    s = P.seeded_sample(pairs, "pair_id", n=20, seed=42)
     return s.select("pair_id", "sample_rank", "shuffle_key")
 
 
@@ -493,13 +531,33 @@ def j5_preview(spark, d):
 # ---------------------------------------------------------------------------
 # K: log-probs
 # ---------------------------------------------------------------------------
+def _completion_logp(toks, lm):
+    """K1: only completion tokens are priced, the others are counted."""
+    masked = toks.groupBy("pair_id", "side").agg(F.count_if("is_prompt").alias("n_prompt_tokens"))
+    scored = K.score_tokens(toks.where(~F.col("is_prompt")), lm, ["pair_id", "side"])
+    s = K.sequence_logp(scored, keys=("pair_id", "side"))
+    return s.join(masked, ["pair_id", "side"]).select(
+        "pair_id", "side", "n_prompt_tokens", "n_completion_tokens", r6("logp").alias("logp"))
+
+
 def k1_sequence_logp(spark, d):
     lm = K.fit_ngram(FX.reference_corpus(spark, d))
     pairs = FX.fd2_pairs(spark, d)
     toks = K.completion_tokens(pairs, "chosen").unionByName(K.completion_tokens(pairs, "rejected"))
-    scored = K.score_tokens(toks, lm, ["pair_id", "side"])
-    s = K.sequence_logp(scored, keys=("pair_id", "side"))
-    return s.select("pair_id", "side", "n_completion_tokens", r6("logp").alias("logp"))
+    return _completion_logp(toks, lm)
+
+
+def k1_legacy(spark, d):
+    """K1 on legacy pairs: system, input and question in place of a prompt."""
+    lm = K.fit_ngram(FX.reference_corpus(spark, d))
+    conv = FX.table(spark, d, "conversations")
+    answer = F.when(F.col("role") == "assistant", F.col("text"))
+    turn = F.when(F.col("role") == "assistant", F.col("turn"))
+    answers = conv.groupBy("conv_id").agg(F.min_by(answer, turn).alias("chosen"),
+                                          F.max_by(answer, turn).alias("rejected"))
+    pairs = _legacy_rows(spark, d).join(answers, "conv_id").withColumnRenamed("conv_id", "pair_id")
+    toks = K.completion_tokens(pairs, "chosen").unionByName(K.completion_tokens(pairs, "rejected"))
+    return _completion_logp(toks, lm)
 
 
 def k2_perplexity(spark, d):
@@ -508,6 +566,17 @@ def k2_perplexity(spark, d):
     return p.select("n_texts", r6("perplexity").alias("perplexity"))
 
 
+def k2_perplexity_documents(spark, d):
+    """K2 over texts on both sides of its cuts: all documents, and
+    the first word of each (some of one word, many beyond 512 tokens)."""
+    lm = K.fit_ngram(FX.reference_corpus(spark, d))
+    docs = FX.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    first = FX.table(spark, d, "documents").select(
+        (-F.col("doc_id") - 1).alias("text_id"), F.substring_index("text", " ", 1).alias("text"))
+    p = K.perplexity(docs.unionByName(first), lm)
+    return p.select("n_texts", r6("perplexity").alias("perplexity"))
+
+
 def k7_bigram_perplexity(spark, d):
     """K7 with n = 2 -> K2: add-one bigram model over all documents, macro
     perplexity of the held-out texts (first 512 tokens each)."""
@@ -531,14 +600,19 @@ def k5_dpo_loss(spark, d):
 
 
 def k6_fill_failed(spark, d):
+    """Every fifth pair lacks the policy's chosen side, every seventh the
+    reference's rejected side, and pairs of error events have no row."""
     ev = FX.table(spark, d, "events")
-    scored = FX.fd5_logps(spark, d).join(
+    lp = FX.fd5_logps(spark, d)
+    lp = lp.withColumn("pol_chosen", F.when(F.col("pair_id") % 5 != 0, F.col("pol_chosen"))).withColumn(
+        "ref_rejected", F.when(F.col("pair_id") % 7 != 0, F.col("ref_rejected")))
+    scored = lp.join(
         ev.where(F.col("event_type") != "error").select(F.col("event_id").alias("pair_id")),
         "pair_id", "left_semi")
     f = K.fill_failed(ev.select(F.col("event_id").alias("pair_id")), scored)
     return f.select("pair_id", *[r6(c).alias(c) for c in
                                  ("pol_chosen", "pol_rejected", "ref_chosen", "ref_rejected")],
-                    "failed")
+                    "pol_failed", "ref_failed", "failed")
 
 
 def k7_fit_ngram(spark, d):
@@ -557,6 +631,19 @@ def k7_ngram_preference(spark, d):
                     r6("mean_margin").alias("mean_margin"))
 
 
+def h8_preference_validation(spark, d):
+    """The preference validation end to end: pairs that pass the length and
+    score filters, a seeded sample of them, log-probs of both sides under
+    policy and reference, rewards, margins, accuracy."""
+    lms = K.fit_ngram_family(FX.labelled_documents(spark, d),
+                             {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref")
+    pairs = P.seeded_sample(P.filter_pairs(FX.fd2_pairs(spark, d)), "pair_id", n=25, seed=42)
+    j = K.fill_failed(pairs, K.pair_logps_multi(pairs, {"pol": lms["pol"], "ref": lms["ref"]}))
+    s = K.preference_summary(K.reward_margin(K.rewards(j, beta=0.05)))
+    return s.select("n_pairs", r6("preference_accuracy_pct").alias("preference_accuracy_pct"),
+                    r6("mean_margin").alias("mean_margin"))
+
+
 # ---------------------------------------------------------------------------
 # L: judge
 # ---------------------------------------------------------------------------
@@ -622,20 +709,27 @@ QUERIES: dict[str, Query] = {
     "h2_qa_accuracy": h2_qa_accuracy,
     "h3_cot_rate": h3_cot_rate,
     "h4_metric_bundle": h4_metric_bundle,
+    "h4_instruction_samples": h4_instruction_samples,
     "h5_identical_pct": h5_identical_pct,
+    "h5_identical_by_task": h5_identical_by_task,
     "h6_verdict_counts": h6_verdict_counts,
     "h7_win_rates": h7_win_rates,
     "h8_preference_summary": h8_preference_summary,
+    "h8_preference_validation": h8_preference_validation,
     "h9_compare": h9_compare,
     "h10_relative_gain": h10_relative_gain,
     "i1_running_accuracy": i1_running_accuracy,
+    "i1_running_accuracy_sparse": i1_running_accuracy_sparse,
+    "j0_position": j0_position,
     "j1_seeded_order": j1_seeded_order,
     "j2_seeded_sample": j2_seeded_sample,
     "j3_train_eval_split": j3_train_eval_split,
     "j4_first_n": j4_first_n,
     "j5_preview": j5_preview,
     "k1_sequence_logp": k1_sequence_logp,
+    "k1_legacy": k1_legacy,
     "k2_perplexity": k2_perplexity,
+    "k2_perplexity_documents": k2_perplexity_documents,
     "k3_rewards": k3_rewards,
     "k4_reward_margin": k4_reward_margin,
     "k5_dpo_loss": k5_dpo_loss,

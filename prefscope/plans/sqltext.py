@@ -2,16 +2,20 @@
 
 Each helper returns a SQL expression string for a SQL expression argument.
 Rules that keep the engines equal: ``chr(10)`` for newline, ``||`` for
-concatenation, explicit whitespace sets, ASCII digit classes.
+concatenation, explicit whitespace sets, ASCII digit classes. Words, patterns
+and marks are written out here, independently of the operators.
 """
 
 from __future__ import annotations
 
-from prefscope.functions import text as T
-from prefscope.functions.chat import GENERATION_TAIL, IM_END, IM_START
-
-WS = "(" + "||".join(f"chr({c})" for c in T.PY_WHITESPACE_CODEPOINTS) + ")"
+# Whitespace: the control characters, spaces and separators of Unicode that
+# Python's str.isspace() is true for.
+SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+          0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WS = "(" + "||".join(f"chr({c})" for c in SPACES) + ")"
+WS_CHARS = "".join("\\x{%X}" % c for c in SPACES)
 NL = "chr(10)"
+NUMBER = r"-?[0-9][0-9,]*\.?[0-9]*"
 
 
 def lit(s: str) -> str:
@@ -30,12 +34,12 @@ def strip(x: str) -> str:
 
 
 def nonblank(x: str) -> str:
-    return f"regexp_matches({x}, {rx(T.NON_WS_CLASS)})"
+    return f"regexp_matches({x}, {rx('[^' + WS_CHARS + ']')})"
 
 
 def repetition_lines(x: str) -> str:
     return (f"list_transform(list_filter(string_split({x}, {NL}), "
-            f"lambda l: length({strip('l')}) > {T.REPETITION_MIN_LINE}), lambda l: lower({strip('l')}))")
+            f"lambda l: length({strip('l')}) > 3), lambda l: lower({strip('l')}))")
 
 
 def has_repetition(x: str) -> str:
@@ -44,12 +48,12 @@ def has_repetition(x: str) -> str:
 
 
 def has_chat_collapse(x: str) -> str:
-    return "(" + " or ".join(f"contains(lower({x}), {lit(m)})" for m in T.COLLAPSE_MARKERS) + ")"
+    return "(" + " or ".join(f"contains(lower({x}), {lit(m)})" for m in ("user\n", "assistant\n", "<|im_start|>", "<|im_end|>")) + ")"
 
 
 def final_number(x: str) -> str:
-    anchored = f"nullif(replace(regexp_extract({x}, {rx(T.ANCHOR_PATTERN)}, 1), ',', ''), '')"
-    fallback = f"regexp_extract_all(replace({x}, ',', ''), {rx(T.NUMBER_PATTERN)})[-1]"
+    anchored = f"nullif(replace(regexp_extract({x}, {rx('####[' + WS_CHARS + ']*(' + NUMBER + ')')}, 1), ',', ''), '')"
+    fallback = f"regexp_extract_all(replace({x}, ',', ''), {rx(NUMBER)})[-1]"
     return f"coalesce({anchored}, {fallback})"
 
 
@@ -61,7 +65,7 @@ def is_exact(pred: str, gold: str) -> str:
     return f"coalesce({pred} = {gold}, false)"
 
 
-COT_RE2 = "(?i)(" + "|".join(T.COT_ALTERNATIVES) + ")"
+COT_RE2 = "(?i)(step[" + WS_CHARS + r"]*[0-9]|first,|then,|next,|\n[0-9]\.)"
 
 
 def has_cot_marker(x: str) -> str:
@@ -73,7 +77,7 @@ def has_cot(x: str) -> str:
 
 
 def n_sentences(x: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({strip(x)}, {rx(T.SENTENCE_SPLIT)}), lambda s: {nonblank('s')}))"
+    return f"len(list_filter(regexp_split_to_array({strip(x)}, '[.!?]'), lambda s: {nonblank('s')}))"
 
 
 def n_lines(x: str) -> str:
@@ -81,7 +85,7 @@ def n_lines(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, {rx(T.WS_CLASS + '+')}), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({x}, {rx('[' + WS_CHARS + ']+')}), lambda w: w <> '')"
 
 
 def n_words(x: str) -> str:
@@ -100,54 +104,69 @@ def contains_none(x: str, needles) -> str:
     return f"(not {contains_any(x, needles)})"
 
 
+EDGE = ".,!?\"'"
+
+
 def all_words_start(x: str, letter: str, min_words: int) -> str:
-    ws = f"list_transform({words(x)}, lambda w: trim(w, {lit(T.WORD_EDGE_PUNCT)}))"
+    ws = f"list_transform({words(x)}, lambda w: trim(w, {lit(EDGE)}))"
     return (f"(len({ws}) >= {min_words} and "
             f"coalesce(list_bool_and(list_transform({ws}, lambda w: starts_with(w, {lit(letter)}))), true))")
 
 
-def test_sql(spec, raw: str, low: str) -> str:
-    kind = spec[0]
-    if kind == "any":
-        return contains_any(low, spec[1])
-    if kind == "all":
-        return contains_all(low, spec[1])
-    if kind == "none":
-        return contains_none(low, spec[1])
-    if kind == "exact":
-        return f"contains({raw}, {lit(spec[1])})"
-    if kind == "len_gt":
-        return f"(length({low}) > {spec[1]})"
-    if kind == "sentences":
-        return f"({n_sentences(raw)} = {spec[1]})"
-    if kind == "lines_ge":
-        return f"({n_lines(raw)} >= {spec[1]})"
-    if kind == "words":
-        return f"({n_words(raw)} = {spec[1]})"
-    if kind == "all_start":
-        return all_words_start(low, spec[1], spec[2])
-    if kind in ("and", "or"):
-        return "(" + f" {kind} ".join(test_sql(s, raw, low) for s in spec[1:]) + ")"
-    raise ValueError(kind)
-
-
-def rule_verdict(prompt: str, response: str, rules) -> str:
+def _any(*words: str) -> str:
+    return contains_any("@low", words)
+
+
+def _all(*words: str) -> str:
+    return contains_all("@low", words)
+
+
+# The 25 rules: trigger, test on @raw (the response) and @low (stripped, lower).
+RULES = [
+    ("exercise", f"{_any('benefit', 'health', 'weight', 'heart', 'cardio', 'mental', 'sleep', 'energy')} and length(@low) > 20"),
+    ("french", _any("bonjour")),
+    ("photosynthesis", f"{_any('photosynthesis')} or {_all('plant', 'light')}"),
+    ("synonyms for 'happy'", _any("joyful", "content", "cheerful", "glad", "delighted", "pleased", "merry", "elated")),
+    ("variable", _any("variable", "container", "value")),
+    ("japan", _any("tokyo")),
+    ("kilometers", _any("6.2", "6")),
+    ("birthday", _any("birthday", "happy", "greet", "wish")),
+    ("boiling point", _any("100")),
+    ("gravity", _any("force", "attract", "gravity")),
+    ("ocean tides", f"{n_sentences('@raw')} = 2 and {_any('moon', 'gravit', 'tide', 'pull')}"),
+    ("birdhouse", _any("wood", "nail", "screw", "glue", "hammer", "saw", "paint") + " and "
+     + _any("1", "2", "3", "4", "-", "\n")),
+    ("inflation", f"{n_sentences('@raw')} = 3 and {_any('price', 'money', 'buy', 'rise', 'cost')}"),
+    ("json", _all("capital", "population", "paris")),
+    ("haiku", f"{n_lines('@raw')} >= 2 and {_any('ai', 'mind', 'computer', 'machine', 'think', 'code')}"),
+    ("distinct colors", f"not {_any('blue', 'red')} and "
+     + _any("green", "yellow", "orange", "purple", "black", "white", "pink", "brown")),
+    ("largest ocean", "contains(@raw, 'PACIFIC')"),
+    ("antonyms for the word 'cold'", f"contains(@raw, ';') and {_any('hot', 'warm', 'heat')}"),
+    ("five words", f"{n_words('@raw')} = 5 and {_any('book', 'read', 'page', 'story', 'paper')}"),
+    ("15 multiplied by 4", _any("72")),
+    ("statically typed", _any("java", "c++", "c#", "rust", "go", "typescript", "swift", "kotlin", "scala")),
+    ("starts with the letter 's'", all_words_start("@low", "s", 3)),
+    ("romeo and juliet", _any("shakespeare")),
+    ("states of matter", _all("solid", "liquid", "gas")),
+    ("symbol for gold", _any("au")),
+]
+
+
+def rule_verdict(prompt: str, response: str) -> str:
     raw = f"coalesce({response}, '')"
-    low = strip(f"lower({raw})")
-    branches = " ".join(
-        f"when contains(lower({prompt}), {lit(t)}) then coalesce({test_sql(s, raw, low)}, false)"
-        for t, s in rules)
-    return f"(case {branches} else false end)"
+    branches = " ".join(f"when contains(lower({prompt}), {lit(t)}) then coalesce({test}, false)" for t, test in RULES)
+    return f"(case {branches} else false end)".replace("@raw", raw).replace("@low", strip(f"lower({raw})"))
 
 
-def instruction_ok(prompt: str, response: str, rules) -> str:
+def instruction_ok(prompt: str, response: str) -> str:
     raw = f"coalesce({response}, '')"
-    return (f"({rule_verdict(prompt, raw, rules)} and not {has_chat_collapse(raw)} "
+    return (f"({rule_verdict(prompt, raw)} and not {has_chat_collapse(raw)} "
             f"and not {has_repetition(raw)})")
 
 
 def chatml_piece(role: str, content: str) -> str:
-    return f"{lit(IM_START)} || {role} || {NL} || {content} || {lit(IM_END)} || {NL}"
+    return f"'<|im_start|>' || {role} || {NL} || {content} || '<|im_end|>' || {NL}"
 
 
-CHAT_TAIL = lit(GENERATION_TAIL)
+CHAT_TAIL = lit("<|im_start|>assistant\n")

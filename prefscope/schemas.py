@@ -13,13 +13,25 @@ CONVERSATION = T.StructType([
     T.StructField("messages", MESSAGES),
 ])
 
-PAIR = T.StructType([
-    T.StructField("pair_id", T.LongType()),
-    T.StructField("prompt", T.StringType()),
-    T.StructField("chosen", T.StringType()),
-    T.StructField("rejected", T.StringType()),
-    T.StructField("score_chosen", T.DoubleType()),
-    T.StructField("score_rejected", T.DoubleType()),
+CONVERSATION_ROW = T.StructType([
+    T.StructField("conv_id", T.LongType()),
+    T.StructField("turn", T.LongType()),
+    T.StructField("role", T.StringType()),
+    T.StructField("text", T.StringType()),
+])
+
+
+def pair_schema(lists=(), scores: bool = True) -> T.StructType:
+    """Preference pairs; the sides in ``lists`` are message lists."""
+    sides = [T.StructField(c, MESSAGES if c in lists else T.StringType())
+             for c in ("prompt", "chosen", "rejected")]
+    gaps = [T.StructField(c, T.DoubleType()) for c in ("score_chosen", "score_rejected")]
+    return T.StructType([T.StructField("pair_id", T.LongType()), *sides, *(gaps if scores else [])])
+
+
+QA = T.StructType([
+    T.StructField("question", T.StringType()),
+    T.StructField("answer", T.StringType()),
 ])
 
 INSTR_SAMPLE = T.StructType([
@@ -57,11 +69,6 @@ ATTEMPT = T.StructType([
     T.StructField("raw", T.StringType()),
 ])
 
-VERDICT = T.StructType([
-    T.StructField("winner", T.StringType()),
-    T.StructField("reason", T.StringType()),
-])
-
 # The labels a verdict can carry, in report order.
 VERDICT_LABELS = ("Base", "SFT", "DPO", "Tie", "Error")
 VALID_VERDICTS = ("Base", "SFT", "DPO", "Tie")

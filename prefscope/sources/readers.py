@@ -2,57 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefscope import schemas as S
 
 
-def _read(spark: SparkSession, path: str, schema=None, fmt: str | None = None) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None) -> DataFrame:
     fmt = fmt or ("json" if path.endswith((".json", ".jsonl")) else "parquet")
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.format(fmt).load(path)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
-def read_conversations(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A1: conversations as (conv_id?, messages). Long rows (conv_id, turn,
-    role, text) are left long: operators that need one row per conversation
-    aggregate them (see ``prep.conversation_stats``)."""
-    return _read(spark, path, None, fmt)
+def read_conversations(spark: SparkSession, path: str, fmt: str | None = None,
+                       long: bool = False) -> DataFrame:
+    """A1: conversations as (conv_id, messages), or with ``long`` as one row
+    per message (conv_id, turn, role, text), which ``prep`` aggregates."""
+    return _read(spark, path, S.CONVERSATION_ROW if long else S.CONVERSATION, fmt)
 
 
 def read_pairs(spark: SparkSession, path: str, split: str | None = None,
-               fmt: str | None = None) -> DataFrame:
-    """A2: preference pairs. Stored partitioned by ``split``, so the
-    ``split = ..`` filter prunes whole directories."""
-    df = _read(spark, path, None, fmt)
-    if split is not None:
-        df = df.where(F.col("split") == split)
-    return df
-
-
-def read_texts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A3: held-out texts (``text`` column; plain text files give one row per line)."""
+               fmt: str | None = None, lists: Sequence[str] = (), scores: bool = True) -> DataFrame:
+    """A2: preference pairs. The caller says which of prompt, chosen and
+    rejected are message lists (the others are text) and whether the source
+    has score columns. Stored partitioned by ``split``, so the ``split = ..``
+    filter prunes whole directories."""
+    schema = S.pair_schema(lists, scores)
+    if split is None:
+        return _read(spark, path, schema, fmt)
+    return _read(spark, path, schema.add("split", "string"), fmt).where(F.col("split") == split)
+
+
+def read_texts(spark: SparkSession, path: str, fmt: str | None = None,
+               id_col: str | None = None) -> DataFrame:
+    """A3: held-out texts (``text``, with ``id_col`` a long id in front; plain
+    text files give one row per line)."""
     if fmt == "text":
         return spark.read.text(path).withColumnRenamed("value", "text")
-    return _read(spark, path, None, fmt)
+    schema = T.StructType() if id_col is None else T.StructType().add(id_col, "long")
+    return _read(spark, path, schema.add("text", "string"), fmt)
 
 
 def read_qa(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A4: maths QA items (question, answer)."""
-    return _read(spark, path, None, fmt)
+    return _read(spark, path, S.QA, fmt)
+
+
+def read_attempts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Recorded judge attempts (prompt_id, attempt, raw), the input of L1."""
+    return _read(spark, path, S.ATTEMPT, fmt)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_metrics(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """A5: one metric-bundle JSON document per model, tagged by model. The
-    file name is matched through ``_metadata.file_path`` in one scan."""
-    by_path = {p: m for m, p in paths.items()}
+    file name is matched through ``_metadata.file_path`` in one scan. A7: a
+    model whose file is not there is left out, so a comparison shows nulls."""
+    names = [f.name for f in S.METRIC_BUNDLE.fields]
+    by_path = {p: m for m, p in paths.items() if _exists(spark, p)}
+    if not by_path:
+        return spark.createDataFrame([], T.StructType([T.StructField("model", T.StringType()),
+                                                       *S.METRIC_BUNDLE.fields]))
     df = (spark.read.schema(S.METRIC_BUNDLE).option("multiLine", True)
-          .json(list(paths.values()))
+          .json(list(by_path))
           .select("*", F.col("_metadata.file_path").alias("_path")))
     model = None
     # Longest path first, so that ``/m/SFT`` is not taken for ``/m/SFT2``.
@@ -60,7 +78,7 @@ def read_metrics(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
         p = p.rstrip("/")
         cond = F.col("_path").endswith(p) | F.col("_path").contains(p + "/")
         model = F.when(cond, F.lit(m)) if model is None else model.when(cond, F.lit(m))
-    return df.select(model.alias("model"), *[f.name for f in S.METRIC_BUNDLE.fields])
+    return df.select(model.alias("model"), *names)
 
 
 def prompt_suite(spark: SparkSession, rows: Iterable, schema=None) -> DataFrame:

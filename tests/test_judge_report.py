@@ -1,5 +1,7 @@
 """L, H5-H7, H9, H10, G and M operators."""
 
+import pytest
+
 from prefscope.operators import judge as L
 from prefscope.operators import report as R
 
@@ -48,7 +50,16 @@ def test_g1_and_l3(spark):
     assert s.columns == ["prompt_id", "Base", "SFT", "DPO"]
     v = spark.createDataFrame([(1, "DPO", "why")], "prompt_id long, winner string, reason string")
     j = L.judged(s, v).collect()
-    assert len(j) == 1 and j[0]["SFT"] == "b" and j[0]["winner"] == "DPO"
+    by = {x["prompt_id"]: x for x in j}
+    assert len(j) == 2 and by[1]["SFT"] == "b" and by[1]["winner"] == "DPO"
+    assert (by[2]["Base"], by[2]["winner"], by[2]["reason"]) == ("d", L.ERROR_WINNER, L.ERROR_REASON)
+
+
+def test_g1_repeated_response(spark):
+    r = spark.createDataFrame([(1, "Base", "a", 2), (1, "Base", "z", 1)], "item_id long, model string, response string, o int")
+    assert R.side_by_side(r, order="o").first()["Base"] == "a"
+    with pytest.raises(Exception, match="twice"):
+        R.side_by_side(r).collect()
 
 
 def test_d7_template(spark):

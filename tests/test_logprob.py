@@ -32,7 +32,7 @@ def test_k7_preference_chain(spark):
 
 
 def test_hot_cold_split_equals_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 0)
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(K, "HOT_SPLIT", 50)
     r = _preference(spark)
     assert round(r["preference_accuracy_pct"], 6) == 53.333333
@@ -109,7 +109,7 @@ def test_ngram_split_join_equals_broadcast(spark, monkeypatch):
     lm = K.fit_ngram(FX.reference_corpus(spark, SF001), n=2)
     texts = FX.heldout_texts(spark, SF001)
     a = K.perplexity(texts, lm).first()["perplexity"]
-    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 0)
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(K, "HOT_SPLIT", 20)
     b = K.perplexity(texts, lm).first()["perplexity"]
     assert abs(a - b) < 1e-9 * a
@@ -147,6 +147,6 @@ def test_multi_model_passes_equal_single(spark, monkeypatch):
     b = {r["pair_id"]: r for r in K.pair_logps(pairs, lms["pol"], prefix="pol_").collect()}
     assert all(abs(a[k]["pol_chosen"] - b[k]["pol_chosen"]) < 1e-9 and
                abs(a[k]["pol_rejected"] - b[k]["pol_rejected"]) < 1e-9 for k in b)
-    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 0)  # per-model fallback path
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)  # per-model fallback path
     c = {r["model"]: r["perplexity"] for r in K.perplexity_multi(texts, lms).collect()}
     assert all(abs(c[k] - multi[k]) < 1e-9 * multi[k] for k in multi)

@@ -86,13 +86,24 @@ def test_j1_order_independent_of_partitioning(spark):
     assert a == b and len(a) == 100
 
 
-def test_j2_sample_plan_is_top_k(spark):
+def test_j2_sample_is_the_head_of_the_order(spark):
     base = FX.fd1_stats(spark, SF001)
-    s = P.seeded_sample(base, "conv_id", 10)
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
-    ranks = sorted(r["sample_rank"] for r in s.collect())
-    assert ranks == list(range(1, 11))
+    s = P.seeded_sample(base, "conv_id", 10).collect()
+    order = [r["conv_id"] for r in P.seeded_order(base, "conv_id").collect()]
+    assert [r["conv_id"] for r in sorted(s, key=lambda r: r["sample_rank"])] == order[:10]
+    assert sorted(r["sample_rank"] for r in s) == list(range(1, 11))
+    assert P.seeded_sample(base, "conv_id", 1000).count() == 100
+
+
+def test_j2_repeated_and_null_ids_count_one_by_one(spark):
+    rows = [(1, f"row{i}") for i in range(8)] + [(i, "x") for i in range(2, 20)] + [(None, "n1"), (None, "n2")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for n in (1, 5, 8, 12, 27, 28, 50):
+        got = P.seeded_sample(df, "id", n).collect()
+        assert len(got) == min(n, 28) and len({(r["id"], r["text"]) for r in got}) == len(got)
+        assert sorted(r["sample_rank"] for r in got) == list(range(1, min(n, 28) + 1))
+        again = P.seeded_sample(df.repartition(5), "id", n).collect()
+        assert {tuple(r) for r in again} == {tuple(r) for r in got}
 
 
 def test_j3_disjoint_and_short_pool(spark):
@@ -122,26 +133,36 @@ def test_j5_preview_uses_group_limit(spark):
     assert len(rows) == 30 and max(r["q_id"] for r in rows) == 9
 
 
-def test_with_position_is_dense_rank(spark):
-    from pyspark.sql import Window
-    docs = FX.table(spark, SF001, "events").select("event_id", "user_id").where("event_id % 3 <> 1")
-    got = P.with_position(docs, ["event_id"])
-    ref = docs.withColumn("r", F.row_number().over(Window.orderBy("event_id")) - 1)
-    a = {r["event_id"]: r["idx"] for r in got.collect()}
-    b = {r["event_id"]: r["r"] for r in ref.collect()}
-    assert a == b and sorted(a.values()) == list(range(len(b)))
-    again = {r["event_id"]: r["idx"] for r in P.with_position(docs.repartition(5), ["event_id"]).collect()}
-    assert again == a
-
-
-def test_j2_sample_larger_than_pool(spark):
-    base = FX.fd1_stats(spark, SF001)
-    s = P.seeded_sample(base, "conv_id", 1000)
-    assert s.count() == 100 and sorted(r["sample_rank"] for r in s.collect()) == list(range(1, 101))
-
-
-def test_d6_with_model_prompt(spark):
-    from prefscope.operators.report import request_grid
-    g = P.with_model_prompt(request_grid(spark.createDataFrame([(1, "hi")], "prompt_id long, prompt string")))
-    got = {r["model"]: r["model_prompt"] for r in g.collect()}
-    assert got["Base"] == "hi" and got["SFT"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n"
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_with_position_numbers_wide_rows(spark, adaptive):
+    """Every row once, in order, whatever AQE does with the partitions."""
+    df = spark.range(0, 60_000).select(
+        ((F.col("id") * 7919) % 60_000 * 3).alias("key"), F.md5(F.col("id").cast("string")).alias("text"),
+        F.repeat(F.md5(F.col("id").cast("string")), 6).alias("wide"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        got = P.with_position(df, ["key"], "pos")
+        assert got.columns == ["key", "text", "wide", "pos"]
+        assert got.where("pos * 3 <> key").count() == 0 and got.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_with_position_ties_and_nulls(spark):
+    df = spark.createDataFrame([(None, "a"), (2, "b"), (2, "c"), (None, "d"), (1, "e")], "k long, t string")
+    got = {r["t"]: r["pos"] for r in P.with_position(df, ["k"], "pos").collect()}
+    assert sorted(got.values()) == [0, 1, 2, 3, 4]
+    assert {got["a"], got["d"]} == {0, 1} and got["e"] == 2 and {got["b"], got["c"]} == {3, 4}
+    assert P.with_position(df.limit(0), ["k"]).count() == 0
+
+
+def test_running_accuracy_on_sparse_ids(spark):
+    from prefscope.operators import scoring as H
+    rows = [(m, 3 * i, i % 4 == 0) for m in ("Base", "DPO") for i in range(2000)]
+    df = spark.createDataFrame(rows, "model string, idx long, correct boolean").withColumn(
+        "wide", F.repeat(F.lit("x"), 300))
+    got = H.running_accuracy(df, every=10).collect()
+    assert len(got) == 2 * 199
+    assert all(r["hits_so_far"] == -(-r["idx"] // 4) for r in got)

@@ -1,9 +1,4 @@
-"""Text functions against plain-Python statements of the harness semantics
-(str.strip/split/lower, re), on generated strings and on edge cases."""
-
-import json
-import random
-import re
+"""Text functions and rules on inputs whose answers were worked out by hand."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,101 +6,60 @@ from pyspark.sql import functions as F
 from prefscope.functions import text as T
 from prefscope.functions.rules import INSTRUCTION_PROMPTS, instruction_ok, rule_verdict
 
-# -- plain-Python statements (ASCII digit classes, as documented) ------------
-NUM = r"-?[0-9][0-9,]*\.?[0-9]*"
-WS = "[" + "".join(re.escape(chr(c)) for c in T.PY_WHITESPACE_CODEPOINTS) + "]"
-
-
-def py_final_number(t):
-    m = re.search("####" + WS + "*(" + NUM + ")", t)
-    if m:
-        return m.group(1).replace(",", "")
-    ms = re.findall(NUM, t.replace(",", ""))
-    return ms[-1] if ms else None
-
-
-def py_gold(a):
-    return a.split("####")[-1].strip().replace(",", "")
-
-
-def py_rep(t):
-    lines = [ln.strip().lower() for ln in t.split("\n") if len(ln.strip()) > 3]
-    return len(lines) != len(set(lines))
-
-
-def py_cot(t):
-    pat = "(step" + WS + "*[0-9]|first,|then,|next,|\n[0-9]\\.)"
-    return bool(re.search(pat, t, re.I)) and not py_rep(t)
-
-
-def py_sentences(t):
-    return len([s.strip() for s in re.split(r"[.!?]", t.strip()) if s.strip()])
+NBSP, IDEOGRAPHIC = "\xa0", "　"
+
+# function -> [(input, answer)]
+CASES = {
+    "strip": (T.py_strip, [
+        ("a\t\n Tokyo  ", "a\t\n Tokyo"), (" x ", "x"), (NBSP + "y" + IDEOGRAPHIC + "\x0b", "y"),
+        ("\x1c\x85z", "z"), ("", ""), (" \n\t", ""), ("​w", "​w")]),
+    "repetition": (T.has_repetition, [
+        ("same line\nsame line", True), ("Same Line \n  same line", True), ("abc\nabc", False),
+        ("abcd\nabcd", True), ("one line\nother line", False), ("", False), ("\n\n\n", False),
+        ("long one\n\nshort\nlong one", True), (" abc \n abc ", False)]),
+    "collapse": (T.has_chat_collapse, [
+        ("USER\nhi", True), ("superuser\nx", True), ("assistant\n", True), ("<|IM_START|>", True),
+        ("a<|im_end|>", True), ("user: hi", False), ("assistant", False), ("", False)]),
+    "final_number": (T.final_number, [
+        ("#### 1,234.5", "1234.5"), ("#### 7 and #### 9", "7"), ("####\t-3", "-3"), ("#### $18 then 4.", "4."),
+        ("x 12,5,6", "1256"), ("-3 and 7.", "7."), ("no number", None), ("", None), ("1,200", "1200"),
+        ("3.14.15", "15"), ("####5", "5"), ("a-5", "-5"), ("#### 2.", "2.")]),
+    "gold": (T.gold_answer, [
+        ("work #### 1,000 ", "1000"), ("#### 1 #### 2", "2"), ("no mark", "no mark"), ("##### 3", "# 3"),
+        ("####", ""), ("a####\t5\n", "5")]),
+    "cot": (T.has_cot, [
+        ("Step 1: go", True), ("STEP2", True), ("step one", False), ("First, we", True), ("strengthen, it", True),
+        ("next, that", True), ("list:\n1. a", True), ("1. a", False), ("then we", False), ("", False),
+        ("first, x\nsame line\nsame line", False)]),
+    "sentences": (T.n_sentences, [
+        ("One. Two! Three?", 3), ("One", 1), ("...", 0), ("", 0), ("a.b", 2), (" . x . ", 1), ("3.5", 2)]),
+    "lines": (T.n_lines, [("a\nb", 2), ("a\n\n \t\nb\n", 2), ("", 0), ("\n", 0), ("a\rb", 1), (NBSP + "\nx", 1)]),
+    "words": (T.n_words, [("a b  c", 3), (" a\tb\nc ", 3), ("", 0), ("a" + NBSP + "b", 2), ("a​b", 1)]),
+    "all_start_s": (lambda c: T.all_words_start(F.lower(c), "s", 3), [
+        ("She sells shells", True), ("\"So,\" 'six' (see", False), ("\"So,\" 'six' see!", True), ("she sees", False),
+        ("Sun sky sea land", False), ("", False), ("s s s", True), ("so , so so", False)]),
+    "longer_than_20": (lambda c: T.min_len(T.py_strip(F.lower(c)), 20), [
+        ("x" * 20, False), ("x" * 21, True), (" " * 30 + "x" * 20, False), ("", False)]),
+    "any_the_und": (lambda c: T.contains_any(c, ("the", "und")), [("bund", True), ("The", False), ("other", True), ("", False)]),
+    "all_the_und": (lambda c: T.contains_all(c, ("the", "und")), [("the bund", True), ("the", False)]),
+    "none_red": (lambda c: T.contains_none(c, ("red",)), [("colored", False), ("green", True)]),
+    "exact": (lambda c: T.contains_exact(c, "PACIFIC"), [("the PACIFIC", True), ("Pacific", False)]),
+}
 
 
-def py_lines(t):
-    return len([ln for ln in t.split("\n") if ln.strip()])
-
-
-def py_words(t):
-    return len([w for w in t.split() if w.strip()])
-
-
-def py_all_start(t, letter="s", n=3):
-    ws = [w.strip(".,!?\"'") for w in t.lower().strip().split() if w.strip()]
-    return len(ws) >= n and all(w.startswith(letter) for w in ws)
-
-
-ALPHABET = list("abcdefghijklmnopqrstuvwxyzSTEP0123456789#,.!?-;'\"") + [
-    " ", " ", "\t", "\n", "\n", "\r", "\x0b", "\x0c", "\xa0", " ", "　",
-    "####", "Step ", "first,", "then,", "next,", "\n1.", "1,200", "same line\n", "é"]
-
-
-def gen_texts(n=600, seed=7):
-    rnd = random.Random(seed)
-    out = []
-    for _ in range(n):
-        k = rnd.randint(0, 40)
-        out.append("".join(rnd.choice(ALPHABET) for _ in range(k)))
-    out += ["", " ", "\n", "#### $18 then 4.", "#### 1,234.5", "-3 and 7.", "x 12,5,6",
-            "a\t\n Tokyo  ", "strengthen, it", "list:\n1. a", "Step1", "STEP 2", "no number"]
-    return out
+@pytest.fixture(scope="module")
+def answers(spark):
+    """All cases of all functions in one job: function -> input -> result."""
+    inputs = sorted({x for _, rows in CASES.values() for x, _ in rows})
+    df = spark.createDataFrame([(x,) for x in inputs], "t string")
+    rows = df.select("t", *[f(F.col("t")).alias(name) for name, (f, _) in CASES.items()]).collect()
+    return {name: {r["t"]: r[name] for r in rows} for name in CASES}
 
 
-@pytest.fixture(scope="module")
-def texts(spark):
-    data = [(i, t) for i, t in enumerate(gen_texts())]
-    return data, spark.createDataFrame(data, "id long, t string").cache()
-
-
-def _run(df, col):
-    return {r["id"]: r["v"] for r in df.select("id", col.alias("v")).collect()}
-
-
-@pytest.mark.parametrize("name,spark_fn,py_fn", [
-    ("strip", lambda c: T.py_strip(c), lambda t: t.strip()),
-    ("final_number", T.final_number, py_final_number),
-    ("gold", T.gold_answer, py_gold),
-    ("repetition", T.has_repetition, py_rep),
-    ("cot", T.has_cot, py_cot),
-    ("sentences", T.n_sentences, py_sentences),
-    ("lines", T.n_lines, py_lines),
-    ("words", T.n_words, py_words),
-    ("all_start", lambda c: T.all_words_start(F.lower(c), "s", 3), py_all_start),
-    ("min_len", lambda c: T.min_len(T.py_strip(F.lower(c)), 20), lambda t: len(t.lower().strip()) > 20),
-    ("collapse", T.has_chat_collapse,
-     lambda t: any(m in t.lower() for m in ["user\n", "assistant\n", "<|im_start|>", "<|im_end|>"])),
-])
-def test_matches_python(texts, name, spark_fn, py_fn):
-    data, df = texts
-    got = _run(df, spark_fn(F.col("t")))
-    for i, t in data:
-        assert got[i] == py_fn(t), (name, repr(t), got[i], py_fn(t))
-
-
-def test_strip_removes_all_whitespace(spark):
-    r = spark.createDataFrame([("a\t\n Tokyo \u3000\x0b",)], "t string").select(
-        F.length(T.py_strip("t")).alias("s")).first()
-    assert r["s"] == 9
+@pytest.mark.parametrize("name", CASES)
+def test_answers(answers, name):
+    for text, want in CASES[name][1]:
+        assert answers[name][text] == want, (name, text)
 
 
 def test_exact_match_is_string_equality(spark):
@@ -113,140 +67,90 @@ def test_exact_match_is_string_equality(spark):
     assert [r[0] for r in df.select(T.is_exact("p", "g")).collect()] == [False, False, True]
 
 
-def test_substring_rules_match_inside_words(spark):
-    prompt = [p for p in INSTRUCTION_PROMPTS if "distinct colors" in p.lower()][0]
-    df = spark.createDataFrame([(prompt, "Green, colored yellow"), (prompt, "Green, Yellow, Purple")],
-                               "prompt string, response string")
-    assert [r[0] for r in df.select(rule_verdict("prompt", "response")).collect()] == [False, True]
-
-
-def test_no_rule_is_false(spark):
-    df = spark.createDataFrame([("Tell me a joke", "ha")], "prompt string, response string")
-    assert df.select(rule_verdict("prompt", "response")).first()[0] is False
-    assert df.select(instruction_ok("prompt", "response")).first()[0] is False
-
-
-def py_verdict(raw):
-    try:
-        v = json.loads(raw.strip())
-    except Exception:  # noqa: BLE001
-        return (False, None, None)
-    if not isinstance(v, dict):
-        return (False, None, None)
-    return (True, v.get("winner", "Tie"), v.get("reason", "No reason provided."))
-
-
-@pytest.mark.parametrize("raw", [
-    '{"winner":"DPO","reason":"a"}', '  {"winner":"SFT"}\n', '{"reason":"x"}', "not json",
-    '{"a":1} tail', "3", "", '{"winner": "Base", "reason": "line\\nbreak"}', "{}"])
-def test_parse_verdict(spark, raw):
-    r = spark.createDataFrame([(raw,)], "raw string").select(T.parse_verdict("raw").alias("v")).first()["v"]
-    assert (r["ok"], r["winner"], r["reason"]) == py_verdict(raw)
-
-
-def _py_test(spec, raw, low):
-    kind = spec[0]
-    if kind == "any":
-        return any(w in low for w in spec[1])
-    if kind == "all":
-        return all(w in low for w in spec[1])
-    if kind == "none":
-        return not any(w in low for w in spec[1])
-    if kind == "exact":
-        return spec[1] in raw
-    if kind == "len_gt":
-        return len(low) > spec[1]
-    if kind == "sentences":
-        return py_sentences(raw) == spec[1]
-    if kind == "lines_ge":
-        return py_lines(raw) >= spec[1]
-    if kind == "words":
-        return py_words(raw) == spec[1]
-    if kind == "all_start":
-        return py_all_start(raw, spec[1], spec[2])
-    parts = [_py_test(s, raw, low) for s in spec[1:]]
-    return all(parts) if kind == "and" else any(parts)
-
-
-def py_rule(prompt, resp):
-    from prefscope.functions.rules import INSTRUCTION_RULES
-    low = resp.lower().strip()
-    for trigger, spec in INSTRUCTION_RULES:
-        if trigger in prompt.lower():
-            return _py_test(spec, resp, low)
-    return False
-
-
-def test_real_documents_match_python(spark):
+# raw text -> (is one JSON object, winner, reason)
+VERDICTS = [
+    ('{"winner":"DPO","reason":"a"}', True, "DPO", "a"),
+    ('  {"winner":"SFT"}\n', True, "SFT", "No reason provided."),
+    ('{"reason":"x"}', True, "Tie", "x"),
+    ("{}", True, "Tie", "No reason provided."),
+    ('{"winner": "Base", "reason": "line\\nbreak"}', True, "Base", "line\nbreak"),
+    ('{"winner":"SFT","winner":"DPO"}', True, "DPO", "No reason provided."),
+    ('{"a":{"winner":"SFT"},"winner":"DPO"}', True, "DPO", "No reason provided."),
+    ('{"winner":"DPO"} {"winner":"SFT"}', False, None, None),
+    ('{"winner":"DPO"},{"winner":"SFT"}', False, None, None),
+    ('{"winner":"DPO"}], [{"winner":"SFT"}', False, None, None),
+    ('{"a":1} tail', False, None, None), ("not json", False, None, None), ("3", False, None, None),
+    ("", False, None, None), ("[1]", False, None, None), ("{'winner':'DPO'}", False, None, None),
+    ('{"winner":"DPO"', False, None, None), ('{"winner":DPO}', False, None, None), (None, False, None, None),
+]
+
+
+def test_verdicts(spark):
+    df = spark.createDataFrame([(i, v[0]) for i, v in enumerate(VERDICTS)], "i long, raw string")
+    got = {r["i"]: r["v"] for r in df.select("i", T.parse_verdict("raw").alias("v")).collect()}
+    for i, (raw, ok, winner, reason) in enumerate(VERDICTS):
+        assert (got[i]["ok"], got[i]["winner"], got[i]["reason"]) == (ok, winner, reason), raw
+
+
+# words of the prompt -> responses that pass, and that don't
+RULES = {
+    "exercise": (["It is good for your heart and mind."], ["heart", "It is good for you in many ways."]),
+    "french": (["Bonjour"], ["Hello"]),
+    "photosynthesis": (["Photosynthesis is", "A plant uses light"], ["A plant grows"]),
+    "happy'": (["Joyful, glad"], ["sad"]),
+    "variable": (["a container"], ["a thing"]),
+    "japan": (["TOKYO."], ["Kyoto"]),
+    "kilometers": (["6.21", "16"], ["5"]),
+    "birthday": (["Best wishes"], ["Congratulations"]),
+    "boiling": (["100 C"], ["212 F"]),
+    "gravity": (["It attracts"], ["It pulls"]),
+    "tides": (["The moon. It pulls."], ["The moon pulls.", "One. Two."]),
+    "birdhouse": (["1. Cut wood", "Glue it\nPaint it"], ["Cut wood", "1. Begin"]),
+    "inflation": (["Prices rise. Money. Less."], ["Prices rise.", "A. B. C."]),
+    "json": (["capital Paris population"], ["capital Paris"]),
+    "haiku": (["the mind\nof code"], ["the mind of code", "a\nb"]),
+    "distinct colors": (["Green, Yellow, Purple"], ["Green, colored yellow", "cyan"]),
+    "largest ocean": (["PACIFIC"], ["Pacific"]),
+    "antonyms": (["hot; warm"], ["hot, warm", "red; green"]),
+    "five words": (["I read a good book"], ["I read books", "I like to eat fish"]),
+    "15 multiplied": (["72"], ["60"]),
+    "statically": (["Go", "Rust"], ["Python"]),
+    "letter 's'": (["Sam sees Sue", "So, \"she\" sat!"], ["Sam sees", "Sam and Sue"]),
+    "romeo": (["Shakespeare"], ["Marlowe"]),
+    "states of matter": (["solid, liquid, gas"], ["solid, liquid"]),
+    "gold": (["Au"], ["Ag"]),
+}
+
+
+def test_rules(spark):
+    rows = []
+    for words, (good, bad) in RULES.items():
+        prompt = [p for p in INSTRUCTION_PROMPTS if words in p.lower()]
+        assert len(prompt) == 1, words
+        rows += [(prompt[0], r, True) for r in good] + [(prompt[0], r, False) for r in bad]
+    assert len(RULES) == len(INSTRUCTION_PROMPTS) == 25
+    rows.append(("Tell me a joke", "Tokyo", False))
+    df = spark.createDataFrame(rows, "prompt string, response string, want boolean")
+    got = df.select("*", rule_verdict("prompt", "response").alias("got")).where("got <> want or got is null").collect()
+    assert got == []
+
+
+def test_gates(spark):
+    prompt = [p for p in INSTRUCTION_PROMPTS if "japan" in p.lower()][0]
+    rows = [(prompt, "Tokyo", True), (prompt, "user\nTokyo", False), (prompt, "Tokyo it is\nTokyo it is", False),
+            (prompt, "Kyoto", False), (prompt, None, False)]
+    df = spark.createDataFrame(rows, "prompt string, response string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("*", instruction_ok("prompt", "response").alias("got")).collect())
+
+
+def test_number_dispatch_equals_prompt_dispatch(spark):
+    from prefscope.operators.scoring import score_instructions
     from prefscope.plans import fixtures as FX
     from conftest import SF001
     r = FX.fd6_responses(spark, SF001)
-    got = r.select("item_id", "prompt", "response",
-                   rule_verdict("prompt", "response").alias("rule"),
-                   instruction_ok("prompt", "response").alias("ok"),
-                   T.has_repetition("response").alias("rep"), T.has_cot("response").alias("cot"),
-                   T.n_words("response").alias("words"), T.n_sentences("response").alias("sent"),
-                   T.n_lines("response").alias("lines"), T.final_number("response").alias("num"),
-                   F.length(T.py_strip("response")).alias("slen")).collect()
-    assert len(got) == 1000
-    for x in got:
-        t = x["response"]
-        exp_rule = py_rule(x["prompt"], t)
-        collapse = any(m in t.lower() for m in ["user\n", "assistant\n", "<|im_start|>", "<|im_end|>"])
-        assert x["rule"] == exp_rule, x["item_id"]
-        assert x["ok"] == (exp_rule and not collapse and not py_rep(t)), x["item_id"]
-        assert (x["rep"], x["cot"], x["words"], x["sent"], x["lines"], x["num"], x["slen"]) == (
-            py_rep(t), py_cot(t), py_words(t), py_sentences(t), py_lines(t), py_final_number(t),
-            len(t.strip())), x["item_id"]
-
-
-def _rule_words():
-    from prefscope.functions.rules import INSTRUCTION_RULES
-    out = set()
-
-    def walk(spec):
-        if spec[0] in ("any", "all", "none"):
-            out.update(spec[1])
-        elif spec[0] == "exact":
-            out.add(spec[1])
-        elif spec[0] in ("and", "or"):
-            for s in spec[1:]:
-                walk(s)
-    for _, spec in INSTRUCTION_RULES:
-        walk(spec)
-    return sorted(out)
-
-
-def test_rules_fuzz_against_python(spark):
-    rnd = random.Random(11)
-    words = _rule_words() + ["Sun", "sky", "Shakespeare", "Tokyo", "PARIS", "Pacific", "so", "she",
-                             "\"safe\"", "'sure'", "x", "The", "AU"]
-    seps = [" ", " ", " ", "\n", ". ", "! ", "? ", ", ", ";", "\t", "\n\n", "  "]
-    data = []
-    i = 0
-    for p in INSTRUCTION_PROMPTS:
-        for _ in range(60):
-            k = rnd.randint(0, 9)
-            parts = []
-            for _ in range(k):
-                w = rnd.choice(words)
-                w = w.upper() if rnd.random() < 0.15 else (w.capitalize() if rnd.random() < 0.2 else w)
-                parts += [w, rnd.choice(seps)]
-            resp = "".join(parts)
-            if rnd.random() < 0.1:
-                resp = resp + "\n" + resp  # repeated lines
-            if rnd.random() < 0.05:
-                resp = "assistant\n" + resp
-            data.append((i, p, resp))
-            i += 1
-    df = spark.createDataFrame(data, "id long, prompt string, response string")
-    got = {r["id"]: (r["rule"], r["ok"]) for r in df.select(
-        "id", rule_verdict("prompt", "response").alias("rule"),
-        instruction_ok("prompt", "response").alias("ok")).collect()}
-    hits = 0
-    for i, p, t in data:
-        exp = py_rule(p, t)
-        collapse = any(m in t.lower() for m in ["user\n", "assistant\n", "<|im_start|>", "<|im_end|>"])
-        assert got[i] == (exp, exp and not collapse and not py_rep(t)), (p, repr(t))
-        hits += exp
-    assert 100 < hits < len(data) - 100  # both outcomes are exercised
+    a = score_instructions(r).select("item_id", "correct", "ok")
+    b = r.select("item_id", rule_verdict("prompt", "response").alias("c2"), instruction_ok("prompt", "response").alias("o2"))
+    j = a.join(b, "item_id")
+    assert j.count() == 1000 and j.where("correct <> c2 or ok <> o2").count() == 0
+    plan = score_instructions(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(lower(") <= 25 + 4  # triggers on the suite's prompts, marks in the response
