@@ -106,8 +106,8 @@ ids AS (SELECT r, list(id ORDER BY i) AS sentence_ids FROM found GROUP BY r),
 names AS (
   SELECT r, list(license ORDER BY rank) AS licenses
   FROM (SELECT r, license, min(rank) AS rank FROM found GROUP BY r, license) GROUP BY r)
-SELECT doc_id, coalesce(sentence_ids, []::VARCHAR[]) AS sentence_ids, coalesce(licenses, []::VARCHAR[]) AS licenses,
-       []::VARCHAR[] AS unresolved
+SELECT doc_id, coalesce(array_to_string(sentence_ids, ','), '') AS sentence_ids,
+       coalesce(array_to_string(licenses, ','), '') AS licenses, '' AS unresolved
 FROM d LEFT JOIN ids USING (r) LEFT JOIN names USING (r)
 """
 

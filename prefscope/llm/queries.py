@@ -45,7 +45,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir))
+    """The lists of the scan as texts, with commas between."""
+    return license_scan.scan(documents(spark, sf_dir)).select(
+        "doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses", "unresolved")])
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
