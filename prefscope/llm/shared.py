@@ -50,14 +50,17 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     hot = table.where(bound).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys],
         *[F.col(c).alias(f"_hot_v_{c}") for c in payload], F.lit(True).alias("_hot"))
+    # The cold salt is 0, but as an expression of the keys: a literal would be
+    # taken out of the join's keys, and hot rows would meet in one partition.
+    none = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
     cold = table.where(~bound).select(
         *[F.col(k).alias(f"_cold_{k}") for k in keys],
         *[F.col(c).alias(f"_cold_v_{c}") for c in payload],
-        F.lit(0).alias("_cold_salt"), F.lit(True).alias("_cold"))
+        none.alias("_cold_salt"), F.lit(True).alias("_cold"))
     marked = rows.join(F.broadcast(hot), _all(F.col(k) == F.col(f"_hot_{k}") for k in keys),
                        "left")
     marked = marked.withColumn("_salt", F.when(
-        F.col("_hot"), F.pmod(F.hash(*spread_by), F.lit(SPREAD)) + 1).otherwise(0))
+        F.col("_hot"), F.pmod(F.hash(*spread_by), F.lit(SPREAD)) + 1).otherwise(0).cast("int"))
     joined = marked.join(
         cold, _all([*(F.col(k) == F.col(f"_cold_{k}") for k in keys),
                     F.col("_salt") == F.col("_cold_salt")]), "left")

@@ -228,3 +228,24 @@ def test_mixing(spark):
     assert mixing.mix_report(empty(spark)).collect() == [] and mixing.mix(empty(spark)).collect() == []
     none = mixing.mix_report(table(spark, [(1, None, None), (2, "", "a")])).collect()
     assert sorted((r.doc_id, r.size, r.taken, r.target) for r in none) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+
+
+def test_lookup_spreads_a_hot_key(spark):
+    """Rows of a heavy key are matched by broadcast and don't meet in the
+    shuffle join; all rows come back once."""
+    from prefscope.llm.shared import lookup, written
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000 + 10).alias("k"))
+    table_ = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("v")), "test-lookup")
+    found = lookup(rows, table_, ["k"], "n", ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "_cold_salt" in plan
+    want = rows.join(table_, "k").select("id", "k", "n", "v")
+    assert found.count() == 20_000 and found.exceptAll(want).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lookup(rows, table_, ["k"], "n", ["id"])
+        joined = found._jdf.queryExecution().executedPlan().toString()
+        exchange = [x for x in joined.split("\n") if "hashpartitioning(" in x]
+        assert any("_salt" in x for x in exchange), joined
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
