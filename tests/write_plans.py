@@ -13,9 +13,10 @@ q = E.queries()
 notes = {
  "qa_report": "Flagship: scoring is one narrow projection; per-model partial aggregate before the only shuffle.",
  "l1_resolve_verdicts": "Verdict resolution: partial min_by per prompt before the shuffle (a hot prompt ships one row per task).",
+ "f1_rule_verdict": "Rules: the rule number comes with the broadcast suite, the lowered response is staged once.",
  "i1_running_accuracy": "Running accuracy: bucket partial counts, block totals, within-block windows partitioned by (model, block); no window over a whole model.",
- "j2_seeded_sample": "Seeded sample: TakeOrderedAndProject over (id, key) only, then a broadcast join of the n sampled ids back to the rows.",
- "j5_preview": "First 10 per model: WindowGroupLimit before and after the shuffle.",
+ "j2_seeded_sample": "Seeded sample: the wide rows up to the n-th key (found among narrow rows while the plan is built), numbered within checkpointed ranges.",
+ "j5_preview": "First 10 per model: WindowGroupLimit on narrow (model, id) rows, then the rows up to each model's tenth id.",
  "c1_filter_conversations": "C1 on long rows: one partial aggregate of turns and characters per conversation (no message arrays are built to filter).",
  "k2_perplexity": "Unigram perplexity: count table broadcast behind its fitted size; per-text partial sums, then one global average.",
  "h5_identical_pct": "Identical outputs for three model pairs from one pivot (one shuffle), not three joins.",
