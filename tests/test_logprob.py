@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from prefscope.operators import logprob as K
@@ -150,3 +152,41 @@ def test_multi_model_passes_equal_single(spark, monkeypatch):
     monkeypatch.setattr(K, "BROADCAST_BYTES", 0)  # per-model fallback path
     c = {r["model"]: r["perplexity"] for r in K.perplexity_multi(texts, lms).collect()}
     assert all(abs(c[k] - multi[k]) < 1e-9 * multi[k] for k in multi)
+
+
+def test_shuffle_lookup_equals_broadcast_with_a_dominant_unseen_token(spark, monkeypatch):
+    """The token that fills most rows is not in the corpus; one sequence has a
+    null key. Both lookups give the same sums."""
+    corpus = spark.createDataFrame([("a b a c",), ("b d",)], "text string")
+    tokens = spark.createDataFrame(
+        [(i % 50 if i % 50 else None, "unseen" if i % 4 else "ab"[i % 2]) for i in range(4000)],
+        "seq_id long, token string")
+    models = {"x": K.fit_ngram(corpus), "y": K.fit_ngram(corpus, vocab_size=9)}
+    want = {r["seq_id"]: tuple(r)[1:] for r in K.sequence_sums_multi(tokens, models, ["seq_id"]).collect()}
+    monkeypatch.setattr(K, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(K, "HOT_SPLIT", 1)
+    got = {r["seq_id"]: tuple(r)[1:] for r in K.sequence_sums_multi(tokens, models, ["seq_id"]).collect()}
+    assert set(got) == set(want) and None in got
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+
+
+def test_k6_fails_per_model(spark):
+    """The policy failed on pair 1 only on one side: its margin is the
+    reference's alone, not zero."""
+    lp = spark.createDataFrame([(1, None, -7.0, -5.0, -9.0), (2, -1.0, -2.0, -3.0, None)],
+                               "pair_id long, pol_chosen double, pol_rejected double, ref_chosen double, ref_rejected double")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "pair_id long")
+    out = K.reward_margin(K.rewards(K.fill_failed(ids, lp), beta=0.05))
+    got = {r["pair_id"]: r for r in out.collect()}
+    assert got[1]["margin"] == pytest.approx(-0.2) and got[1]["pol_failed"] and not got[1]["ref_failed"]
+    assert got[2]["margin"] == pytest.approx(0.05) and got[2]["ref_failed"] and not got[2]["pol_failed"]
+    assert got[3]["margin"] == 0.0 and got[3]["failed"]
+
+
+def test_k1_legacy_prompt(spark):
+    pairs = spark.createDataFrame([(1, "sys", "", "q", "c1 c2", "r"), (2, None, "in", "q", None, "")],
+                                  "pair_id long, system string, input string, question string, chosen string, rejected string")
+    toks = K.completion_tokens(pairs, "chosen").collect()
+    text = {i: " ".join(r["token"] for r in sorted(toks, key=lambda r: r["pos"]) if r["pair_id"] == i) for i in (1, 2)}
+    assert "sys" in text[1] and text[1].endswith("c1 c2 <|im_end|>") and text[2].endswith("<|im_end|>") and "in" in text[2]
