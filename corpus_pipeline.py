@@ -11,6 +11,8 @@ from prefscope.llm.shared import written
 
 #: A text is rejected when no learned language reaches this mean probability.
 MIN_LANGUAGE_SCORE = 0.4
+#: Near duplicates share 80 % of their shingles of five words.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram links connect: the one whose
     doc_id is the group's component_id."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_PERCENT, NEAR_SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,23 +215,25 @@ def _walk(tree: PrefixTree, probes: np.ndarray, has: np.ndarray, sizes: np.ndarr
 
 
 # ---- Spark -----------------------------------------------------------------
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in T.slices(batch["text"]):
-            part = batch.slice(lo, hi - lo)
-            hashes, begin = shingle_sets(part["text"])
-            a, b = set_ids(hashes, begin)
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(np.diff(begin).astype(np.int64)), pa.array(T.signed(a)),
-                 pa.array(T.signed(b))], ["doc_id", "n_shingles", "set_a", "set_b"])
+def _set_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in T.slices(batch["text"]):
+                part = batch.slice(lo, hi - lo)
+                hashes, begin = shingle_sets(part["text"], k)
+                a, b = set_ids(hashes, begin)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(np.diff(begin).astype(np.int64)), pa.array(T.signed(a)),
+                     pa.array(T.signed(b))], ["doc_id", "n_shingles", "set_a", "set_b"])
+    return rows
 
 
-def _key_rows(percent: int):
+def _key_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sets = [], []
             for lo, hi in T.slices(batch["text"]):
-                hashes, begin = shingle_sets(batch["text"].slice(lo, hi - lo))
+                hashes, begin = shingle_sets(batch["text"].slice(lo, hi - lo), k)
                 key, owner = slice_keys(hashes, begin, percent)
                 keys.append(key)
                 sets.append(T.signed(set_ids(hashes, begin)[0])[owner])
@@ -254,13 +256,13 @@ def _key_rows(percent: int):
     return rows
 
 
-def _linked_rows(percent: int):
+def _linked_rows(percent: int, k: int):
     def rows(table: pa.Table) -> pa.Table:
         text, node = table["text"].combine_chunks(), table["node"].to_pylist()
         side, expected = table["side"].to_numpy(), table["set_a"].to_numpy()
         sets, right = [], []
         for lo, hi in T.slices(text):
-            hashes, begin = shingle_sets(text.slice(lo, hi - lo))
+            hashes, begin = shingle_sets(text.slice(lo, hi - lo), k)
             sets += [hashes[a:b] for a, b in zip(begin[:-1], begin[1:])]
             # Rows that repeat an id with another text are not the ones asked for.
             right.append(T.signed(set_ids(hashes, begin)[0]) == expected[lo:hi])
@@ -273,12 +275,12 @@ def _linked_rows(percent: int):
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT,
-                     block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                     block_shingles: int = BLOCK_SHINGLES, k: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest
     doc_id that links reach, its own included).
 
     Words are lower-cased in A-Z. Null, empty and blank texts have no set and
-    link with nothing, also not with each other; texts of fewer than four
+    link with nothing, also not with each other; texts of fewer than k
     words have their whole sequence as their only shingle. Texts with equal
     sets are one node with the smallest of their ids. Rows that repeat an id
     with different texts are different nodes of that id. A row without an id
@@ -292,13 +294,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(
-        _set_rows, "doc_id long, n_shingles long, set_a long, set_b long"), "ngram-sets")
+        _set_rows(k), "doc_id long, n_shingles long, set_a long, set_b long"), "ngram-sets")
     in_play = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     nodes = written(sets.where(in_play).groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
     ).withColumn("node", F.concat_ws(":", "set_a", "set_b")), "ngram-nodes")
 
-    clusters = _clusters(rows, percent)
+    clusters = _clusters(rows, percent, k)
     members = nodes.join(clusters, F.col("set_a") == F.col("_set")).select(
         F.col("first_id").alias("_id"), "set_a", "node", "n", "cluster")
     sizes = members.groupBy("cluster").agg(
@@ -312,7 +314,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     # Each text goes to its tasks by one shuffle; the short side is hashed.
     joined = rows.join(tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select(
         "cluster", "i", "j", "side", "set_a", "node", "text")
-    linked = joined.groupBy("cluster", "i", "j").applyInArrow(_linked_rows(percent), "a string, b string")
+    linked = joined.groupBy("cluster", "i", "j").applyInArrow(_linked_rows(percent, k), "a string, b string")
     labels = written(components(linked.where("a != b")), "ngram-labels")
 
     named = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
@@ -325,23 +327,23 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The documents that stay when one of each connected group does, with all
     their columns: those whose doc_id is their component_id. Documents without
     words are a group each. Rows without an id have no group and stay. Where
     rows repeat the id that stays, all of them do."""
-    groups = ngram_components(docs.select("doc_id", "text"), percent)
+    groups = ngram_components(docs.select("doc_id", "text"), percent, k=k)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col("doc_id").cast("long").alias("_id"))
     return rows.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
-def _clusters(rows: DataFrame, percent: int) -> DataFrame:
+def _clusters(rows: DataFrame, percent: int, k: int) -> DataFrame:
     """(_set, cluster): sets, by half of their id, that chains of common
     routing keys connect."""
     found = rows.where("doc_id is not null").select("text").mapInArrow(
-        _key_rows(percent), "key long, a long, b long, is_pair boolean")
+        _key_rows(percent, k), "key long, a long, b long, is_pair boolean")
     # Pairs chained in a batch travel along, each under its own key, so the texts are read once.
     keyed = found.withColumn("key", F.when(F.col("is_pair"), F.xxhash64("a", "b")).otherwise(F.col("key")))
     before = F.lag("a").over(Window.partitionBy("key", "is_pair").orderBy("a"))

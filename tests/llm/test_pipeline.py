@@ -81,3 +81,22 @@ def test_one_of_each_keeps_rows_without_words_or_id(spark):
     got = ngram_join.one_of_each(table(spark, rows))
     assert sorted((str(r.doc_id) for r in got.collect())) == ["1", "3", "4", "None"]
     assert got.columns == table(spark, rows).columns
+
+
+def test_near_duplicates_share_80_percent_of_five_words(spark):
+    from test_basic_ops import table
+    rows = near_copies(33, 140) + [(900, " ".join(f"v{i}" for i in range(96)), "s")]
+    # 82 of 102 shingles of five words in common; of four words, 85 of 101.
+    rows += [(901, " ".join(f"v{i}" if i not in (20, 60) else f"u{i}" for i in range(96)), "s")]
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+            for w in (t.lower().split() for _, t, _ in rows)]
+    lowest = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = lowest[i], lowest[j]
+                lowest = [min(a, b) if x in (a, b) else x for x in lowest]
+    stay = {rows[i][0] for i in range(len(rows)) if lowest[i] == i}
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()}
+    assert got == stay and 900 in got and 901 not in got
+    assert stay != {i for i, _, c in plain_components(rows, 85) if i == c}
