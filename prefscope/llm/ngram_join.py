@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from prefscope.llm import textnum as T
 from prefscope.llm.components import components
@@ -228,6 +229,20 @@ def _set_rows(k: int):
     return rows
 
 
+def _marked_rows(k: int):
+    """Rows as they are, with their set's size and bits."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in T.slices(batch["text"]):
+                part = batch.slice(lo, hi - lo)
+                hashes, begin = shingle_sets(part["text"], k)
+                a, b = set_ids(hashes, begin)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(np.diff(begin).astype(np.int64)), pa.array(T.signed(a)),
+                     pa.array(T.signed(b))], [*part.schema.names, "n_shingles", "set_a", "set_b"])
+    return rows
+
+
 def _key_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,6 +307,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     The keys of one batch of rows are chained in the task that finds them, so
     a key shared by most documents sends one row per batch.
     """
+    return _groups(docs, percent, block_shingles, k).select("doc_id", "n_shingles", "component_id")
+
+
+def _groups(docs: DataFrame, percent: int, block_shingles: int, k: int) -> DataFrame:
+    """``ngram_components`` with the 128 bits of each row's set, and whether it
+    is the one set of its component that stays: of those that have the
+    component_id, the one with the smallest bits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(
         _set_rows(k), "doc_id long, n_shingles long, set_a long, set_b long"), "ngram-sets")
@@ -319,24 +341,48 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
 
     named = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy(F.col("component").alias("_c")).agg(F.min("first_id").alias("component_id"))
+    lowest = named.groupBy(F.col("component").alias("_c")).agg(
+        F.min(F.struct("first_id", "set_a", "set_b")).alias("_low"))
     named = written(named.join(lowest, F.col("component") == F.col("_c")).select(
-        "set_a", "set_b", "copies", "component_id"), "ngram-named")
+        "set_a", "set_b", "copies", F.col("_low.first_id").alias("component_id"),
+        ((F.col("set_a") == F.col("_low.set_a")) & (F.col("set_b") == F.col("_low.set_b"))).alias("stays")),
+        "ngram-named")
     found = lookup(sets.where(in_play), named, ["set_a", "set_b"], "copies", ["doc_id"])
-    alone = sets.where(~in_play).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = sets.where(~in_play).withColumns({"component_id": F.col("doc_id"), "stays": F.lit(True)})
+    names = ["doc_id", "n_shingles", "set_a", "set_b", "component_id", "stays"]
+    return found.select(names).unionByName(alone.select(names))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The documents that stay when one of each connected group does, with all
-    their columns: those whose doc_id is their component_id. Documents without
-    words are a group each. Rows without an id have no group and stay. Where
-    rows repeat the id that stays, all of them do."""
-    groups = ngram_components(docs.select("doc_id", "text"), percent, k=k)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    their columns: the one whose doc_id is the group's component_id. Documents
+    without words are a group each. Rows without an id have no group and stay.
+
+    Rows that repeat an id are told apart by their sets, so one that goes takes
+    no other text of its id with it. Where rows of one group repeat the id that
+    stays, the set with the smallest bits does, and of its rows the one that is
+    smallest as JSON."""
+    groups = written(_groups(docs.select("doc_id", "text"), percent, BLOCK_SHINGLES, k).where(
+        "doc_id is not null"), "ngram-groups")
+    ids = groups.groupBy(F.col("doc_id").alias("_gone")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.col("component_id") != F.col("doc_id")).alias("_leaves"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col("doc_id").cast("long").alias("_id"))
-    return rows.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    gone = ids.where("_n > 1 or _leaves")
+    once = rows.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    repeated = written(ids.where("_n > 1").select("_gone"), "ngram-repeated")
+    if repeated.isEmpty():
+        return once
+    again = rows.join(repeated.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_semi").select(
+        "_id", F.col("_row.text").alias("text"), F.to_json("_row").alias("_json"), "_row")
+    schema = StructType([*again.schema, *(StructField(c, LongType()) for c in ("n_shingles", "set_a", "set_b"))])
+    marked = written(again.mapInArrow(_marked_rows(k), schema), "ngram-marked")
+    stay = groups.where("stays and component_id = doc_id and n_shingles > 0").select(
+        F.col("doc_id").alias("_id"), "set_a", "set_b").distinct()
+    first = marked.where("n_shingles > 0").join(stay, ["_id", "set_a", "set_b"]).groupBy(
+        "_id", "set_a", "set_b").agg(F.min_by("_row", "_json").alias("_row"))
+    blank = marked.where("n_shingles = 0")
+    return once.unionByName(first.select("_row.*")).unionByName(blank.select("_row.*"))
 
 
 def _clusters(rows: DataFrame, percent: int, k: int) -> DataFrame:

@@ -137,3 +137,21 @@ def test_connected_components(spark):
         up[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in up if x != 3)
+
+
+def test_one_of_each_tells_rows_of_a_repeated_id_apart(spark):
+    long = " ".join(f"a{i}" for i in range(60))
+    near, other = long + " b0", " ".join(f"c{i}" for i in range(30))
+    rows = [(1, long, "s"), (2, near, "s"), (2, other, "s"),  # other is no copy of 1
+            (5, other + " z y x w v u", "s"), (6, other + " only in six", "s"), (6, "", "s"), (6, None, "s"),
+            (7, " ".join(f"d{i}" for i in range(50)), "s"), (7, " ".join(f"d{i}" for i in range(51)), "s"),
+            (7, " ".join(f"D{i}" for i in range(50)), "s"), (8, " ".join(f"d{i}" for i in range(52)), "s"),
+            (9, "nine alone", "s"), (9, "nine alone", "s"), (None, long, "s")]
+    got = J.one_of_each(table(spark, rows))
+    assert got.columns == table(spark, rows).columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    kept = Counter(i for i, _ in got)
+    assert (2, other) in got and (2, near) not in got and (1, long) in got
+    assert kept == Counter({1: 1, 2: 1, 5: 1, 6: 2, 7: 1, 9: 1, None: 1})
+    assert sorted(got, key=str) == sorted(((r.doc_id, r.text) for r in J.one_of_each(
+        table(spark, rows[::-1]).repartition(5)).collect()), key=str)
