@@ -72,8 +72,10 @@ RULES = [
     ("MIT", "spdx-mit"), ("Apache-2.0", "spdx-apache"), ("BSD-3-Clause", "spdx-bsd-3"),
     ("GPL-3.0-or-later", "spdx-gpl3-later"), ("All-Rights-Reserved", "reserved"),
 ]
-#: A text with none of these has no known sentence.
-HINT = r"(?i)licen[cs]e|apache.org|permission|copyright|warrant|liab|redistribut|free software|rights reserved"
+#: A text with none of these has no known sentence; it is tried on the raw
+#: text, where what stands between two words may be any noise.
+HINT = (r"(?i)licen[cs]e|apache.org|permission|copyright|warrant|liab|redistribut"
+        r"|free[^a-z0-9]+software|rights[^a-z0-9]+reserved")
 #: Where sentences end; the mark put there; what normalising takes out.
 SPDX = r"(?i)(spdx-license-identifier):[ \t]*([A-Za-z0-9.+-]+)"
 END = r"([.!?;:])[ \t\n\r\f]+|\n[ \t\r\f]*\n"

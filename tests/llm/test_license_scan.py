@@ -61,3 +61,21 @@ def test_rules_take_runs_in_their_order(spark):
     df = spark.createDataFrame(rows, "i long, s string").selectExpr("i", "filter(split(s, ' '), x -> x <> '') AS ids")
     got = {r.i: (r.x.rest, r.x.found) for r in df.select("i", L.apply_rules(df.ids, rules).alias("x")).collect()}
     assert got == {1: ("", ["ABC", "AB"]), 2: ("", ["C"]), 3: ("a,", ["C"]), 4: ("aa,b,", []), 5: ("", [])}
+
+
+def test_every_known_sentence_is_found_wrapped_at_each_word(spark):
+    """Each gap between two words in turn is a line end, a wider space or a
+    comment sign; a mark of a sentence's end is not put inside one."""
+    rows, want = [], {}
+    for name, text in L.SENTENCES.items():
+        words = text.split(" ")
+        for i in range(1, len(words)):
+            for gap in ("\n", "  ", "\n# ", "\r\n\t"):
+                if not words[i - 1].endswith((".", ":", ";", "!", "?")):
+                    want[len(rows)] = name
+                    rows.append((len(rows), " ".join(words[:i]) + gap + " ".join(words[i:]), "s"))
+    rows.append((-1, "(c) 2020 Acme. All rights\nreserved.", "s"))
+    want[-1] = "reserved"
+    got = {r.doc_id: list(r.sentence_ids) for r in L.scan(table(spark, rows)).collect()}
+    missed = {(want[i], rows[i][1][:60]) for i in want if want[i] not in got[i]}
+    assert not missed, sorted(missed)[:5]
