@@ -412,8 +412,7 @@ def h5_identical_by_task(spark, d):
     qa = FX.fd3_responses(spark, d).select(F.lit("qa").alias("task"), F.col("q_id").alias("idx"), "model", "response")
     ins = FX.fd6_responses(spark, d).select(
         F.lit("instructions").alias("task"),
-        (F.floor(F.col("item_id") / 75) * 25 + F.col("prompt_id")).cast("long").alias("idx"), "model",
-        F.substring("response", 1, 1).alias("response"))
+        (F.floor(F.col("item_id") / 75) * 25 + F.col("prompt_id")).cast("long").alias("idx"), "model", "response")
     wide = R.side_by_side(qa.unionByName(ins), keys=("task", "idx"))
     out = R.identical_pcts(wide, (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO")), by=("task",))
     return out.select("task", "model_a", "model_b", "n_a", "n_b", "n_equal", "comparable",
