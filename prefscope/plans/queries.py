@@ -632,11 +632,11 @@ def k7_ngram_preference(spark, d):
 
 def h8_preference_validation(spark, d):
     """The preference validation end to end: pairs that pass the length and
-    score filters, a seeded sample of them, log-probs of both sides under
+    score filters, a seeded sample of at most 100 of them, log-probs of both sides under
     policy and reference, rewards, margins, accuracy."""
     lms = K.fit_ngram_family(FX.labelled_documents(spark, d),
                              {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref")
-    pairs = P.seeded_sample(P.filter_pairs(FX.fd2_pairs(spark, d)), "pair_id", n=25, seed=42)
+    pairs = P.seeded_sample(P.filter_pairs(FX.fd2_pairs(spark, d)), "pair_id", n=100, seed=42)
     j = K.fill_failed(pairs, K.pair_logps_multi(pairs, {"pol": lms["pol"], "ref": lms["ref"]}))
     s = K.preference_summary(K.reward_margin(K.rewards(j, beta=0.05)))
     return s.select("n_pairs", r6("preference_accuracy_pct").alias("preference_accuracy_pct"),

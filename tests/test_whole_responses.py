@@ -28,3 +28,13 @@ def test_instruction_overlap_compares_whole_responses(spark, tmp_path):
     got = {(r.model_a, r.model_b): (r.n_a, r.n_b, r.n_equal, r.identical_pct)
            for r in Q.h5_identical_by_task(spark, d).collect() if r.task == "instructions"}
     assert got == {("Base", "SFT"): (5, 5, 2, 40.0), ("SFT", "DPO"): (5, 5, 2, 40.0), ("Base", "DPO"): (5, 5, 2, 40.0)}
+
+
+def test_preference_validation_scores_100_pairs_or_the_pool(spark, tmp_path):
+    for n, want in ((40, 40), (130, 100)):
+        d = tmp_path / str(n)
+        d.mkdir()
+        turns = [{"conv_id": c, "turn": t, "role": ("user", "assistant")[t % 2], "text": f"turn {t} of {c}"}
+                 for c in range(n) for t in range(4)]
+        got = Q.h8_preference_validation(spark, small_tables(spark, d, conversations=turns)).collect()
+        assert [r.n_pairs for r in got] == [want]
