@@ -165,7 +165,7 @@ VERDICT_COUNTS = f"""select winner, cast(sum(w) as bigint) as n from (
 ) u group by winner"""
 
 TASK_RESPONSES = f"""select 'qa' as task, q_id as idx, model, response from ({FD3}) q
-union all select 'instructions', (item_id // 75) * 25 + item_id % 25, model, substr(response, 1, 1) from ({FD6}) i"""
+union all select 'instructions', (item_id // 75) * 25 + item_id % 25, model, response from ({FD6}) i"""
 
 MARGINS = f"""select pair_id, 0.05 * (pol_chosen - ref_chosen) - 0.05 * (pol_rejected - ref_rejected) as margin
 from ({FD5}) f"""
@@ -540,7 +540,7 @@ select pair_id, {r6('case when pol_failed then 0.0 else pol_chosen end')} as pol
 
     "k7_ngram_preference": preference_sql(FD2),
 
-    "h8_preference_validation": preference_sql(f"{SAMPLED_PAIRS} limit 25"),
+    "h8_preference_validation": preference_sql(f"{SAMPLED_PAIRS} limit 100"),
 
     "k7_bigram_perplexity": BIGRAM_PPL,
 
