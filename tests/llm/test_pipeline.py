@@ -21,6 +21,21 @@ def documents(spark):
         "doc_id", "text", "lang", "source", "n_chars")
 
 
+def staying(rows):
+    """The ids that stay among (id, text): the smallest of each group that
+    links of 80 % of the shingles of five words connect."""
+    rows = sorted(rows)
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+            for w in ((t or "").lower().split() for _, t in rows)]
+    lowest = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = lowest[i], lowest[j]
+                lowest = [min(a, b) if x in (a, b) else x for x in lowest]
+    return {rows[i][0] for i in range(len(rows)) if lowest[i] == i}
+
+
 def test_stages(spark):
     docs = documents(spark).cache()
     start = [tuple(r) for r in docs.collect()]
@@ -39,7 +54,7 @@ def test_stages(spark):
     assert sorted(got2, key=str) == sorted((r for r in got if largest[r[1]] == r[0]), key=str) and len(got2) < len(got)
 
     far = corpus_pipeline.near_duplicates(spark, unique, "").cache()
-    stay = {i for i, _, c in plain_components([(r[0], r[1], r[3]) for r in got2], 85) if i == c}
+    stay = staying([(r[0], r[1]) for r in got2])
     got3 = [tuple(r) for r in far.collect()]
     assert sorted(got3, key=str) == sorted((r for r in got2 if r[0] in stay), key=str) and len(got3) < len(got2)
 
@@ -88,15 +103,7 @@ def test_near_duplicates_share_80_percent_of_five_words(spark):
     rows = near_copies(33, 140) + [(900, " ".join(f"v{i}" for i in range(96)), "s")]
     # 82 of 102 shingles of five words in common; of four words, 85 of 101.
     rows += [(901, " ".join(f"v{i}" if i not in (20, 60) else f"u{i}" for i in range(96)), "s")]
-    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-            for w in (t.lower().split() for _, t, _ in rows)]
-    lowest = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                a, b = lowest[i], lowest[j]
-                lowest = [min(a, b) if x in (a, b) else x for x in lowest]
-    stay = {rows[i][0] for i in range(len(rows)) if lowest[i] == i}
+    stay = staying([(i, t) for i, t, _ in rows])
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()}
     assert got == stay and 900 in got and 901 not in got
     assert stay != {i for i, _, c in plain_components(rows, 85) if i == c}
