@@ -153,5 +153,77 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN lowest ON lowest.x = d.doc_id
 """
 
+# The decimal conv_id's CRC-32, bit by bit.
+CRC = """xor(4294967295::BIGINT, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP11 = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT conv_id, turn, md5(strlen(role) || ':' || role || text) AS token, strlen(text)::BIGINT AS size FROM t),
+own AS (
+  SELECT conv_id, list({{'token': token, 'size': size}} ORDER BY turn NULLS FIRST, token) AS own
+  FROM k GROUP BY conv_id),
+h AS (SELECT *, {CRC} % 9 AS h FROM own),
+seq AS (
+  SELECT h.conv_id, list_concat(coalesce(base.own, [])[1:h.h], h.own[h.h + 1:]) AS s
+  FROM h LEFT JOIN own base ON base.conv_id = h.conv_id - h.conv_id % 5),
+p AS (
+  SELECT conv_id, d, array_to_string([x.token FOR x IN s[1:d]], '') AS path,
+         array_to_string([x.token FOR x IN s[1:d - 1]], '') AS up, len(s) = d AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE s[d].size END AS size
+  FROM (SELECT conv_id, s, unnest(generate_series(0, len(s))) AS d FROM seq)),
+node AS (
+  SELECT d, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(size) AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY d, path),
+kids AS (SELECT d - 1 AS d, up AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+n AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, path)),
+climb AS (
+  SELECT d, path, up, own, (n_children = 0)::BIGINT AS leaf FROM n
+  UNION ALL
+  SELECT n.d, n.path, n.up, climb.own, climb.leaf FROM climb JOIN n ON climb.d > 0 AND n.d = climb.d - 1 AND n.path = climb.up),
+sums AS (SELECT d, path, sum(leaf)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM climb GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM n JOIN sums USING (d, path) LEFT JOIN n parent ON n.d > 0 AND parent.d = n.d - 1 AND parent.path = n.up
+"""
+
+OP12 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, w
+  FROM (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY 1),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, w, k, a, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, total.n, x.a AS l, y.a AS r, cut,
+         ((1000::HUGEINT * c.a * total.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1 :], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f b WHERE b.lang = s.lang AND 100 * b.a >= 100 * s.a AND len(b.phrase) > len(s.phrase)
+      AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= 2000
+"""
+
 ORACLE = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op6_mixing": OP6, "op7_license_scan": OP7,
-          "op9_substring_dedup": OP9, "op10_ngram_join": OP10}
+          "op9_substring_dedup": OP9, "op10_ngram_join": OP10,
+          "op11_conversation_trie": OP11, "op12_collocations": OP12}

@@ -1,5 +1,5 @@
 """The registered queries: each applies one operator, with its production
-parameters, to the whole table of documents."""
+parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscope.llm import (brown_lm, exact_dedup, langid, license_scan, mixing, ngram_join,
-                           piece_codec, quality, sharding, substring_dedup)
+from prefscope.llm import (brown_lm, conversation_trie, exact_dedup, langid, license_scan, mixing,
+                           ngram_join, phrase_index, piece_codec, quality, sharding, substring_dedup,
+                           vector_forest)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +69,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return phrase_index.collocations(documents(spark, sf_dir))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_forest.nearest(vectors, vectors.where(F.col("vec_id") % vector_forest.EVERY == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_exact_dedup, op3_quality_rules, op4_lm_scoring, op5_language_id, op6_mixing,
-        op7_license_scan, op8_sentencepiece, op9_substring_dedup, op10_ngram_join)
+        op7_license_scan, op8_sentencepiece, op9_substring_dedup, op10_ngram_join, op11_conversation_trie,
+        op12_collocations, op13_nearest)
 }

@@ -86,7 +86,7 @@ class Texts:
     word of each text, and the end.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         n, at = len(texts), texts.offset
         _, offsets, data = texts.buffers()
@@ -96,7 +96,7 @@ class Texts:
         self.data = _LOWER[raw] if lower else raw
         self.offset = offset - offset[0]
         self.n, size = n, len(raw)
-        self.inside = ~_SEPARATOR[raw]
+        self.inside = ~separator[raw]
         edge = np.zeros(size + 1, bool)
         edge[self.offset] = True
         left = self.inside.copy()
