@@ -303,7 +303,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_column:
     components take no part, nor do those whose length isn't the commonest
     (the larger of two). Equal vectors are searched once, and a leaf keeps the
     smallest k + 1 of their ids, which no result can need more of. Rows that
-    repeat another in full count once; rows of one id with different vectors
+    repeat another in full (0.0 and -0.0 alike) count once; rows of one id with different vectors
     are candidates and queries of their own. Fewer candidates give fewer rows;
     an empty table gives none; other columns are not read.
 

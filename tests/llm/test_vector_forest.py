@@ -24,7 +24,7 @@ def plain(rows, k, dimension):
     use = [(i, np.array(v, np.float32).astype(float)) for i, v in rows
            if i is not None and v is not None and len(v) == dimension and None not in v]
     use = [(i, v) for i, v in use if np.isfinite(v).all() and v.any()]
-    use = list({(i, v.tobytes()): (i, v) for i, v in use}.values())
+    use = list({(i, (v + 0.0).tobytes()): (i, v) for i, v in use}.values())
     out = []
     for a, (i, q) in enumerate(use):
         if i % 20 == 0:
