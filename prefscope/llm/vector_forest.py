@@ -292,6 +292,40 @@ def _in_leaf(dimension: int, k: int, kind: str):
     return rows
 
 
+def _best(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per query vector, the k + 1 nearest of all its leaves; a
+        vector's rows follow one another."""
+        rest = _FOUND.empty_table()
+        for batch in batches:
+            if batch.num_rows:
+                done = _merged(pa.concat_tables([rest, pa.Table.from_batches([batch]).cast(_FOUND)]), k)
+                yield from done.slice(0, done.num_rows - 1).to_batches()
+                rest = done.slice(done.num_rows - 1)
+        yield from rest.to_batches()
+    return rows
+
+
+def _merged(found: pa.Table, k: int) -> pa.Table:
+    found = found.combine_chunks()
+    keys = found["key"].to_pylist()
+    new = np.array([True, *(a != b for a, b in zip(keys, keys[1:]))])
+    of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    lists = found["found"].combine_chunks()
+    of = np.repeat(of, lists.value_lengths().to_numpy())
+    away, got, same = (np.asarray(x) for x in lists.flatten().flatten())
+    order = np.lexsort((same, got, away, of))
+    of, away, got, same = of[order], away[order], got[order], same[order]
+    other = np.ones(len(of), bool)
+    other[1:] = (of[1:] != of[:-1]) | (got[1:] != got[:-1]) | (away[1:] != away[:-1]) | (same[1:] != same[:-1])
+    of, away, got, same = of[other], away[other], got[other], same[other]
+    keep = np.arange(len(of)) - np.searchsorted(of, np.arange(len(first)))[of] <= k
+    offset = np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(first)))])
+    hits = pa.StructArray.from_arrays([pa.array(x[keep]) for x in (away, got, same)], ["away", "vec_id", "same"])
+    return pa.table([found["key"].take(pa.array(first)), pa.array(np.maximum.reduceat(found["n"].to_numpy(), first)),
+                     pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), hits)], schema=_FOUND)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_column: str = "vec_id",
             column: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows
@@ -335,9 +369,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_column:
     found = index.groupBy("leaf").cogroup(visits.groupBy("leaf")).applyInArrow(_in_leaf(dimension, k, kind), FOUND)
     # A query's leaves all know how many queries have its vector; of these lists
     # one entry at most is the query itself.
-    best = written(found.groupBy("key").agg(
-        F.max("n").alias("n"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found")), "nearest")
+    best = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(_best(k), FOUND), "nearest")
     ids = asked.select("vec_id", "v").mapInArrow(_query_keys(dimension), "query_id long, key binary").distinct()
     each = lookup(ids, best, ["key"], "n", ["query_id"], "inner")
     others = F.expr(f"slice(filter(found, x -> not (x.same and x.vec_id = query_id)), 1, {int(k)})")
