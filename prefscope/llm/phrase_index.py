@@ -29,9 +29,9 @@ from prefscope.llm.shared import lookup, partitions, written
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: UTF-8 bytes of text in a bucket, about; a task holds one bucket at a time.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 #: Bytes of text in a shard, about; a longer text is a shard of its own.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 1_000_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\f\r"]] = True
