@@ -41,11 +41,15 @@ def last_content(messages) -> Column:
 # D4 -------------------------------------------------------------------------
 def render_chatml(messages, add_generation_prompt: bool = False) -> Column:
     """``<|im_start|>role\\ncontent<|im_end|>\\n`` per message, optionally
-    followed by ``<|im_start|>assistant\\n``."""
+    followed by ``<|im_start|>assistant\\n``. A null role or content is empty:
+    the message stays."""
+    def filled(m, name):
+        return F.coalesce(m.getField(name), F.lit(""))
+
     body = F.array_join(
         F.transform(_c(messages), lambda m: F.concat(
-            F.lit(IM_START), m.getField("role"), F.lit("\n"),
-            m.getField("content"), F.lit(IM_END + "\n"))),
+            F.lit(IM_START), filled(m, "role"), F.lit("\n"),
+            filled(m, "content"), F.lit(IM_END + "\n"))),
         "")
     if add_generation_prompt:
         return F.concat(body, F.lit(GENERATION_TAIL))

@@ -8,6 +8,8 @@ so a prompt with a huge number of attempts is combined map-side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,16 +78,33 @@ def judge_prompt(prompt="prompt", base="Base", sft="SFT", dpo="DPO") -> Column:
 
 # L1 / L2 -------------------------------------------------------------------
 def resolve_verdicts(attempts: DataFrame, prompts: DataFrame | None = None,
-                     configured: bool = True, key: str = "prompt_id") -> DataFrame:
+                     configured: bool = True, key: str = "prompt_id",
+                     providers: Sequence[tuple[str, bool]] | None = None) -> DataFrame:
     """L1: per prompt, the verdict of the first attempt (lowest ``attempt``)
     whose text is a JSON object; none -> Error. ``prompts`` (a table with
     ``key``) adds prompts that have no attempt at all. L2: with
-    ``configured=False`` every prompt is a Tie with a fixed reason."""
+    ``configured=False`` every prompt is a Tie with a fixed reason.
+
+    With ``providers`` (name, configured), attempts carry a ``provider``: those
+    of the first configured provider come first, whatever their numbers, then
+    those of the next; attempts of providers that are off, unknown or null were
+    never made. With no provider on, L2 holds. The result then also names the
+    ``used_provider``."""
+    if providers is not None:
+        on = [name for name, is_on in providers if is_on]
+        configured = bool(on)
     if not configured:
         ids = prompts if prompts is not None else attempts
         return ids.select(key).distinct().select(
             key, F.lit(UNCONFIGURED_WINNER).alias("winner"),
             F.lit(UNCONFIGURED_REASON).alias("reason"))
+    if providers is not None:
+        ranks = attempts.sparkSession.createDataFrame(list(enumerate(on)), "rank int, provider string")
+        made = attempts.join(F.broadcast(ranks), "provider").select(
+            key, F.struct("rank", "attempt", "provider").alias("attempt"), "raw")
+        out = resolve_verdicts(made, prompts, key=key)
+        return out.withColumn("used_provider", F.col("used_attempt.provider")).withColumn(
+            "used_attempt", F.col("used_attempt.attempt"))
     parsed = attempts.select(key, "attempt", parse_verdict("raw").alias("v"))
     ok = F.col("v.ok")
     best = parsed.groupBy(key).agg(

@@ -6,9 +6,10 @@ Design notes for scale:
   so a conversation with a huge share of all rows costs nothing special.
 * The seeded order is ``md5(seed:id)``: independent of partitioning, equal in
   DuckDB, and stable under recomputation after an executor loss.
-* Samples and "first n" find the n-th key among narrow ``(key, id)`` rows,
-  then filter the wide rows by that one key: no join back (a repeated id does
-  not multiply rows), no sort of wide rows, no task that holds n rows.
+* Samples and "first n" of up to ``HEAP_ROWS`` rows are top-n heaps. Larger
+  ones find the n-th key among narrow ``(key, id)`` rows, then filter the wide
+  rows by that one key: no join back (a repeated id does not multiply rows), no
+  sort of wide rows, no task that holds n rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import types as T
 from prefscope.functions.chat import last_content, message, render_chatml
 from prefscope.session import ensure_checkpoint_dir
 
+#: Samples and first rows of at most so many rows are kept in heaps.
+HEAP_ROWS = 10_000
+
 
 # ---------------------------------------------------------------------------
 # A1 helpers: long conversation rows -> statistics / message arrays
@@ -84,6 +88,18 @@ def passing_conversations(long_df: DataFrame, max_turns: int = 6,
         conversation_ok(F.col("n_turns"), F.col("n_chars"), max_turns, max_chars))
 
 
+def passing_message_lists(df: DataFrame, max_turns: int = 6, max_chars: int = 2000) -> DataFrame:
+    """C1 on stored message lists, as statistics: (conv_id, n_turns, n_chars)
+    of the conversations that pass. Only the contents are named, so a columnar
+    scan reads that one field of the messages. A null list is not there; a null
+    content has no characters."""
+    lists = df.select("conv_id", F.col("messages.content").alias("_c"))
+    chars = F.aggregate("_c", F.lit(0).cast("long"),
+                        lambda acc, x: acc + F.coalesce(F.length(x).cast("long"), F.lit(0).cast("long")))
+    stats = lists.select("conv_id", F.size("_c").cast("long").alias("n_turns"), chars.alias("n_chars"))
+    return stats.where(conversation_ok(F.col("n_turns"), F.col("n_chars"), max_turns, max_chars))
+
+
 # ---------------------------------------------------------------------------
 # C2 / C3
 # ---------------------------------------------------------------------------
@@ -101,12 +117,25 @@ def pair_length_ok(df: DataFrame, max_chars: int = 1200) -> Column:
             & (F.length(side_text("rejected", types["rejected"])) <= max_chars))
 
 
-def score_gap_ok(df: DataFrame, min_gap: float = 1.0) -> Column:
-    """Chosen - rejected >= min_gap. A null score passes; an absent score
-    column reads as 0.0 (so both absent gives a gap of 0 and fails)."""
+def score_gap(df: DataFrame) -> Column:
+    """chosen - rejected; null if a score is null. An absent score column reads
+    as 0.0."""
     sc = F.col("score_chosen") if "score_chosen" in df.columns else F.lit(0.0)
     sr = F.col("score_rejected") if "score_rejected" in df.columns else F.lit(0.0)
-    return F.coalesce((sc - sr) >= F.lit(float(min_gap)), F.lit(True))
+    return sc - sr
+
+
+def score_gap_ok(df: DataFrame, min_gap: float = 1.0) -> Column:
+    """Chosen - rejected >= min_gap. A null score passes; both columns
+    absent give a gap of 0, which fails."""
+    return F.coalesce(score_gap(df) >= F.lit(float(min_gap)), F.lit(True))
+
+
+def longest_side(df: DataFrame) -> Column:
+    """Characters of the longer side's last message; null if a side has none."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    a, b = (F.length(side_text(c, types[c])) for c in ("chosen", "rejected"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
 
 def filter_pairs(df: DataFrame, max_chars: int = 1200, min_gap: float = 1.0) -> DataFrame:
@@ -232,13 +261,22 @@ def _first_rows(df: DataFrame, order: list[str], n: int, name: str,
                 need: bool = False, what: str = "") -> DataFrame:
     """The first n rows in ``order``, with their 0-based position ``name``.
 
-    The n-th key comes from the narrow rows of ``order`` alone and is one row
+    Up to ``HEAP_ROWS`` rows, every task keeps its own first n in a heap and
+    one task merges these (TakeOrderedAndProject): no shuffle of the others,
+    nothing written. For a larger n the n-th key comes from the narrow rows of ``order`` alone and is one row
     on the driver; the wide rows up to that key are then numbered. Rows of
     equal keys are told apart by a hash of the whole row, so which of them are
     among the n does not depend on partitions. With ``need`` fewer than n rows
     are an error."""
     if n <= 0:
         return df.limit(0).withColumn(name, F.lit(None).cast("long"))
+    if n <= HEAP_ROWS:
+        if need and (found := df.select(*order).limit(n).count()) < n:
+            raise ValueError(f"{what}: need {n} rows, the pool has {found}")
+        top = [*order, "_tie"]
+        first = df.withColumn("_tie", F.xxhash64(*df.columns)).orderBy(*top).limit(n)
+        # A window over at most n rows, which are in one task already.
+        return first.withColumn(name, (F.row_number().over(Window.orderBy(*top)) - 1).cast("long")).drop("_tie")
     at = with_position(df.select(*order), order, "_pos").where(F.col("_pos") == n - 1).select(*order).first()
     if at is None and need:
         raise ValueError(f"{what}: need {n} rows, the pool has {df.count()}")

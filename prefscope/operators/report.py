@@ -68,6 +68,25 @@ def resolve_model(requests: DataFrame, available: Sequence[str],
     return requests.withColumn("served_model", served.otherwise(F.lit("Base")))
 
 
+def resolve_available(requests: DataFrame, availability: DataFrame, keys: Sequence[str],
+                      model: str = "model") -> DataFrame:
+    """G6 where what is loaded differs from request to request: ``availability``
+    has a row (keys, model) for every checkpoint that is there. One aggregate
+    gives a flag per checkpoint and key; requests join it on their keys and take
+    the first of their chain that is there. Base serves what nothing else does,
+    also where a key has no row; unknown models are served by Base. Rows that
+    repeat in ``availability`` count once."""
+    flags = availability.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[
+        F.max(F.col(model).eqNullSafe(m)).alias(f"_has_{m}") for m in FALLBACK])
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    joined = requests.join(flags, on, "left")
+    served = F.lit("Base")
+    for m, chain in FALLBACK.items():
+        first = F.coalesce(*[F.when(F.col(f"_has_{c}"), F.lit(c)) for c in chain], F.lit("Base"))
+        served = F.when(F.col(model) == m, first).otherwise(served)
+    return joined.select(*requests.columns, served.alias("served_model"))
+
+
 # H5 ------------------------------------------------------------------------
 def identical_pct(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("idx",),
                   value: str = "response") -> DataFrame:
@@ -111,6 +130,21 @@ def identical_pcts(wide: DataFrame, pairs: Sequence[tuple[str, str]],
     return counts.select(*by, F.inline(F.array(*rows)))
 
 
+def sample_overlap(bundles: DataFrame, pairs: Sequence[tuple[str, str]], model: str = "model",
+                   samples=(("qa", "gsm8k_samples"), ("instructions", "instr_samples"))) -> DataFrame:
+    """G2 and H5 from metric bundles, as they are stored: the sample arrays of
+    two models are matched by position, one row per task and pair. Arrays of
+    different length, empty, null or missing (a model without a bundle) give
+    0.0 and are not comparable. A null response equals only another one."""
+    rows = None
+    for task, column in samples:
+        one = bundles.select(F.lit(task).alias("task"), model, F.posexplode_outer(F.col(column)["response"]).alias("idx", "r"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.select("task", "idx", model, F.when(F.col("idx").isNotNull(), F.concat(
+        F.col("r").isNull().cast("string"), F.coalesce("r", F.lit("")))).alias("response"))
+    return identical_pcts(side_by_side(rows, keys=("task", "idx")), pairs, by=("task",))
+
+
 # H9 ------------------------------------------------------------------------
 def to_long(bundle: DataFrame, metrics: Mapping[str, str], model: str = "model") -> DataFrame:
     """Unpivot metric columns into (model, metric, value)."""

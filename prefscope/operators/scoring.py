@@ -90,7 +90,8 @@ def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
     whose windows are partitioned by (model, block)."""
     if not dense:
         from prefscope.operators.prep import with_position
-        scored = with_position(scored.withColumnRenamed(idx, "_key"), [by, "_key"], "_gpos")
+        # Positions are written to disk: only what the sums need goes along.
+        scored = with_position(scored.select(by, F.col(idx).alias("_key"), flag), [by, "_key"], "_gpos")
         first = scored.groupBy(by).agg(F.min("_gpos").alias("_first"))
         scored = scored.join(first, by).withColumn(
             idx, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first", "_key")
@@ -118,12 +119,13 @@ def running_accuracy(scored: DataFrame, every: int = 10, by: str = "model",
 # H4 ------------------------------------------------------------------------
 def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: DataFrame,
                   n_qa_samples: int = 10, by: str = "model", qa_order: str = "idx",
-                  with_samples: bool = True) -> DataFrame:
+                  with_samples: bool = True, n_instr: int = 25, instr_order: str = "idx") -> DataFrame:
     """H4: one row per model with the four metrics, the number of instruction
-    samples and the first ``n_qa_samples`` QA samples (``qa_scored`` is
-    ``score_qa`` output, which keeps ``answer``; the cut is the harness's own).
-    The instruction samples, of which all are kept, are the long table of
-    ``instruction_samples``: an array per model would grow with the responses.
+    responses, the first ``n_instr`` of them (25, the harness's whole suite) and
+    the first ``n_qa_samples`` QA samples (``qa_scored`` is ``score_qa`` output,
+    which keeps ``answer``; the cut is the harness's own). An array per model
+    must be bounded; all instruction samples are the long table of
+    ``instruction_samples``.
     ``with_samples=False`` leaves the samples out (a comparison table needs only
     the metrics, and unused full-outer-join branches are not pruned by Spark)."""
     from prefscope.operators.prep import preview
@@ -147,7 +149,13 @@ def metric_bundle(perplexity: DataFrame, instr_scored: DataFrame, qa_scored: Dat
                                s.getField("gold").alias("gold"),
                                s.getField("pred").alias("pred"),
                                s.getField("response").alias("response"))).alias("gsm8k_samples"))
-    return metrics.join(samples, by, "full").select(*names, "n_instr_samples", "gsm8k_samples")
+    first = preview(instr_scored.select(by, instr_order, "prompt", "response"), n_instr, by, instr_order)
+    answers = first.groupBy(by).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(instr_order).alias("o"), "prompt", "response"))),
+        lambda s: F.struct(s.getField("prompt").alias("prompt"),
+                           s.getField("response").alias("response"))).alias("instr_samples"))
+    return metrics.join(samples, by, "full").join(answers, by, "full").select(
+        *names, "n_instr_samples", "instr_samples", "gsm8k_samples")
 
 
 def instruction_samples(instr_scored: DataFrame, by: str = "model", order: str = "idx") -> DataFrame:

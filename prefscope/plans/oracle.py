@@ -167,6 +167,30 @@ VERDICT_COUNTS = f"""select winner, cast(sum(w) as bigint) as n from (
 TASK_RESPONSES = f"""select 'qa' as task, q_id as idx, model, response from ({FD3}) q
 union all select 'instructions', (item_id // 75) * 25 + item_id % 25, model, response from ({FD6}) i"""
 
+# The sample arrays of a bundle, by their positions.
+STORED_SAMPLES = f"""select * from (
+  select 'qa' as task, model, response, row_number() over (partition by model order by q_id) as i from ({FD3}) q)
+  where i <= 10
+union all select * from (
+  select 'instructions', model, response, row_number() over (partition by model order by item_id) as i from ({FD6}) r)
+  where i <= 25"""
+
+UNCONFIGURED = "No Gemini or Groq API key configured."
+
+
+def by_provider(rank: str) -> str:
+    """Verdicts where attempts come in the order of a provider's rank; those
+    without one were never made."""
+    return f"""with a as (select a.*, {rank} as rank from ({PARSED}) a),
+b as (select prompt_id, winner, reason, attempt, rank, row_number() over (partition by prompt_id order by rank, attempt) as i
+  from a where ok and rank is not null),
+n as (select prompt_id, count(*) as n from a where rank is not null group by 1)
+select o_orderkey as prompt_id, coalesce(winner, 'Error') as winner, coalesce(reason, {S.lit(ERROR_REASON)}) as reason,
+  coalesce(n, 0) as n_attempts, b.attempt as used_attempt,
+  case b.rank when 1 then 'first' when 2 then 'second' end as used_provider
+from orders left join b on b.prompt_id = o_orderkey and i = 1 left join n on n.prompt_id = o_orderkey"""
+
+
 MARGINS = f"""select pair_id, 0.05 * (pol_chosen - ref_chosen) - 0.05 * (pol_rejected - ref_rejected) as margin
 from ({FD5}) f"""
 
@@ -284,6 +308,22 @@ where n_turns between 1 and 6 and n_chars <= 2000""",
 from ({FD2}) p
 where coalesce(score_chosen - score_rejected >= 1.0, true) and length(chosen) <= 1200 and length(rejected) <= 1200""",
 
+    "a1_stored_conversations": f"""select conv_id, n_turns, n_chars from ({FD1}) f
+where n_turns between 1 and 6 and n_chars <= 2000""",
+
+    "a2_stored_pairs": f"""select pair_id, 'train_prefs' as split, score_chosen, score_rejected,
+  cast(length(chosen) as bigint) as chosen_chars, cast(length(rejected) as bigint) as rejected_chars
+from ({FD2}) p where pair_id % 10 <> 0 and coalesce(score_chosen - score_rejected >= 1.0, true)
+  and length(chosen) <= 1200 and length(rejected) <= 1200""",
+
+    "b3_judged_csv": f"""select s.q_id as prompt_id, v.winner, v.reason, md5(s."Base") as base_md5, md5(s."SFT") as sft_md5,
+  md5(s."DPO") as dpo_md5, cast(null as varchar) as broken
+from ({SIDE_BY_SIDE}) s left join ({VERDICTS}) v on v.prompt_id = s.q_id
+union all select null, null, null, md5('cut off'), null, null, 'x' || cast(o_orderkey as varchar) || ',cut off'
+from orders where o_orderkey % 50 = 0""",
+
+    "b4_showcase_csv": SIDE_BY_SIDE,
+
     "c4_filter_texts": f"""select doc_id, length({S.strip('text')}) as stripped_chars from documents
 where length({S.strip('text')}) > 20""",
 
@@ -430,6 +470,12 @@ from ({USER_PROMPTS}) p cross join {MODELS_CTE}""",
   case m.model when 'Base' then 'Base' when 'SFT' then 'SFT' when 'DPO' then 'SFT' else 'Base' end as served_model
 from ({USER_PROMPTS}) p cross join {MODELS_CTE}""",
 
+    "g6_availability": f"""select p.conv_id, p.turn, m.model,
+  case when p.conv_id % 7 = 0 then 'Base'
+    when m.model = 'DPO' and p.conv_id % 3 = 0 then 'DPO'
+    when m.model in ('DPO', 'SFT') and p.conv_id % 2 = 0 then 'SFT' else 'Base' end as served_model
+from ({USER_PROMPTS}) p cross join {MODELS_CTE}""",
+
     "h2_qa_accuracy": f"""select model, count(*) as n, {r6(pct('correct'))} as gsm8k_acc_pct
 from ({QA_SCORED}) s group by model""",
 
@@ -449,6 +495,18 @@ from (select coalesce(x.task, y.task) as task, count(x.response) as n_a, count(y
     count(*) filter (where x.response = y.response) as n_equal
   from (select * from ({TASK_RESPONSES}) r where model = '{a}') x
   full join (select * from ({TASK_RESPONSES}) r where model = '{b}') y on x.task = y.task and x.idx = y.idx
+  group by 1) j"""
+        for a, b in (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO"))),
+
+    "h5_stored_bundles": " union all ".join(
+        f"""select task, '{a}' as model_a, '{b}' as model_b, n_a, n_b, n_equal, n_a = n_b and n_a > 0 as comparable,
+  {r6('case when n_a = n_b and n_a > 0 then 100.0 * n_equal / n_a else 0.0 end')} as identical_pct
+from (select t.task, count(x.response) as n_a, count(y.response) as n_b,
+    count(*) filter (where x.response = y.response) as n_equal
+  from (select 'qa' as task, unnest(generate_series(1, 10)) as i union all
+    select 'instructions', unnest(generate_series(1, 25))) t
+  left join (select * from ({STORED_SAMPLES}) r where model = '{a}') x on x.task = t.task and x.i = t.i
+  left join (select * from ({STORED_SAMPLES}) r where model = '{b}') y on y.task = t.task and y.i = t.i
   group by 1) j"""
         for a, b in (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO"))),
 
@@ -474,6 +532,9 @@ from (select count(x.response) as n_a, count(y.response) as n_b,
     "h9_compare": f"""select metric, {r6('"Base"')} as "Base", {r6('"SFT"')} as "SFT", {r6('"DPO"')} as "DPO"
 from ({COMPARE}) c""",
 
+    "h9_missing_bundle": f"""select metric, {r6('"Base"')} as "Base", cast(null as double) as "SFT", {r6('"DPO"')} as "DPO"
+from ({COMPARE}) c""",
+
     "h10_relative_gain": f"""select metric, {r6('"SFT"')} as base_value, {r6('"DPO"')} as new_value,
   {r6('"DPO" - "SFT"')} as diff, {r6('case when "SFT" = 0 then null else "DPO" / "SFT" end')} as ratio
 from ({COMPARE}) c""",
@@ -546,6 +607,13 @@ select pair_id, {r6('case when pol_failed then 0.0 else pol_chosen end')} as pol
 
     "l1_resolve_verdicts": VERDICTS,
 
+    "l1_providers": by_provider("case when a.attempt % 5 = 4 then null when a.attempt % 2 = 0 then 2 else 1 end"),
+
+    "l1_first_provider_off": by_provider("case when a.attempt % 5 <> 4 and a.attempt % 2 = 0 then 2 end"),
+
+    "l2_no_provider": f"""select distinct o_orderkey as prompt_id, 'Tie' as winner, {S.lit(UNCONFIGURED)} as reason
+from orders""",
+
     "l3_judged": f"""select s.q_id as prompt_id, s."Base", s."SFT", s."DPO", v.winner, v.reason
 from ({SIDE_BY_SIDE}) s left join ({VERDICTS}) v on v.prompt_id = s.q_id""",
 

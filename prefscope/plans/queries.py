@@ -21,6 +21,9 @@ from prefscope.operators import prep as P
 from prefscope.operators import report as R
 from prefscope.operators import scoring as H
 from prefscope.plans import fixtures as FX
+from prefscope.schemas import JUDGED
+from prefscope.session import shared_path
+from prefscope.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +46,48 @@ def c1_filter_conversations(spark, d):
     return kept.select("conv_id", long("n_turns").alias("n_turns"), long("n_chars").alias("n_chars"))
 
 
+def a1_stored_conversations(spark, d):
+    """A1 and C1 from stored message lists: only their contents are read."""
+    path = shared_path(spark, "conversations")
+    FX.fd1_messages(spark, d).write.parquet(path)
+    return P.passing_message_lists(readers.read_conversations(spark, path))
+
+
+def a2_stored_pairs(spark, d):
+    """A2, C2 and C3 from pairs stored by split with their gap: directories
+    and row groups are pruned."""
+    pairs = FX.fd2_pairs(spark, d).withColumn(
+        "split", F.when(F.col("pair_id") % 10 == 0, "test_prefs").otherwise("train_prefs"))
+    path = shared_path(spark, "pairs")
+    writers.write_pairs(pairs, path)
+    kept = readers.read_pairs(spark, path, "train_prefs", min_gap=1.0, max_chars=1200)
+    return kept.select("pair_id", "split", "score_chosen", "score_rejected",
+                       long(F.length("chosen")).alias("chosen_chars"),
+                       long(F.length("rejected")).alias("rejected_chars"))
+
+
+def b3_judged_csv(spark, d):
+    """The judged table (cells of several lines) as CSV and back, beside a
+    file whose rows don't fit its schema; these come back apart, as text."""
+    path, odd = shared_path(spark, "judged"), shared_path(spark, "judged-odd")
+    judged = l3_judged(spark, d)
+    writers.write_table(judged, path)
+    broken = FX.judged_prompts(spark, d).where("prompt_id % 50 = 0").select(
+        F.concat(F.lit("x"), F.col("prompt_id").cast("string")).alias("prompt_id"), F.lit("cut off").alias("Base"))
+    writers.write_table(broken, odd)
+    rows = writers.read_table(spark, [path, odd], JUDGED, corrupt="broken")
+    return rows.select("prompt_id", "winner", "reason", *[
+        F.md5(m).alias(f"{m.lower()}_md5") for m in R.MODELS], "broken")
+
+
+def b4_showcase_csv(spark, d):
+    """The side-by-side responses without verdicts as CSV and back."""
+    path = shared_path(spark, "showcase")
+    writers.write_table(R.side_by_side(FX.fd3_responses(spark, d), keys=("q_id",)), path)
+    rows = writers.read_table(spark, path, "q_id long, Base string, SFT string, DPO string")
+    return rows.select("q_id", *R.MODELS)
+
+
 def c3_filter_pairs(spark, d):
     kept = P.filter_pairs(FX.fd2_pairs(spark, d), max_chars=1200, min_gap=1.0)
     return kept.select("pair_id", "score_chosen", "score_rejected",
@@ -346,6 +391,17 @@ def g6_resolve_model(spark, d):
         "conv_id", "turn", "model", "served_model")
 
 
+def g6_availability(spark, d):
+    """G6 where it differs by conversation which checkpoints are there: DPO for
+    every third, SFT for every second; every seventh has none listed."""
+    g = R.request_grid(_user_turn_prompts(spark, d))
+    ids = FX.table(spark, d, "conversations").select("conv_id").distinct().where("conv_id % 7 <> 0")
+    there = ids.select("conv_id", F.explode(F.expr(
+        "filter(array('Base', if(conv_id % 2 = 0, 'SFT', null), if(conv_id % 3 = 0, 'DPO', null)), x -> x is not null)"
+    )).alias("model"))
+    return R.resolve_available(g, there, ["conv_id"]).select("conv_id", "turn", "model", "served_model")
+
+
 # ---------------------------------------------------------------------------
 # H: aggregates
 # ---------------------------------------------------------------------------
@@ -404,6 +460,29 @@ def h4_instruction_samples(spark, d):
     return s.select("model", "item_id", "prompt", F.md5("response").alias("response_md5"))
 
 
+def _stored_bundles(spark, bundle, models, keep_missing=False):
+    """The bundles of ``models`` written as files (B1) and all three read (A5)."""
+    root = shared_path(spark, "bundles")
+    writers.write_bundles(bundle.where(F.col("model").isin(*models)), root)
+    return readers.read_metrics(spark, {m: f"{root}/model={m}" for m in R.MODELS}, keep_missing)
+
+
+def h5_stored_bundles(spark, d):
+    """H5 from files: metric bundles with their samples are written (B1), read
+    (A5) and their sample arrays compared by position (G2)."""
+    stored = _stored_bundles(spark, _bundle(spark, d), R.MODELS)
+    out = R.sample_overlap(stored, (("Base", "SFT"), ("SFT", "DPO"), ("Base", "DPO")))
+    return out.select("task", "model_a", "model_b", "n_a", "n_b", "n_equal", "comparable",
+                      r6("identical_pct").alias("identical_pct"))
+
+
+def h9_missing_bundle(spark, d):
+    """H9 from files when one checkpoint's is not there (A7): null cells."""
+    stored = _stored_bundles(spark, _bundle(spark, d, with_samples=False), ("Base", "DPO"), keep_missing=True)
+    t = R.compare(R.to_long(stored, METRIC_LABELS))
+    return t.select("metric", *[r6(m).alias(m) for m in R.MODELS])
+
+
 def h5_identical_by_task(spark, d):
     """Overlap of the QA answers and of the instruction responses,
     positions being (task, idx). The model of an instruction response is one
@@ -650,6 +729,33 @@ def l1_resolve_verdicts(spark, d):
     return _verdicts(spark, d)
 
 
+def _provider_attempts(spark, d):
+    """FD4's attempts by two providers in turn, and some by one that is not
+    listed."""
+    a = FX.fd4_attempts(spark, d)
+    return a.withColumn("provider", F.when(F.col("attempt") % 5 == 4, "other").when(
+        F.col("attempt") % 2 == 0, "second").otherwise("first"))
+
+
+def _by_provider(spark, d, first: bool, second: bool):
+    return L.resolve_verdicts(_provider_attempts(spark, d), FX.judged_prompts(spark, d),
+                              providers=(("first", first), ("second", second)))
+
+
+def l1_providers(spark, d):
+    """L1 in provider order: the second is asked where the first fails."""
+    return _by_provider(spark, d, True, True)
+
+
+def l1_first_provider_off(spark, d):
+    return _by_provider(spark, d, False, True)
+
+
+def l2_no_provider(spark, d):
+    """L2: without a configured provider every prompt is a tie."""
+    return _by_provider(spark, d, False, False)
+
+
 def l3_judged(spark, d):
     sbs = R.side_by_side(FX.fd3_responses(spark, d), keys=("q_id",)).withColumnRenamed(
         "q_id", "prompt_id")
@@ -667,6 +773,10 @@ def m2_stack_models(spark, d):
 
 QUERIES: dict[str, Query] = {
     "qa_report": qa_report,
+    "a1_stored_conversations": a1_stored_conversations,
+    "a2_stored_pairs": a2_stored_pairs,
+    "b3_judged_csv": b3_judged_csv,
+    "b4_showcase_csv": b4_showcase_csv,
     "c1_filter_conversations": c1_filter_conversations,
     "c3_filter_pairs": c3_filter_pairs,
     "c4_filter_texts": c4_filter_texts,
@@ -704,11 +814,13 @@ QUERIES: dict[str, Query] = {
     "g3_join_logps": g3_join_logps,
     "g4_request_grid": g4_request_grid,
     "g6_resolve_model": g6_resolve_model,
+    "g6_availability": g6_availability,
     "h1_instruction_accuracy": h1_instruction_accuracy,
     "h2_qa_accuracy": h2_qa_accuracy,
     "h3_cot_rate": h3_cot_rate,
     "h4_metric_bundle": h4_metric_bundle,
     "h4_instruction_samples": h4_instruction_samples,
+    "h5_stored_bundles": h5_stored_bundles,
     "h5_identical_pct": h5_identical_pct,
     "h5_identical_by_task": h5_identical_by_task,
     "h6_verdict_counts": h6_verdict_counts,
@@ -716,6 +828,7 @@ QUERIES: dict[str, Query] = {
     "h8_preference_summary": h8_preference_summary,
     "h8_preference_validation": h8_preference_validation,
     "h9_compare": h9_compare,
+    "h9_missing_bundle": h9_missing_bundle,
     "h10_relative_gain": h10_relative_gain,
     "i1_running_accuracy": i1_running_accuracy,
     "i1_running_accuracy_sparse": i1_running_accuracy_sparse,
@@ -737,6 +850,9 @@ QUERIES: dict[str, Query] = {
     "k7_ngram_preference": k7_ngram_preference,
     "k7_bigram_perplexity": k7_bigram_perplexity,
     "l1_resolve_verdicts": l1_resolve_verdicts,
+    "l1_providers": l1_providers,
+    "l1_first_provider_off": l1_first_provider_off,
+    "l2_no_provider": l2_no_provider,
     "l3_judged": l3_judged,
     "m2_stack_models": m2_stack_models,
 }

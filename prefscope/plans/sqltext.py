@@ -166,7 +166,7 @@ def instruction_ok(prompt: str, response: str) -> str:
 
 
 def chatml_piece(role: str, content: str) -> str:
-    return f"'<|im_start|>' || {role} || {NL} || {content} || '<|im_end|>' || {NL}"
+    return f"'<|im_start|>' || coalesce({role}, '') || {NL} || coalesce({content}, '') || '<|im_end|>' || {NL}"
 
 
 CHAT_TAIL = lit("<|im_start|>assistant\n")

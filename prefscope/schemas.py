@@ -69,6 +69,11 @@ ATTEMPT = T.StructType([
     T.StructField("raw", T.StringType()),
 ])
 
+JUDGED = T.StructType([
+    T.StructField("prompt_id", T.LongType()),
+    *[T.StructField(c, T.StringType()) for c in ("Base", "SFT", "DPO", "winner", "reason")],
+])
+
 # The labels a verdict can carry, in report order.
 VERDICT_LABELS = ("Base", "SFT", "DPO", "Tie", "Error")
 VALID_VERDICTS = ("Base", "SFT", "DPO", "Tie")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +34,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the application
+    ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prefscope-{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors for data that must outlive an
     executor: ``spark.checkpoint.dir`` of the session. Where it is unset, a

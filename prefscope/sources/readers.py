@@ -24,12 +24,26 @@ def read_conversations(spark: SparkSession, path: str, fmt: str | None = None,
 
 
 def read_pairs(spark: SparkSession, path: str, split: str | None = None,
-               fmt: str | None = None, lists: Sequence[str] = (), scores: bool = True) -> DataFrame:
+               fmt: str | None = None, lists: Sequence[str] = (), scores: bool = True,
+               min_gap: float | None = None, max_chars: int | None = None) -> DataFrame:
     """A2: preference pairs. The caller says which of prompt, chosen and
     rejected are message lists (the others are text) and whether the source
     has score columns. Stored partitioned by ``split``, so the ``split = ..``
-    filter prunes whole directories."""
+    filter prunes whole directories. On pairs of ``write_pairs``, ``min_gap``
+    and ``max_chars`` are C3 and C2 on the stored gap and length, which prune
+    row groups; a null gap passes."""
     schema = S.pair_schema(lists, scores)
+    if min_gap is not None or max_chars is not None:
+        names = [*schema.names, *(["split"] if split is not None else [])]
+        schema = schema.add("score_gap", "double").add("longest_side", "integer")
+        rows = _read(spark, path, schema.add("split", "string"), fmt)
+        if split is not None:
+            rows = rows.where(F.col("split") == split)
+        if min_gap is not None:
+            rows = rows.where(F.col("score_gap").isNull() | (F.col("score_gap") >= float(min_gap)))
+        if max_chars is not None:
+            rows = rows.where(F.col("longest_side") <= max_chars)
+        return rows.select(*names)
     if split is None:
         return _read(spark, path, schema, fmt)
     return _read(spark, path, schema.add("split", "string"), fmt).where(F.col("split") == split)
@@ -60,10 +74,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_metrics(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+def read_metrics(spark: SparkSession, paths: Mapping[str, str], keep_missing: bool = False) -> DataFrame:
     """A5: one metric-bundle JSON document per model, tagged by model. The
     file name is matched through ``_metadata.file_path`` in one scan. A7: a
-    model whose file is not there is left out, so a comparison shows nulls."""
+    model whose file is not there is left out, so a comparison shows nulls;
+    with ``keep_missing`` the expected models are outer-joined and it is a row
+    of nulls."""
+    if keep_missing:
+        expected = spark.createDataFrame([(m,) for m in paths], "model string")
+        return expected.join(read_metrics(spark, paths), "model", "left")
     names = [f.name for f in S.METRIC_BUNDLE.fields]
     by_path = {p: m for m, p in paths.items() if _exists(spark, p)}
     if not by_path:

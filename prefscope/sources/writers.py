@@ -4,10 +4,12 @@ nothing is gathered on the driver."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # Quote and escape with a double quote so multi-line text survives a CSV
 # round trip (read back with multiLine=true and the same options).
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -23,6 +25,15 @@ def write_bundles(bundle: DataFrame, root: str, model: str = "model",
     bundle.write.mode(mode).partitionBy(model).json(root)
 
 
+def write_pairs(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The layout that A2, C2 and C3 read: one directory per ``split``, the
+    score gap and the longer side's length stored as columns, and the rows of a
+    file in the order of the gap, so that a bound on it skips row groups."""
+    from prefscope.operators.prep import longest_side, score_gap
+    (pairs.withColumns({"score_gap": score_gap(pairs).cast("double"), "longest_side": longest_side(pairs)})
+     .sortWithinPartitions("split", "score_gap").write.mode(mode).partitionBy("split").parquet(path))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Comparison tables, judged rows, showcases and sweeps. CSV
@@ -38,10 +49,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
         w.format(fmt).save(path)
 
 
-def read_table(spark: SparkSession, path: str, schema=None, fmt: str = "csv") -> DataFrame:
-    """Read back what ``write_table`` wrote (also reads the reference's CSV
-    artefacts, whose cells span lines)."""
+def read_table(spark: SparkSession, path: str | list[str], schema=None, fmt: str = "csv",
+               corrupt: str | None = None) -> DataFrame:
+    """Read back what ``write_table`` wrote (also CSV files whose cells span
+    lines; an empty text reads back as null). With ``corrupt`` and a schema, rows that don't fit the schema are
+    kept: that column holds their text, and is null for the others."""
     r = spark.read
+    if corrupt is not None:
+        if schema is None:
+            raise ValueError("rows can only be told broken by a schema")
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
