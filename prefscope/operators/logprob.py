@@ -107,13 +107,17 @@ def fit_ngram(texts: DataFrame, n: int = 1, vocab_size: int | None = None,
 
 def fit_ngram_family(texts: DataFrame, corpora: dict[str, Column], vocab_from: str,
                      text_col: str = "text",
-                     reliable: bool = True) -> dict[str, UnigramModel]:
-    """Unigram K7 for several corpora that are row subsets of one table, in one pass:
+                     reliable: bool = True, n: int = 1) -> dict:
+    """K7 for several corpora that are row subsets of one table, in one pass:
     one scan and one ``groupBy(token)`` with a conditional count per corpus
     (``corpora`` maps a model name to a row predicate). All models share the
-    vocabulary size of ``vocab_from``."""
+    vocabulary size of ``vocab_from``. ``n >= 2`` gives n-gram models: one
+    shuffle on (ctx, token), the contexts summed from the same table; what is
+    scored under several of them looks up each gram and context once."""
     names = list(corpora)
     flags = [F.coalesce(corpora[m], F.lit(False)).alias(f"_in{i}") for i, m in enumerate(names)]
+    if n >= 2:
+        return _fit_ngram_family_n(texts.select(*flags, text_col), names, vocab_from, text_col, reliable, n)
     toks = texts.select(*flags, F.explode(whitespace_tokens(text_col)).alias("token"))
     wide = _keep(toks.groupBy("token").agg(
         *[F.count_if(F.col(f"_in{i}")).alias(f"c{i}") for i in range(len(names))]), reliable)
@@ -189,12 +193,22 @@ class NgramModel:
     n_tokens: int
     vocab_size: int
     n_bytes: int  # of both tables, when broadcast
+    family: NgramFamily | None = None
+    place: int = 0  # of its counts in the family's tables
 
     def unpersist(self) -> None:
         self.grams.unpersist()
         self.contexts.unpersist()
 
 
+@dataclass(frozen=True)
+class NgramFamily:
+    """The counts of several corpora side by side."""
+    grams: DataFrame     # (ctx, token, cs): counts in the order of the models
+    contexts: DataFrame  # (ctx, xs)
+    n_bytes: int
+
+
 def _field_getter(name: str):
     # A one-argument lambda: PySpark reads a two-argument one as (x, index).
     return lambda x: x.getField(name)
@@ -241,6 +255,53 @@ def fit_ngram_n(texts: DataFrame, n: int, vocab_size: int | None = None,
     return NgramModel(n, grams, contexts, int(g["n"] or 0), v, int(g["b"] or 0) + int(cx["b"] or 0))
 
 
+def _fit_ngram_family_n(texts: DataFrame, names: list[str], vocab_from: str, text_col: str,
+                        reliable: bool, n: int) -> dict[str, NgramModel]:
+    flags, size = [f"_in{i}" for i in range(len(names))], range(len(names))
+    rows = texts.select(*flags, F.inline(with_context(_token_structs(whitespace_tokens(text_col)), n)))
+    grams = _keep(rows.groupBy("ctx", "token").agg(F.array(*[F.count_if(f) for f in flags]).alias("cs")), reliable)
+    contexts = _keep(grams.groupBy("ctx").agg(F.array(*[F.sum(F.col("cs")[i]) for i in size]).alias("xs")), reliable)
+    counts = F.lit(8 * len(names))
+    g = grams.agg(*[F.sum(F.col("cs")[i]).alias(f"n{i}") for i in size], _key_bytes("ctx", "token").alias("b"),
+                  F.sum(counts).alias("c")).first()
+    cx = contexts.agg(_key_bytes("ctx").alias("b"), F.sum(counts).alias("c")).first()
+    v = grams.where(F.col("cs")[names.index(vocab_from)] > 0).select("token").distinct().count()
+    family = NgramFamily(grams, contexts, sum(int(x[k] or 0) for x in (g, cx) for k in ("b", "c")))
+
+    def own(table: DataFrame, values: str, name: str, i: int) -> DataFrame:
+        return table.where(F.col(values)[i] > 0).withColumn(name, F.col(values)[i]).drop(values)
+
+    return {m: NgramModel(n, own(grams, "cs", "c", i), own(contexts, "xs", "c_ctx", i), int(g[f"n{i}"] or 0), v,
+                          int(g["b"] or 0) + int(cx["b"] or 0), family, i) for i, m in enumerate(names)}
+
+
+def _shared_family(models: dict) -> NgramFamily | None:
+    """The family that all these models come from, if they do."""
+    found = [m.family if isinstance(m, NgramModel) else None for m in models.values()]
+    return found[0] if found and all(f is found[0] for f in found) else None
+
+
+def _family_sums(tokens: DataFrame, models: dict, keys: list[str], family: NgramFamily) -> DataFrame:
+    """(keys, n_tokens, logp_sum_<name> per model): every gram and context is
+    looked up once for all models. Beyond the broadcast size, the rows are
+    first reduced to distinct (keys, ctx, token)."""
+    small = family.n_bytes <= BROADCAST_BYTES
+    if small:
+        rows = tokens.select(*keys, "ctx", "token", F.lit(1).cast("long").alias("_k"))
+    else:
+        rows = tokens.groupBy(*keys, "ctx", "token").agg(F.count(F.lit(1)).alias("_k"))
+    j = _lookup(rows, family.grams, ["ctx", "token"], "cs", small)
+    j = _lookup(j, family.contexts, ["ctx"], "xs", small)
+
+    def count(column: str, i: int) -> Column:
+        return F.coalesce(F.col(column)[i], F.lit(0)).cast("double")
+
+    return j.groupBy(*keys).agg(F.sum("_k").alias("n_tokens"), *[
+        F.sum(F.col("_k").cast("double") * F.ln((count("cs", m.place) + F.lit(1.0))
+                                                / (count("xs", m.place) + F.lit(float(m.vocab_size)))))
+        .alias(f"logp_sum_{name}") for name, m in models.items()])
+
+
 def _price_ngram(keyed: DataFrame, model: NgramModel) -> DataFrame:
     """Adds ``logp`` to rows keyed by (ctx, token)."""
     j = _lookup(keyed, model.grams, ["ctx", "token"], "c", _broadcastable(model))
@@ -295,8 +356,11 @@ def sequence_sums_multi(tokens: DataFrame, models: dict, keys: list[str]) -> Dat
     """(keys, n_tokens, logp_sum_<name> per model) in one pass: when every
     model is a unigram model with a broadcastable table, the token rows meet
     each count table in a chain of map-side joins and one aggregate sums all
-    models; otherwise each model is summed on its own and the results are
-    joined on the keys."""
+    models; n-gram models of one fit are looked up together; otherwise each
+    model is summed on its own and the results are joined on the keys."""
+    family = _shared_family(models)
+    if family is not None:
+        return _family_sums(tokens, models, keys, family)
     if all(isinstance(m, UnigramModel) for m in models.values()) and _broadcastable(*models.values()):
         t = tokens.select(*keys, "token")
         for name, m in models.items():
@@ -397,15 +461,18 @@ def perplexity_multi(texts: DataFrame, models: dict, id_col: str = "text_id",
                      min_tokens: int = 2) -> DataFrame:
     """K2 for several models over the same texts in one tokenization pass:
     rows (model, n_texts, perplexity)."""
-    if any(isinstance(m, NgramModel) for m in models.values()):
+    family = _shared_family(models)
+    if family is None and any(isinstance(m, NgramModel) for m in models.values()):
         out = None
         for name, m in models.items():
             x = perplexity(texts, m, id_col, text_col, max_len, min_tokens).select(
                 F.lit(name).alias("model"), "n_texts", "perplexity")
             out = x if out is None else out.unionByName(x)
         return out
-    toks = texts.select(id_col, F.explode(
-        truncate_tokens(whitespace_tokens(text_col), max_len)).alias("token"))
+    seq = _token_structs(truncate_tokens(whitespace_tokens(text_col), max_len))
+    if family is not None:
+        seq = with_context(seq, next(iter(models.values())).n)
+    toks = texts.select(id_col, F.inline(seq))
     per = sequence_sums_multi(toks, models, [id_col]).where(F.col("n_tokens") >= min_tokens)
     agg = per.agg(F.count(F.lit(1)).alias("n_texts"), *[
         F.exp(F.avg(-F.col(f"logp_sum_{name}") / F.col("n_tokens"))).alias(f"p_{name}")
@@ -417,15 +484,18 @@ def perplexity_multi(texts: DataFrame, models: dict, id_col: str = "text_id",
 
 def pair_logps_multi(pairs: DataFrame, models: dict, id_col: str = "pair_id") -> DataFrame:
     """(pair_id, <name>_chosen, <name>_rejected per model): completion
-    log-probs of both sides under several unigram models in one pass."""
-    if any(isinstance(m, NgramModel) for m in models.values()):
+    log-probs of both sides under several models in one pass: unigram models,
+    or n-gram models of one fit."""
+    family = _shared_family(models)
+    n = 1 if family is None else next(iter(models.values())).n
+    if family is None and any(isinstance(m, NgramModel) for m in models.values()):
         out = None
         for name, m in models.items():
             x = pair_logps(pairs, m, id_col, prefix=f"{name}_")
             out = x if out is None else _join_keys(out, x, [id_col])
         return out
-    toks = completion_tokens(pairs, "chosen", id_col).unionByName(
-        completion_tokens(pairs, "rejected", id_col)).where(~F.col("is_prompt"))
+    toks = completion_tokens(pairs, "chosen", id_col, n=n).unionByName(
+        completion_tokens(pairs, "rejected", id_col, n=n)).where(~F.col("is_prompt"))
     sums = sequence_sums_multi(toks, models, [id_col, "side"])
     return sums.groupBy(id_col).agg(*[
         F.max(F.when(F.col("side") == side, F.col(f"logp_sum_{name}"))).alias(f"{name}_{side}")

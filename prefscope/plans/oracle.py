@@ -256,6 +256,52 @@ per as (select item_id, count(*) as n,
 select count(*) as n_texts, {r6('exp(avg(nll))')} as perplexity from per where n >= 2"""
 
 
+def bigram_counts(name: str, where: str = "") -> str:
+    """Two tables: the counts of (ctx, token) and of ctx over some documents."""
+    src = f"documents where doc_id in (select doc_id from labels where {where})" if where else "documents"
+    return f"""{name}_g as (select ctx, token, count(*) as c from (
+    select {bigram_rows('t')} from (select {toks('text')} as t from {src}) d) x group by ctx, token),
+{name}_x as (select ctx, sum(c) as cc from {name}_g group by ctx)"""
+
+
+BIGRAM_MODELS = ", ".join((bigram_counts("base"), bigram_counts("sft", "quality = 1"),
+                           bigram_counts("dpo", "quality = 1 and toxic = 0")))
+
+
+def bigram_logp(name: str) -> str:
+    return f"ln((coalesce({name}_g.c, 0) + 1.0) / (coalesce({name}_x.cc, 0) + (select count(distinct token) from base_g)))"
+
+
+def bigram_joins(*names: str) -> str:
+    return " ".join(f"left join {n}_g on {n}_g.ctx = t.ctx and {n}_g.token = t.token left join {n}_x on {n}_x.ctx = t.ctx"
+                    for n in names)
+
+
+BIGRAM_FAMILY_PPL = f"""with {BIGRAM_MODELS},
+t as (select item_id, {bigram_rows('t')} from (select item_id, list_slice({toks('text')}, 1, 512) as t from benchmark) b),
+per as (select item_id, count(*) as n, avg(-{bigram_logp('base')}) as b, avg(-{bigram_logp('sft')}) as s,
+    avg(-{bigram_logp('dpo')}) as d from t {bigram_joins('base', 'sft', 'dpo')} group by item_id)
+select 'Base' as model, count(*) as n_texts, {r6('exp(avg(b))')} as perplexity from per where n >= 2
+union all select 'SFT', count(*), {r6('exp(avg(s))')} from per where n >= 2
+union all select 'DPO', count(*), {r6('exp(avg(d))')} from per where n >= 2"""
+
+# The first completion token's context is the prompt's last.
+BIGRAM_PREFERENCE = f"""with {BIGRAM_MODELS},
+seq as (select pair_id, side, len(p) as skip, list_concat(p, case when coalesce(c[-1] = '{IM_END}', false) then c
+    else list_append(c, '{IM_END}') end) as s
+  from (select pair_id, side, {toks(piece("'user'", 'prompt') + ' || ' + S.CHAT_TAIL)} as p, {toks("coalesce(answer, '')")} as c
+    from (select pair_id, prompt, 'chosen' as side, chosen as answer from ({FD2}) a
+      union all select pair_id, prompt, 'rejected', rejected from ({FD2}) b) x) y),
+t as (select pair_id, side, s[i] as token, s[i - 1] as ctx
+  from (select pair_id, side, s, unnest(generate_series(skip + 1, len(s))) as i from seq) z),
+m as (select pair_id, side, sum({bigram_logp('dpo')}) - sum({bigram_logp('base')}) as gain
+  from t {bigram_joins('base', 'dpo')} group by pair_id, side),
+w as (select pair_id, 0.05 * max(gain) filter (where side = 'chosen') - 0.05 * max(gain) filter (where side = 'rejected') as margin
+  from m group by pair_id)
+select count(*) as n_pairs, {r6('100.0 * avg(case when margin > 0 then 1.0 else 0.0 end)')} as preference_accuracy_pct,
+  {r6('avg(margin)')} as mean_margin from w"""
+
+
 def _running_sql() -> str:
     return f"""select model, q_id as idx, cast(h as bigint) as hits_so_far, {r6('100.0 * h / q_id')} as running_acc_pct
 from (select model, q_id, coalesce(sum(cast(correct as int)) over (partition by model order by q_id
@@ -605,6 +651,10 @@ select pair_id, {r6('case when pol_failed then 0.0 else pol_chosen end')} as pol
 
     "k7_bigram_perplexity": BIGRAM_PPL,
 
+    "k7_bigram_preference": BIGRAM_PREFERENCE,
+
+    "k7_bigram_family_perplexity": BIGRAM_FAMILY_PPL,
+
     "l1_resolve_verdicts": VERDICTS,
 
     "l1_providers": by_provider("case when a.attempt % 5 = 4 then null when a.attempt % 2 = 0 then 2 else 1 end"),

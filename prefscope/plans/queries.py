@@ -709,6 +709,26 @@ def k7_ngram_preference(spark, d):
                     r6("mean_margin").alias("mean_margin"))
 
 
+def k7_bigram_preference(spark, d):
+    """K7 with n = 2 -> K1 -> G3 -> K3 -> K4 -> H8: reference and policy are
+    bigram models of one fit, and both price a completion in one pass."""
+    lms = K.fit_ngram_family(FX.labelled_documents(spark, d),
+                             {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref", n=2)
+    j = K.pair_logps_multi(FX.fd2_pairs(spark, d), {"pol": lms["pol"], "ref": lms["ref"]})
+    s = K.preference_summary(K.reward_margin(K.rewards(j, beta=0.05)))
+    return s.select("n_pairs", r6("preference_accuracy_pct").alias("preference_accuracy_pct"),
+                    r6("mean_margin").alias("mean_margin"))
+
+
+def k7_bigram_family_perplexity(spark, d):
+    """K7 with n = 2 for the three checkpoints' corpora in one fit -> K2."""
+    lms = K.fit_ngram_family(
+        FX.labelled_documents(spark, d),
+        {"Base": FX.all_rows(), "SFT": FX.good(), "DPO": FX.good_clean()}, vocab_from="Base", n=2)
+    p = K.perplexity_multi(FX.heldout_texts(spark, d), lms)
+    return p.select("model", "n_texts", r6("perplexity").alias("perplexity"))
+
+
 def h8_preference_validation(spark, d):
     """The preference validation end to end: pairs that pass the length and
     score filters, a seeded sample of at most 100 of them, log-probs of both sides under
@@ -849,6 +869,8 @@ QUERIES: dict[str, Query] = {
     "k7_fit_ngram": k7_fit_ngram,
     "k7_ngram_preference": k7_ngram_preference,
     "k7_bigram_perplexity": k7_bigram_perplexity,
+    "k7_bigram_preference": k7_bigram_preference,
+    "k7_bigram_family_perplexity": k7_bigram_family_perplexity,
     "l1_resolve_verdicts": l1_resolve_verdicts,
     "l1_providers": l1_providers,
     "l1_first_provider_off": l1_first_provider_off,

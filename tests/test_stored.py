@@ -192,3 +192,27 @@ def test_a_null_content_is_empty_and_the_message_stays(spark):
     df = spark.createDataFrame([([("user", "a"), ("assistant", None), (None, "b")],)], "m array<struct<role: string, content: string>>")
     assert df.select(render_chatml("m")).first()[0] == (
         "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>\nb<|im_end|>\n")
+
+
+# K7 -------------------------------------------------------------------------
+def test_bigram_models_of_one_fit_equal_single_ones(spark, monkeypatch):
+    from prefscope.operators import logprob as K
+    docs = spark.createDataFrame([(1, "a b a b c", 1), (2, "a a b", 1), (3, "c c a q", 0), (4, None, 1), (5, "", None)],
+                                 "doc_id long, text string, quality int")
+    pairs = spark.createDataFrame([(1, "a", "b c", "a a"), (2, "q q", "zz b", None)], "pair_id long, prompt string, chosen string, rejected string")
+    texts = spark.createDataFrame([(1, "a b c q"), (2, "c"), (3, "zz a b")], "text_id long, text string")
+    lms = K.fit_ngram_family(docs, {"ref": F.lit(True), "pol": F.col("quality") == 1}, vocab_from="ref", n=2)
+    ref = K.fit_ngram(docs, n=2)
+    pol = K.fit_ngram(docs.where("quality = 1"), n=2, vocab_size=ref.vocab_size)
+    assert lms["pol"].vocab_size == ref.vocab_size == 4
+    want = K._join_keys(K.pair_logps(pairs, pol, prefix="pol_"), K.pair_logps(pairs, ref, prefix="ref_"), ["pair_id"])
+    alone = {m: K.perplexity(texts, x).first() for m, x in (("ref", ref), ("pol", pol))}
+    near = lambda a, b: [tuple(pytest.approx(x) for x in r) for r in rows(a)] == rows(b)
+    for size in (K.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(K, "BROADCAST_BYTES", size)
+        got = K.pair_logps_multi(pairs, {"pol": lms["pol"], "ref": lms["ref"]})
+        assert near(got.select(want.columns), want)
+        for r in K.perplexity_multi(texts, lms).collect():
+            assert (r.n_texts, pytest.approx(r.perplexity)) == tuple(alone[r.model])
+    # A model of the fit alone is an ordinary model.
+    assert near(K.pair_logps(pairs, lms["pol"]), K.pair_logps(pairs, pol))
