@@ -8,9 +8,15 @@ shingles (H follows from sizes and threshold). Shingles are dealt into g > H
 slices by hash, so linked sets agree in a whole slice: that slice's hash is a
 routing key. An agreeing slice could be an empty one; g exceeds H by a margin,
 so a set with fewer than g - H empty slices agrees with any partner in a
-non-empty one, and only the rare others emit their empty slices too. Sets that
-share a key are chained to the key's smallest set; what the chains connect meets in
-one task (or, if it is larger than a block, in a task for each pair of blocks).
+non-empty one, and only the rare others emit their empty slices too.
+
+Pruning. A slice of one common shingle is shared by unrelated sets. So each set
+has a bitmap: a bit for every shingle it could hold, which is the parity of the
+shingles that hash there. Two sets' bitmaps differ in no more bits than the sets
+in shingles; of the sets that share a key, only those whose sizes and bitmaps
+allow a link are connected. Keys that more than ``GROUP`` sets share connect all
+of these unseen, each with the next. What is connected meets in one task (or, if
+it is larger than a block, in a task for each pair of blocks).
 
 Join. There the sets, as ascending shingle hashes, which is one global order,
 are put in a prefix tree whose edges hold runs of shingles. All sets walk the
@@ -25,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -39,6 +46,12 @@ PERCENT = 85
 #: Shingles in all sets that one task joins; a larger cluster of sets is joined
 #: by pairs of blocks.
 BLOCK_SHINGLES = 1_000_000
+#: Sets of one key that are compared by their bitmaps; more are connected unseen.
+GROUP = 1000
+#: Sets that share a key within a batch of rows; of more one stands for all.
+BATCH_GROUP = 64
+#: Words of bitmaps that are compared at a time.
+PAIR_WORDS = 2_000_000
 #: Cells of the table of which set has which shingle, while sets walk a tree.
 HELD = 64_000_000
 
@@ -82,22 +95,48 @@ def size_classes(percent: int, upto: int) -> np.ndarray:
     return np.array(ends)
 
 
-def slice_keys(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Routing keys of all sets, and the set that each belongs to."""
-    size = np.diff(begin)
-    if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = size_classes(percent, int(size.max()))
+def class_members(size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sets that take part in their own size class, and those that do in
+    the one below, as partners can be that small: (sets, class, its end)."""
+    ends = size_classes(percent, int(size.max(initial=1)))
     own = np.searchsorted(ends, size)
-    keys, owners = [], []
     for lower in (0, 1):
-        # A set takes part in its own class, and in the one below if partners can be that small.
         tag = own - lower
         takes = (size > 0) & (tag >= 0)
         if lower:
             takes &= -(-size * percent // 100) <= ends[np.maximum(tag, 0)]
         sets = np.flatnonzero(takes)
-        end = ends[tag[sets]]
+        yield sets, tag[sets], ends[tag[sets]]
+
+
+def bitmaps(hashes: np.ndarray, begin: np.ndarray, percent: int) -> list[pa.Array]:
+    """For the class of each set, and for the one below, its bitmap: a bit for
+    each shingle of the largest set, 128 at least. Null where it takes no part."""
+    size, out = np.diff(begin), []
+    for sets, _, end in class_members(size, percent):
+        words = np.zeros(len(size), np.int64)
+        words[sets] = np.maximum(2, -(-end // 64))
+        base = np.concatenate([[0], np.cumsum(words)])
+        bits = np.zeros(base[-1], np.uint64)
+        owner = np.repeat(np.arange(len(size)), size)
+        taken = words[owner] > 0
+        owner, at = owner[taken], T.mix(hashes[taken] ^ T.U(0xA0761D6478BD642F))
+        at %= (64 * words[owner]).astype(T.U)
+        np.bitwise_xor.at(bits, base[owner] + (at >> T.U(6)).astype(np.int64), T.U(1) << (at & T.U(63)))
+        every = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(size), [None, pa.py_buffer(8 * base), pa.py_buffer(bits)]).cast(pa.binary())
+        out.append(pc.if_else(pa.array(words > 0), every, pa.scalar(None, pa.binary())))
+    return out
+
+
+def slice_keys(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Routing keys of all sets, the set that each belongs to, and whether it
+    is of the class below the set's own."""
+    size = np.diff(begin)
+    if not len(hashes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    keys, owners, lowers = [], [], []
+    for lower, (sets, tag, end) in enumerate(class_members(size, percent)):
         # |A| + |B| is at most end + end * 100 / percent; they differ in (100 - p) / (100 + p) of that.
         differ = (100 - percent) * (end + end * 100 // percent) // (100 + percent)
         n_slices = differ + 3 + differ // 16
@@ -115,10 +154,66 @@ def slice_keys(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.
         unlucky = np.bincount(which[empty], minlength=len(sets)) >= n_slices - differ
         emit = ~empty | unlucky[which]
         number = (np.arange(len(which)) - base[which]).astype(T.U)
-        label = (tag[sets][which] + 1).astype(T.U) << T.U(32) | number
+        label = (tag[which] + 1).astype(T.U) << T.U(32) | number
         keys.append((T.mix(sums ^ T.mix(label)))[emit])
         owners.append(sets[which[emit]])
-    return np.concatenate(keys), np.concatenate(owners)
+        lowers.append(np.full(int(emit.sum()), bool(lower)))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lowers)
+
+
+def plausible(percent: int, size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, whose bitmaps differ in so many bits, may
+    link."""
+    return ((100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+            & ((100 + percent) * differ <= (100 - percent) * (size_a + size_b)))
+
+
+def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that the edges connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[left], label[right])
+        now = label.copy()
+        np.minimum.at(now, left, low)
+        np.minimum.at(now, right, low)
+        np.minimum.at(now, label[left], low)
+        np.minimum.at(now, label[right], low)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+def connect(percent: int, group: np.ndarray, size: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """For each row the first of its group (groups follow one another) that
+    plausible pairs connect it with."""
+    n = len(group)
+    words = np.array([len(b) // 8 for b in bits], np.int64)
+    base = np.concatenate([[0], np.cumsum(words)])
+    flat = np.frombuffer(b"".join(bits), np.uint64)
+    end = np.searchsorted(group, group, "right")
+    partners = end - np.arange(n) - 1
+    lefts, rights = [], []
+    lo = 0
+    cost = np.concatenate([[0], np.cumsum(partners * np.maximum(words, 1))])
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(cost, cost[lo] + PAIR_WORDS, "right")) - 1)
+        count = partners[lo:hi]
+        left = np.repeat(np.arange(lo, hi), count)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+        fits = plausible(percent, size[left], size[right], np.zeros(len(left), np.int64)) & (words[left] == words[right])
+        left, right = left[fits], right[fits]
+        if len(left):
+            w = words[left]
+            step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            differ = np.bitwise_count(flat[np.repeat(base[left], w) + step] ^ flat[np.repeat(base[right], w) + step])
+            differ = np.add.reduceat(differ, np.cumsum(w) - w, dtype=np.int64)
+            near = plausible(percent, size[left], size[right], differ)
+            lefts.append(left[near])
+            rights.append(right[near])
+        lo = hi
+    none = np.zeros(0, np.int64)
+    return roots(n, np.concatenate([*lefts, none]), np.concatenate([*rights, none]))
 
 
 # ---- join in a task --------------------------------------------------------
@@ -159,9 +254,9 @@ def link_sets(sets: list[np.ndarray], percent: int, left: int | None = None) ->
     this); a set leaves when even all that remains below wouldn't reach the
     threshold, or when it is connected with every set below already."""
     m = len(sets)
-    label = np.arange(m)
+    label = Labels(m)
     if not m or left == 0:
-        return label.tolist()
+        return label.first()
     sizes = np.array([len(s) for s in sets])
     # Shingles of one set alone overlap with nothing: only the others are walked.
     _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -179,19 +274,42 @@ def link_sets(sets: list[np.ndarray], percent: int, left: int | None = None) ->
         for row, p in enumerate(some):
             has[row, short[p]] = True
         _walk(tree, some, has, sizes, label, percent)
-    return label.tolist()
+    return label.first()
+
+
+class Labels:
+    """Components of sets, each with its members, so that the smaller ones are
+    renamed when components meet."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members = {i: [i] for i in range(n)}
+
+    def merge(self, sets: np.ndarray) -> None:
+        found = np.unique(self.of[sets]).tolist()
+        if len(found) > 1:
+            into = max(found, key=lambda c: len(self.members[c]))
+            for c in found:
+                if c != into:
+                    moved = self.members.pop(c)
+                    self.of[moved] = into
+                    self.members[into] += moved
 
+    def first(self) -> list[int]:
+        low = {c: min(m) for c, m in self.members.items()}
+        return [low[c] for c in self.of.tolist()]
 
-def _walk(tree: PrefixTree, probes: np.ndarray, has: np.ndarray, sizes: np.ndarray, label: np.ndarray,
+
+def _walk(tree: PrefixTree, probes: np.ndarray, has: np.ndarray, sizes: np.ndarray, label: Labels,
           percent: int) -> None:
     """Let ``probes`` walk the tree and merge the labels of sets that link."""
     rows = np.arange(len(probes))
     stack = [(0, len(tree.sets), 0, rows, np.zeros(len(probes), np.int64))]
     while stack:
         lo, hi, depth, rows, common = stack.pop()
-        below = label[tree.order[lo:hi]]
+        below = label.of[tree.order[lo:hi]]
         if (below == below[0]).all():
-            on = label[probes[rows]] != below[0]
+            on = label.of[probes[rows]] != below[0]
             rows, common = rows[on], common[on]
         if not len(rows):
             continue
@@ -206,17 +324,20 @@ def _walk(tree: PrefixTree, probes: np.ndarray, has: np.ndarray, sizes: np.ndarr
         if not len(rows):
             continue
         ends = lo + int(np.searchsorted(tree.length[lo:hi] > depth, True))  # sets that end here come first
-        for k in range(lo, ends):
-            for p in probes[rows[(100 + percent) * common >= percent * (n + tree.sizes[k])]]:
-                a, b = label[p], label[tree.order[k]]
-                if a != b:
-                    label[label == max(a, b)] = min(a, b)
+        if ends > lo:
+            # Sets that end here differ in size alone. The walker that may link with the largest
+            # links with all below it, and any walker that links does with the smallest.
+            ending = tree.sizes[lo:ends]
+            upto = (100 + percent) * common // percent - n
+            links = upto >= ending.min()
+            if links.any():
+                label.merge(np.concatenate([tree.order[lo:ends][ending <= upto.max()], probes[rows[links]]]))
         if ends < hi:
             stack += [(x, y, depth, rows, common) for x, y in tree.children(ends, hi, depth)]
 
 
 # ---- Spark -----------------------------------------------------------------
-def _set_rows(k: int):
+def _set_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in T.slices(batch["text"]):
@@ -225,7 +346,8 @@ def _set_rows(k: int):
                 a, b = set_ids(hashes, begin)
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(np.diff(begin).astype(np.int64)), pa.array(T.signed(a)),
-                     pa.array(T.signed(b))], ["doc_id", "n_shingles", "set_a", "set_b"])
+                     pa.array(T.signed(b)), *bitmaps(hashes, begin, percent)],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "own_bits", "lower_bits"])
     return rows
 
 
@@ -245,32 +367,69 @@ def _marked_rows(k: int):
 
 def _key_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, a, how) for each set of a key: 0, or 1 for the class below its
+        own. Where more than BATCH_GROUP sets of a batch share a key, its
+        smallest set alone goes on, marked 2, and the others as pairs with it
+        (3, the key being the other set)."""
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, lowers = [], [], []
             for lo, hi in T.slices(batch["text"]):
                 hashes, begin = shingle_sets(batch["text"].slice(lo, hi - lo), k)
-                key, owner = slice_keys(hashes, begin, percent)
+                key, owner, lower = slice_keys(hashes, begin, percent)
                 keys.append(key)
                 sets.append(T.signed(set_ids(hashes, begin)[0])[owner])
+                lowers.append(lower)
             if not keys:
                 continue
-            key, node = np.concatenate(keys), np.concatenate(sets)
+            key, node, how = np.concatenate(keys), np.concatenate(sets), np.concatenate(lowers).astype(np.int32)
             order = np.lexsort((node, key))
-            key, node = key[order], node[order]
+            key, node, how = key[order], node[order], how[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, how = key[new], node[new], how[new]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
-            smallest = node[first][np.cumsum(first) - 1]
-            # A key's sets in this batch are chained here; one row per key goes on.
-            pairs = np.unique(np.stack([node, smallest], 1)[node != smallest], axis=0)
+            group = np.cumsum(first) - 1
+            many = np.bincount(group, minlength=int(first.sum()))[group] > BATCH_GROUP if len(key) else first
+            smallest = node[first][group] if len(key) else node
+            how[many & first] = 2
+            pairs = np.unique(np.stack([smallest, node], 1)[many & ~first], axis=0)
+            stay = ~many | first
             yield pa.RecordBatch.from_arrays(
-                [pa.array(T.signed(np.concatenate([key[first], np.zeros(len(pairs), np.uint64)]))),
-                 pa.array(np.concatenate([node[first], pairs[:, 0]])),
-                 pa.array(np.concatenate([np.zeros(first.sum(), np.int64), pairs[:, 1]])),
-                 pa.array(np.arange(first.sum() + len(pairs)) >= first.sum())],
-                ["key", "a", "b", "is_pair"])
+                [pa.array(np.concatenate([T.signed(key[stay]), pairs[:, 0]])),
+                 pa.array(np.concatenate([node[stay], pairs[:, 1]])),
+                 pa.array(np.concatenate([how[stay], np.full(len(pairs), 3, np.int32)]))], ["key", "a", "how"])
+    return rows
+
+
+def _connected_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b): the sets of each group, which follow one another, that
+        plausible pairs connect."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            group = table["group"].to_numpy()
+            done = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            rest = table.slice(done)
+            yield _edges(percent, table.slice(0, done))
+        if rest is not None:
+            yield _edges(percent, rest)
     return rows
 
 
+def _edges(percent: int, table: pa.Table) -> pa.RecordBatch:
+    node = table["a"].to_numpy()
+    if len(node):
+        root = connect(percent, table["group"].to_numpy(), table["n"].to_numpy(), table["bits"].to_pylist())
+        other = root != np.arange(len(node))
+        pairs = np.unique(np.stack([node[other], node[root[other]]], 1), axis=0)
+    else:
+        pairs = np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def _linked_rows(percent: int, k: int):
     def rows(table: pa.Table) -> pa.Table:
         text, node = table["text"].combine_chunks(), table["node"].to_pylist()
@@ -281,7 +440,8 @@ def _linked_rows(percent: int, k: int):
             sets += [hashes[a:b] for a, b in zip(begin[:-1], begin[1:])]
             # Rows that repeat an id with another text are not the ones asked for.
             right.append(T.signed(set_ids(hashes, begin)[0]) == expected[lo:hi])
-        order = [i for i in np.argsort(side, kind="stable") if np.concatenate(right)[i]]
+        asked = np.concatenate([*right, np.zeros(0, bool)])
+        order = [i for i in np.argsort(side, kind="stable") if asked[i]]
         left = sum(side[i] == 0 for i in order)
         root = link_sets([sets[i] for i in order], percent, left if left < len(order) else None)
         names = [node[i] for i in order]
@@ -304,8 +464,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     text are not read.
 
     Copies fall together by their set's 128-bit id before anything is joined.
-    The keys of one batch of rows are chained in the task that finds them, so
-    a key shared by most documents sends one row per batch.
+    A key that most documents share sends at most 64 rows per batch of rows.
     """
     return _groups(docs, percent, block_shingles, k).select("doc_id", "n_shingles", "component_id")
 
@@ -316,13 +475,15 @@ def _groups(docs: DataFrame, percent: int, block_shingles: int, k: int) -> DataF
     component_id, the one with the smallest bits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(
-        _set_rows(k), "doc_id long, n_shingles long, set_a long, set_b long"), "ngram-sets")
+        _set_rows(percent, k),
+        "doc_id long, n_shingles long, set_a long, set_b long, own_bits binary, lower_bits binary"), "ngram-sets")
     in_play = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     nodes = written(sets.where(in_play).groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
+        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"),
+        F.max("own_bits").alias("own_bits"), F.max("lower_bits").alias("lower_bits")
     ).withColumn("node", F.concat_ws(":", "set_a", "set_b")), "ngram-nodes")
 
-    clusters = _clusters(rows, percent, k)
+    clusters = _clusters(rows, nodes, percent, k)
     members = nodes.join(clusters, F.col("set_a") == F.col("_set")).select(
         F.col("first_id").alias("_id"), "set_a", "node", "n", "cluster")
     sizes = members.groupBy("cluster").agg(
@@ -339,7 +500,7 @@ def _groups(docs: DataFrame, percent: int, block_shingles: int, k: int) -> DataF
     linked = joined.groupBy("cluster", "i", "j").applyInArrow(_linked_rows(percent, k), "a string, b string")
     labels = written(components(linked.where("a != b")), "ngram-labels")
 
-    named = nodes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = nodes.drop("own_bits", "lower_bits").join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy(F.col("component").alias("_c")).agg(
         F.min(F.struct("first_id", "set_a", "set_b")).alias("_low"))
@@ -347,6 +508,7 @@ def _groups(docs: DataFrame, percent: int, block_shingles: int, k: int) -> DataF
         "set_a", "set_b", "copies", F.col("_low.first_id").alias("component_id"),
         ((F.col("set_a") == F.col("_low.set_a")) & (F.col("set_b") == F.col("_low.set_b"))).alias("stays")),
         "ngram-named")
+    sets = sets.drop("own_bits", "lower_bits")
     found = lookup(sets.where(in_play), named, ["set_a", "set_b"], "copies", ["doc_id"])
     alone = sets.where(~in_play).withColumns({"component_id": F.col("doc_id"), "stays": F.lit(True)})
     names = ["doc_id", "n_shingles", "set_a", "set_b", "component_id", "stays"]
@@ -385,14 +547,31 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> Da
     return once.unionByName(first.select("_row.*")).unionByName(blank.select("_row.*"))
 
 
-def _clusters(rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """(_set, cluster): sets, by half of their id, that chains of common
-    routing keys connect."""
-    found = rows.where("doc_id is not null").select("text").mapInArrow(
-        _key_rows(percent, k), "key long, a long, b long, is_pair boolean")
-    # Pairs chained in a batch travel along, each under its own key, so the texts are read once.
-    keyed = found.withColumn("key", F.when(F.col("is_pair"), F.xxhash64("a", "b")).otherwise(F.col("key")))
-    before = F.lag("a").over(Window.partitionBy("key", "is_pair").orderBy("a"))
-    edges = keyed.withColumn("b", F.when(F.col("is_pair"), F.col("b")).otherwise(before)).where(
-        F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
-    return components(edges).select(F.col("node").alias("_set"), F.col("component").alias("cluster"))
+def _clusters(rows: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """(_set, cluster): sets, by half of their id, that plausible pairs with a
+    common routing key connect."""
+    keyed = rows.where("doc_id is not null").select("text").mapInArrow(
+        _key_rows(percent, k), "key long, a long, how int").withColumn(
+        "place", F.when(F.col("how") == 3, F.xxhash64("key", "a")).otherwise(F.col("key")))
+    by_key = Window.partitionBy("place")
+    in_order = by_key.orderBy("a", F.desc("how"))
+    shared = keyed.select(
+        "*", F.lag("a").over(in_order).alias("before"), F.lead("a").over(in_order).alias("after")).where(
+        "how = 3 or before is not null or after is not null")
+    # Sets of one key within the group's limits are compared, others chained.
+    shared = written(shared.where("how = 3 or before is null or before <> a").select(
+        "*", F.count(F.lit(1)).over(by_key).alias("sets"), F.max("how").over(by_key).alias("most")), "ngram-shared")
+    compared = (F.col("most") < 2) & (F.col("sets") <= GROUP)
+    chained = shared.where(~compared & (F.col("how") < 3) & F.col("before").isNotNull()).select("a", F.col("before").alias("b"))
+    paired = shared.where("how = 3").select(F.col("key").alias("a"), F.col("a").alias("b"))
+    # Many keys are shared by the same sets.
+    groups = shared.where(compared & (F.col("sets") > 1)).groupBy("place", "key").agg(
+        F.sort_array(F.collect_list(F.struct("a", "how"))).alias("g")).groupBy("g").agg(F.min("key").alias("group"))
+    members = groups.select("group", F.inline("g"))
+    bits = nodes.select(F.col("set_a").alias("_a"), "n", "own_bits", "lower_bits")
+    members = members.join(bits, F.col("a") == F.col("_a")).select(
+        "group", "a", "n", F.when(F.col("how") == 0, F.col("own_bits")).otherwise(F.col("lower_bits")).alias("bits"))
+    near = members.repartition("group").sortWithinPartitions("group", "a").mapInArrow(
+        _connected_rows(percent), "a long, b long")
+    return components(chained.unionByName(paired).unionByName(near)).select(
+        F.col("node").alias("_set"), F.col("component").alias("cluster"))

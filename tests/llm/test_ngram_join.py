@@ -109,7 +109,7 @@ def test_tree_links_what_all_pairs_link(seed):
 def test_linked_sets_share_a_routing_key(percent):
     texts = [t for _, t, _ in near_copies(percent, 250)]
     hashes, begin = J.shingle_sets(pa.array(texts))
-    keys, owner = J.slice_keys(hashes, begin, percent)
+    keys, owner, _ = J.slice_keys(hashes, begin, percent)
     by_set = defaultdict(set)
     for k, o in zip(keys.tolist(), owner.tolist()):
         by_set[o].add(k)
@@ -155,3 +155,75 @@ def test_one_of_each_tells_rows_of_a_repeated_id_apart(spark):
     assert kept == Counter({1: 1, 2: 1, 5: 1, 6: 2, 7: 1, 9: 1, None: 1})
     assert sorted(got, key=str) == sorted(((r.doc_id, r.text) for r in J.one_of_each(
         table(spark, rows[::-1]).repartition(5)).collect()), key=str)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_bitmaps_differ_in_no_more_bits_than_sets(percent):
+    texts = [t for _, t, _ in near_copies(percent, 120)]
+    hashes, begin = J.shingle_sets(pa.array(texts))
+    sets = [frozenset(hashes[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
+    seen = 0
+    for column in J.bitmaps(hashes, begin, percent):
+        bits = column.to_pylist()
+        for i in range(len(sets)):
+            for j in range(i):
+                if sets[i] and bits[i] is not None and bits[j] is not None and len(bits[i]) == len(bits[j]):
+                    differ = (int.from_bytes(bits[i]) ^ int.from_bytes(bits[j])).bit_count()
+                    assert differ <= len(sets[i] ^ sets[j])
+                    linked = 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+                    may = J.plausible(percent, *map(np.array, (len(sets[i]), len(sets[j]), differ)))
+                    assert may or not linked
+                    seen += linked
+    assert seen
+
+
+def test_groups_are_connected_by_plausible_pairs(monkeypatch):
+    monkeypatch.setattr(J, "PAIR_WORDS", 50)
+    rng = np.random.default_rng(2)
+    group = np.sort(rng.integers(0, 9, 80))
+    size = rng.integers(30, 60, 80)
+    bits = [rng.integers(0, 2, 128).astype(bool) for _ in range(80)]
+    for i in range(1, 80):  # chains of small steps
+        if rng.random() < .7:
+            bits[i] = bits[i - 1].copy()
+            bits[i][rng.integers(0, 128, 4)] ^= True
+    packed = [np.packbits(b).tobytes() for b in bits]
+    want = list(range(80))
+    for _ in range(80):
+        for i in range(80):
+            for j in range(i):
+                if group[i] == group[j] and J.plausible(80, size[i], size[j], np.int64((bits[i] ^ bits[j]).sum())):
+                    want[i] = want[j] = min(want[i], want[j])
+    got = J.connect(80, group, size, packed).tolist()
+    assert got == want and len(set(want)) < 70
+
+
+def test_roots():
+    assert J.roots(7, np.array([5, 4, 3, 1]), np.array([4, 3, 2, 0])).tolist() == [0, 0, 2, 2, 2, 2, 6]
+
+
+def test_large_groups_are_connected_unseen(spark, monkeypatch):
+    from test_basic_ops import table
+    rows = near_copies(4, 100)
+    want = plain_components(rows, 80)
+    monkeypatch.setattr(J, "GROUP", 2)
+    got = J.ngram_components(table(spark, rows), 80).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((i, c) for i, _, c in want), key=str)
+
+
+def test_many_copies_of_one_batch_go_as_one(spark):
+    from test_basic_ops import table
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"z{i}"]), "s") for i in range(300)] + [(900, " ".join(words[:40]), "s")]
+    got = {r.doc_id: r.component_id for r in J.ngram_components(table(spark, rows), 85).collect()}
+    assert {v for k, v in got.items() if k < 900} == {0} and got[900] == 900
+
+
+def test_thousands_of_near_copies_in_one_task():
+    import time
+    rng = np.random.default_rng(4)
+    base = np.arange(20, dtype=np.int64)
+    sets = [np.sort(np.concatenate([base, 1000 + rng.choice(10**6, 2, replace=False)])) for _ in range(8000)]
+    at = time.time()
+    assert set(J.link_sets(sets, 80)) == {0}
+    assert time.time() - at < 20
