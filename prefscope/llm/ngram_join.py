@@ -48,12 +48,14 @@ PERCENT = 85
 BLOCK_SHINGLES = 1_000_000
 #: Sets of one key that are compared by their bitmaps; more are connected unseen.
 GROUP = 1000
-#: Sets that share a key within a batch of rows; of more one stands for all.
+#: Sets that share a key within a slice of texts; of more one stands for all.
 BATCH_GROUP = 64
 #: Words of bitmaps that are compared at a time.
-PAIR_WORDS = 2_000_000
+PAIR_WORDS = 500_000
 #: Cells of the table of which set has which shingle, while sets walk a tree.
-HELD = 64_000_000
+HELD = 16_000_000
+#: Bytes of text that are handled at a time, about.
+SLICE_BYTES = 1_000_000
 
 
 # ---- sets ------------------------------------------------------------------
@@ -340,7 +342,7 @@ def _walk(tree: PrefixTree, probes: np.ndarray, has: np.ndarray, sizes: np.ndarr
 def _set_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in T.slices(batch["text"]):
+            for lo, hi in T.slices(batch["text"], SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 hashes, begin = shingle_sets(part["text"], k)
                 a, b = set_ids(hashes, begin)
@@ -355,7 +357,7 @@ def _marked_rows(k: int):
     """Rows as they are, with their set's size and bits."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in T.slices(batch["text"]):
+            for lo, hi in T.slices(batch["text"], SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 hashes, begin = shingle_sets(part["text"], k)
                 a, b = set_ids(hashes, begin)
@@ -368,40 +370,37 @@ def _marked_rows(k: int):
 def _key_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, a, how) for each set of a key: 0, or 1 for the class below its
-        own. Where more than BATCH_GROUP sets of a batch share a key, its
+        own. Where more than BATCH_GROUP sets of a slice share a key, its
         smallest set alone goes on, marked 2, and the others as pairs with it
         (3, the key being the other set)."""
         for batch in batches:
-            keys, sets, lowers = [], [], []
-            for lo, hi in T.slices(batch["text"]):
+            for lo, hi in T.slices(batch["text"], SLICE_BYTES):
                 hashes, begin = shingle_sets(batch["text"].slice(lo, hi - lo), k)
                 key, owner, lower = slice_keys(hashes, begin, percent)
-                keys.append(key)
-                sets.append(T.signed(set_ids(hashes, begin)[0])[owner])
-                lowers.append(lower)
-            if not keys:
-                continue
-            key, node, how = np.concatenate(keys), np.concatenate(sets), np.concatenate(lowers).astype(np.int32)
-            order = np.lexsort((node, key))
-            key, node, how = key[order], node[order], how[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, how = key[new], node[new], how[new]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            group = np.cumsum(first) - 1
-            many = np.bincount(group, minlength=int(first.sum()))[group] > BATCH_GROUP if len(key) else first
-            smallest = node[first][group] if len(key) else node
-            how[many & first] = 2
-            pairs = np.unique(np.stack([smallest, node], 1)[many & ~first], axis=0)
-            stay = ~many | first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([T.signed(key[stay]), pairs[:, 0]])),
-                 pa.array(np.concatenate([node[stay], pairs[:, 1]])),
-                 pa.array(np.concatenate([how[stay], np.full(len(pairs), 3, np.int32)]))], ["key", "a", "how"])
+                yield _sent(key, T.signed(set_ids(hashes, begin)[0])[owner], lower.astype(np.int32))
     return rows
 
 
+def _sent(key: np.ndarray, node: np.ndarray, how: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((node, key))
+    key, node, how = key[order], node[order], how[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, how = key[new], node[new], how[new]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    group = np.cumsum(first) - 1
+    many = np.bincount(group, minlength=int(first.sum()))[group] > BATCH_GROUP if len(key) else first
+    smallest = node[first][group] if len(key) else node
+    how[many & first] = 2
+    pairs = np.unique(np.stack([smallest, node], 1)[many & ~first], axis=0)
+    stay = ~many | first
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([T.signed(key[stay]), pairs[:, 0]])),
+         pa.array(np.concatenate([node[stay], pairs[:, 1]])),
+         pa.array(np.concatenate([how[stay], np.full(len(pairs), 3, np.int32)]))], ["key", "a", "how"])
+
+
 def _connected_rows(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b): the sets of each group, which follow one another, that
@@ -435,7 +434,7 @@ def _linked_rows(percent: int, k: int):
         text, node = table["text"].combine_chunks(), table["node"].to_pylist()
         side, expected = table["side"].to_numpy(), table["set_a"].to_numpy()
         sets, right = [], []
-        for lo, hi in T.slices(text):
+        for lo, hi in T.slices(text, SLICE_BYTES):
             hashes, begin = shingle_sets(text.slice(lo, hi - lo), k)
             sets += [hashes[a:b] for a, b in zip(begin[:-1], begin[1:])]
             # Rows that repeat an id with another text are not the ones asked for.
@@ -464,7 +463,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     text are not read.
 
     Copies fall together by their set's 128-bit id before anything is joined.
-    A key that most documents share sends at most 64 rows per batch of rows.
+    A key that most documents share sends at most 64 rows per slice of 1 MB.
     """
     return _groups(docs, percent, block_shingles, k).select("doc_id", "n_shingles", "component_id")
 
