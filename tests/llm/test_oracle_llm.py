@@ -15,7 +15,8 @@ DIR = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = con.sql(ORACLE[name])
     got = QUERIES[name](spark, DIR)
     names = sorted(want.columns)
