@@ -7,11 +7,11 @@ the reversed text. A phrase is an interval of either order; adding a word on one
 side is a backward step in one index and a shift in the other, so phrases grow
 to the right and left in turn, all of one length at once, with their counts.
 
-Counts are summed across the shards. A phrase can be frequent only if its words
-and its pairs are, so a shard first learns which of its words, then which of its
-pairs are frequent in all texts, and enumerates longer phrases within these. The
-hashes by which it learns that only admit phrases; the counts themselves are
-kept by the phrase's text.
+Counts are summed across the shards. A phrase can be frequent only if its words,
+pairs and triples are, so a shard first learns which of its words, then which of
+its pairs and of its triples are frequent in all texts, and enumerates longer
+phrases within these. Counts are kept by 64-bit hashes; of the buckets that have
+a frequent phrase, one sends its text, once.
 """
 
 from __future__ import annotations
@@ -212,49 +212,86 @@ def _pair_rows(texts: pa.Table, found: pa.Table) -> pa.Table:
     return _summed(texts["bucket"][0].as_py() if texts.num_rows else 0, hashes, counts)
 
 
-PHRASES = "lang string, k int, phrase string, n long"
+def _folded(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hashes of phrases from those of their words; of two words, ``_pair``."""
+    out = hashes[words[:, 0] - 1]
+    for i in range(1, words.shape[1]):
+        out = _pair(out, hashes[words[:, i] - 1])
+    return out
 
 
-def _phrase_rows(longest: int):
+def _longer_rows(lengths: tuple[int, ...]):
+    """Counts phrases of these lengths, the first of which is 3 or 4. They are
+    made of frequent pairs (kind 2) and, from 4 words on, frequent triples (3)."""
     def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
-        """The counts of the phrases of frequent pairs, of frequent words, and
-        (k = 0) of all words of each language."""
-        single, known, out = _known(found, 1), _known(found, 2), []
-        for s in _shards(texts):
-            total = np.bincount(s.of, minlength=len(s.names))
-            out.append(_phrases(s.names, np.zeros(len(total)), pa.array([""] * len(total), pa.large_string()), total))
-            h, one, times = np.unique(s.hash, return_index=True, return_counts=True)
-            some = _is_in(h, single)
-            out.append(_phrases(s.names.take(pa.array(s.of[one[some]])), np.ones(int(some.sum())), s.text(one[some]), times[some]))
+        pairs, triples, hashes, counts = _known(found, 2), _known(found, 3), [], []
+        for s in _shards(texts) if len(pairs) else ():
             pair = np.zeros(len(s.hash), bool)
-            pair[:-1] = ~s.first[1:] & _is_in(_pair(s.hash[:-1], s.hash[1:]), known)
+            pair[:-1] = ~s.first[1:] & _is_in(_pair(s.hash[:-1], s.hash[1:]), pairs)
             keep = pair.copy()
             keep[1:] |= pair[:-1]
             if not keep.any():
                 continue
-            ids, h, one = s.number(keep)
-            word, lang = s.text(one), s.names.take(pa.array(s.of[one]))
+            ids, h, _ = s.number(keep)
 
             def allowed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-                return _is_in(_pair(h[left - 1], h[right - 1]), known)
+                return _is_in(_pair(h[left - 1], h[right - 1]), pairs)
 
-            index = Phrases(ids, longest)
+            index = Phrases(ids, lengths[-1])
             grown = index.start()
-            for k in range(2, longest + 1):
-                grown = index.extend(grown, k % 2 == 0, allowed)
-                columns = [word.take(pa.array(grown[0][:, i] - 1)) for i in range(k)]
-                out.append(_phrases(lang.take(pa.array(grown[0][:, 0] - 1)), np.full(len(grown[0]), k),
-                                    pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())), grown[-1]))
+            for k in range(2, lengths[-1] + 1):
+                right = k % 2 == 0
+                grown = index.extend(grown, right, allowed)
+                if lengths[0] > 3 and k > 2:
+                    edge = grown[0][:, -3:] if right else grown[0][:, :3]
+                    some = _is_in(_folded(h, edge), triples)
+                    grown = tuple(g[some] for g in grown)
+                if k in lengths:
+                    hashes.append(_folded(h, grown[0]))
+                    counts.append(grown[-1])
+        return _summed(texts["bucket"][0].as_py() if texts.num_rows else 0, hashes, counts)
+    return rows
+
+
+PHRASES = "lang string, k int, phrase string, n long"
+
+
+def _text_rows(longest: int):
+    def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
+        """The frequent phrases whose text this bucket gives, with their count
+        in all buckets, and (k = 0) how many words each language has here."""
+        h, n = (found[c].combine_chunks().to_numpy() for c in ("h", "total"))
+        order = np.argsort(h.view(np.uint64))
+        known, n, out = h.view(np.uint64)[order], n[order], []
+        missing = np.ones(len(known), bool)
+        for s in _shards(texts):
+            total = np.bincount(s.of, minlength=len(s.names))
+            out.append(_phrases(s.names, 0, pa.array([""] * len(total), pa.large_string()), total))
+            at, value = np.arange(len(s.hash)), s.hash
+            for k in range(1, longest + 1):
+                if k > 1:
+                    going = at + k - 1 < len(s.hash)
+                    going[going] = ~s.first[at[going] + k - 1]
+                    at, value = at[going], value[going]
+                    value = _pair(value, s.hash[at + k - 1])
+                if not len(at) or not missing.any():
+                    break
+                place = np.searchsorted(known, value)
+                place[place == len(known)] = 0
+                hit = np.flatnonzero((known[place] == value) & missing[place])
+                place, first = np.unique(place[hit], return_index=True)
+                missing[place] = False
+                word = at[hit[first]]
+                columns = [s.text(word + i) for i in range(k)]
+                phrase = columns[0] if k == 1 else pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()))
+                out.append(_phrases(s.names.take(pa.array(s.of[word])), k, phrase, n[place]))
         schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-        if not out:
-            return schema.empty_table()
-        return pa.concat_tables(out).cast(schema).combine_chunks().group_by(["lang", "k", "phrase"]).aggregate(
-            [("n", "sum")]).select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"])
+        return pa.concat_tables(out).cast(schema).combine_chunks() if out else schema.empty_table()
     return rows
 
 
-def _phrases(lang: pa.Array, k: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.Table:
-    return pa.table({"lang": lang, "k": k.astype(np.int32), "phrase": phrase, "n": n.astype(np.int64)})
+def _phrases(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray) -> pa.Table:
+    return pa.table({"lang": lang, "k": np.full(len(n), k, np.int32), "phrase": phrase, "n": n.astype(np.int64)})
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -269,19 +306,26 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")).repartition(n, "bucket")
 
     def frequent(rows: DataFrame, kind: int) -> DataFrame:
-        """The (bucket, h) of what occurs ``least`` times in all."""
-        total = F.sum("n").over(Window.partitionBy("h"))
-        return rows.withColumn("total", total).where(F.col("total") >= least).select(
-            "bucket", "h", F.lit(kind).alias("kind"))
-
-    counted = "h long, bucket int, n long"
-    words = texts.groupBy("bucket").applyInArrow(_word_rows, counted)
-    single = frequent(words, 1)
-    pairs = texts.groupBy("bucket").cogroup(single.groupBy("bucket")).applyInArrow(_pair_rows, counted)
-    known = single.unionByName(frequent(pairs, 2))
-    rows = texts.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_phrase_rows(longest), PHRASES)
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(
-        (F.col("n") >= least) | (F.col("k") == 0))
+        """The (bucket, h) of what occurs ``least`` times in all, how often, and
+        whether the bucket is the one that gives its text."""
+        same, turn = Window.partitionBy("h"), F.struct(F.xxhash64("h", "bucket"), "bucket")
+        return rows.withColumn("total", F.sum("n").over(same)).withColumn("own", turn == F.min(turn).over(same)).where(
+            F.col("total") >= least).select("bucket", "h", F.lit(kind).alias("kind"), "total", "own")
+
+    def with_texts(found: DataFrame, rows, schema: str = "h long, bucket int, n long") -> DataFrame:
+        return texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(rows, schema)
+
+    single = frequent(texts.groupBy("bucket").applyInArrow(_word_rows, "h long, bucket int, n long"), 1)
+    pairs = frequent(with_texts(single.select("bucket", "h", "kind"), _pair_rows), 2)
+    found, known = single.unionByName(pairs), pairs
+    for kind, lengths in ((3, (3,)), (4, tuple(range(4, longest + 1)))):
+        if longest >= kind:
+            more = frequent(with_texts(known.select("bucket", "h", "kind"), _longer_rows(lengths)), kind)
+            found, known = found.unionByName(more), known.unionByName(more)
+    rows = with_texts(found.where("own").select("bucket", "h", "total"), _text_rows(longest), PHRASES)
+    rows = written(rows, "phrase-texts")
+    return rows.where("k > 0").unionByName(
+        rows.where("k = 0").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")))
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST) -> DataFrame:
