@@ -17,6 +17,7 @@ a frequent phrase, one sends its text, once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from prefscope.llm.shared import lookup, partitions, written
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: UTF-8 bytes of text in a bucket, about; a task holds one bucket at a time.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 32_000_000
+#: Shards after which a bucket's counts are put together.
+TOGETHER = 8
 #: Bytes of text in a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 1_000_000
 
@@ -49,8 +52,11 @@ class Index:
         self.bwt = ids[order - 1]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(ids))])
         self.width = n + 1
-        #: (word, place) of the transform in order: ranks are found by bisection.
-        self.places = np.sort(self.bwt * self.width + np.arange(n))
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """(word, place) of the transform in order: ranks are found by bisection."""
+        return np.sort(self.bwt * self.width + np.arange(len(self.bwt)))
 
     def rank(self, word: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each word stands before ``end`` in the transform."""
@@ -90,19 +96,28 @@ class Phrases:
     """Both directions of a shard, and phrases as synchronised intervals."""
 
     def __init__(self, ids: np.ndarray, depth: int):
-        self.forward, self.backward = Index(ids, depth), Index(ids[::-1].copy(), depth)
-        self.words = len(self.forward.less) - 1
+        self.ids, self.depth = ids, depth
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+
+    @cached_property
+    def forward(self) -> Index:
+        return Index(self.ids, self.depth)
+
+    @cached_property
+    def backward(self) -> Index:
+        return Index(self.ids[::-1].copy(), self.depth)
 
     def start(self) -> tuple[np.ndarray, ...]:
         """All words as phrases: (words, place in forward order, in backward
         order, count)."""
-        word = np.arange(1, self.words)
-        low, count = self.forward.less[word], self.forward.less[word + 1] - self.forward.less[word]
+        word = np.arange(1, len(self.less) - 1)
+        low, count = self.less[word], self.less[word + 1] - self.less[word]
         return word[:, None], low, low.copy(), count
 
-    def extend(self, phrases: tuple[np.ndarray, ...], right: bool, allowed) -> tuple[np.ndarray, ...]:
+    def extend(self, phrases: tuple[np.ndarray, ...], right: bool, allowed, last: bool = False) -> tuple[np.ndarray, ...]:
         """Every phrase with each word that stands to its right (or left) in
-        the text; ``allowed`` (left word, right word) says which pairs may."""
+        the text; ``allowed`` (left word, right word) says which pairs may.
+        Phrases that are the ``last`` to grow get no intervals."""
         words, low, mirror, count = phrases
         one = self.backward if right else self.forward
         here, other = (mirror, low) if right else (low, mirror)
@@ -111,10 +126,13 @@ class Phrases:
         edge = words[owner, -1 if right else 0]
         keep &= allowed(edge, word) if right else allowed(word, edge)
         owner, word, times, smaller = owner[keep], word[keep], times[keep], smaller[keep]
+        pair = [words[owner], word[:, None]]
+        pair = np.hstack(pair if right else pair[::-1])
+        if last:
+            return pair, times
         here = one.less[word] + one.rank(word, here[owner])
         other = other[owner] + smaller
-        pair = [words[owner], word[:, None]]
-        return np.hstack(pair if right else pair[::-1]), *((other, here) if right else (here, other)), times
+        return pair, *((other, here) if right else (here, other)), times
 
 
 class Shard:
@@ -184,32 +202,44 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _summed(bucket: int, hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.Table:
-    h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    c = np.concatenate([*counts, np.zeros(0, np.int64)])
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts with the counts of equal hashes summed."""
+    h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
+    c = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
     order = np.argsort(h)
     h, c = h[order], c[order]
     at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return pa.table({"h": T.signed(h[at]), "bucket": np.full(len(at), bucket, np.int32),
-                     "n": np.add.reduceat(c, at) if len(at) else c})
+    return h[at], np.add.reduceat(c, at) if len(at) else c
+
+
+def _summed(texts: pa.Table, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """The counts of a bucket's shards as rows, a few shards at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if len(held) > TOGETHER:
+            held = [_together(held)]
+    h, c = _together(held)
+    bucket = texts["bucket"][0].as_py() if texts.num_rows else 0
+    return pa.table({"h": T.signed(h), "bucket": np.full(len(h), bucket, np.int32), "n": c})
 
 
 def _word_rows(texts: pa.Table) -> pa.Table:
     """How often each word of a bucket occurs."""
-    found = [np.unique(s.hash, return_counts=True) for s in _shards(texts)]
-    return _summed(texts["bucket"][0].as_py(), [h for h, _ in found], [c for _, c in found])
+    return _summed(texts, (np.unique(s.hash, return_counts=True) for s in _shards(texts)))
 
 
 def _pair_rows(texts: pa.Table, found: pa.Table) -> pa.Table:
     """How often each pair of frequent words stands together in a bucket."""
-    known, hashes, counts = _known(found, 1), [], []
-    for s in _shards(texts) if len(known) else ():
-        ids, h, _ = s.number(_is_in(s.hash, known))
-        index = Phrases(ids, 2)
-        words, _, _, times = index.extend(index.start(), True, lambda a, b: np.ones(len(a), bool))
-        hashes.append(_pair(h[words[:, 0] - 1], h[words[:, 1] - 1]))
-        counts.append(times)
-    return _summed(texts["bucket"][0].as_py() if texts.num_rows else 0, hashes, counts)
+    known = _known(found, 1)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in _shards(texts) if len(known) else ():
+            ids, h, _ = s.number(_is_in(s.hash, known))
+            index = Phrases(ids, 2)
+            words, times = index.extend(index.start(), True, lambda a, b: np.ones(len(a), bool), last=True)
+            yield _folded(h, words), times
+    return _summed(texts, parts())
 
 
 def _folded(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -223,8 +253,7 @@ def _folded(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _longer_rows(lengths: tuple[int, ...]):
     """Counts phrases of these lengths, the first of which is 3 or 4. They are
     made of frequent pairs (kind 2) and, from 4 words on, frequent triples (3)."""
-    def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
-        pairs, triples, hashes, counts = _known(found, 2), _known(found, 3), [], []
+    def parts(texts: pa.Table, pairs: np.ndarray, triples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in _shards(texts) if len(pairs) else ():
             pair = np.zeros(len(s.hash), bool)
             pair[:-1] = ~s.first[1:] & _is_in(_pair(s.hash[:-1], s.hash[1:]), pairs)
@@ -241,15 +270,16 @@ def _longer_rows(lengths: tuple[int, ...]):
             grown = index.start()
             for k in range(2, lengths[-1] + 1):
                 right = k % 2 == 0
-                grown = index.extend(grown, right, allowed)
+                grown = index.extend(grown, right, allowed, last=k == lengths[-1])
                 if lengths[0] > 3 and k > 2:
                     edge = grown[0][:, -3:] if right else grown[0][:, :3]
                     some = _is_in(_folded(h, edge), triples)
                     grown = tuple(g[some] for g in grown)
                 if k in lengths:
-                    hashes.append(_folded(h, grown[0]))
-                    counts.append(grown[-1])
-        return _summed(texts["bucket"][0].as_py() if texts.num_rows else 0, hashes, counts)
+                    yield _folded(h, grown[0]), grown[-1]
+
+    def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
+        return _summed(texts, parts(texts, _known(found, 2), _known(found, 3)))
     return rows
 
 
@@ -300,7 +330,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     spaces; and with k = 0 the number of all words of each language."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(docs.sparkSession)
-    buckets = max(n, -(-size // BUCKET_BYTES))
+    buckets = max(1, n // 4, -(-size // BUCKET_BYTES))
     texts = docs.select(
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")).repartition(n, "bucket")
