@@ -13,6 +13,9 @@ wins. The scores of a BPE model are merge ranks and can't be summed like that.
 There a piece may follow another only if merging would leave the two side by
 side; just one path of such steps goes through a unit, and it is what merging
 gives. Whether two pieces may be neighbours is worked out once for each pair.
+So a long unit is cut into overlapping chunks that advance together: where two
+chunks have the same piece in the same place, one can go on for the other, as
+all pieces side by side are neighbours then.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, SPACE_POINT, UNKNOWN_PENALTY = "▁", 0x2581, 10.0
 #: Units of one length that advance together.
 GROUP = 20_000
+#: A chunk of a long unit has CHUNK times the longest piece's characters, and the
+#: next begins STEP times as many later.
+CHUNK, STEP = 8, 5
 #: A worker remembers 2**PAIR_BITS verdicts on pairs of pieces, and the pieces of
 #: so many units; both only save time.
 PAIR_BITS = 21
@@ -250,8 +256,16 @@ def viterbi(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return piece, back
 
 
-def segment(points: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of units (code points end to end), and where each unit's begin."""
+def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of code points, end to end, and how many each has."""
+    raw = points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    return np.frombuffer(raw, np.uint8), 1 + sum((points >= low).astype(np.int64) for low in (0x80, 0x800, 0x10000))
+
+
+def segment(points: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece ids of units (code points end to end), where each unit's begin, and
+    each id's place: four times the character of its unit at which it begins,
+    plus, for byte pieces, the number of the byte."""
     size, n = np.diff(begin), len(begin) - 1
     unit_of, place, ids = [], [], []
     for length in np.unique(size):
@@ -270,19 +284,73 @@ def segment(points: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tuple[np.nd
                 unit_of.append(rows[live[covered]])
                 place.append(start[covered].astype(np.int64) * 4)
                 ids.append(got[covered])
-                for k in live[~covered]:
-                    start_k = back[at[k], k]
-                    raw = chr(int(points[begin[rows[k]] + start_k])).encode("utf-8")
-                    unit_of.append(np.full(len(raw), rows[k]))
-                    place.append(start_k * 4 + np.arange(len(raw), dtype=np.int64))
-                    ids.append(v.byte_ids[np.frombuffer(raw, np.uint8)])
+                bare, bare_start = rows[live[~covered]], start[~covered].astype(np.int64)
+                if len(bare):
+                    raw, count = utf8(points[begin[bare] + bare_start])
+                    nth = np.arange(len(raw)) - np.repeat(np.cumsum(count) - count, count)
+                    unit_of.append(np.repeat(bare, count))
+                    place.append(np.repeat(bare_start * 4, count) + nth)
+                    ids.append(v.byte_ids[raw])
                 at[live] = start
                 live = live[start > 0]
     if not ids:
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
     unit_of, place, ids = np.concatenate(unit_of), np.concatenate(place), np.concatenate(ids)
     order = np.lexsort((place, unit_of))
-    return ids[order].astype(np.int32), np.searchsorted(unit_of[order], np.arange(n + 1))
+    return ids[order].astype(np.int32), np.searchsorted(unit_of[order], np.arange(n + 1)), place[order]
+
+
+def segment_chunks(points: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """As ``segment``, for a BPE model and without places: units longer than a
+    chunk are segmented in chunks of one length, the last of which ends with the
+    unit. A chunk goes on from the first piece that it shares with the chunk
+    before (the last chunk: from the last such). A unit in which two chunks share
+    none, as in some runs of one character, is segmented whole."""
+    chunk, step = CHUNK * v.longest, STEP * v.longest
+    size, n = np.diff(begin), len(begin) - 1
+    if not (size > chunk).any():
+        return segment(points, begin, v)[:2]
+    chunks = 1 + np.maximum(0, -(-(size - chunk) // step))
+    unit = np.repeat(np.arange(n), chunks)
+    nth = np.arange(len(unit)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    start = np.minimum(nth * step, np.maximum(size[unit] - chunk, 0))
+    length = np.minimum(size[unit], chunk)
+    cut = np.concatenate([[0], np.cumsum(length)])
+    ids, at, place = segment(
+        points[np.repeat(begin[unit] + start - cut[:-1], length) + np.arange(cut[-1])], cut, v)
+    owner = np.repeat(np.arange(len(unit)), np.diff(at))
+    # Pieces of a chunk and of the one before it, by chunk, place in it and id.
+    span, joint = 4 * chunk, nth > 0
+    shift = 4 * np.diff(start, prepend=0)
+    right = joint[owner]
+    on = np.append(joint, False)[owner + 1]
+    moved = place[on] - shift[owner[on] + 1]
+    left_key = (((owner[on] + 1) * span + moved) << 24 | ids[on])[moved >= 0]
+    right_key = (owner[right] * span + place[right]) << 24 | ids[right]
+    shared = np.intersect1d(left_key, right_key, assume_unique=True) >> 24
+    shared = shared[shared % 4 == 0]
+    chunk_of, where = shared // span, shared % span
+    low, high = np.zeros(len(unit), np.int64), np.full(len(unit), span)
+    low[joint] = -1
+    low[chunk_of[::-1]] = where[::-1]  # the first
+    last = nth == chunks[unit] - 1
+    ends = last[chunk_of]
+    low[chunk_of[ends]] = where[ends]  # the last
+    after = np.flatnonzero(joint)
+    high[after - 1] = low[after] + shift[after]
+    whole = np.zeros(n, bool)
+    whole[unit[(low < 0) | (low > high)]] = True
+    keep = (place >= low[owner]) & (place < high[owner]) & ~whole[unit[owner]]
+    unit_of, ids = unit[owner[keep]], ids[keep]
+    odd = np.flatnonzero(whole)
+    if len(odd):
+        cut = np.concatenate([[0], np.cumsum(size[odd])])
+        more, at, _ = segment(
+            points[np.repeat(begin[odd] - cut[:-1], size[odd]) + np.arange(cut[-1])], cut, v)
+        unit_of, ids = np.concatenate([unit_of, np.repeat(odd, np.diff(at))]), np.concatenate([ids, more])
+        order = np.argsort(unit_of, kind="stable")
+        unit_of, ids = unit_of[order], ids[order]
+    return ids, np.searchsorted(unit_of, np.arange(n + 1))
 
 
 def segment_merged(points: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +363,7 @@ def segment_merged(points: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tupl
     cut = begin[:-1] + np.maximum(lead - 1, 0)
     size = begin[1:] - cut
     core = np.concatenate([[0], np.cumsum(size)])
-    ids, at = segment(points[np.repeat(cut - core[:-1], size) + np.arange(core[-1])], core, v)
+    ids, at = segment_chunks(points[np.repeat(cut - core[:-1], size) + np.arange(core[-1])], core, v)
     many = np.flatnonzero(lead > 1)
     if not len(many):
         return ids, at
@@ -350,7 +418,7 @@ def encode(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(begin)[fresh]
     unit = np.concatenate([[0], np.cumsum(size)])
     chosen = points[np.repeat(begin[fresh] - unit[:-1], size) + np.arange(unit[-1])]
-    ids, ids_begin = (segment_merged if v.merges else segment)(chosen, unit, v)
+    ids, ids_begin = segment_merged(chosen, unit, v) if v.merges else segment(chosen, unit, v)[:2]
     ids = np.concatenate([v.unit_ids, ids])
     place = np.empty((len(keys), 2), np.int64)
     place[known] = v.unit_at[at[known]]
@@ -419,7 +487,8 @@ def encode_documents(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     the longer last piece). Null and empty texts have no pieces;
     a text's own U+2581 reads as a space, so it doesn't come back. Texts are
     encoded whole, a few MB at a time; a very long unit without spaces takes
-    memory in proportion to its length. Repeated rows get equal ids, an empty
+    memory in proportion to its length, and in a unigram model also as many
+    steps, as it can't be cut there. Repeated rows get equal ids, an empty
     table an empty result; other columns are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encode_batches(model or read_model()),

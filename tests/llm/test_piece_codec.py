@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,42 @@ def test_ids_equal_the_library():
     assert C.decode(ids, begin, C.vocabulary(C.read_model())).to_pylist() == [t or "" for t in rows]
 
 
+def unspaced(seed):
+    r = random.Random(seed)
+    words = "the of and ation tion ing er qu http www com".split()
+    return ["".join(r.choice("ethanoigsr") for _ in range(30_000)),
+            "".join(r.choice(words) for _ in range(8_000)),
+            "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(20_000)),
+            "".join(r.choice("日本語中文字的是不了人我在有他这") for _ in range(20_000)),
+            "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(30_000)),
+            "\U00013000\U00013001" * 10_000, "\ue000" * 20_000,
+            *["".join(r.choice("abéß日🙂") for _ in range(n)) for n in range(100, 700, 7)],
+            *["".join(r.choice(["=", "-", "==", "a"]) for _ in range(n)) for n in range(120, 400, 9)],
+            *[c * n for c in "x-=0日" for n in (127, 128, 129, 300, 1001)], *["ab" * n for n in (64, 65, 500)]]
+
+
+def test_long_units_without_spaces_equal_the_library(monkeypatch):
+    import sentencepiece as sp
+    library = sp.SentencePieceProcessor(model_file=C.MODEL)
+    rows = unspaced(4)
+    for chunk, step in ((C.CHUNK, C.STEP), (4, 3), (3, 1)):
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        monkeypatch.setattr(C, "STEP", step)
+        v = C.Vocabulary(C.read_model())
+        ids, begin = C.encode(pa.array(rows), v)
+        assert lists(ids, begin) == library.encode(rows)
+        assert C.decode(ids, begin, v).to_pylist() == rows
+
+
+def test_a_long_unit_takes_few_steps():
+    """100,000 characters without a space are as many steps as a chunk has."""
+    r = random.Random(6)
+    v = C.Vocabulary(C.read_model())
+    begun = time.monotonic()
+    C.encode(pa.array(["".join(r.choice("ethanoigsrlduc") for _ in range(100_000))]), v)
+    assert time.monotonic() - begun < 10
+
+
 def test_unigram_model_equals_all_segmentations():
     """The same pieces as a unigram model, against plain dynamic programming."""
     from sentencepiece import sentencepiece_model_pb2 as pb
