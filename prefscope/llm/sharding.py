@@ -11,7 +11,7 @@ sqrt(2 * total size) entries as the sizes differ.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +27,60 @@ ROW_BYTES = 8
 BROADCAST_PLAN_ROWS = 200_000
 
 
+class RoomTree:
+    """The (room, bin) pairs of open bins in a B-tree: all leaves are equally
+    deep, a node that grows beyond ``WIDTH`` is halved and an emptied one goes,
+    so the tightest bin is found, taken out and put back in logarithmic time.
+    ``keys`` of an inner node are lower bounds of its children."""
+
+    WIDTH = 64
+
+    def __init__(self, keys: list[tuple[int, int]] | None = None, kids: list[RoomTree] | None = None):
+        self.keys, self.kids = keys or [], kids
+
+    def take(self, low: tuple[int, int]) -> tuple[int, int] | None:
+        """The smallest pair from ``low`` up, taken out; None if there is none."""
+        if self.kids is None:
+            at = bisect_left(self.keys, low)
+            return self.keys.pop(at) if at < len(self.keys) else None
+        first = max(bisect_right(self.keys, low) - 1, 0)
+        for at in range(first, min(first + 2, len(self.kids))):  # if not in this child, first of the next
+            pair = self.kids[at].take(low)
+            if pair is not None:
+                if not self.kids[at].keys:
+                    del self.keys[at], self.kids[at]
+                    if not self.kids:
+                        self.kids = None
+                return pair
+        return None
+
+    def put(self, pair: tuple[int, int]) -> None:
+        right = self._put(pair)
+        if right is not None:
+            left = RoomTree(self.keys, self.kids)
+            self.keys, self.kids = [left.keys[0], right.keys[0]], [left, right]
+
+    def _put(self, pair: tuple[int, int]) -> RoomTree | None:
+        """Put a pair below this node; the right half if it had to be halved."""
+        if self.kids is None:
+            insort(self.keys, pair)
+        else:
+            at = max(bisect_right(self.keys, pair) - 1, 0)
+            self.keys[at] = min(self.keys[at], pair)
+            right = self.kids[at]._put(pair)
+            if right is not None:
+                self.keys.insert(at + 1, right.keys[0])
+                self.kids.insert(at + 1, right)
+        if len(self.keys) <= self.WIDTH:
+            return None
+        half = len(self.keys) // 2
+        right = RoomTree(self.keys[half:], None if self.kids is None else self.kids[half:])
+        del self.keys[half:]
+        if self.kids is not None:
+            del self.kids[half:]
+        return right
+
+
 def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, bins: int | None = None
                         ) -> tuple[list[list[tuple[int, int]]], int] | None:
     """Pack ``sizes`` (size, count) in falling order of size. Returns for each
@@ -34,22 +88,21 @@ def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, bins: int |
     of bins; None when more than ``bins`` would be needed. A group larger than
     the capacity gets a bin of its own.
 
-    Open bins are kept in a balanced order of (room, bin): the tightest that
-    fits is found, taken out and put back in logarithmic time."""
-    room: list[tuple[int, int]] = []
+    Open bins are in a balanced tree by (room, bin)."""
+    room = RoomTree()
     plan, opened = [], 0
     for size, count in sizes:
         left, placed = count, []
         while left:
-            at = bisect_left(room, (size, -1))
-            if at < len(room):
-                free, b = room.pop(at)
+            tightest = room.take((size, -1))
+            if tightest is not None:
+                free, b = tightest
             else:
                 if bins is not None and opened == bins:
                     return None
                 free, b, opened = max(capacity, size), opened, opened + 1
             n = min(left, free // size) if size else left
-            insort(room, (free - n * size, b))
+            room.put((free - n * size, b))
             placed.append((n, b))
             left -= n
         plan.append(placed)

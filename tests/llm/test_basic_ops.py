@@ -59,6 +59,24 @@ def test_best_fit_decreasing_is_the_packing_item_by_item():
         assert sorted(got) == sorted(want) and n == len(room)
 
 
+def test_tree_of_room_takes_the_tightest(monkeypatch):
+    monkeypatch.setattr(sharding.RoomTree, "WIDTH", 3)
+    r = random.Random(8)
+    tree, held = sharding.RoomTree(), []
+    for i in range(5000):
+        if r.random() < (0.6 if i < 2500 else 0.4):
+            pair = (r.randint(0, 300), i)
+            tree.put(pair)
+            held.append(pair)
+        else:
+            low = (r.randint(0, 320), -1)
+            want = min((p for p in held if p >= low), default=None)
+            assert tree.take(low) == want
+            if want:
+                held.remove(want)
+    assert [tree.take((0, -1)) for _ in range(len(held) + 1)] == sorted(held) + [None]
+
+
 def test_sharding(spark):
     rows = corpus()
     got = sharding.shard_documents(table(spark, rows), bins=6).collect()
