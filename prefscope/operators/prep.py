@@ -23,6 +23,8 @@ from prefscope.session import ensure_checkpoint_dir
 
 #: Samples and first rows of at most so many rows are kept in heaps.
 HEAP_ROWS = 10_000
+#: Up to so many partition values of a preview, the last row of each is broadcast.
+PREVIEW_VALUES = 100_000
 
 
 # ---------------------------------------------------------------------------
@@ -324,13 +326,17 @@ def preview(df: DataFrame, n: int = 10, partition_col: str = "model",
             order_col: str = "idx") -> DataFrame:
     """First n rows per partition value. The n-th key of each partition
     value comes from narrow rows (a WindowGroupLimit, applied before the
-    shuffle as well as after it); wide rows beyond it are dropped before they
-    are ranked."""
+    shuffle as well as after it); wide rows beyond it are dropped by a broadcast
+    join where they are read, so no task gets all rows of a value. Of more than
+    ``PREVIEW_VALUES`` values the wide rows are ranked at once: the same limit
+    then cuts them before they are shuffled."""
     narrow = df.select(F.col(partition_col).alias("_p"), F.col(order_col).alias("_o"))
     w = Window.partitionBy("_p").orderBy("_o")
     last = (narrow.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
             .groupBy("_p").agg(F.max("_o").alias("_last")))
-    near = df.join(last, F.col(partition_col).eqNullSafe(F.col("_p")) & (
+    ensure_checkpoint_dir(df.sparkSession)
+    last = last.checkpoint()
+    near = df if last.count() > PREVIEW_VALUES else df.join(F.broadcast(last), F.col(partition_col).eqNullSafe(F.col("_p")) & (
         F.col(order_col).isNull() | (F.col(order_col) <= F.col("_last")))).drop("_p", "_last")
     w = Window.partitionBy(partition_col).orderBy(order_col)
     return (near.withColumn("_rn", F.row_number().over(w))

@@ -166,3 +166,22 @@ def test_running_accuracy_on_sparse_ids(spark):
     got = H.running_accuracy(df, every=10).collect()
     assert len(got) == 2 * 199
     assert all(r["hits_so_far"] == -(-r["idx"] // 4) for r in got)
+
+
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_preview_shuffles_no_more_than_its_rows(spark, monkeypatch, most):
+    """The wide rows meet the last key of each value where they are read, even
+    when Spark takes neither side to be small; many values are ranked at once."""
+    df = spark.range(3000).select((F.col("id") % 3).cast("string").alias("model"), F.col("id").alias("idx"),
+                                  F.repeat(F.lit("x"), 50).alias("response"))
+    monkeypatch.setattr(P, "PREVIEW_VALUES", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.preview(df, 4)
+        assert sorted(r["idx"] for r in out.collect()) == list(range(12))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert "WindowGroupLimit" in plan
