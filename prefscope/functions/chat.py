@@ -72,4 +72,4 @@ def truncate_tokens(tokens, n: int) -> Column:
 def whitespace_tokens(text) -> Column:
     """Tokens of the stand-in tokenizer: split on single spaces, empty pieces
     dropped (FD7)."""
-    return F.filter(F.split(_c(text), " "), lambda w: w != "")
+    return F.array_remove(F.split(_c(text), " "), "")

@@ -11,13 +11,17 @@ Scale notes:
 * Count tables whose size in bytes (known from the fit) is, taken together,
   under ``BROADCAST_BYTES`` are broadcast: token rows are priced in place and
   summed with one aggregate; several models are chained in the same pass.
-* A larger table is joined by shuffle after the token rows are reduced to
-  distinct (keys, token) with a multiplicity; the ``HOT_SPLIT`` most frequent
-  keys of the scored rows, known to the corpus or not, are priced map-side
-  from a broadcast table and their rows get spread, never-matching join keys,
-  so the shuffle join has no hot key.
-* A fit writes its tables to ``spark.checkpoint.dir``, so a lost executor does
-  not cost a recount (``reliable=False`` keeps them on the executors).
+* For a larger table the token rows are reduced to distinct (keys, token) with
+  a multiplicity and written once, as several passes read them. Where their
+  keys are few, these alone are taken from the table, map-side. Else they are
+  joined by shuffle; the most frequent keys of the scored rows, known to
+  the corpus or not, are priced map-side from a broadcast table and
+  their rows get spread join keys, so the shuffle join has no hot key.
+* Tokens and contexts are made by generated code: arrays are split, shifted
+  and zipped as a whole, without a lambda per token.
+* A fit writes its tables to the folder that driver and executors share, so a
+  lost executor does not cost a recount (``reliable=False`` keeps them on the
+  executors).
 """
 
 from __future__ import annotations
@@ -37,8 +41,13 @@ from prefscope.operators.prep import legacy_prompt_messages
 BROADCAST_BYTES = 64_000_000
 # Bytes of a broadcast row besides its key.
 ROW_BYTES = 48
-# This many keys are treated as hot (broadcast side of the split).
+# At most this many keys are treated as hot (broadcast side of the split), if
+# they hold more than one of HOT_SHARE rows.
 HOT_SPLIT = 10_000
+HOT_SHARE = 10_000
+# A table of up to this many bytes per shuffle partition is joined by hash, not
+# by sorting both sides.
+HASH_BYTES = 48_000_000
 # Rows with a hot token are spread over this many join keys in the shuffle.
 HOT_SPREAD = 4096
 
@@ -66,14 +75,15 @@ class UnigramModel:
 
 
 def _keep(df: DataFrame, reliable: bool) -> DataFrame:
-    """Keep a fitted table for the scoring joins that follow. ``reliable``
-    writes it to the cluster's ``spark.checkpoint.dir`` (cutting the lineage:
-    a lost executor does not send Spark back to recount the corpus);
+    """Keep a table for the passes that follow. ``reliable`` writes it as
+    Parquet to the shared folder (cutting the lineage: a lost executor does not
+    send Spark back to recount the corpus; a pass reads only its columns);
     otherwise it is persisted (memory and disk, recomputed if lost)."""
     if reliable:
-        from prefscope.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        from prefscope.session import shared_path
+        path = shared_path(df.sparkSession, "kept")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     return df.persist()
 
 
@@ -138,40 +148,59 @@ def _same(keyed: DataFrame, other: DataFrame, pairs) -> Column:
     return out
 
 
-def _lookup(keyed: DataFrame, table: DataFrame, keys: list[str], value: str,
-            broadcast: bool) -> DataFrame:
-    """Left-join ``table`` (keys -> value) onto ``keyed``.
-
-    A table of checked size is broadcast. For a larger one the ``HOT_SPLIT``
-    most frequent keys of ``keyed`` itself (so also keys that the table does
-    not have) get their values first, from a broadcast table of that many
-    rows; their rows then go through the shuffle join under one of
-    ``HOT_SPREAD`` keys that match nothing, so no partition gets a hot key."""
-    if broadcast:
-        return keyed.join(F.broadcast(table.select(*keys, value)), keys, "left")
+def _lookup(keyed: DataFrame, table: DataFrame, keys: list[str], values: list[str],
+            n_bytes: int, counted: DataFrame | None = None) -> DataFrame:
+    """Left-join ``table`` (keys -> values, of at most ``n_bytes``) onto ``keyed``.
+
+    A small table is broadcast. Of a larger one, the rows that
+    ``keyed`` asks for are broadcast if its own keys are of such a size. Else
+    the most frequent keys of ``keyed`` itself (so also keys that the table does
+    not have; at most ``HOT_SPLIT``, none rarer than ``HOT_SHARE`` says) get
+    their values first, from a broadcast table of that many rows; their rows
+    then go through the shuffle join under one of ``HOT_SPREAD`` hashes, so no
+    partition gets a hot key. The join is on the keys and, first, on their
+    hash, by which rows sort fast; a table of few bytes per partition
+    (``HASH_BYTES``) is hashed and nothing sorted.
+
+    Keys are counted in ``counted``: ``keyed`` before another lookup, which
+    would be computed again."""
+    if n_bytes <= BROADCAST_BYTES:
+        return keyed.join(F.broadcast(table.select(*keys, *values)), keys, "left")
+    counted = keyed if counted is None else counted
+    size = counted.agg(F.count(F.lit(1)).alias("n"), _key_bytes(*keys).alias("b")).first()
+    few = (size["b"] or 0) <= BROADCAST_BYTES
+    wanted = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not few:
+        often = F.col("_n") * F.lit(HOT_SHARE) > F.lit(size["n"])
+        wanted = wanted.where(often).orderBy(F.desc("_n"), *keys).limit(HOT_SPLIT)
+    wanted = _keep(wanted.select(*keys), True)
+    found = table.select(*keys, *values).join(F.broadcast(wanted), keys)
+    if few:
+        return keyed.join(F.broadcast(found), keys, "left")
     names = [f"_hk{i}" for i in range(len(keys))]
-    often = (keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-             .orderBy(F.desc("_n"), *keys).limit(HOT_SPLIT).select(*keys))
-    hot = often.join(table.select(*keys, F.col(value).alias("_hot_value")), keys, "left").select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)], "_hot_value", F.lit(True).alias("_hot"))
+    hot = wanted.join(F.broadcast(found), keys, "left").select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], *[F.col(v).alias(f"_hot_{v}") for v in values],
+        F.lit(True).alias("_hot"))
     tagged = keyed.join(F.broadcast(hot), _same(keyed, hot, zip(keys, names)), "left").drop(*names)
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*[F.col(c) for c in tagged.columns]),
-                                              F.lit(HOT_SPREAD)).cast("string"))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in tagged.columns]), F.lit(HOT_SPREAD))
     jk = [f"_jk{i}" for i in range(len(keys))]
-    join_cols = [(F.when(F.col("_hot"), spread).otherwise(F.col(k)) if i == 0
-                  else F.col(k)).alias(j) for i, (k, j) in enumerate(zip(keys, jk))]
-    cold = table.select(*[F.col(k).alias(j) for k, j in zip(keys, jk)], F.col(value).alias("_cold"))
-    return (tagged.select("*", *join_cols).join(cold, jk, "left")
-            .withColumn(value, F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col("_cold")))
-            .drop("_hot", "_hot_value", "_cold", *jk))
+    cold = table.select(F.xxhash64(*keys).alias("_jh"), *[F.col(k).alias(j) for k, j in zip(keys, jk)],
+                        *[F.col(v).alias(f"_cold_{v}") for v in values])
+    join_cols = [F.when(F.col("_hot"), spread).otherwise(F.xxhash64(*keys)).alias("_jh"),
+                 *[F.col(k).alias(j) for k, j in zip(keys, jk)]]
+    if n_bytes <= HASH_BYTES * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        cold = cold.hint("shuffle_hash")
+    joined = tagged.select("*", *join_cols).join(cold, ["_jh", *jk], "left")
+    return joined.select(*keyed.columns, *[
+        F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values])
 
 
 def _with_counts(keyed: DataFrame, model: UnigramModel, token: str = "token") -> DataFrame:
     """Attach the corpus count ``c`` (null when unseen) to rows keyed by token."""
     if model.n_tokens == 0:
         return keyed.withColumn("c", F.lit(None).cast("long"))
-    return _lookup(keyed, model.counts.withColumnRenamed("token", token), [token], "c",
-                   _broadcastable(model))
+    return _lookup(keyed, model.counts.withColumnRenamed("token", token), [token], ["c"],
+                   model.n_bytes)
 
 
 # ---------------------------------------------------------------------------
@@ -204,74 +233,74 @@ class NgramModel:
 @dataclass(frozen=True)
 class NgramFamily:
     """The counts of several corpora side by side."""
-    grams: DataFrame     # (ctx, token, cs): counts in the order of the models
-    contexts: DataFrame  # (ctx, xs)
+    grams: DataFrame     # (ctx, token, c0, c1, ..): counts in the order of the models
+    contexts: DataFrame  # (ctx, x0, x1, ..)
     n_bytes: int
 
 
-def _field_getter(name: str):
-    # A one-argument lambda: PySpark reads a two-argument one as (x, index).
-    return lambda x: x.getField(name)
-
-
-def with_context(seq: Column, n: int, fields: dict[str, str] | None = None) -> Column:
-    """array<struct<token, ..>> -> array<struct<token, ctx, ..>>: each token
-    with its previous n - 1 tokens joined by a space. The contexts come from
-    n - 1 shifted copies of the token array zipped element-wise, so the work
-    per text is linear in its length (a lambda that slices the whole array
-    per element would be quadratic). ``fields`` are extra struct fields to
-    keep, with their types."""
-    fields = fields or {}
-    toks = F.transform(seq, lambda x: x.getField("token"))
-    shifts = [F.slice(F.concat(F.array_repeat(F.lit(START), k), toks), 1, F.size(toks))
-              for k in range(n - 1, 0, -1)]
-    extras = [F.transform(seq, _field_getter(f)) for f in fields]
-    names = [f"p{k}" for k in range(n - 1, 0, -1)]
-    typ = ("array<struct<" + ",".join([f"{p}:string" for p in names] + ["token:string"]
-                                      + [f"{f}:{t}" for f, t in fields.items()]) + ">>")
-    zipped = F.arrays_zip(*shifts, toks, *extras).cast(typ)
-    return F.transform(zipped, lambda e: F.struct(
-        e.getField("token").alias("token"),
-        F.concat_ws(" ", *[e.getField(p) for p in names]).alias("ctx"),
-        *[e.getField(f).alias(f) for f in fields]))
-
-
-def _token_structs(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.struct(t.alias("token")))
+def token_rows(df: DataFrame, keep: list[str], tokens: Column, n: int = 1) -> DataFrame:
+    """(keep, pos, token[, ctx]): a row per token of the array ``tokens`` with
+    its 0-based position and, for n >= 2, its previous n - 1 tokens joined by a
+    space. The contexts come from n - 1 shifted copies of the token array
+    zipped element-wise, so the work per text is linear in its length (slicing
+    the whole array per element would be quadratic)."""
+    rows = df.select(*keep, tokens.alias("_t"))
+    if n < 2:
+        return rows.select(*keep, F.posexplode("_t").alias("pos", "token"))
+    before = [f"p{k}" for k in range(n - 1, 0, -1)]
+    shifts = [F.slice(F.concat(F.array(*[F.lit(START)] * k), F.col("_t")), 1, F.size("_t")).alias(p)
+              for k, p in zip(range(n - 1, 0, -1), before)]
+    rows = rows.select(*keep, "_t", *shifts).select(
+        *keep, F.posexplode(F.arrays_zip(*before, "_t")).alias("pos", "_z"))
+    ctx = F.col("_z.p1") if n == 2 else F.concat_ws(" ", *[F.col(f"_z.{p}") for p in before])
+    return rows.select(*keep, "pos", F.col("_z._t").alias("token"), ctx.alias("ctx"))
 
 
 def fit_ngram_n(texts: DataFrame, n: int, vocab_size: int | None = None,
                 text_col: str = "text", reliable: bool = True) -> NgramModel:
     """K7 for n >= 2: gram counts (partial aggregate per (ctx, token)) and
-    context totals derived from them; both kept. The vocabulary is counted by
-    a plain aggregate of its own (two distinct counts in one aggregate would
-    multiply every gram row)."""
-    rows = texts.select(F.inline(with_context(_token_structs(whitespace_tokens(text_col)), n)))
+    context totals derived from them; both kept."""
+    rows = token_rows(texts, [], whitespace_tokens(text_col), n)
     grams = _keep(rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")), reliable)
-    contexts = _keep(grams.groupBy("ctx").agg(F.sum("c").alias("c_ctx")), reliable)
+    contexts, words = _contexts(grams, {"c_ctx": "c"}, F.lit(True), reliable)
     g = grams.agg(F.sum("c").alias("n"), _key_bytes("ctx", "token").alias("b")).first()
     cx = contexts.agg(_key_bytes("ctx").alias("b")).first()
-    v = grams.select("token").distinct().count() if vocab_size is None else int(vocab_size)
+    v = words if vocab_size is None else int(vocab_size)
     return NgramModel(n, grams, contexts, int(g["n"] or 0), v, int(g["b"] or 0) + int(cx["b"] or 0))
 
 
+def _contexts(grams: DataFrame, totals: dict[str, str], known: Column, reliable: bool) -> tuple[DataFrame, int]:
+    """(ctx, totals), the sums of some counts over each context, and the number
+    of distinct tokens of the grams that ``known`` names: one pass over the
+    grams, in which each gives a row for its context and one for its token."""
+    rows = grams.select(F.inline(F.array(
+        F.struct(F.col("ctx").alias("word"), *[F.col(c).alias(x) for x, c in totals.items()],
+                 F.lit(True).alias("is_ctx"), F.lit(False).alias("is_token")),
+        F.struct(F.col("token").alias("word"), *[F.lit(0).cast("long").alias(x) for x in totals],
+                 F.lit(False).alias("is_ctx"), known.alias("is_token")))))
+    words = rows.groupBy("word").agg(*[F.sum(x).alias(x) for x in totals],
+                                     F.max("is_ctx").alias("is_ctx"), F.max("is_token").alias("is_token"))
+    words = _keep(words, True) if reliable else words
+    contexts = words.where("is_ctx").select(F.col("word").alias("ctx"), *totals)
+    return contexts if reliable else _keep(contexts, False), words.where("is_token").count()
+
+
 def _fit_ngram_family_n(texts: DataFrame, names: list[str], vocab_from: str, text_col: str,
                         reliable: bool, n: int) -> dict[str, NgramModel]:
     flags, size = [f"_in{i}" for i in range(len(names))], range(len(names))
-    rows = texts.select(*flags, F.inline(with_context(_token_structs(whitespace_tokens(text_col)), n)))
-    grams = _keep(rows.groupBy("ctx", "token").agg(F.array(*[F.count_if(f) for f in flags]).alias("cs")), reliable)
-    contexts = _keep(grams.groupBy("ctx").agg(F.array(*[F.sum(F.col("cs")[i]) for i in size]).alias("xs")), reliable)
+    rows = token_rows(texts, flags, whitespace_tokens(text_col), n)
+    grams = _keep(rows.groupBy("ctx", "token").agg(*[F.count_if(f).alias(f"c{i}") for i, f in enumerate(flags)]), reliable)
+    contexts, v = _contexts(grams, {f"x{i}": f"c{i}" for i in size}, F.col(f"c{names.index(vocab_from)}") > 0, reliable)
     counts = F.lit(8 * len(names))
-    g = grams.agg(*[F.sum(F.col("cs")[i]).alias(f"n{i}") for i in size], _key_bytes("ctx", "token").alias("b"),
+    g = grams.agg(*[F.sum(f"c{i}").alias(f"n{i}") for i in size], _key_bytes("ctx", "token").alias("b"),
                   F.sum(counts).alias("c")).first()
     cx = contexts.agg(_key_bytes("ctx").alias("b"), F.sum(counts).alias("c")).first()
-    v = grams.where(F.col("cs")[names.index(vocab_from)] > 0).select("token").distinct().count()
     family = NgramFamily(grams, contexts, sum(int(x[k] or 0) for x in (g, cx) for k in ("b", "c")))
 
-    def own(table: DataFrame, values: str, name: str, i: int) -> DataFrame:
-        return table.where(F.col(values)[i] > 0).withColumn(name, F.col(values)[i]).drop(values)
+    def own(table: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+        return table.where(F.col(value) > 0).select(*keys, F.col(value).alias(name))
 
-    return {m: NgramModel(n, own(grams, "cs", "c", i), own(contexts, "xs", "c_ctx", i), int(g[f"n{i}"] or 0), v,
+    return {m: NgramModel(n, own(grams, ["ctx", "token"], f"c{i}", "c"), own(contexts, ["ctx"], f"x{i}", "c_ctx"), int(g[f"n{i}"] or 0), v,
                           int(g["b"] or 0) + int(cx["b"] or 0), family, i) for i, m in enumerate(names)}
 
 
@@ -281,31 +310,38 @@ def _shared_family(models: dict) -> NgramFamily | None:
     return found[0] if found and all(f is found[0] for f in found) else None
 
 
+def _distinct_rows(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows with their number ``_k``, written: lookups read them to
+    find the frequent keys and again to join."""
+    return _keep(tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")), True)
+
+
 def _family_sums(tokens: DataFrame, models: dict, keys: list[str], family: NgramFamily) -> DataFrame:
     """(keys, n_tokens, logp_sum_<name> per model): every gram and context is
     looked up once for all models. Beyond the broadcast size, the rows are
-    first reduced to distinct (keys, ctx, token)."""
+    first reduced to distinct (keys, ctx, token) and written."""
     small = family.n_bytes <= BROADCAST_BYTES
     if small:
         rows = tokens.select(*keys, "ctx", "token", F.lit(1).cast("long").alias("_k"))
     else:
-        rows = tokens.groupBy(*keys, "ctx", "token").agg(F.count(F.lit(1)).alias("_k"))
-    j = _lookup(rows, family.grams, ["ctx", "token"], "cs", small)
-    j = _lookup(j, family.contexts, ["ctx"], "xs", small)
+        rows = _distinct_rows(tokens, [*keys, "ctx", "token"])
+    places = [m.place for m in models.values()]
+    j = _lookup(rows, family.grams, ["ctx", "token"], [f"c{i}" for i in places], family.n_bytes)
+    j = _lookup(j, family.contexts, ["ctx"], [f"x{i}" for i in places], family.n_bytes, rows)
 
-    def count(column: str, i: int) -> Column:
-        return F.coalesce(F.col(column)[i], F.lit(0)).cast("double")
+    def count(column: str) -> Column:
+        return F.coalesce(F.col(column), F.lit(0)).cast("double")
 
     return j.groupBy(*keys).agg(F.sum("_k").alias("n_tokens"), *[
-        F.sum(F.col("_k").cast("double") * F.ln((count("cs", m.place) + F.lit(1.0))
-                                                / (count("xs", m.place) + F.lit(float(m.vocab_size)))))
+        F.sum(F.col("_k").cast("double") * F.ln((count(f"c{m.place}") + F.lit(1.0))
+                                                / (count(f"x{m.place}") + F.lit(float(m.vocab_size)))))
         .alias(f"logp_sum_{name}") for name, m in models.items()])
 
 
 def _price_ngram(keyed: DataFrame, model: NgramModel) -> DataFrame:
     """Adds ``logp`` to rows keyed by (ctx, token)."""
-    j = _lookup(keyed, model.grams, ["ctx", "token"], "c", _broadcastable(model))
-    j = _lookup(j, model.contexts, ["ctx"], "c_ctx", _broadcastable(model))
+    j = _lookup(keyed, model.grams, ["ctx", "token"], ["c"], model.n_bytes)
+    j = _lookup(j, model.contexts, ["ctx"], ["c_ctx"], model.n_bytes, keyed)
     return j.withColumn("logp", F.ln(
         (F.coalesce(F.col("c"), F.lit(0)).cast("double") + F.lit(1.0))
         / (F.coalesce(F.col("c_ctx"), F.lit(0)).cast("double") + F.lit(float(model.vocab_size)))))
@@ -331,22 +367,25 @@ def score_tokens(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
     ``ctx`` for n >= 2). The lookup is a join on the token: a broadcast one
     when the model's tables have a checked small size, else the hot/cold
     split."""
-    return _price(tokens, model).drop("c", "c_ctx")
+    return _price(tokens if _broadcastable(model) else _keep(tokens, True), model).drop("c", "c_ctx")
 
 
 def sequence_sums(tokens: DataFrame, model, keys: list[str]) -> DataFrame:
     """(keys, n_tokens, logp_sum) without materialising per-token log-probs.
     With a broadcast lookup the token rows are priced in place and summed
-    (one shuffle, partial aggregates). With a shuffle lookup they are first
-    reduced to distinct (keys, token) with a multiplicity, so the join moves
-    fewer rows."""
+    (one shuffle, partial aggregates). Else they are first reduced to distinct
+    (keys, token) with a multiplicity, so the join moves fewer rows."""
     kc = _key_cols(model)
     if _broadcastable(model):
         priced = _price(tokens.select(*keys, *kc), model)
         return priced.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tokens"),
                                          F.sum("logp").alias("logp_sum"))
-    grouped = tokens.groupBy(*keys, *kc).agg(F.count(F.lit(1)).alias("_k"))
-    priced = _price(grouped, model)
+    return _distinct_sums(_distinct_rows(tokens, [*keys, *kc]), model, keys)
+
+
+def _distinct_sums(rows: DataFrame, model, keys: list[str]) -> DataFrame:
+    """``sequence_sums`` of rows with a multiplicity."""
+    priced = _price(rows, model)
     return priced.groupBy(*keys).agg(
         F.sum("_k").alias("n_tokens"),
         F.sum(F.col("_k").cast("double") * F.col("logp")).alias("logp_sum"))
@@ -357,7 +396,8 @@ def sequence_sums_multi(tokens: DataFrame, models: dict, keys: list[str]) -> Dat
     model is a unigram model with a broadcastable table, the token rows meet
     each count table in a chain of map-side joins and one aggregate sums all
     models; n-gram models of one fit are looked up together; otherwise each
-    model is summed on its own and the results are joined on the keys."""
+    model is summed on its own and the results are joined on the keys (larger
+    unigram models read the distinct token rows, which are made once)."""
     family = _shared_family(models)
     if family is not None:
         return _family_sums(tokens, models, keys, family)
@@ -370,9 +410,11 @@ def sequence_sums_multi(tokens: DataFrame, models: dict, keys: list[str]) -> Dat
             F.count(F.lit(1)).alias("n_tokens"),
             *[F.sum(m.logp(F.col(f"_c_{name}"))).alias(f"logp_sum_{name}")
               for name, m in models.items()])
+    one = all(isinstance(m, UnigramModel) and not _broadcastable(m) for m in models.values())
+    rows = _distinct_rows(tokens, [*keys, "token"]) if one else None
     out = None
     for name, m in models.items():
-        x = sequence_sums(tokens, m, keys).withColumnRenamed("logp_sum", f"logp_sum_{name}")
+        x = (_distinct_sums(rows, m, keys) if one else sequence_sums(tokens, m, keys)).withColumnRenamed("logp_sum", f"logp_sum_{name}")
         out = x if out is None else _join_keys(out, x.drop("n_tokens"), keys)
     return out
 
@@ -412,17 +454,11 @@ def completion_tokens(pairs: DataFrame, side: str, id_col: str = "pair_id",
                   else F.col(side).cast("string"))
     p = whitespace_tokens(render_chatml(prompt_msgs, True))
     c = close_sequence(whitespace_tokens(F.coalesce(completion, F.lit(""))), end)
-    seq = F.concat(
-        F.transform(p, lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_prompt"))),
-        F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_prompt"))))
-    extra = []
-    if n >= 2:
-        seq = with_context(seq, n, {"is_prompt": "boolean"})
-        extra = [F.col("t.ctx").alias("ctx")]
-    return pairs.select(id_col, F.lit(side).alias("side"),
-                        F.posexplode(seq).alias("pos", "t")).select(
-        id_col, "side", F.col("pos").cast("long").alias("pos"),
-        F.col("t.token").alias("token"), F.col("t.is_prompt").alias("is_prompt"), *extra)
+    seqs = pairs.select(id_col, F.lit(side).alias("side"), p.alias("_p"), c.alias("_c")).select(
+        id_col, "side", F.size("_p").alias("_n_prompt"), F.concat("_p", "_c").alias("_seq"))
+    rows = token_rows(seqs, [id_col, "side", "_n_prompt"], F.col("_seq"), n)
+    return rows.select(id_col, "side", F.col("pos").cast("long").alias("pos"), "token",
+                       (F.col("pos") < F.col("_n_prompt")).alias("is_prompt"), *(["ctx"] if n >= 2 else []))
 
 
 def pair_logps(pairs: DataFrame, model, id_col: str = "pair_id",
@@ -446,10 +482,8 @@ def perplexity(texts: DataFrame, model, id_col: str = "text_id",
     texts with fewer than ``min_tokens`` skipped (C5), then
     exp(mean over texts). Returns one row (n_texts, perplexity); an empty
     input gives a null perplexity."""
-    seq = _token_structs(truncate_tokens(whitespace_tokens(text_col), max_len))
-    if isinstance(model, NgramModel):
-        seq = with_context(seq, model.n)
-    toks = texts.select(id_col, F.inline(seq))
+    toks = token_rows(texts, [id_col], truncate_tokens(whitespace_tokens(text_col), max_len),
+                      model.n if isinstance(model, NgramModel) else 1)
     per_text = sequence_sums(toks, model, [id_col]).where(F.col("n_tokens") >= min_tokens)
     nll = -F.col("logp_sum") / F.col("n_tokens")
     return per_text.agg(F.count(F.lit(1)).alias("n_texts"),
@@ -469,10 +503,8 @@ def perplexity_multi(texts: DataFrame, models: dict, id_col: str = "text_id",
                 F.lit(name).alias("model"), "n_texts", "perplexity")
             out = x if out is None else out.unionByName(x)
         return out
-    seq = _token_structs(truncate_tokens(whitespace_tokens(text_col), max_len))
-    if family is not None:
-        seq = with_context(seq, next(iter(models.values())).n)
-    toks = texts.select(id_col, F.inline(seq))
+    toks = token_rows(texts, [id_col], truncate_tokens(whitespace_tokens(text_col), max_len),
+                      1 if family is None else next(iter(models.values())).n)
     per = sequence_sums_multi(toks, models, [id_col]).where(F.col("n_tokens") >= min_tokens)
     agg = per.agg(F.count(F.lit(1)).alias("n_texts"), *[
         F.exp(F.avg(-F.col(f"logp_sum_{name}") / F.col("n_tokens"))).alias(f"p_{name}")

@@ -190,3 +190,40 @@ def test_k1_legacy_prompt(spark):
     toks = K.completion_tokens(pairs, "chosen").collect()
     text = {i: " ".join(r["token"] for r in sorted(toks, key=lambda r: r["pos"]) if r["pair_id"] == i) for i in (1, 2)}
     assert "sys" in text[1] and text[1].endswith("c1 c2 <|im_end|>") and text[2].endswith("<|im_end|>") and "in" in text[2]
+
+
+def test_token_rows_run_no_lambda_per_token(spark):
+    """Split, shift and zip are generated code; contexts are right for any n."""
+    df = spark.createDataFrame([(1, "a  b c"), (2, ""), (3, None), (4, "d")], "id long, text string")
+    for n, want in ((1, [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (4, 0, "d")]),
+                    (2, [(1, 0, "a", "<s>"), (1, 1, "b", "a"), (1, 2, "c", "b"), (4, 0, "d", "<s>")]),
+                    (3, [(1, 0, "a", "<s> <s>"), (1, 1, "b", "<s> a"), (1, 2, "c", "a b"), (4, 0, "d", "<s> <s>")])):
+        rows = K.token_rows(df, ["id"], K.whitespace_tokens("text"), n)
+        assert sorted(map(tuple, rows.collect())) == want
+        assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_shuffle_lookup_reads_scored_texts_once(spark, monkeypatch, n):
+    """Beyond the broadcast size the scored rows are written before the lookups,
+    which make several passes over them."""
+    lms = K.fit_ngram_family(FX.labelled_documents(spark, SF001),
+                             {"ref": FX.all_rows(), "pol": FX.good_clean()}, vocab_from="ref", n=n)
+    texts = FX.heldout_texts(spark, SF001)
+    want = {r["model"]: r["perplexity"] for r in K.perplexity_multi(texts, lms).collect()}
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(K, "HOT_SPLIT", 20)
+    out = K.perplexity_multi(texts, lms)
+    assert "benchmark.parquet" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["model"]: r["perplexity"] for r in out.collect()} == pytest.approx(want)
+
+
+def test_few_scored_keys_take_their_counts_without_a_shuffle(spark, monkeypatch):
+    """The model is beyond the broadcast size, what is scored is not."""
+    lm = K.fit_ngram(FX.reference_corpus(spark, SF001), n=2)
+    texts = spark.createDataFrame([(1, "zz zz zz"), (2, "der die das")], "text_id long, text string")
+    want = K.perplexity(texts, lm).first()
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 1000)
+    out = K.perplexity(texts, lm)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert out.first()["perplexity"] == pytest.approx(want["perplexity"])
