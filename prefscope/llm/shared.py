@@ -17,6 +17,8 @@ HOT_KEYS = 1000
 SPREAD = 4096
 #: Rows per bucket that ``number_within`` aims at.
 ROWS_PER_BUCKET = 500_000
+#: Bytes of a row group of written tables: a writing task holds one in memory.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     application ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prefscope-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

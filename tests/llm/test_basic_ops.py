@@ -267,3 +267,19 @@ def test_lookup_spreads_a_hot_key(spark):
         assert any("_salt" in x for x in exchange), joined
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_written_tables_have_small_row_groups(spark):
+    """A task that writes texts holds one row group of them in memory."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from prefscope.llm import shared
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512) for i in range(40)])
+    table = shared.written(spark.range(0, 16_000, 1, 1).select("id", text.alias("text")), "row-groups")
+    sizes = []
+    for f in table.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        sizes += [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert sum(sizes) > 70e6 and max(sizes) < 1.3 * shared.ROW_GROUP_BYTES
+    assert table.count() == 16_000
