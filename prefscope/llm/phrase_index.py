@@ -7,11 +7,15 @@ the reversed text. A phrase is an interval of either order; adding a word on one
 side is a backward step in one index and a shift in the other, so phrases grow
 to the right and left in turn, all of one length at once, with their counts.
 
-Counts are summed across the shards. A phrase can be frequent only if its words,
-pairs and triples are, so a shard first learns which of its words, then which of
-its pairs and of its triples are frequent in all texts, and enumerates longer
-phrases within these. Counts are kept by 64-bit hashes; of the buckets that have
-a frequent phrase, one sends its text, once.
+Counts are summed across the shards. A phrase can be frequent only if its words
+and pairs are, so a shard first learns which of its words, then which of its pairs
+are frequent in all texts. Of the longer phrases made of these, most are rare:
+a bucket first counts them in the cells of a sketch (a cell has the phrases whose
+hashes begin alike, so no phrase occurs more often than its cell), learns which of
+its cells are frequent in all texts, and enumerates phrases within these only.
+Counts are kept by 64-bit hashes; of the buckets that have a frequent phrase, one
+sends its text, once. Buckets hold few languages each, as phrases are counted by
+language: a phrase is then in few buckets.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ BUCKET_BYTES = 32_000_000
 TOGETHER = 8
 #: Bytes of text in a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 1_000_000
+#: Bytes of text for each cell of the sketch of longer phrases, at most.
+CELL_BYTES = 256
+#: Languages are dealt into buckets by so many hashes, and texts of one hash by so many steps.
+LANG_SLOTS, STEPS = 1000, 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\f\r"]] = True
@@ -250,36 +258,88 @@ def _folded(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _longer_rows(lengths: tuple[int, ...]):
-    """Counts phrases of these lengths, the first of which is 3 or 4. They are
-    made of frequent pairs (kind 2) and, from 4 words on, frequent triples (3)."""
-    def parts(texts: pa.Table, pairs: np.ndarray, triples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chains(s: Shard, pairs: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 3: where phrases made of frequent pairs begin, and
+    their hashes (as ``_folded``)."""
+    pair = _pair(s.hash[:-1], s.hash[1:])
+    joined = ~s.first[1:] & _is_in(pair, pairs)
+    at = np.flatnonzero(joined)
+    value = pair[at]
+    for k in range(3, longest + 1):
+        going = at + k - 2 < len(joined)
+        going[going] = joined[at[going] + k - 2]
+        at = at[going]
+        value = _pair(value[going], s.hash[at + k - 1])
+        yield at, value
+
+
+def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> T.U(64 - bits)
+
+
+def _cell_rows(longest: int, bits: int, blocks: int):
+    """How often phrases of 3 words and more that are made of frequent pairs occur
+    in a bucket, by cell; cells next to each other make up a block, a row."""
+    def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
+        pairs, held = _known(found, 2), []
         for s in _shards(texts) if len(pairs) else ():
-            pair = np.zeros(len(s.hash), bool)
-            pair[:-1] = ~s.first[1:] & _is_in(_pair(s.hash[:-1], s.hash[1:]), pairs)
-            keep = pair.copy()
-            keep[1:] |= pair[:-1]
-            if not keep.any():
+            held += [np.unique(_cell(h, bits), return_counts=True) for _, h in _chains(s, pairs, longest)]
+            if len(held) > TOGETHER:
+                held = [_together(held)]
+        cells, n = _together(held)
+        block = (cells * T.U(blocks) >> T.U(bits)).astype(np.int32)
+        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(cells) else np.zeros(0, np.int64)
+        bucket = texts["bucket"][0].as_py() if texts.num_rows else 0
+        return pa.table({
+            "bucket": np.full(len(cut), bucket, np.int32), "block": block[cut],
+            "cells": pa.array([x.astype(np.uint32).tobytes() for x in np.split(cells, cut[1:])][:len(cut)], pa.binary()),
+            "counts": pa.array([x.tobytes() for x in np.split(n, cut[1:])][:len(cut)], pa.binary())})
+    return rows
+
+
+def _heavy_rows(least: int):
+    """For each bucket the cells that it has of a block and that occur ``least``
+    times in all buckets."""
+    def rows(sent: pa.Table) -> pa.Table:
+        cells = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in sent["cells"].to_pylist()]
+        all_cells, n = _together([(c, np.frombuffer(x, np.int64)) for c, x in zip(cells, sent["counts"].to_pylist())])
+        heavy = all_cells[n >= least]
+        return pa.table({
+            "bucket": sent["bucket"].combine_chunks(),
+            "cells": pa.array([c[_is_in(c, heavy)].astype(np.uint32).tobytes() for c in cells], pa.binary())})
+    return rows
+
+
+def _longer_rows(longest: int, bits: int):
+    """Counts phrases of 3 words and more. They are made of frequent pairs (kind 2)
+    and are in a cell that is frequent (3), as all phrases within them are."""
+    def parts(texts: pa.Table, pairs: np.ndarray, heavy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in _shards(texts) if len(heavy) else ():
+            at, value = next(_chains(s, pairs, 3))
+            at = at[_is_in(_cell(value, bits), heavy)]
+            if not len(at):
                 continue
+            keep = np.zeros(len(s.hash), bool)
+            for i in range(3):
+                keep[at + i] = True
             ids, h, _ = s.number(keep)
 
             def allowed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
                 return _is_in(_pair(h[left - 1], h[right - 1]), pairs)
 
-            index = Phrases(ids, lengths[-1])
+            index = Phrases(ids, longest)
             grown = index.start()
-            for k in range(2, lengths[-1] + 1):
-                right = k % 2 == 0
-                grown = index.extend(grown, right, allowed, last=k == lengths[-1])
-                if lengths[0] > 3 and k > 2:
-                    edge = grown[0][:, -3:] if right else grown[0][:, :3]
-                    some = _is_in(_folded(h, edge), triples)
+            for k in range(2, longest + 1):
+                grown = index.extend(grown, k % 2 == 0, allowed, last=k == longest)
+                if k > 2:
+                    value = _folded(h, grown[0])
+                    some = _is_in(_cell(value, bits), heavy)
                     grown = tuple(g[some] for g in grown)
-                if k in lengths:
-                    yield _folded(h, grown[0]), grown[-1]
+                    yield value[some], grown[-1]
 
     def rows(texts: pa.Table, found: pa.Table) -> pa.Table:
-        return _summed(texts, parts(texts, _known(found, 2), _known(found, 3)))
+        heavy = np.frombuffer(b"".join(found["cells"].to_pylist() if found.num_rows else []), np.uint32)
+        return _summed(texts, parts(texts, _known(found, 2), np.sort(heavy).astype(np.uint64)))
     return rows
 
 
@@ -324,16 +384,29 @@ def _phrases(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray) -> pa.Tabl
     return pa.table({"lang": lang, "k": np.full(len(n), k, np.int32), "phrase": phrase, "n": n.astype(np.int64)})
 
 
+def by_language(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``docs`` with the ``bucket`` of each text, and the bytes of all texts.
+    Texts lie along a line, those of a language next to each other in the order
+    of a hash; the line is cut into buckets of equal bytes, ``least`` at least."""
+    slot = F.pmod(F.xxhash64("lang"), F.lit(LANG_SLOTS)).cast("int")
+    width = dict(docs.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).collect())
+    size = sum(width.values())
+    buckets = max(least, -(-size // BUCKET_BYTES))
+    widths = [float(width.get(i, 0)) for i in range(LANG_SLOTS)]
+    starts = np.concatenate([[0.0], np.cumsum(widths)[:-1]]).tolist()
+    step = F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS)) / F.lit(float(STEPS))
+    place = (F.get(F.lit(starts), slot) + F.get(F.lit(widths), slot) * step) * F.lit(buckets / max(size, 1))
+    return docs.withColumn("bucket", F.least(F.floor(place), F.lit(buckets - 1)).cast("int")), size
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, k, phrase, n): the phrases of up to ``longest`` words that occur
     at least ``least`` times in the texts of a language, their words joined by
     spaces; and with k = 0 the number of all words of each language."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(docs.sparkSession)
-    buckets = max(1, n // 4, -(-size // BUCKET_BYTES))
-    texts = docs.select(
-        F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")).repartition(n, "bucket")
+    texts, size = by_language(docs.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")), max(1, n // 4))
+    texts = texts.select("text", "lang", "bucket").repartition(n, "bucket")
 
     def frequent(rows: DataFrame, kind: int) -> DataFrame:
         """The (bucket, h) of what occurs ``least`` times in all, how often, and
@@ -347,11 +420,15 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
 
     single = frequent(texts.groupBy("bucket").applyInArrow(_word_rows, "h long, bucket int, n long"), 1)
     pairs = frequent(with_texts(single.select("bucket", "h", "kind"), _pair_rows), 2)
-    found, known = single.unionByName(pairs), pairs
-    for kind, lengths in ((3, (3,)), (4, tuple(range(4, longest + 1)))):
-        if longest >= kind:
-            more = frequent(with_texts(known.select("bucket", "h", "kind"), _longer_rows(lengths)), kind)
-            found, known = found.unionByName(more), known.unionByName(more)
+    found = single.unionByName(pairs)
+    if longest > 2:
+        bits = min(32, max(10, (size // CELL_BYTES).bit_length()))
+        known = pairs.select("bucket", "h", "kind")
+        cells = with_texts(known, _cell_rows(longest, bits, n), "bucket int, block int, cells binary, counts binary")
+        heavy = cells.groupBy("block").applyInArrow(_heavy_rows(least), "bucket int, cells binary")
+        known = known.withColumn("cells", F.lit(b"")).unionByName(
+            heavy.select("bucket", F.lit(0).cast("long").alias("h"), F.lit(3).alias("kind"), "cells"))
+        found = found.unionByName(frequent(with_texts(known, _longer_rows(longest, bits)), 3))
     rows = with_texts(found.where("own").select("bucket", "h", "total"), _text_rows(longest), PHRASES)
     rows = written(rows, "phrase-texts")
     return rows.where("k > 0").unionByName(
