@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefscope.llm.shared import lookup, number_within, written
+from prefscope.llm.shared import lookup, number_within, parts_for, written
 
 SHARDS = 24
 #: Bytes that a row needs besides its text.
@@ -163,18 +163,20 @@ def shard_documents(docs: DataFrame, bins: int | None = SHARDS, capacity: int |
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("group")), "shard-rows")
+    n_rows = rows.count()
+    parts = parts_for(docs.sparkSession, n_rows)
     groups = written(rows.groupBy("group").agg(
-        F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "shard-groups")
-    n_groups, n_rows = groups.count(), rows.count()
+        F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "shard-groups", parts)
+    n_groups = groups.count()
     sizes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"))
     plan = written(sizes.repartition(1).mapInPandas(_pack(bins, capacity), "bytes long, until long, shard int")
                    .groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("until", "shard"))).alias("parts")),
-                   "shard-plan")
+                   "shard-plan", parts)
     ranked = number_within(groups, "bytes", ["group"], ["group"], n_groups, "rank")
     known = F.broadcast(plan) if plan.count() <= BROADCAST_PLAN_ROWS else plan
     part = F.filter("parts", lambda p: p["until"] > F.col("rank"))
     assigned = written(ranked.join(known, "bytes").select(
-        "group", "copies", "bytes", F.element_at(part, 1)["shard"].alias("shard")), "shard-assigned")
+        "group", "copies", "bytes", F.element_at(part, 1)["shard"].alias("shard")), "shard-assigned", parts)
     placed = lookup(rows, assigned, ["group"], "copies", ["doc_id"])
     return number_within(
         placed.select("doc_id", "size", "text_crc32", "shard", F.col("bytes").alias("group_bytes")),

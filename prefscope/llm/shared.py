@@ -21,11 +21,12 @@ ROWS_PER_BUCKET = 500_000
 ROW_GROUP_BYTES = 32 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: computed
     once, and not recomputed when an executor is lost. The files go when the
-    application ends."""
+    application ends. ``parts``: at most so many files (``parts_for``)."""
     spark = df.sparkSession
+    df = df if parts is None else df.coalesce(parts)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prefscope-{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, n_rows: int) -> int:
+    """Files for a table of up to ``n_rows`` short rows: one for each core, more
+    for many rows. A shuffle may have far more partitions than such a table
+    needs, and for each file Hadoop's local file system starts processes."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BUCKET))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

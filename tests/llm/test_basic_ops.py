@@ -102,6 +102,29 @@ def test_sharding_by_capacity(spark):
     assert sharding.shard_documents(empty(spark)).collect() == []
 
 
+def test_sharding_writes_few_files(spark, monkeypatch):
+    # Each file costs processes on the executor; a shuffle may have far more partitions than cores.
+    files, write = {}, sharding.written
+
+    def counted(df, name, *parts):
+        out = write(df, name, *parts)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(sharding, "written", counted)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    want = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(table(spark, corpus()), bins=6).collect()}
+    try:
+        for k, v in zip(keep, ("40", "false")):
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(table(spark, corpus()), bins=6).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert max(files[f"shard-{x}"] for x in ("groups", "plan", "assigned")) <= spark.sparkContext.defaultParallelism
+
+
 def test_sharding_many_buckets(spark, monkeypatch):
     monkeypatch.setattr("prefscope.llm.shared.ROWS_PER_BUCKET", 7)
     got = sharding.shard_documents(table(spark, corpus()), bins=4).collect()
