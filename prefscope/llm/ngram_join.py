@@ -8,13 +8,20 @@ shingles (H follows from sizes and threshold). Shingles are dealt into g > H
 slices by hash, so linked sets agree in a whole slice: that slice's hash is a
 routing key. An agreeing slice could be an empty one; g exceeds H by a margin,
 so a set with fewer than g - H empty slices agrees with any partner in a
-non-empty one, and only the rare others emit their empty slices too.
+non-empty one, and only the rare others emit their empty slices too. H is each
+set's own: a smaller set of a class differs in less.
+
+Leaving out. A set with x = g - H - (empty slices) agrees with any partner in x
+non-empty slices, so it may leave out x - 1 of them. Each set leaves out those
+keys that most sets share. All sets rank the keys alike: of the keys that linked
+sets have in common, the one that fewest sets share has x - 1 others before it
+in both, so both keep it.
 
 Pruning. A slice of one common shingle is shared by unrelated sets. So each set
 has a bitmap: a bit for every shingle it could hold, which is the parity of the
 shingles that hash there. Two sets' bitmaps differ in no more bits than the sets
 in shingles; of the sets that share a key, only those whose sizes and bitmaps
-allow a link are connected. Keys that more than ``GROUP`` sets share connect all
+allow a link are connected. Keys that more than ``GROUP`` sets keep connect all
 of these unseen, each with the next. What is connected meets in one task (or, if
 it is larger than a block, in a task for each pair of blocks).
 
@@ -48,8 +55,15 @@ PERCENT = 85
 BLOCK_SHINGLES = 1_000_000
 #: Sets of one key that are compared by their bitmaps; more are connected unseen.
 GROUP = 1000
-#: Sets that share a key within a slice of texts; of more one stands for all.
+#: Keys that more sets share are left out by sets that have others to spare.
+MANY = 64
+#: Sets that share a key within a slice of texts; of more that can't leave it out
+#: one stands for all.
 BATCH_GROUP = 64
+#: What ``how`` of a routed row holds, above it what its set has to spare: it is of
+#: the class below the set's own; its set leaves out nothing; it stands for others
+#: of its slice of texts; it is a pair of sets.
+LOWER, STAYS, STANDS, PAIR, SPARE_BITS = 1, 2, 4, 8, 4
 #: Words of bitmaps that are compared at a time.
 PAIR_WORDS = 500_000
 #: Cells of the table of which set has which shingle, while sets walk a tree.
@@ -134,15 +148,24 @@ def bitmaps(hashes: np.ndarray, begin: np.ndarray, percent: int) -> list[pa.Arra
 def slice_keys(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Routing keys of all sets, the set that each belongs to, and whether it
     is of the class below the set's own."""
+    return routes(hashes, begin, percent)[:3]
+
+
+def routes(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``slice_keys``, and in how many of its set's keys of this class any
+    linked set agrees at least (0: all keys are needed)."""
     size = np.diff(begin)
     if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    keys, owners, lowers = [], [], []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    keys, owners, lowers, spares = [], [], [], []
     for lower, (sets, tag, end) in enumerate(class_members(size, percent)):
         # |A| + |B| is at most end + end * 100 / percent; they differ in (100 - p) / (100 + p) of that.
         differ = (100 - percent) * (end + end * 100 // percent) // (100 + percent)
         n_slices = differ + 3 + differ // 16
         count = size[sets]
+        # A smaller set differs in less: its partners have count * 100 / percent shingles at most.
+        largest = end if lower else count * 100 // percent
+        agree = n_slices - (100 - percent) * (count + largest) // (100 + percent)
         at = np.repeat(begin[sets], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         base = np.cumsum(n_slices) - n_slices
         mixed = T.mix(hashes[at] ^ T.U(0xD6E8FEB86659FD93))
@@ -153,14 +176,16 @@ def slice_keys(hashes: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.
         sums = total[edges[1:]] - total[edges[:-1]]
         empty = edges[1:] == edges[:-1]
         which = np.repeat(np.arange(len(sets)), n_slices)
-        unlucky = np.bincount(which[empty], minlength=len(sets)) >= n_slices - differ
+        spare = np.maximum(0, agree - np.bincount(which[empty], minlength=len(sets)))
+        unlucky = spare == 0
         emit = ~empty | unlucky[which]
         number = (np.arange(len(which)) - base[which]).astype(T.U)
         label = (tag[which] + 1).astype(T.U) << T.U(32) | number
         keys.append((T.mix(sums ^ T.mix(label)))[emit])
         owners.append(sets[which[emit]])
         lowers.append(np.full(int(emit.sum()), bool(lower)))
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lowers)
+        spares.append(spare[which[emit]])
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lowers), np.concatenate(spares)
 
 
 def plausible(percent: int, size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
@@ -369,36 +394,42 @@ def _marked_rows(k: int):
 
 def _key_rows(percent: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, a, how) for each set of a key: 0, or 1 for the class below its
-        own. Where more than BATCH_GROUP sets of a slice share a key, its
-        smallest set alone goes on, marked 2, and the others as pairs with it
-        (3, the key being the other set)."""
+        """(key, a, how) for each set of a key. Where more than BATCH_GROUP sets
+        of a slice share a key and have more such keys than they can leave
+        out, the smallest of them alone goes on, and the others as pairs with
+        it (the key being the other set)."""
         for batch in batches:
             for lo, hi in T.slices(batch["text"], SLICE_BYTES):
                 hashes, begin = shingle_sets(batch["text"].slice(lo, hi - lo), k)
-                key, owner, lower = slice_keys(hashes, begin, percent)
-                yield _sent(key, T.signed(set_ids(hashes, begin)[0])[owner], lower.astype(np.int32))
+                key, owner, lower, spare = routes(hashes, begin, percent)
+                yield _sent(key, T.signed(set_ids(hashes, begin)[0])[owner], 2 * owner + lower, spare)
     return rows
 
 
-def _sent(key: np.ndarray, node: np.ndarray, how: np.ndarray) -> pa.RecordBatch:
+def _sent(key: np.ndarray, node: np.ndarray, who: np.ndarray, spare: np.ndarray) -> pa.RecordBatch:
+    """``who``: the set's number and, as the lowest bit, LOWER."""
     order = np.lexsort((node, key))
-    key, node, how = key[order], node[order], how[order]
+    key, node, who, spare = key[order], node[order], who[order], spare[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, how = key[new], node[new], how[new]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    group = np.cumsum(first) - 1
-    many = np.bincount(group, minlength=int(first.sum()))[group] > BATCH_GROUP if len(key) else first
-    smallest = node[first][group] if len(key) else node
-    how[many & first] = 2
-    pairs = np.unique(np.stack([smallest, node], 1)[many & ~first], axis=0)
-    stay = ~many | first
+    key, node, who, spare = key[new], node[new], who[new], spare[new]
+    _, group, often = np.unique(key, return_inverse=True, return_counts=True)
+    hot = often[group] > BATCH_GROUP
+    stays = np.bincount(who[hot], minlength=int(who.max(initial=-1)) + 1)[who] >= spare
+    bound = hot & stays
+    as_one = bound & (np.bincount(group[bound], minlength=len(often)) > BATCH_GROUP)[group]
+    at = np.flatnonzero(as_one)
+    first = at[np.unique(group[at], return_index=True)[1]]
+    smallest = np.zeros(len(often), np.int64)
+    smallest[group[first]] = node[first]
+    how = np.minimum(spare, (1 << 20) - 1) << SPARE_BITS | (who & LOWER) | STAYS * stays
+    how[first] |= STANDS
+    as_one[first] = False
+    pairs = np.unique(np.stack([node, smallest[group]], 1)[as_one], axis=0)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([T.signed(key[stay]), pairs[:, 0]])),
-         pa.array(np.concatenate([node[stay], pairs[:, 1]])),
-         pa.array(np.concatenate([how[stay], np.full(len(pairs), 3, np.int32)]))], ["key", "a", "how"])
+        [pa.array(np.concatenate([T.signed(key[~as_one]), pairs[:, 0]])),
+         pa.array(np.concatenate([node[~as_one], pairs[:, 1]])),
+         pa.array(np.concatenate([how[~as_one], np.full(len(pairs), PAIR)]).astype(np.int32))], ["key", "a", "how"])
 
 
 def _connected_rows(percent: int):
@@ -463,7 +494,8 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT,
     text are not read.
 
     Copies fall together by their set's 128-bit id before anything is joined.
-    A key that most documents share sends at most 64 rows per slice of 1 MB.
+    A key that most documents share is left out by those with others to spare;
+    of the rest it sends at most 64 rows per slice of 1 MB.
     """
     return _groups(docs, percent, block_shingles, k).select("doc_id", "n_shingles", "component_id")
 
@@ -550,26 +582,37 @@ def _clusters(rows: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFr
     """(_set, cluster): sets, by half of their id, that plausible pairs with a
     common routing key connect."""
     keyed = rows.where("doc_id is not null").select("text").mapInArrow(
-        _key_rows(percent, k), "key long, a long, how int").withColumn(
-        "place", F.when(F.col("how") == 3, F.xxhash64("key", "a")).otherwise(F.col("key")))
-    by_key = Window.partitionBy("place")
+        _key_rows(percent, k), "key long, a long, how int")
+    has = lambda bit: F.col("how").bitwiseAND(bit) != 0
+    by_key = Window.partitionBy("key")
     in_order = by_key.orderBy("a", F.desc("how"))
     shared = keyed.select(
         "*", F.lag("a").over(in_order).alias("before"), F.lead("a").over(in_order).alias("after")).where(
-        "how = 3 or before is not null or after is not null")
+        has(PAIR) | F.col("before").isNotNull() | F.col("after").isNotNull())
+    shared = written(shared.where(has(PAIR) | F.col("before").isNull() | (F.col("before") != F.col("a"))).select(
+        "key", "a", "how", F.count(F.lit(1)).over(by_key).alias("sets"), F.max(has(STANDS)).over(by_key).alias("stands")),
+        "ngram-shared")
+    paired = shared.where(has(PAIR)).select("a", F.col("key").alias("b"))
+    # Of the keys of many sets each set leaves out those of the most, as many as it can.
+    many = F.col("stands") | (F.col("sets") > MANY)
+    by_set = Window.partitionBy("a", F.col("how").bitwiseAND(LOWER)).orderBy(F.desc("stands"), F.desc("sets"), "key")
+    kept = shared.where(many & ~has(PAIR)).withColumn("rank", F.row_number().over(by_set)).where(
+        has(STAYS) | (F.col("rank") >= F.shiftright("how", SPARE_BITS)))
+    kept = written(kept.select("key", "a", "how", "stands", F.count(F.lit(1)).over(by_key).alias("sets"),
+                               F.lag("a").over(by_key.orderBy("a")).alias("before")), "ngram-kept")
     # Sets of one key within the group's limits are compared, others chained.
-    shared = written(shared.where("how = 3 or before is null or before <> a").select(
-        "*", F.count(F.lit(1)).over(by_key).alias("sets"), F.max("how").over(by_key).alias("most")), "ngram-shared")
-    compared = (F.col("most") < 2) & (F.col("sets") <= GROUP)
-    chained = shared.where(~compared & (F.col("how") < 3) & F.col("before").isNotNull()).select("a", F.col("before").alias("b"))
-    paired = shared.where("how = 3").select(F.col("key").alias("a"), F.col("a").alias("b"))
+    unseen = F.col("stands") | (F.col("sets") > GROUP)
+    chained = kept.where(unseen & F.col("before").isNotNull()).select("a", F.col("before").alias("b"))
+    compared = shared.where(~many & ~has(PAIR)).select("key", "a", "how", "sets").unionByName(
+        kept.where(~unseen).select("key", "a", "how", "sets"))
     # Many keys are shared by the same sets.
-    groups = shared.where(compared & (F.col("sets") > 1)).groupBy("place", "key").agg(
-        F.sort_array(F.collect_list(F.struct("a", "how"))).alias("g")).groupBy("g").agg(F.min("key").alias("group"))
+    groups = compared.where("sets > 1").groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("a", F.col("how").bitwiseAND(LOWER).alias("lower")))).alias("g")
+    ).groupBy("g").agg(F.min("key").alias("group"))
     members = groups.select("group", F.inline("g"))
     bits = nodes.select(F.col("set_a").alias("_a"), "n", "own_bits", "lower_bits")
     members = members.join(bits, F.col("a") == F.col("_a")).select(
-        "group", "a", "n", F.when(F.col("how") == 0, F.col("own_bits")).otherwise(F.col("lower_bits")).alias("bits"))
+        "group", "a", "n", F.when(F.col("lower") == 0, F.col("own_bits")).otherwise(F.col("lower_bits")).alias("bits"))
     near = members.repartition("group").sortWithinPartitions("group", "a").mapInArrow(
         _connected_rows(percent), "a long, b long")
     return components(chained.unionByName(paired).unionByName(near)).select(

@@ -227,3 +227,75 @@ def test_thousands_of_near_copies_in_one_task():
     at = time.time()
     assert set(J.link_sets(sets, 80)) == {0}
     assert time.time() - at < 20
+
+
+def common_line(n, line=60):
+    """Unrelated documents of one size that share a line."""
+    r = random.Random(8)
+    shared = [f"c{i}" for i in range(line)]
+    return [(i, " ".join([*shared, *(f"w{r.randint(0, 10**9)}" for _ in range(240))]), "s") for i in range(n)]
+
+
+def test_documents_that_share_a_line_are_no_cluster(spark, monkeypatch):
+    monkeypatch.setattr(J, "GROUP", 12)
+    rows = common_line(150)
+    rows += [(200 + i, rows[i][1] + " end", "s") for i in range(0, 150, 30)]
+    docs = table(spark, rows).repartition(4).select("doc_id", "text")
+    sets = docs.mapInArrow(J._set_rows(80, 5), "doc_id long, n long, set_a long, set_b long, own_bits binary, lower_bits binary")
+    clusters = Counter(r.cluster for r in J._clusters(docs, sets, 80, 5).collect())
+    assert sorted(clusters.values()) == [2] * 5  # the near copies alone
+    got = J.ngram_components(table(spark, rows), 80, k=5).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 200 if i >= 200 else i for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("many,group", [(1, 1000), (1, 2), (3, 5)])
+def test_shared_keys_that_are_left_out_lose_no_link(spark, monkeypatch, many, group):
+    rows = near_copies(17, 130) + [(200 + i, t, s) for i, t, s in common_line(40)]
+    r = random.Random(3)
+    for i in range(40):
+        words = rows[130 + i][1].split(" ")
+        for _ in range(r.randint(1, 20)):
+            words[r.randint(0, len(words) - 1)] = f"x{r.randint(0, 9999)}"
+        rows.append((300 + i, " ".join(words), "s"))
+    monkeypatch.setattr(J, "MANY", many)
+    monkeypatch.setattr(J, "GROUP", group)
+    got = J.ngram_components(table(spark, rows), 80).collect()
+    assert Counter(map(tuple, got)) == plain_components(rows, 80)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_linked_sets_keep_a_key_when_each_leaves_out_the_most_shared(percent):
+    texts = [t for _, t, _ in near_copies(percent, 250)]
+    hashes, begin = J.shingle_sets(pa.array(texts))
+    keys, owner, lower, spare = map(np.ndarray.tolist, J.routes(hashes, begin, percent))
+    often = Counter(keys)
+    by_set, left_out = defaultdict(list), 0
+    for k, o, low, x in zip(keys, owner, lower, spare):
+        by_set[o, low, x].append(k)
+    kept = defaultdict(set)
+    for (o, _, x), own in by_set.items():
+        own.sort(key=lambda k: (-often[k], k))
+        kept[o] |= set(own[max(0, x - 1):])
+        left_out += max(0, x - 1)
+    sets = [set(hashes[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                assert kept[i] & kept[j], (len(sets[i]), len(sets[j]))
+    assert left_out > 100
+
+
+def test_one_set_stands_only_for_sets_that_cannot_leave_the_key_out():
+    key = np.concatenate([np.full(100, 7), np.full(100, 9), np.arange(100, 200)]).astype(np.uint64)
+    number = np.tile(np.arange(100), 3)
+    spare = np.where(number < 80, 2, 3)  # 80 sets have one key to leave out, 20 have two
+    rows = J._sent(key, 1000 + number, 2 * number, spare).to_pylist()
+    pairs = {(r["key"], r["a"]) for r in rows if r["how"] & J.PAIR}
+    assert pairs == {(1000 + i, 1000) for i in range(1, 80)}
+    plain = [r for r in rows if not r["how"] & J.PAIR]
+    for k in (7, 9):
+        assert {r["a"] for r in plain if r["key"] == k} == {1000, *range(1080, 1100)}
+        assert [r["a"] for r in plain if r["key"] == k and r["how"] & J.STANDS] == [1000]
+    assert all(bool(r["how"] & J.STAYS) == (r["a"] < 1080) and r["how"] >> J.SPARE_BITS == (2 if r["a"] < 1080 else 3)
+               and not r["how"] & J.LOWER for r in plain)
+    assert len(plain) == 2 * 21 + 100
